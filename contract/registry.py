@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contract.views import table, view
-from plotwise.operators import compare, growth, insights, market
+from plotwise.functions import text
+from plotwise.functions.features import FEATURE_COLUMNS, parse_features
+from plotwise.operators import (
+    area_records, compare, coverage as coverage_ops, dataset, growth, insights, lookups, market, model,
+    predicates, similar, spatial, text_reports, upsert,
+)
 from plotwise.operators.predicates import InsightsFilter
-from plotwise.operators.sales import latest_sale, sales_with_property
+from plotwise.operators.sales import (
+    latest_sale, latest_two_sales, priced_property_count, properties_with_sales as properties_and_sales,
+    repeat_sold_properties, sales_with_property, without_sales,
+)
+from plotwise.sources import html_pages
+from plotwise.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,3 +297,498 @@ def property_appreciation(spark, sf):
         "round(total_change_pct, 4) AS total_change_pct",
         "round(annualised_pct, 4) AS annualised_pct",
     )
+
+
+# --- listing features and phrases --------------------------------------------
+
+def parsed_of(spark, sf):
+    return parse_features(view(spark, sf, "property"), keep=("id",))
+
+
+def lines_of(spark, sf):
+    """Lines of prose stand for listing phrases."""
+    lines = table(spark, sf, "documents").select(F.split("text", "\n").alias("lines"))
+    return text_reports.phrases_of(lines, "lines")
+
+
+@query
+def feature_flags(spark, sf):
+    return parsed_of(spark, sf)
+
+
+@query
+def fill_rates(spark, sf):
+    return text_reports.fill_rates(parsed_of(spark, sf))
+
+
+@query
+def fill_totals(spark, sf):
+    groups = {c: "v2" for c in FEATURE_COLUMNS[41:64]} | {c: "v3" for c in FEATURE_COLUMNS[64:]}
+    return text_reports.fill_totals(text_reports.fill_rates(parsed_of(spark, sf)), groups)
+
+
+@query
+def value_distribution(spark, sf):
+    return text_reports.value_distribution(parsed_of(spark, sf))
+
+
+@query
+def uncaught_phrases(spark, sf):
+    return text_reports.uncaught_phrases(lines_of(spark, sf))
+
+
+@query
+def caught_totals(spark, sf):
+    return text_reports.caught_totals(lines_of(spark, sf))
+
+
+@query
+def category_totals(spark, sf):
+    return text_reports.category_totals(lines_of(spark, sf))
+
+
+@query
+def category_top_phrases(spark, sf):
+    return text_reports.category_top_phrases(lines_of(spark, sf))
+
+
+@query
+def kpis_with_features(spark, sf):
+    options = InsightsFilter(has_parking=True, chain_free=False)
+    base = insights.filtered_base(
+        view(spark, sf, "sale"), view(spark, sf, "property"), options, parsed_of(spark, sf)
+    )
+    return insights.kpis(base)
+
+
+# --- cleaning ----------------------------------------------------------------
+
+@query
+def clean_sales(spark, sf):
+    return view(spark, sf, "raw_sale").select(
+        "id", text.price_to_int(F.col("price")).alias("price_numeric"),
+        text.price_normalised(F.col("price")).alias("price"),
+        text.date_without_leading_zeros(F.col("date_sold")).alias("date_sold"),
+        text.date_to_iso(F.col("date_sold")).alias("date_sold_iso"),
+    )
+
+
+@query
+def postcode_forms(spark, sf):
+    code = F.col("postcode")
+    return view(spark, sf, "property").select(
+        "id", text.postcode_key(code).alias("key"), text.postcode_in(F.col("address")).alias("found"),
+        text.outcode(code).alias("outcode"), text.outcode_by_pattern(code).alias("outcode_pattern"),
+        text.outcode_by_separator(code).alias("outcode_separator"),
+        text.postcode_spaced(text.postcode_key(code)).alias("spaced"),
+    )
+
+
+@query
+def streets(spark, sf):
+    return view(spark, sf, "property").select("id", text.street_of(F.col("address")).alias("street"))
+
+
+@query
+def backfill_sales(spark, sf):
+    sales = view(spark, sf, "raw_sale").join(
+        view(spark, sf, "sale").select("id", "price_numeric", "date_sold_iso"), "id"
+    )
+    return upsert.backfill(sales).select("id", "price_numeric", "date_sold_iso")
+
+
+# --- points of interest ------------------------------------------------------
+
+def poi_of(spark, sf):
+    return view(spark, sf, "poi").unionByName(spatial.fixed_points(spark), allowMissingColumns=True)
+
+
+def ids_at(spark, sf, facts):
+    at = view(spark, sf, "property").select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return at.join(facts, ["lat", "lon"])
+
+
+@query
+def nearest_poi(spark, sf):
+    points = spatial.distinct_points(view(spark, sf, "property"))
+    rows = spatial.nearest(points, spatial.with_targets(poi_of(spark, sf)), tuple(spatial.TARGETS))
+    return ids_at(spark, sf, rows).select("id", "target", "poi_id", F.round("arc_km", 2).alias("km"))
+
+
+@query
+def within_radius(spark, sf):
+    points = spatial.distinct_points(view(spark, sf, "property"))
+    radii = {"bus": 15.0, "primary": 10.0, "secondary": 15.0, "gp": 10.0, "supermarket": 20.0,
+             "green_space": 25.0, "pub": 25.0, "gym": 20.0}
+    rows = spatial.within_radius(points, spatial.with_targets(poi_of(spark, sf)), radii)
+    return ids_at(spark, sf, rows).select("id", "target", "n")
+
+
+@query
+def proximity(spark, sf):
+    enriched = spatial.enrich_proximity(view(spark, sf, "property"), poi_of(spark, sf))
+    columns = [c for t in spatial.TARGETS.values()
+               for c in (t.distance, t.name, t.detail, t.within[0] if t.within else None) if c]
+    return enriched.select("id", *columns)
+
+
+# --- lookups and matches -----------------------------------------------------
+
+@query
+def imd_lookup(spark, sf):
+    return lookups.with_imd(
+        view(spark, sf, "property"), view(spark, sf, "postcode_lookup"), view(spark, sf, "imd")
+    ).select("id", *lookups.IMD_COLUMNS)
+
+
+@query
+def broadband_lookup(spark, sf):
+    return lookups.with_broadband(view(spark, sf, "property"), view(spark, sf, "broadband")).select(
+        "id", *lookups.BROADBAND_COLUMNS
+    )
+
+
+@query
+def geocode(spark, sf):
+    known = F.col("property_type") != "BUILDING"
+    located = view(spark, sf, "property").withColumns({
+        "latitude": F.when(known, F.col("latitude")), "longitude": F.when(known, F.col("longitude")),
+    })
+    return lookups.geocode(located, view(spark, sf, "postcode_lookup")).select("id", "latitude", "longitude")
+
+
+@query
+def epc_match(spark, sf):
+    return lookups.match_epc(view(spark, sf, "property"), view(spark, sf, "epc_cert"))
+
+
+@query
+def epc_match_by_containment(spark, sf):
+    return lookups.match_epc_by_containment(view(spark, sf, "property"), view(spark, sf, "epc_cert"))
+
+
+@query
+def similar_properties(spark, sf):
+    return similar.similar_properties(view(spark, sf, "property"), latest_sale(view(spark, sf, "sale")))
+
+
+# --- crime, planning, flood, listings ----------------------------------------
+
+def crime_of(spark, sf):
+    return area_records.crime_counts(view(spark, sf, "crime_record"))
+
+
+@query
+def crime_counts(spark, sf):
+    return crime_of(spark, sf)
+
+
+@query
+def crime_summary(spark, sf):
+    return area_records.crime_summary(crime_of(spark, sf))
+
+
+@query
+def crime_window(spark, sf):
+    rows = area_records.with_crime(base_of(spark, sf), crime_of(spark, sf))
+    return rows.select("sale_id", "total_crime", *area_records.CRIME_COLUMNS)
+
+
+def planning_of(spark, sf):
+    return area_records.planning_records(view(spark, sf, "planning_entity"))
+
+
+@query
+def planning_records(spark, sf):
+    return planning_of(spark, sf)
+
+
+@query
+def planning_totals(spark, sf):
+    return area_records.planning_totals(planning_of(spark, sf))
+
+
+@query
+def flood_risk(spark, sf):
+    warnings = area_records.first_warnings(view(spark, sf, "flood_warning"))
+    postcodes = view(spark, sf, "planning_entity").select("postcode").distinct()
+    return area_records.flood_risk(postcodes, view(spark, sf, "flood_area"), warnings)
+
+
+@query
+def listing_records(spark, sf):
+    return area_records.listing_records(view(spark, sf, "listing_page"))
+
+
+NOW = datetime(2024, 1, 20, 12)
+
+
+@query
+def listing_totals(spark, sf):
+    return area_records.listing_totals(view(spark, sf, "property"), NOW)
+
+
+# --- coverage and freshness --------------------------------------------------
+
+@query
+def coverage(spark, sf):
+    return coverage_ops.coverage_report(
+        view(spark, sf, "property"), view(spark, sf, "sale"), crime_of(spark, sf), planning_of(spark, sf)
+    )
+
+
+@query
+def postcode_list(spark, sf):
+    return coverage_ops.postcode_list(view(spark, sf, "property"), view(spark, sf, "sale"))
+
+
+@query
+def outcode_completeness(spark, sf):
+    held = coverage_ops.postcode_list(view(spark, sf, "property"), view(spark, sf, "sale"))
+    directory = view(spark, sf, "crime_record").select("postcode").distinct().withColumn(
+        "outcode", text.outcode(F.col("postcode"))
+    )
+    return coverage_ops.outcode_completeness(coverage_ops.outcode_coverage(directory, held))
+
+
+@query
+def freshness(spark, sf):
+    return predicates.freshness(view(spark, sf, "property"), datetime(2024, 7, 1))
+
+
+@query
+def postcode_status(spark, sf):
+    return predicates.postcode_status(view(spark, sf, "property"))
+
+
+@query
+def needs_enrichment(spark, sf):
+    enriched = lookups.with_imd(
+        view(spark, sf, "property").withColumn("broadband_median_speed", F.lit(None).cast("double")),
+        view(spark, sf, "postcode_lookup").where("lsoa <> 'EAF0'"), view(spark, sf, "imd"),
+    )
+    return predicates.needs_enrichment(enriched, ["imd"]).select("id")
+
+
+@query
+def postcode_suggestions(spark, sf):
+    return predicates.suggest_postcodes(view(spark, sf, "property"), "af1")
+
+
+@query
+def property_list(spark, sf):
+    rows = predicates.list_properties(
+        view(spark, sf, "property"), "AF", "ture", 2, 5, listing_only=False, skip=5, limit=40
+    )
+    return rows.select("id", "address", "property_type", "bedrooms", "created_at")
+
+
+@query
+def properties_without_sales(spark, sf):
+    return without_sales(view(spark, sf, "property"), view(spark, sf, "raw_sale").where(
+        "o_orderstatus = 'F' AND o_orderpriority = '5-LOW'")).select("id")
+
+
+@query
+def postcodes_without_crime(spark, sf):
+    return coverage_ops.postcodes_not_in(view(spark, sf, "property"), crime_of(spark, sf))
+
+
+@query
+def properties_with_sales(spark, sf):
+    return properties_and_sales(view(spark, sf, "property"), view(spark, sf, "sale")).select(
+        "id", "address", "sale_id", "date_sold_iso", "price_numeric", "tenure", "sale_type"
+    )
+
+
+@query
+def dataset_size(spark, sf):
+    return priced_property_count(view(spark, sf, "sale"))
+
+
+@query
+def repeat_sales(spark, sf):
+    return repeat_sold_properties(view(spark, sf, "sale"))
+
+
+# --- table maintenance -------------------------------------------------------
+
+def records_of(spark, sf):
+    none = F.lit(None).cast("array<string>")
+    return view(spark, sf, "record").withColumns({"extra_features": none, "floorplan_urls": none})
+
+
+@query
+def upsert_properties(spark, sf):
+    stored = view(spark, sf, "property").withColumn("url", F.lit(None).cast("string"))
+    merged = upsert.upsert_properties(stored, upsert.record_changes(records_of(spark, sf)))
+    return merged.select("address", "postcode", "postcode_clean", "property_type", "bedrooms", "bathrooms",
+                         "url", "listing_status", "listing_price", "listing_checked_at", "extra_features")
+
+
+@query
+def dedup_sales(spark, sf):
+    raw = view(spark, sf, "raw_sale")
+    arriving = raw.select(
+        "property_id", text.date_without_leading_zeros(F.col("date_sold")).alias("date_sold"),
+        text.price_normalised(F.col("price")).alias("price"), F.col("id").alias("seq"),
+        F.lit(0).alias("position"), F.col("id").alias("sale_id"),
+    )
+    repeated = arriving.unionByName(arriving.withColumn("seq", F.col("seq") + 1000000000))
+    stored = arriving.join(raw.where("o_orderstatus = 'F'").select(F.col("id").alias("sale_id")), "sale_id")
+    return upsert.new_sales(stored, repeated)
+
+
+@query
+def upsert_planning(spark, sf):
+    rows = planning_of(spark, sf)
+    arriving = rows.where("is_major").withColumns({
+        "status": F.lit("refreshed"), "fetched_at": F.col("fetched_at") + F.expr("interval 90 days"),
+    })
+    return upsert.upsert_planning(rows, arriving, datetime(2024, 3, 15)).select(
+        "postcode", "reference", "status", "is_major", "fetched_at"
+    )
+
+
+@query
+def replace_crime(spark, sf):
+    counts = crime_of(spark, sf)
+    arriving = counts.where("category = 'burglary'").withColumn("count", F.col("count") * 2)
+    failures = counts.where("category = 'drugs' AND postcode LIKE 'A%'").select("postcode", "month")
+    return upsert.replace_crime(counts, arriving, failures, expected_months=100)
+
+
+# --- modelling ---------------------------------------------------------------
+
+ML_FEATURES = ("bedrooms", "bathrooms", "property_type", "latitude", "longitude", "tenure", "sale_year",
+               "sale_month", "sale_quarter", "parking", "garden", "double_glazed", "chain_free", "sq_ft",
+               "lease_years", "total_crime", "burglary")
+
+
+@query
+def ml_dataset(spark, sf):
+    return dataset.price_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), crime_of(spark, sf), ML_FEATURES
+    )
+
+
+@query
+def ml_price_per_sqft(spark, sf):
+    data = dataset.price_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None, ("bedrooms",), "price_per_sqft"
+    )
+    return data.select("sale_id", "sq_ft", F.round("price_per_sqft", 4).alias("price_per_sqft"))
+
+
+@query
+def ml_price_change(spark, sf):
+    data = dataset.price_change_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None, ("bedrooms", "tenure", "sale_year")
+    )
+    return data.drop("address")
+
+
+@query
+def ml_scoring_rows(spark, sf):
+    return dataset.scoring_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None,
+        ("bedrooms", "tenure", "sale_year", "sale_month", "sale_quarter"), "2025-08-15"
+    )
+
+
+@query
+def ml_downcast(spark, sf):
+    data = dataset.price_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None,
+        ("bedrooms", "sale_year", "double_glazed", "lease_years", "latitude"),
+    )
+    return dataset.downcast(data).drop("address", "property_id")
+
+
+def scored_of(spark, sf):
+    data = dataset.price_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None,
+        ("bedrooms", "bathrooms", "property_type", "latitude", "longitude", "tenure", "sale_year", "parking"),
+    )
+    rows, held_out = model.split(data, "temporal", "2000-01-01")
+    fitted = model.train(rows, "price_numeric", data.columns, log_transform=True, rounds=3, depth=3)
+    return fitted, model.with_residual(model.score(fitted, held_out), "price_numeric")
+
+
+@query
+def ml_metrics(spark, sf):
+    return model.metrics(scored_of(spark, sf)[1])
+
+
+@query
+def ml_importance(spark, sf):
+    return model.importance_table(spark, scored_of(spark, sf)[0])
+
+
+@query
+def ml_worst_predictions(spark, sf):
+    return model.worst_predictions(scored_of(spark, sf)[1]).select(
+        "sale_id", "property_id", "actual", "predicted", "residual"
+    )
+
+
+@query
+def ml_residual_histogram(spark, sf):
+    return model.residual_histogram(scored_of(spark, sf)[1])
+
+
+def naive_residuals(spark, sf):
+    """Residuals of the previous sale as a forecast of the latest one."""
+    pairs = latest_two_sales(view(spark, sf, "sale"))
+    rows = pairs.select(
+        "property_id", F.col("latest.sale_id").alias("sale_id"),
+        F.col("latest.price_numeric").alias("price_numeric"),
+        F.col("previous.price_numeric").cast("double").alias("predicted"),
+    )
+    return model.with_residual(rows, "price_numeric")
+
+
+@query
+def naive_forecast_metrics(spark, sf):
+    return model.metrics(naive_residuals(spark, sf))
+
+
+@query
+def naive_forecast_worst(spark, sf):
+    return model.worst_predictions(naive_residuals(spark, sf))
+
+
+# --- streams -----------------------------------------------------------------
+
+def event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    rows = jobs.stream_files(spark, sf, schema, "events.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_period_totals(spark, sf):
+    totals = jobs.period_totals(event_stream(spark, sf), "ts", "value", "1 day", "2 hours", "event_type")
+    rows = jobs.collect_updates(totals, ["period_start", "event_type"], "periods")
+    return rows.withColumn("avg_price", F.round("avg_price", 6))
+
+
+@query
+def stream_freshness(spark, sf):
+    live = jobs.freshness_view(event_stream(spark, sf), "user_id", "ts")
+    return jobs.collect_updates(live, ["user_id"], "freshness")
+
+
+@query
+def stream_dedup(spark, sf):
+    once = jobs.deduplicate(event_stream(spark, sf), ["user_id", "event_type"], "ts", "60 days")
+    rows = jobs.collect_updates(once.select("event_id", "user_id", "event_type"), ["user_id", "event_type"],
+                                "dedup", mode="append")
+    return rows.select("user_id", "event_type")
+
+
+# --- pages -------------------------------------------------------------------
+
+@query
+def page_extract(spark, sf):
+    return html_pages.extract_pages(table(spark, sf, "pages"))

@@ -122,11 +122,135 @@ FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey
 """,
 }
 
+MONTH_NAME = """CASE month(o_orderdate) WHEN 1 THEN 'Jan' WHEN 2 THEN 'February' WHEN 3 THEN 'Mar'
+  WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'Jul' WHEN 8 THEN 'Aug'
+  WHEN 9 THEN 'Sept' WHEN 10 THEN 'Oct' WHEN 11 THEN 'Nov' ELSE 'Dec' END"""
+
+VIEWS.update({
+    # Sale history as it is scraped: price and date are text.
+    "raw_sale": f"""
+SELECT o_orderkey AS id, o_custkey AS property_id,
+       concat(CASE WHEN day(o_orderdate) < 10 AND o_orderkey % 2 = 0 THEN '0' ELSE '' END,
+              CAST(day(o_orderdate) AS STRING), ' ', {MONTH_NAME}, ' ',
+              CAST(year(o_orderdate) AS STRING)) AS date_sold,
+       CASE o_orderkey % 4
+         WHEN 0 THEN concat('£', CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING), ',',
+                            lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS STRING), 3, '0'))
+         WHEN 1 THEN concat('Â£', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING))
+         WHEN 2 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)
+         ELSE CASE o_orderpriority WHEN '5-LOW' THEN 'POA'
+              ELSE concat('Guide price £', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)) END END AS price,
+       o_orderstatus, o_orderpriority
+FROM {{orders}}
+""",
+    # Scraped records: repeats of stored addresses and new ones.
+    "record": f"""
+SELECT o_orderkey AS seq, o_orderdate AS ingested_at,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN concat('Plot ', CAST(o_orderkey AS STRING), ', Mill Lane, ', p.postcode)
+            ELSE p.address END AS address,
+       CASE WHEN o_orderpriority = '2-HIGH' THEN '' ELSE p.postcode END AS postcode,
+       CASE o_orderstatus WHEN 'F' THEN 'flat' WHEN 'O' THEN '' END AS property_type,
+       CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL ELSE CAST(o_orderkey % 6 AS INT) END AS bedrooms,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS bathrooms,
+       concat('/house/', CAST(o_orderkey AS STRING)) AS url,
+       CASE WHEN o_orderstatus = 'P' THEN CAST(floor(o_totalprice) AS BIGINT) END AS asking_price,
+       'Offers over' AS asking_price_display
+FROM {{orders}} JOIN ({VIEWS["property"]}) AS p ON o_custkey = p.id
+""",
+    "postcode_lookup": f"""
+SELECT DISTINCT lower(postcode) AS postcode, concat('E', outcode) AS lsoa,
+       CAST(51 AS DOUBLE) AS lat, CAST(-1 AS DOUBLE) AS lng
+FROM ({PLACE}) AS place
+""",
+    "imd": f"""
+SELECT concat('E', {OUTCODE}) AS lsoa,
+       CAST(n_nationkey % 10 + 1 AS INT) AS imd_decile, CAST(n_nationkey % 9 + 1 AS INT) AS imd_income_decile,
+       CAST(n_nationkey % 8 + 1 AS INT) AS imd_employment_decile,
+       CAST(n_nationkey % 7 + 1 AS INT) AS imd_education_decile,
+       CAST(n_nationkey % 6 + 1 AS INT) AS imd_health_decile, CAST(n_nationkey % 5 + 1 AS INT) AS imd_crime_decile,
+       CAST(n_nationkey % 4 + 1 AS INT) AS imd_housing_decile,
+       CAST(n_nationkey % 3 + 1 AS INT) AS imd_environment_decile
+FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
+""",
+    "broadband": f"""
+SELECT replace(postcode, ' ', '-') AS postcode, CAST(max(c_custkey) % 900 AS DOUBLE) AS broadband_median_speed,
+       CAST(max(c_custkey) % 100 AS DOUBLE) AS broadband_superfast_pct,
+       CAST(max(c_custkey) % 90 AS DOUBLE) AS broadband_ultrafast_pct,
+       CAST(max(c_custkey) % 80 AS DOUBLE) AS broadband_full_fibre_pct
+FROM ({PLACE}) AS place GROUP BY postcode
+""",
+    # Energy certificates: some with the exact address, some with its start, some unrelated.
+    "epc_cert": f"""
+SELECT o_orderkey AS seq, p.postcode,
+       CASE o_orderpriority
+         WHEN '1-URGENT' THEN lower(p.address)
+         WHEN '2-HIGH' THEN concat(split_part(replace(p.address, ',', ' '), ' ', 1), ', ', 'Mill House')
+         WHEN '3-MEDIUM' THEN concat(p.address, ', Annexe')
+         WHEN '4-NOT SPECIFIED' THEN concat(CAST(o_orderkey % 40 AS STRING), ' Coombe   Lane')
+         ELSE replace(p.address, ',', '') END AS address,
+       CASE o_orderstatus WHEN 'F' THEN 'C' WHEN 'O' THEN 'D' ELSE '' END AS epc_rating,
+       CAST(o_orderkey % 100 AS INT) AS epc_score, CAST(o_orderkey % 90 AS INT) AS environment_impact,
+       CAST(o_orderkey % 2000 AS INT) AS estimated_energy_cost
+FROM {{orders}} JOIN ({VIEWS["property"]}) AS p ON o_custkey = p.id
+""",
+    "planning_entity": """
+SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS STRING), 'AB') AS postcode,
+       CAST(p_partkey AS STRING) AS entity,
+       CASE p_partkey % 12 WHEN 0 THEN '' WHEN 1 THEN NULL
+         ELSE concat('24/', CAST(p_partkey AS STRING), CASE p_partkey % 12
+           WHEN 2 THEN '/FUL' WHEN 3 THEN '/out' WHEN 4 THEN '/HSE' WHEN 5 THEN '/LBC' WHEN 6 THEN '/TPO'
+           WHEN 7 THEN '/ADV' WHEN 8 THEN '/COU' WHEN 9 THEN '/HOUSEHOLDER' ELSE '/PIP' END) END AS reference,
+       CASE p_type WHEN 'ECONOMY' THEN concat('Conversion to ', CAST(p_size AS STRING), ' flats')
+         WHEN 'SMALL' THEN 'Single storey rear extension' WHEN 'LARGE' THEN 'Demolition of barn'
+         WHEN 'PROMO' THEN concat('Site for ', CAST(p_size AS STRING), '  Units and 3 houses')
+         WHEN 'MEDIUM' THEN NULL ELSE concat('Loft at ', p_name) END AS description,
+       CASE WHEN p_size < 10 THEN '2024-02-01' WHEN p_size < 20 THEN '' END AS end_date,
+       CASE WHEN p_size > 40 THEN '2024-03-01' WHEN p_size > 30 THEN '' END AS decision_date,
+       CAST(DATE '2024-01-01' + CAST(p_size AS INT) AS TIMESTAMP) AS fetched_at
+FROM {part}
+""",
+    "flood_area": """
+SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS STRING), 'AB') AS postcode,
+       CASE p_brand WHEN 'Brand#1' THEN 'TZone3A' WHEN 'Brand#2' THEN 'xzone2' ELSE p_name END AS notation
+FROM {part} WHERE p_type IN ('ECONOMY', 'SMALL')
+""",
+    "flood_warning": """
+SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS STRING), 'AB') AS postcode,
+       p_partkey AS position,
+       CASE p_brand WHEN 'Brand#3' THEN '1' WHEN 'Brand#4' THEN 'Severe' ELSE '3' END AS severity
+FROM {part} WHERE p_type IN ('PROMO')
+""",
+    "listing_page": """
+SELECT c_custkey AS property_id, CASE WHEN c_nationkey % 3 = 0 THEN 'RES_LET' ELSE 'RES_BUY' END AS channel,
+       CASE c_custkey % 4 WHEN 0 THEN NULL ELSE c_custkey % 4 < 3 END AS published,
+       CASE WHEN c_acctbal < 0 THEN c_acctbal < -500 WHEN c_acctbal > 9000 THEN NULL ELSE FALSE END AS archived,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'Added on 03/02/2026' WHEN 'MACHINERY' THEN 'Reduced' END AS update_reason,
+       '2025-12-01' AS advertised_from, c_custkey AS listing_id,
+       CASE c_mktsegment WHEN 'FURNITURE' THEN concat('A house for Guide price £', CAST(c_custkey AS STRING), ',000. Marketed')
+         WHEN 'BUILDING' THEN 'for sale soon' END AS description,
+       concat('3 bed house, Offers Over £', CAST(c_custkey AS STRING), ',500 in ', c_name) AS title
+FROM {customer}
+""",
+})
+
+ORDERS_AND_PLACES = ("orders", "customer", "nation", "region")
+PLACES = ("customer", "nation", "region")
+
 SOURCES = {
     "property": ("customer", "nation", "region"),
     "sale": ("orders",),
     "poi": ("part",),
     "crime_record": ("lineitem", "supplier", "nation", "region"),
+    "raw_sale": ("orders",),
+    "record": ORDERS_AND_PLACES,
+    "postcode_lookup": PLACES,
+    "imd": ("nation", "region"),
+    "broadband": PLACES,
+    "epc_cert": ORDERS_AND_PLACES,
+    "planning_entity": ("part",),
+    "flood_area": ("part",),
+    "flood_warning": ("part",),
+    "listing_page": ("customer",),
 }
 
 

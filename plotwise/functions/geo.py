@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -122,7 +123,10 @@ def _airy_to_wgs84(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.nda
     return phi, np.arctan2(y, x)
 
 
-@F.pandas_udf("lat double, lon double")
+_DEGREES = StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())])
+
+
+@F.pandas_udf(_DEGREES)
 def grid_to_wgs84(easting: pd.Series, northing: pd.Series) -> pd.DataFrame:
     """National-grid metres to degrees, six places; NULL outside the grid."""
     east = easting.to_numpy(dtype="float64", na_value=np.nan)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.functions import text
 from plotwise.operators.predicates import listing_is_fresh
@@ -241,3 +241,12 @@ def listing_totals(properties: DataFrame, now: datetime) -> DataFrame:
         F.count_if(~listed).alias("properties_not_listed"),
         F.bool_and(listing_is_fresh(now)).alias("all_fresh"),
     )
+
+
+def first_warnings(warnings: DataFrame, limit: int = MAX_FLOOD_WARNINGS) -> DataFrame:
+    """The first ten warnings per postcode, which is how many a postcode reports."""
+    order = Window.partitionBy("postcode").orderBy("position")
+    return (
+        warnings.withColumn("_r", F.row_number().over(order))
+        .where(F.col("_r") <= limit).drop("_r")
+    )
