@@ -705,13 +705,16 @@ def ml_downcast(spark, sf):
     return dataset.downcast(data).drop("address", "property_id")
 
 
+MODEL_FEATURES = ("bedrooms", "bathrooms", "property_type", "latitude", "longitude", "tenure",
+                  "sale_year", "parking")
+
+
 def scored_of(spark, sf):
     data = dataset.price_dataset(
-        view(spark, sf, "sale"), view(spark, sf, "property"), None,
-        ("bedrooms", "bathrooms", "property_type", "latitude", "longitude", "tenure", "sale_year", "parking"),
+        view(spark, sf, "sale"), view(spark, sf, "property"), None, MODEL_FEATURES
     )
     rows, held_out = model.split(data, "temporal", "2000-01-01")
-    fitted = model.train(rows, "price_numeric", data.columns, log_transform=True, rounds=3, depth=3)
+    fitted = model.train(rows, "price_numeric", MODEL_FEATURES, log_transform=True, rounds=3, depth=3)
     return fitted, model.with_residual(model.score(fitted, held_out), "price_numeric")
 
 

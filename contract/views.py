@@ -210,15 +210,15 @@ SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS
 FROM {part}
 """,
     "flood_area": """
-SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS STRING), 'AB') AS postcode,
-       CASE p_brand WHEN 'Brand#1' THEN 'TZone3A' WHEN 'Brand#2' THEN 'xzone2' ELSE p_name END AS notation
-FROM {part} WHERE p_type IN ('ECONOMY', 'SMALL')
+SELECT concat('AF', CAST(s_suppkey % 25 AS STRING), ' ', CAST(s_nationkey % 9 + 1 AS STRING), 'AB') AS postcode,
+       CASE WHEN s_acctbal < 1000 THEN 'TZone3A' WHEN s_acctbal < 3000 THEN 'xzone2' ELSE s_name END AS notation
+FROM {supplier}
 """,
     "flood_warning": """
-SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS STRING), 'AB') AS postcode,
-       p_partkey AS position,
-       CASE p_brand WHEN 'Brand#3' THEN '1' WHEN 'Brand#4' THEN 'Severe' ELSE '3' END AS severity
-FROM {part} WHERE p_type IN ('PROMO')
+SELECT concat('AF', CAST(s_nationkey AS STRING), ' ', CAST(s_suppkey % 9 + 1 AS STRING), 'AB') AS postcode,
+       s_suppkey AS position,
+       CASE WHEN s_acctbal < 1000 THEN '1' WHEN s_acctbal < 2000 THEN 'Severe' ELSE '3' END AS severity
+FROM {supplier}
 """,
     "listing_page": """
 SELECT c_custkey AS property_id, CASE WHEN c_nationkey % 3 = 0 THEN 'RES_LET' ELSE 'RES_BUY' END AS channel,
@@ -248,8 +248,8 @@ SOURCES = {
     "broadband": PLACES,
     "epc_cert": ORDERS_AND_PLACES,
     "planning_entity": ("part",),
-    "flood_area": ("part",),
-    "flood_warning": ("part",),
+    "flood_area": ("supplier",),
+    "flood_warning": ("supplier",),
     "listing_page": ("customer",),
 }
 

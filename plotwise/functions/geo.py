@@ -35,12 +35,15 @@ def latitude_reach(radius_km: float) -> float:
     return math.degrees(radius_km / EARTH_RADIUS_KM)
 
 
-def longitude_reach(lat: Column, radius_km: float) -> Column:
-    """Largest longitude difference of any point within ``radius_km`` of ``lat``."""
-    if radius_km / EARTH_RADIUS_KM >= math.pi / 2:
-        return F.lit(180.0)
-    ratio = F.lit(math.sin(radius_km / EARTH_RADIUS_KM)) / F.cos(F.radians(lat))
-    return F.when(ratio >= 1.0, F.lit(180.0)).otherwise(F.degrees(F.asin(ratio)))
+def longitude_reach(lat: Column, radius_km: Column) -> Column:
+    """Largest longitude difference of any point within ``radius_km`` of ``lat``.
+
+    180 when the circle holds a pole.
+    """
+    angle = radius_km / F.lit(EARTH_RADIUS_KM)
+    ratio = F.sin(angle) / F.cos(F.radians(lat))
+    holds_pole = (ratio >= 1.0) | (angle >= math.pi / 2)
+    return F.when(holds_pole, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
 
 
 # Airy 1830 and GRS80 ellipsoids, national grid projection and the

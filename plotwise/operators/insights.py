@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plotwise.functions.numbers import half_even, whole
 from plotwise.functions.text import price_display
@@ -40,7 +40,10 @@ def price_histogram(base: DataFrame, value: str = "price_numeric", buckets: int
     subquery, so the base is scanned a single time.
     """
     counts = order_stats.value_counts(base, [], value)
-    extremes = counts.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    # The row count keeps this branch on the same aggregate, so its shuffle is shared.
+    extremes = counts.agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("rows")
+    )
     width = F.ceil(F.greatest(F.col("_x.high") - F.col("_x.low"), F.lit(1)) / F.lit(buckets))
     slot = F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.lit(buckets - 1))
     placed = (
@@ -55,7 +58,7 @@ def price_histogram(base: DataFrame, value: str = "price_numeric", buckets: int
         frame.join(placed, "bucket", "left")
         .withColumn("count", F.coalesce("count", F.lit(0)))
         .withColumn("_x", market.single_row(extremes))
-        .where(F.col("_x.low").isNotNull() & shown)
+        .where((F.col("_x.rows") > 0) & shown)
         .select(
             "bucket", floor_price.cast("bigint").alias("min_price"),
             (floor_price + width).cast("bigint").alias("max_price"), "count",
@@ -113,70 +116,105 @@ def postcode_heatmap(base: DataFrame) -> DataFrame:
     ).orderBy(F.desc("count"), "postcode")
 
 
-def _monthly_ends(base: DataFrame) -> DataFrame:
-    """First and last monthly median and the number of months with sales."""
-    months = market.monthly_trend(base)
-    return months.agg(
-        F.min_by("median_price", "month").alias("first_price"),
-        F.max_by("median_price", "month").alias("last_price"),
-        F.count("*").alias("months"),
+def _price_cells(base: DataFrame) -> DataFrame:
+    """(month, price) with all rows and priced rows: what every indicator of price
+    and time is added up from. Undated and unpriced sales keep their own cells."""
+    return base.groupBy("month", "price_numeric").agg(
+        F.count("*").alias("rows"), F.count("price_numeric").alias("n")
+    )
+
+
+def _overall(cells: DataFrame) -> DataFrame:
+    """Total sales, spread and median over all cells."""
+    by_price = cells.groupBy("price_numeric").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    ranked = order_stats.with_running_counts(by_price, [], "price_numeric")
+    price = F.col("price_numeric").cast("double")
+    sums = ranked.agg(
+        F.sum("rows").alias("total_sales"), F.sum("n").alias("n"),
+        order_stats.mean_expr("price_numeric").alias("mean"),
+        F.sum(price * price * F.col("n")).alias("squares"),
+        order_stats.median_expr("price_numeric").alias("median"),
+    )
+    variance = (F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
+    return sums.withColumn("sd", F.when(F.col("n") >= 2, F.sqrt(F.greatest(variance, F.lit(0.0)))))
+
+
+def _over_time(cells: DataFrame) -> DataFrame:
+    """First and last monthly median, number of months, last two yearly counts.
+
+    Months add up to years and years to one row, so a task meets at most one row
+    per calendar year at the end.
+    """
+    ranked = order_stats.with_running_counts(cells, ["month"], "price_numeric")
+    months = ranked.groupBy("month").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"),
+        whole(order_stats.median_expr("price_numeric")).alias("median"),
+    )
+    priced_month = F.when(F.col("n") > 0, F.col("month"))
+    years = months.groupBy(F.substring("month", 1, 4).alias("year")).agg(
+        F.sum("rows").alias("rows"), F.count(priced_month).alias("months"),
+        F.min(F.when(F.col("n") > 0, F.struct("month", "median"))).alias("first"),
+        F.max(F.when(F.col("n") > 0, F.struct("month", "median"))).alias("last"),
+    )
+    dated = F.col("year").isNotNull()
+    row = years.agg(
+        F.sum(F.when(dated, F.col("months"))).alias("months"),
+        F.min(F.when(dated, F.col("first"))).alias("first"),
+        F.max(F.when(dated, F.col("last"))).alias("last"),
+        F.array_sort(F.collect_list(F.when(dated, F.struct("year", "rows")))).alias("years"),
+    )
+    return row.select(
+        "months", F.col("first.median").alias("first_price"), F.col("last.median").alias("last_price"),
+        F.get("years", F.size("years") - 1)["rows"].alias("last_count"),
+        F.get("years", F.size("years") - 2)["rows"].alias("previous_count"),
     )
 
 
-def _yearly_ends(base: DataFrame) -> DataFrame:
-    """Sales in the last year and in the last year before it that had any."""
-    years = market.sales_volume(base)
-    order = Window.partitionBy(F.lit(0)).orderBy("year")
-    paired = years.withColumn("before", F.lag("count").over(order))
-    return paired.agg(
-        F.max_by("count", "year").alias("last_count"),
-        F.max_by(F.coalesce("before", F.lit(0)), "year").alias("previous_count"),
+def _per_property(base: DataFrame) -> DataFrame:
+    """Distinct properties and the sums behind the price per bedroom."""
+    price, beds = F.col("price_numeric"), F.col("bedrooms")
+    usable = price.isNotNull() & (beds > 0)
+    held = base.groupBy("property_id").agg(
+        F.sum(F.when(usable, price)).alias("bed_price"), F.sum(F.when(usable, beds)).alias("beds")
+    )
+    return held.agg(
+        F.count("*").alias("properties"), F.sum("bed_price").alias("bed_price"), F.sum("beds").alias("beds")
     )
 
 
 def kpis(base: DataFrame, listing_only: DataFrame | None = None) -> DataFrame:
     """One row of indicators over the filtered base.
 
-    ``listing_only`` adds the listed properties without sales to the total.
+    The base is read twice: once reduced to properties and once to (month, price)
+    cells, whose shuffle the overall and the time figures share. ``listing_only``
+    adds the listed properties without sales to the total.
     """
-    priced = F.col("price_numeric")
-    with_beds = priced.isNotNull() & (F.col("bedrooms") > 0)
-    totals = base.agg(
-        F.count("*").alias("total_sales"),
-        F.stddev_samp(priced).alias("sd"),
-        F.avg(priced).alias("mean"),
-        F.count(priced).alias("n"),
-        F.sum(F.when(with_beds, priced)).alias("bed_price"),
-        F.sum(F.when(with_beds, F.col("bedrooms"))).alias("beds"),
-    )
-    held = base.select("property_id").distinct().agg(F.count("*").alias("n"))
-    median = order_stats.price_stats(base, [], "price_numeric").select("median")
+    cells = _price_cells(base)
     row = (
-        totals.withColumn("_held", market.single_row(held))
-        .withColumn("_median", market.single_row(median))
-        .withColumn("_m", market.single_row(_monthly_ends(base)))
-        .withColumn("_y", market.single_row(_yearly_ends(base)))
+        _per_property(base)
+        .withColumn("_o", market.single_row(_overall(cells)))
+        .withColumn("_t", market.single_row(_over_time(cells)))
     )
     extra: Column = F.lit(0)
     if listing_only is not None:
         row = row.withColumn("_listed", market.single_row(listing_only.agg(F.count("*").alias("n"))))
         extra = F.coalesce("_listed.n", F.lit(0))
-    first, last = F.col("_m.first_price"), F.col("_m.last_price")
-    appreciation = (last - first) / first / (F.col("_m.months") / 12.0) * 100
-    before, now = F.col("_y.previous_count"), F.col("_y.last_count")
+    first, last = F.col("_t.first_price"), F.col("_t.last_price")
+    appreciation = (last - first) / first / (F.col("_t.months") / 12.0) * 100
+    before, now = F.col("_t.previous_count"), F.col("_t.last_count")
     velocity = F.when(before > 0, half_even((now - before) / before * 100, 1))
+    spread = half_even(F.col("_o.sd") / F.col("_o.mean") * 100, 1)
     return row.select(
-        F.when((F.col("_m.months") >= 2) & (first > 0) & (last != 0), half_even(appreciation, 1))
+        F.when((F.col("_t.months") >= 2) & (first > 0) & (last != 0), half_even(appreciation, 1))
         .alias("appreciation_rate"),
         F.when(F.col("beds") > 0, whole(F.col("bed_price") / F.col("beds"))).alias("price_per_bedroom"),
         velocity.alias("market_velocity_pct"),
         F.when(velocity > 0, F.lit("accelerating"))
         .when(velocity.isNotNull(), F.lit("decelerating")).alias("market_velocity_direction"),
-        F.when((F.col("n") >= 2) & (F.col("mean") > 0), half_even(F.col("sd") / F.col("mean") * 100, 1))
-        .alias("price_volatility_pct"),
-        "total_sales",
-        (F.coalesce("_held.n", F.lit(0)) + extra).cast("bigint").alias("total_properties"),
-        whole(F.col("_median.median")).alias("median_price"),
+        F.when(F.col("_o.mean") > 0, spread).alias("price_volatility_pct"),
+        F.coalesce("_o.total_sales", F.lit(0)).alias("total_sales"),
+        (F.col("properties") + extra).alias("total_properties"),
+        whole(F.col("_o.median")).alias("median_price"),
     )
 
 

@@ -38,7 +38,8 @@ def _ungrouped_running_counts(counts: DataFrame, value: str) -> DataFrame:
 
     Only one row per range meets in a single task, to add up the range offsets.
     """
-    ranged = counts.withColumn("_range", F.floor(F.col(value) / RANGE_WIDTH))
+    # A NULL value can only come with a count of zero; any range may hold it.
+    ranged = counts.withColumn("_range", F.coalesce(F.floor(F.col(value) / RANGE_WIDTH), F.lit(0)))
     sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_size"))
     every = Window.partitionBy(F.lit(0))
     before = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,10 +81,9 @@ def mean_expr(value: str) -> Column:
     return F.sum(F.col(value).cast("double") * F.col("n")) / F.sum("n")
 
 
-def price_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key: count, mean, median, upper median, minimum and maximum."""
-    ranked = with_running_counts(value_counts(df, keys, value), keys, value)
-    return ranked.groupBy(*keys).agg(
+def stats_of_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per key: count, mean, median, upper median, minimum and maximum of (value, n) rows."""
+    return with_running_counts(counts, keys, value).groupBy(*keys).agg(
         F.sum("n").alias("count"),
         mean_expr(value).alias("avg"),
         median_expr(value).alias("median"),
@@ -93,6 +93,10 @@ def price_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def price_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return stats_of_counts(value_counts(df, keys, value), keys, value)
+
+
 def quantile_points(df: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
     """One row with the element at rank floor(n * q) for each quantile."""
     ranked = with_running_counts(value_counts(df, [], value), [], value)

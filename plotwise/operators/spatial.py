@@ -1,14 +1,20 @@
-"""Nearest and within-radius joins between points and points of interest.
+"""Nearest and within-radius joins between points and points of interest (pois).
 
-Both run as equi-joins on grid cells. A point of interest is listed in every cell
-its radius can reach (an exact bounding box on the sphere, at any latitude), a
-point sits in one cell, and the exact distance decides. Points are reduced to
-distinct coordinates first: properties located by postcode share one. All targets
-go through the same join, told apart by a column.
+Both run as equi-joins on grid cells and never compare every pair. Points are
+reduced to distinct coordinates first: properties located by postcode share one.
+All targets go through the same joins, told apart by a column.
 
-Dense cells: the points of a cell are spread over ``SALTS`` slices and the points
-of interest are repeated per slice, so one crowded cell is many tasks. Pairs are
-never kept, they fold into one row per point on the map side of the aggregation.
+Within a radius: a poi is listed in every cell its radius can reach (an exact
+bounding box on the sphere), a point sits in one cell, the distance decides.
+
+Nearest: a first join finds, for each point and target, some poi close by, at the
+finest of a few grid levels whose cell holds one. Its distance bounds the answer.
+A second join looks at the few cells, of about that size, that the bounding circle
+touches. Cells divide the full circle evenly, so they wrap at the antimeridian.
+
+Crowded cells are spread over slices by a hash of the point, with the other side
+repeated per slice, so one cell is many tasks. Pairs are folded into one row per
+point on the map side of the aggregation.
 """
 
 from __future__ import annotations
@@ -21,9 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotwise.functions import geo
 
 SALTS = 4
-# Search radii of the nearest join in km; a hit within the radius is final, the
-# rest go on to the next one, and the last one spans half the globe.
-SEARCH_RADII_KM = (3.0, 15.0, 75.0, 400.0, 20016.0)
+# Grid levels: level k has 2^k cells around the globe, from 2.4 km to all of it.
+LEVELS = (14, 12, 10, 8, 6, 4, 2, 0)
+# Coarse cells hold most points and few representatives: many slices cost little.
+COARSE_LEVEL, COARSE_SLICES = 8, 64
 
 # Airports and ports.
 AIRPORTS = (
@@ -149,27 +156,38 @@ def _cell(value: Column, size: Column) -> Column:
     return F.floor(value / size).cast("int")
 
 
+def _span(centre: Column, reach: Column, size: Column) -> Column:
+    """All cells between centre - reach and centre + reach, one row each."""
+    slack = reach * (1 + 1e-9) + 1e-9
+    return F.explode(F.sequence(_cell(centre - slack, size), _cell(centre + slack, size)))
+
+
+def _sliced(df: DataFrame, slices: Column) -> DataFrame:
+    """Repeat every row once per slice."""
+    return df.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+
+
+def _own_slice(slices: Column) -> Column:
+    return F.pmod(F.xxhash64("lat", "lon"), slices).cast("int")
+
+
 def _reached_cells(poi: DataFrame, radius_km: float, salts: int) -> DataFrame:
     """Each poi once per cell (and slice) that a point within the radius can lie in.
 
     Cells are as high and wide as the radius spans in latitude.
     """
     size = F.lit(geo.latitude_reach(radius_km))
-    slack = F.lit(1 + 1e-9)
-
-    def span(centre: Column, reach: Column) -> Column:
-        return F.explode(F.sequence(_cell(centre - reach, size), _cell(centre + reach, size)))
-
-    reached = poi.withColumn("cy", span(F.col("plat"), size * slack)).withColumn(
-        "cx", span(F.col("plon"), geo.longitude_reach(F.col("plat"), radius_km) * slack)
+    wide = geo.longitude_reach(F.col("plat"), F.lit(radius_km))
+    reached = poi.withColumn("cy", _span(F.col("plat"), size, size)).withColumn(
+        "cx", _span(F.col("plon"), wide, size)
     )
-    return reached.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return _sliced(reached, F.lit(salts))
 
 
 def _placed(points: DataFrame, size: Column, salts: int) -> DataFrame:
     return (
         points.withColumn("cy", _cell(F.col("lat"), size)).withColumn("cx", _cell(F.col("lon"), size))
-        .withColumn("slice", F.pmod(F.xxhash64("lat", "lon"), F.lit(salts)).cast("int"))
+        .withColumn("slice", _own_slice(F.lit(salts)))
     )
 
 
@@ -178,42 +196,84 @@ def _distance(great_circle: Column) -> Column:
     return F.when(great_circle, geo.haversine_km(*ends)).otherwise(geo.chord_km(*ends))
 
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    """Nearest poi per (point, target), smallest id on a tie."""
-    d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    payload = F.struct("poi_id", "name", "detail", "plat", "plon")
-    return pairs.groupBy("lat", "lon", "target").agg(
-        F.min_by(payload, F.struct(d.alias("d"), F.col("poi_id"))).alias("best"),
-        F.min(d).alias("arc_km"),
+def _arc_km() -> Column:
+    return geo.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+
+
+def _level_cells() -> Column:
+    """Number of cells around the globe at the row's level."""
+    return F.pow(F.lit(2.0), F.col("level"))
+
+
+def _level_size() -> Column:
+    return F.lit(360.0) / _level_cells()
+
+
+def _wrapped(cx: Column) -> Column:
+    return F.pmod(cx, _level_cells().cast("int"))
+
+
+def _on_all_levels(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Each row once per grid level, with its cell."""
+    return (
+        df.withColumn("level", F.explode(F.array(*[F.lit(k) for k in LEVELS])))
+        .withColumn("cy", _cell(F.col(lat), _level_size()))
+        .withColumn("cx", _wrapped(_cell(F.col(lon), _level_size())))
     )
 
 
+def _bounds(points: DataFrame, pois: DataFrame) -> DataFrame:
+    """(lat, lon, target, bound_km): distance to some poi of the target nearby."""
+    slices = F.when(F.col("level") <= COARSE_LEVEL, COARSE_SLICES).otherwise(SALTS)
+    occupied = (
+        _on_all_levels(pois, "plat", "plon").groupBy("level", "cy", "cx", "target")
+        .agg(F.min_by(F.struct("plat", "plon"), "poi_id").alias("p"))
+        .select("level", "cy", "cx", "target", "p.plat", "p.plon")
+    )
+    seen = _on_all_levels(points, "lat", "lon").withColumn("slice", _own_slice(slices))
+    return (
+        seen.join(_sliced(occupied, slices), ["level", "slice", "cy", "cx"])
+        .groupBy("lat", "lon", "target").agg(F.min(_arc_km()).alias("bound_km"))
+    )
+
+
+def _bound_level() -> Column:
+    """Finest level whose cells are at least as large as the bound."""
+    degrees = F.degrees(F.col("bound_km") / F.lit(geo.EARTH_RADIUS_KM))
+    level = F.lit(LEVELS[-1])
+    for k in sorted(LEVELS):
+        level = F.when(degrees <= 360.0 / 2**k, F.lit(k)).otherwise(level)
+    return level
+
+
 def nearest(points: DataFrame, targets: DataFrame, wanted: Sequence[str],
-            radii_km: Sequence[float] = SEARCH_RADII_KM, salts: int = SALTS) -> DataFrame:
-    """Nearest poi of every wanted target for every point.
+            salts: int = SALTS) -> DataFrame:
+    """Nearest poi of every wanted target for every point, smallest id on a tie.
 
     ``points`` are distinct (lat, lon); ``targets`` come from ``with_targets``.
-    Returns (lat, lon, target, poi_id, name, detail, arc_km, plat, plon). Targets
+    Returns (lat, lon, target, poi_id, name, detail, plat, plon, arc_km). Targets
     that have no poi at all give no row.
     """
     pois = _unique_places(targets.where(F.col("target").isin(*wanted)))
-    have = pois.select("target").distinct()
-    # Every point needs one row per target in use: a handful of constants.
-    tags = F.explode(F.array(*[F.lit(t) for t in wanted]))
-    pending = points.select("lat", "lon", tags.alias("target")).join(have, "target", "left_semi")
-    settled = []
-    for radius in radii_km:
-        pairs = _placed(pending, F.lit(geo.latitude_reach(radius)), salts).join(
-            _reached_cells(pois, radius, salts), ["target", "cy", "cx", "slice"], "left"
-        )
-        found = _closest(pairs)
-        final = F.coalesce(F.col("arc_km") <= radius, F.lit(False))
-        settled.append(found.where(final))
-        pending = found.where(~final).select("lat", "lon", "target")
-    rows = settled[0]
-    for part in settled[1:]:
-        rows = rows.unionByName(part)
-    return rows.select("lat", "lon", "target", "best.*", "arc_km")
+    bounded = _bounds(points, pois).withColumn("level", _bound_level())
+    degrees = F.degrees(F.col("bound_km") / F.lit(geo.EARTH_RADIUS_KM))
+    wide = geo.longitude_reach(F.col("lat"), F.col("bound_km"))
+    searched = (
+        bounded.withColumn("cy", _span(F.col("lat"), degrees, _level_size()))
+        .withColumn("cx", _span(F.col("lon"), wide, _level_size()))
+        .withColumn("cx", _wrapped(F.col("cx")))
+        .withColumn("slice", _own_slice(F.lit(salts)))
+    )
+    pairs = searched.join(
+        _sliced(_on_all_levels(pois, "plat", "plon"), F.lit(salts)),
+        ["target", "level", "cy", "cx", "slice"],
+    )
+    payload = F.struct("poi_id", "name", "detail", "plat", "plon")
+    rank = F.struct(_arc_km().alias("arc_km"), F.col("poi_id"))
+    best = pairs.groupBy("lat", "lon", "target").agg(
+        F.min_by(payload, rank).alias("best"), F.min(_arc_km()).alias("arc_km")
+    )
+    return best.select("lat", "lon", "target", "best.*", "arc_km")
 
 
 def _unique_places(targets: DataFrame) -> DataFrame:

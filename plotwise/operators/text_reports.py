@@ -63,8 +63,8 @@ TOP_VALUES = 10
 
 def phrases_of(df: DataFrame, array_column: str) -> DataFrame:
     """One row per non-empty phrase."""
-    trimmed = F.trim(F.explode(array_column)).alias("phrase")
-    return df.select(trimmed).where(F.col("phrase") != "")
+    lines = df.select(F.explode(array_column).alias("phrase"))
+    return lines.select(F.trim("phrase").alias("phrase")).where(F.col("phrase") != "")
 
 
 def phrase_counts(phrases: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Recording a call site per column costs more than building the plan does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

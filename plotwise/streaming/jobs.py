@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from plotwise.operators import upsert
 from plotwise.session import staging_path
@@ -55,7 +55,7 @@ def collect_updates(stream: DataFrame, keys: Sequence[str], label: str, mode: st
     spark = stream.sparkSession
     out, checkpoint = staging_path(spark, label), staging_path(spark, f"{label}-checkpoint")
     run_available(stream, _write_batches(out), checkpoint, mode)
-    fields = StructType.fromJson(stream.schema.jsonValue()).add("batch_id", "bigint")
+    fields = StructType.fromJson(stream.schema.jsonValue()).add("batch_id", LongType())
     written = spark.read.schema(fields).option("recursiveFileLookup", True).parquet(out)
     return upsert.latest_version(written, list(keys), "batch_id").drop("batch_id")
 
