@@ -146,6 +146,123 @@ BOOLEAN_PATTERNS: dict[str, str] = {
     "first_time_buy": r"first\s*time\s*buy",
 }
 
+# Words of which any match holds at least one, so that most patterns are never run:
+# looking for a word is far cheaper than a regular expression.
+PATTERN_WORDS: dict[str, str] = {
+    "double_glazed": "glaz",
+    "period_property": "period",
+    "utility_room": "utility",
+    "conservatory": "conservatory",
+    "ensuite": "suite",
+    "cloakroom": "cloakroom|wc|w.c",
+    "wooden_floors": "floor",
+    "gym": "gym",
+    "lift": "lift|elevator",
+    "dining_room": "dining",
+    "ev_charger": "charg",
+    "fireplace": "fireplace|burner|fire|wood burning",
+    "study": "study|office",
+    "shower_room": "shower",
+    "fitted_wardrobes": "wardrobe",
+    "new_build": "new",
+    "concierge": "concierge|porter",
+    "swimming_pool": "swimming",
+    "air_conditioning": "condition",
+    "solar_panels": "solar",
+    "loft": "loft",
+    "entrance_hall": "entrance",
+    "white_goods": "white goods|washer|washing machine",
+    "bay_window": "window",
+    "intercom": "intercom|phone",
+    "split_level": "split",
+    "cellar": "cellar|undercroft|basement",
+    "roof_terrace": "roof",
+    "high_ceilings": "ceiling",
+    "open_plan": "plan",
+    "gated": "gated",
+    "purpose_built": "purpose",
+    "refurbished": "newly|recently|refurbished|renovated",
+    "duplex": "duplex",
+    "penthouse": "penthouse",
+    "own_front_door": "front",
+    "private_entrance": "entrance",
+    "bike_storage": "stor",
+    "cul_de_sac": "cul",
+    "conservation_area": "conservation",
+    "annexe": "annex",
+    "views": "view",
+    "underground_parking": "underground",
+    "allocated_parking": "allocat",
+    "listed_building": "listed",
+    "extended": "extend|side return",
+    "outbuilding": "outbuilding|house|garden|workshop",
+    "potential_to_extend": "potential|stpp|planning",
+    "walk_in_wardrobe": "walk",
+    "wet_room": "wet",
+    "integrated_appliances": "appliance",
+    "side_access": "side",
+    "video_entry": "video|door",
+    "separate_living_room": "room|lounge",
+    "laminate_flooring": "laminate",
+    "corner_plot": "corner",
+    "end_terrace": "terrac",
+    "mid_terrace": "terrac",
+    "bungalow": "bungalow",
+    "double_garage": "garage",
+    "integral_garage": "garage",
+    "through_lounge": "through",
+    "breakfast_kitchen": "breakfast",
+    "rear_garden": "garden",
+    "front_garden": "garden",
+    "mature_garden": "garden",
+    "family_bathroom": "bathroom",
+    "guest_wc": "guest",
+    "dressing_room": "dressing",
+    "snug": "snug",
+    "porch": "porch",
+    "orangery": "orangery",
+    "pantry": "pantry",
+    "boot_room": "boot",
+    "games_room": "room",
+    "cinema_room": "cinema|media|theatre",
+    "reception_hall": "reception",
+    "garage_conversion": "garage",
+    "needs_modernisation": "need|require",
+    "vacant_possession": "vacant",
+    "original_features": "original",
+    "period_conversion": "period|converted",
+    "countryside_views": "view",
+    "sea_views": "view",
+    "alarm_system": "alarm",
+    "electric_gates": "electric",
+    "stables": "stable|equestrian",
+    "hot_tub": "tub|jacuzzi",
+    "sauna": "sauna",
+    "wine_cellar": "wine",
+    "underfloor_heating": "underfloor",
+    "first_time_buy": "first",
+}
+COLUMN_WORDS: dict[str, str] = {
+    "parking": "garage|driveway|street|parking",
+    "floor_level": "floor|lower ground|basement",
+    "garden_facing": "fac",
+    "property_era": "victorian|edwardian|georgian|deco",
+    "condition": "immaculate|condition",
+    "kitchen_type": "kitchen",
+    "epc_rating": "epc|energy",
+    "council_tax_band": "council",
+    "chain_free": "chain",
+    "garden": "balcony|terrace|garden|patio",
+    "heating": "underfloor|under floor|gas|heating",
+    "furnished": "furnished",
+    "receptions": "reception",
+    "sq_ft": "sq",
+    "service_charge": "service",
+    "ground_rent": "ground",
+    "distance_to_station": "mile",
+    "acre_plot": "acre",
+}
+
 # Columns in the order users see them.
 FEATURE_COLUMNS: tuple[str, ...] = (
     "epc_rating", "council_tax_band", "chain_free", "parking", "garden", "heating",
@@ -352,13 +469,21 @@ def _lease(phrases: Column) -> Column:
     )
 
 
-def feature_columns(phrases: Column, joined: Column, lease: Column) -> dict[str, Column]:
-    """All 112 columns over a phrase array, the joined phrases and the lease struct."""
+def _mentions(low: Column, words: str) -> Column:
+    """The lower-case text contains any of the words."""
+    first, *rest = words.split("|")
+    found = F.contains(low, F.lit(first))
+    for word in rest:
+        found = found | F.contains(low, F.lit(word))
+    return found
+
+
+def feature_columns(phrases: Column, joined: Column, low: Column, lease: Column) -> dict[str, Column]:
+    """All 112 columns over a phrase array, the joined phrases, the same in lower
+    case, and the lease struct."""
     columns: dict[str, Column] = {
-        name: F.when(_matches(joined, pattern), F.lit(True))
-        for name, pattern in BOOLEAN_PATTERNS.items()
+        name: _first(phrases, _labelled(rules)) for name, rules in LABEL_RULES.items()
     }
-    columns.update({name: _first(phrases, _labelled(rules)) for name, rules in LABEL_RULES.items()})
     columns.update({
         "epc_rating": F.upper(_group(joined, EPC_PATTERN)),
         "council_tax_band": F.upper(_group(joined, TAX_BAND_PATTERN)),
@@ -367,8 +492,6 @@ def feature_columns(phrases: Column, joined: Column, lease: Column) -> dict[str,
         "heating": _first(phrases, _heating),
         "furnished": _first(phrases, _furnished),
         "receptions": _first(phrases, _receptions),
-        "lease_type": lease["kind"],
-        "lease_years": lease["years"],
         "sq_ft": F.coalesce(
             _first(phrases, lambda p: _number(_group(p, SQ_FT_PATTERN)).cast("int")),
             F.bround(_first(phrases, lambda p: _number(_group(p, SQ_M_PATTERN))) * SQ_FT_PER_SQ_M, 0)
@@ -379,6 +502,12 @@ def feature_columns(phrases: Column, joined: Column, lease: Column) -> dict[str,
         "distance_to_station": _first(phrases, _station_miles),
         "acre_plot": _first(phrases, _acres),
     })
+    columns = {name: F.when(_mentions(low, COLUMN_WORDS[name]), c) for name, c in columns.items()}
+    columns.update({
+        name: F.when(_mentions(low, PATTERN_WORDS[name]) & _matches(joined, pattern), F.lit(True))
+        for name, pattern in BOOLEAN_PATTERNS.items()
+    })
+    columns.update({"lease_type": lease["kind"], "lease_years": lease["years"]})
     return {name: columns[name] for name in FEATURE_COLUMNS}
 
 
@@ -401,8 +530,13 @@ def parse_features(df: DataFrame, source: str = "extra_features",
         .withColumn("_joined", F.array_join(
             F.transform("_phrases", lambda p: F.replace(p, F.lit(SEPARATOR), F.lit(" "))), SEPARATOR
         ))
-        .withColumn("_lease", _lease(F.col("_phrases")))
+        .withColumn("_low", F.lower("_joined"))
     )
-    parsed = feature_columns(F.col("_phrases"), F.col("_joined"), F.col("_lease"))
     names = wanted if wanted is not None else FEATURE_COLUMNS
+    if any(n in names for n in ("lease_type", "lease_years")):
+        lease = F.when(_mentions(F.col("_low"), "freehold|lease"), _lease(F.col("_phrases")))
+        staged = staged.withColumn("_lease", lease)
+    else:
+        staged = staged.withColumn("_lease", F.lit(None).cast("struct<kind string, years int>"))
+    parsed = feature_columns(F.col("_phrases"), F.col("_joined"), F.col("_low"), F.col("_lease"))
     return staged.select(*kept, *[parsed[n].alias(prefix + n) for n in names])

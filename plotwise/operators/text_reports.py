@@ -58,6 +58,32 @@ CAUGHT_PATTERNS: tuple[str, ...] = (
     r"\bev\s*charg|charging\s*point",
     r"fireplace|log\s*burner|wood\s*burner|open\s*fire",
 )
+# Words of which any match of the pattern holds one; patterns of plain words need none.
+PATTERN_WORDS: dict[str, str] = {
+    r"(\d+|one|two|three|four|five|six)\s*(double\s*)?bed": "bed",
+    r"(\d+|one|two|three|four|five)\s*bath": "bath",
+    r"parking|garage|driveway|off.street": "parking|garage|driveway|street",
+    r"council.tax": "council",
+    r"detached|semi.detached|terraced|maisonette|flat|apartment|bungalow": "detached|terraced|maisonette|flat|apartment|bungalow",
+    r"detached|semi.detached|terraced|maisonette|flat|apartment|bungalow|cottage|penthouse|townhouse": "detached|terraced|maisonette|flat|apartment|bungalow|cottage|penthouse|townhouse",
+    r"lease|freehold|share.of": "lease|freehold|share",
+    r"^(un)?furnished": "furnished",
+    r"part.furnished": "furnished",
+    r"period\s*(features|property|house|home|character)": "period",
+    r"utility\s*room": "utility",
+    r"en[\s-]?suite": "suite",
+    r"cloakroom|downstairs\s*w\.?c|separate\s*wc": "cloakroom|downstairs|separate",
+    r"ground\s*floor|first\s*floor|second\s*floor|top\s*floor|basement|lower\s*ground": "floor|basement|ground",
+    r"\d[\d,]*\s*sq\s*\.?\s*ft": "sq",
+    r"service\s*(charge|/maintenance)": "service",
+    r"ground\s*rent": "ground",
+    r"wood(?:en)?\s*floor|hardwood\s*floor": "floor",
+    r"\bgym\b": "gym",
+    r"\blift\b|elevator": "lift|elevator",
+    r"\bdining\s*room\b": "dining",
+    r"\bev\s*charg|charging\s*point": "charg",
+    r"fireplace|log\s*burner|wood\s*burner|open\s*fire": "fireplace|burner|open",
+}
 TOP_VALUES = 10
 
 
@@ -69,11 +95,19 @@ def phrases_of(df: DataFrame, array_column: str) -> DataFrame:
 
 def phrase_counts(phrases: DataFrame) -> DataFrame:
     """Distinct phrases with their counts: every later step works on these."""
-    return phrases.groupBy("phrase").agg(F.count("*").alias("count"))
+    counts = phrases.groupBy("phrase").agg(F.count("*").alias("count"))
+    return counts.withColumn("low", F.lower("phrase"))
 
 
 def _search(pattern: str) -> Column:
-    return F.col("phrase").rlike("(?i)" + pattern)
+    """Case-insensitive search; the pattern runs only where one of its words is."""
+    words = PATTERN_WORDS.get(pattern, pattern).split("|")
+    found = F.contains("low", F.lit(words[0]))
+    for word in words[1:]:
+        found = found | F.contains("low", F.lit(word))
+    if pattern in PATTERN_WORDS:
+        return found & F.col("phrase").rlike("(?i)" + pattern)
+    return found
 
 
 def is_caught() -> Column:
@@ -87,11 +121,14 @@ def is_caught() -> Column:
 def uncaught_phrases(phrases: DataFrame, at_least: int = 3) -> DataFrame:
     """Phrases no pattern catches, with the ones seen often enough.
 
-    Patterns run once per distinct phrase, not once per mention.
+    Patterns run once per distinct phrase that is frequent enough. The condition is
+    one expression over the count, or the optimiser would move the pattern part
+    below the aggregation and run it once per mention.
     """
+    frequent_and_missed = F.when(F.col("count") >= at_least, ~is_caught())
     return (
-        phrase_counts(phrases).where(~is_caught() & (F.col("count") >= at_least))
-        .orderBy(F.desc("count"), "phrase")
+        phrase_counts(phrases).where(frequent_and_missed)
+        .select("phrase", "count").orderBy(F.desc("count"), "phrase")
     )
 
 
@@ -127,7 +164,7 @@ def category_top_phrases(phrases: DataFrame, top: int = TOP_VALUES) -> DataFrame
     best = Window.partitionBy("category").orderBy(F.desc("count"), "phrase")
     return (
         phrase_counts(phrases).withColumn("category", phrase_category())
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("low")
     )
 
 
