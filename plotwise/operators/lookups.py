@@ -145,64 +145,57 @@ def match_epc(properties: DataFrame, certificates: DataFrame) -> DataFrame:
     )
 
 
-GRAM = 12
+def _texts(df: DataFrame, ident: str, name: str) -> DataFrame:
+    """(postcode key, address text, id) of the rows that have an address."""
+    value = F.upper(text.strip(F.col("address")))
+    return df.select(
+        F.col(ident).alias(name), text.postcode_key(F.col("postcode")).alias("_pc"), value.alias("_text")
+    ).where(F.length("_text") > 0)
 
 
-def match_epc_by_containment(properties: DataFrame, certificates: DataFrame) -> DataFrame:
-    """For each certificate the first property (lowest id) of its postcode whose
-    address contains it, is contained in it, or shares house number and next word.
+def _parts(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
+    """Every substring as long as some text of the other side in the postcode.
 
-    Containment is found through shared text: when one address contains another,
-    it contains the opening characters of the other at some offset. Each address
-    offers its opening and all its offsets as join keys, so pairs form only between
-    addresses that share text, and every pair is then checked in full.
+    A postcode has no more lengths than its longest address has characters.
     """
-    def keyed(df: DataFrame, ident: str, prefix: str) -> DataFrame:
-        return df.select(
-            F.col(ident).alias(f"{prefix}_id"),
-            text.postcode_key(F.col("postcode")).alias("_pc"),
-            F.upper(text.strip(F.col("address"))).alias(f"{prefix}_text"),
-        ).where(F.length(f"{prefix}_text") > 0)
-
-    certs, props = keyed(certificates, "seq", "c"), keyed(properties, "id", "p")
-
-    def openings(df: DataFrame, prefix: str) -> DataFrame:
-        value = F.col(f"{prefix}_text")
-        return df.withColumn("_gram", F.substring(value, 1, GRAM))
-
-    def offsets(df: DataFrame, prefix: str, lengths: DataFrame) -> DataFrame:
-        """Every substring as long as an opening of the other side can be."""
-        value = F.col(f"{prefix}_text")
-        sized = df.join(lengths, "_pc").withColumn("_n", F.explode("_lengths"))
-        starts = F.sequence(F.lit(1), F.length(value) - F.col("_n") + 1)
-        return (
-            sized.where(F.length(value) >= F.col("_n")).withColumn("_at", F.explode(starts))
-            .withColumn("_gram", value.substr(F.col("_at"), F.col("_n")))
-            .drop("_lengths", "_n", "_at").distinct()
-        )
-
-    def opening_lengths(df: DataFrame) -> DataFrame:
-        # At most GRAM different lengths per postcode.
-        return df.groupBy("_pc").agg(F.collect_set(F.length("_gram")).alias("_lengths"))
-
-    cert_open, prop_open = openings(certs, "c"), openings(props, "p")
-    in_property = cert_open.join(offsets(props, "p", opening_lengths(cert_open)), ["_pc", "_gram"]).where(
-        F.contains("p_text", F.col("c_text"))
-    )
-    in_certificate = prop_open.join(offsets(certs, "c", opening_lengths(prop_open)), ["_pc", "_gram"]).where(
-        F.contains("c_text", F.col("p_text"))
+    lengths = others.groupBy("_pc").agg(F.collect_set(F.length("_text")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_text"))
+    sized = df.join(lengths, "_pc").withColumn("_n", F.explode(fitting))
+    starts = F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1))
+    return sized.withColumn("_at", starts).select(
+        name, "_pc", F.col("_text").substr(F.col("_at"), F.col("_n")).alias("_part")
     )
 
-    def number_and_word(prefix: str) -> Column:
-        pattern = r"^(\d+)(?U:\s*)(\S+)"
-        value = F.col(f"{prefix}_text")
-        number, word = F.regexp_extract(value, pattern, 1), F.regexp_extract(value, pattern, 2)
-        return F.when(word != "", F.concat_ws(" ", number, word))
 
-    loose = certs.withColumn("_gram", number_and_word("c")).join(
-        props.withColumn("_gram", number_and_word("p")), ["_pc", "_gram"]
-    )
-    pairs = in_property.select("c_id", "p_id").unionByName(
-        in_certificate.select("c_id", "p_id")
-    ).unionByName(loose.select("c_id", "p_id"))
-    return pairs.groupBy(F.col("c_id").alias("seq")).agg(F.min("p_id").alias("property_id"))
+def _number_and_word(address: Column) -> Column:
+    """House number and the word after it, NULL without them."""
+    pattern = r"^(\d+)\s*(\S+)"
+    number, word = F.regexp_extract(address, pattern, 1), F.regexp_extract(address, pattern, 2)
+    return F.when(word != "", F.concat_ws(" ", number, word))
+
+
+def match_epc_by_containment(properties: DataFrame, certificates: DataFrame) -> DataFrame:
+    """For each certificate the first property (lowest id) of its postcode whose
+    address contains it, is contained in it, or shares house number and next word.
+
+    Containment is an equi-join: the containing address is listed under each of its
+    substrings that can be a whole address of the other side. Properties are
+    reduced to the lowest id per key before every join, so a certificate meets one
+    row per key however many properties share it, and no pairs are compared.
+    """
+    certs, props = _texts(certificates, "seq", "seq"), _texts(properties, "id", "p_id")
+
+    def lowest(df: DataFrame, key: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy("_pc", key).agg(F.min("p_id").alias("p_id"))
+
+    whole = certs.withColumnRenamed("_text", "_part")
+    in_property = whole.join(lowest(_parts(props, "p_id", certs), "_part"), ["_pc", "_part"])
+    wholes = lowest(props, "_text").withColumnRenamed("_text", "_part")
+    in_certificate = _parts(certs, "seq", props).join(wholes, ["_pc", "_part"])
+    start = certs.withColumn("_part", _number_and_word(F.col("_text")))
+    starts = lowest(props.withColumn("_part", _number_and_word(F.col("_text"))), "_part")
+    same_start = start.join(starts, ["_pc", "_part"])
+    found = in_property.select("seq", "p_id").unionByName(
+        in_certificate.select("seq", "p_id")
+    ).unionByName(same_start.select("seq", "p_id"))
+    return found.groupBy("seq").agg(F.min("p_id").alias("property_id"))

@@ -30,6 +30,12 @@ def single_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
+def presented(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
+    """Sort a market-wide result; a result per key stays unsorted, since a global
+    sort would shuffle it once more only to be filtered down to one key."""
+    return df if keys else df.orderBy(*order)
+
+
 def overview_totals(properties: DataFrame, sales: DataFrame) -> DataFrame:
     """One row: postcodes, properties, sales, date range, mean price."""
     held = properties.agg(
@@ -87,36 +93,34 @@ def _mean_and_count(base: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def type_breakdown(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return _mean_and_count(base.withColumn("ptype", F.col("type_key")), [*keys, "ptype"]).orderBy(
-        *keys, F.desc("count"), "ptype"
-    ).withColumnRenamed("ptype", "property_type")
+    counted = _mean_and_count(base, [*keys, "type_key"]).withColumnRenamed("type_key", "property_type")
+    return presented(counted, keys, F.desc("count"), "property_type")
 
 
 def bedroom_distribution(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     known = base.where(F.col("bedrooms").isNotNull())
-    return _mean_and_count(known, [*keys, "bedrooms"]).orderBy(*keys, "bedrooms")
+    return presented(_mean_and_count(known, [*keys, "bedrooms"]), keys, "bedrooms")
 
 
 def sales_volume(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sales per year; unpriced sales count too."""
-    return (
-        base.where(dated()).groupBy(*keys, "year").agg(F.count("*").alias("count"))
-        .orderBy(*keys, "year")
-    )
+    counted = base.where(dated()).groupBy(*keys, "year").agg(F.count("*").alias("count"))
+    return presented(counted, keys, "year")
 
 
 def monthly_trend(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean, true median, extremes and count of prices per month."""
     rows = base.where(priced() & dated())
     stats = order_stats.price_stats(rows, [*keys, "month"], "price_numeric")
-    return stats.select(
+    trend = stats.select(
         *keys, "month",
         whole(F.col("avg")).alias("avg_price"),
         whole(F.col("median")).alias("median_price"),
         F.col("min").alias("min_price"),
         F.col("max").alias("max_price"),
         "count",
-    ).orderBy(*keys, "month")
+    )
+    return presented(trend, keys, "month")
 
 
 def recent_sales(base: DataFrame, limit: int = 50) -> DataFrame:
@@ -141,14 +145,12 @@ def with_street(properties: DataFrame) -> DataFrame:
 
 def street_comparison(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean price and count per street; the base must carry ``street``."""
-    return _mean_and_count(base, [*keys, "street"]).orderBy(*keys, F.desc("avg_price"), "street")
+    return presented(_mean_and_count(base, [*keys, "street"]), keys, F.desc("avg_price"), "street")
 
 
 def postcode_comparison(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     known = base.where(F.col("postcode").isNotNull())
-    return _mean_and_count(known, [*keys, "postcode"]).orderBy(
-        *keys, F.desc("avg_price"), "postcode"
-    )
+    return presented(_mean_and_count(known, [*keys, "postcode"]), keys, F.desc("avg_price"), "postcode")
 
 
 SUMMARY_FACETS = ("month", "type_key", "street", "postcode", "bedrooms", "year")

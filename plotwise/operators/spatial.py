@@ -19,6 +19,7 @@ point on the map side of the aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -171,26 +172,6 @@ def _own_slice(slices: Column) -> Column:
     return F.pmod(F.xxhash64("lat", "lon"), slices).cast("int")
 
 
-def _reached_cells(poi: DataFrame, radius_km: float, salts: int) -> DataFrame:
-    """Each poi once per cell (and slice) that a point within the radius can lie in.
-
-    Cells are as high and wide as the radius spans in latitude.
-    """
-    size = F.lit(geo.latitude_reach(radius_km))
-    wide = geo.longitude_reach(F.col("plat"), F.lit(radius_km))
-    reached = poi.withColumn("cy", _span(F.col("plat"), size, size)).withColumn(
-        "cx", _span(F.col("plon"), wide, size)
-    )
-    return _sliced(reached, F.lit(salts))
-
-
-def _placed(points: DataFrame, size: Column, salts: int) -> DataFrame:
-    return (
-        points.withColumn("cy", _cell(F.col("lat"), size)).withColumn("cx", _cell(F.col("lon"), size))
-        .withColumn("slice", _own_slice(F.lit(salts)))
-    )
-
-
 def _distance(great_circle: Column) -> Column:
     ends = (F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     return F.when(great_circle, geo.haversine_km(*ends)).otherwise(geo.chord_km(*ends))
@@ -213,12 +194,17 @@ def _wrapped(cx: Column) -> Column:
     return F.pmod(cx, _level_cells().cast("int"))
 
 
-def _on_all_levels(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Each row once per grid level, with its cell."""
+def _radius_level(radius_km: float) -> int:
+    """Finest level whose cells are at least as large as the radius."""
+    return max(int(math.floor(math.log2(360.0 / min(geo.latitude_reach(radius_km), 360.0)))), 0)
+
+
+def _on_levels(df: DataFrame, lat: str, lon: str, levels: Sequence[int] = LEVELS) -> DataFrame:
+    """Each row once per grid level, with its cell counted from the south-west."""
     return (
-        df.withColumn("level", F.explode(F.array(*[F.lit(k) for k in LEVELS])))
-        .withColumn("cy", _cell(F.col(lat), _level_size()))
-        .withColumn("cx", _wrapped(_cell(F.col(lon), _level_size())))
+        df.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels])))
+        .withColumn("cy", _cell(F.col(lat) + 90, _level_size()))
+        .withColumn("cx", _wrapped(_cell(F.col(lon) + 180, _level_size())))
     )
 
 
@@ -226,11 +212,11 @@ def _bounds(points: DataFrame, pois: DataFrame) -> DataFrame:
     """(lat, lon, target, bound_km): distance to some poi of the target nearby."""
     slices = F.when(F.col("level") <= COARSE_LEVEL, COARSE_SLICES).otherwise(SALTS)
     occupied = (
-        _on_all_levels(pois, "plat", "plon").groupBy("level", "cy", "cx", "target")
+        _on_levels(pois, "plat", "plon").groupBy("level", "cy", "cx", "target")
         .agg(F.min_by(F.struct("plat", "plon"), "poi_id").alias("p"))
         .select("level", "cy", "cx", "target", "p.plat", "p.plon")
     )
-    seen = _on_all_levels(points, "lat", "lon").withColumn("slice", _own_slice(slices))
+    seen = _on_levels(points, "lat", "lon").withColumn("slice", _own_slice(slices))
     return (
         seen.join(_sliced(occupied, slices), ["level", "slice", "cy", "cx"])
         .groupBy("lat", "lon", "target").agg(F.min(_arc_km()).alias("bound_km"))
@@ -259,13 +245,13 @@ def nearest(points: DataFrame, targets: DataFrame, wanted: Sequence[str],
     degrees = F.degrees(F.col("bound_km") / F.lit(geo.EARTH_RADIUS_KM))
     wide = geo.longitude_reach(F.col("lat"), F.col("bound_km"))
     searched = (
-        bounded.withColumn("cy", _span(F.col("lat"), degrees, _level_size()))
-        .withColumn("cx", _span(F.col("lon"), wide, _level_size()))
+        bounded.withColumn("cy", _span(F.col("lat") + 90, degrees, _level_size()))
+        .withColumn("cx", _span(F.col("lon") + 180, wide, _level_size()))
         .withColumn("cx", _wrapped(F.col("cx")))
         .withColumn("slice", _own_slice(F.lit(salts)))
     )
     pairs = searched.join(
-        _sliced(_on_all_levels(pois, "plat", "plon"), F.lit(salts)),
+        _sliced(_on_levels(pois, "plat", "plon"), F.lit(salts)),
         ["target", "level", "cy", "cx", "slice"],
     )
     payload = F.struct("poi_id", "name", "detail", "plat", "plon")
@@ -290,22 +276,27 @@ def within_radius(points: DataFrame, targets: DataFrame, radii_km: Mapping[str,
     """Number of pois of each target within its radius, for points that have any.
 
     Places are counted before the join, so pois that share a place are one row.
+    Cells are once to twice as large as the radius.
     """
     places = targets.groupBy("target", "plat", "plon").agg(F.count("*").alias("here"))
-    rings = []
-    for radius in sorted(set(radii_km.values())):
-        names = [t for t, r in radii_km.items() if r == radius]
-        ring = _reached_cells(places.where(F.col("target").isin(*names)), radius, salts)
-        rings.append(ring.withColumn("radius", F.lit(radius)))
-    reached = rings[0]
-    for ring in rings[1:]:
-        reached = reached.unionByName(ring)
-    # A point takes part once per radius, so that all targets share one join.
-    radii = F.explode(F.array(*[F.lit(r) for r in sorted(set(radii_km.values()))]))
-    size = F.degrees(F.col("radius") / F.lit(geo.EARTH_RADIUS_KM))
-    pairs = _placed(points.withColumn("radius", radii), size, salts).join(
-        reached, ["radius", "cy", "cx", "slice"]
+    radius_of, level_of = F.lit(None).cast("double"), F.lit(None).cast("int")
+    for target, radius in radii_km.items():
+        here = F.col("target") == target
+        radius_of = F.when(here, F.lit(float(radius))).otherwise(radius_of)
+        level_of = F.when(here, F.lit(_radius_level(radius))).otherwise(level_of)
+    reach = F.degrees(F.col("radius") / F.lit(geo.EARTH_RADIUS_KM))
+    wide = geo.longitude_reach(F.col("plat"), F.col("radius"))
+    reached = (
+        places.where(F.col("target").isin(*radii_km))
+        .withColumn("radius", radius_of).withColumn("level", level_of)
+        .withColumn("cy", _span(F.col("plat") + 90, reach, _level_size()))
+        .withColumn("cx", _span(F.col("plon") + 180, wide, _level_size()))
+        .withColumn("cx", _wrapped(F.col("cx"))).distinct()
     )
+    # A point takes part once per grid level, so that all targets share one join.
+    levels = sorted({_radius_level(r) for r in radii_km.values()})
+    placed = _on_levels(points, "lat", "lon", levels).withColumn("slice", _own_slice(F.lit(salts)))
+    pairs = placed.join(_sliced(reached, F.lit(salts)), ["level", "cy", "cx", "slice"])
     # Counts compare the straight line with the radius, for every family.
     near = geo.chord_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= F.col("radius")
     return pairs.where(near).groupBy("lat", "lon", "target").agg(F.sum("here").alias("n"))

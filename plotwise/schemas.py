@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from plotwise.operators.dataset import PROPERTY_FEATURES
 
@@ -13,10 +13,10 @@ _INTEGER_FACTS = {
 }
 
 
-def _fact_type(name: str, kind: str) -> str:
+def _fact_type(name: str, kind: str):
     if kind == "categorical":
-        return "string"
-    return "int" if name in _INTEGER_FACTS or name.startswith("imd_") else "double"
+        return StringType()
+    return IntegerType() if name in _INTEGER_FACTS or name.startswith("imd_") else DoubleType()
 
 
 def property_schema() -> StructType:

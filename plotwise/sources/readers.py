@@ -461,7 +461,7 @@ def listing_to_property(listings: DataFrame, site: str = "") -> DataFrame:
     def usable(s: Column) -> Column:
         return (s["date_sold"] != "") | (s["price"] != "")
 
-    sales = F.filter(F.transform("transactions", _sale_of), usable)
+    sales = F.filter(F.transform("transactions", lambda t: _sale_of(t)), usable)
     latest = F.filter(F.array(_sale_of(F.col("latestTransaction"), brief=True)), usable)
     fallback = F.when(F.col("latestTransaction").isNotNull(), latest)
     url = F.coalesce("detailUrl", F.lit(""))

@@ -14,7 +14,8 @@ def spark(tmp_path_factory):
         "tests", "local[4]", 4,
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
            "spark.driver.memory": "4g",
-           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+           "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
