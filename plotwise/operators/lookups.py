@@ -153,17 +153,30 @@ def _texts(df: DataFrame, ident: str, name: str) -> DataFrame:
     ).where(F.length("_text") > 0)
 
 
+OPENING = 12
+
+
 def _parts(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
-    """Every substring as long as some text of the other side in the postcode.
+    """Substrings that can be a whole address of the other side in the postcode.
 
-    A postcode has no more lengths than its longest address has characters.
+    A place in a text counts only where it shows the opening characters of such an
+    address; there the substrings of the lengths of those addresses are listed.
+    Shorter addresses are their own opening, so nothing is missed.
     """
-    lengths = others.groupBy("_pc").agg(F.collect_set(F.length("_text")).alias("_lengths"))
-    fitting = F.filter("_lengths", lambda n: n <= F.length("_text"))
-    sized = df.join(lengths, "_pc").withColumn("_n", F.explode(fitting))
+    openings = others.groupBy("_pc", F.substring("_text", 1, OPENING).alias("_opening")).agg(
+        F.collect_set(F.length("_text")).alias("_lengths")
+    )
+    sizes = openings.groupBy("_pc").agg(F.collect_set(F.length("_opening")).alias("_sizes"))
+    fitting = F.filter("_sizes", lambda n: n <= F.length("_text"))
     starts = F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1))
-    return sized.withColumn("_at", starts).select(
-        name, "_pc", F.col("_text").substr(F.col("_at"), F.col("_n")).alias("_part")
+    places = (
+        df.join(sizes, "_pc").withColumn("_n", F.explode(fitting)).withColumn("_at", starts)
+        .withColumn("_opening", F.col("_text").substr(F.col("_at"), F.col("_n")))
+        .join(openings, ["_pc", "_opening"])
+    )
+    within = F.filter("_lengths", lambda n: F.col("_at") + n - 1 <= F.length("_text"))
+    return places.withColumn("_m", F.explode(within)).select(
+        name, "_pc", F.col("_text").substr(F.col("_at"), F.col("_m")).alias("_part")
     )
 
 
