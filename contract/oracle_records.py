@@ -394,6 +394,11 @@ SELECT *, CASE WHEN total_postcodes > 0 AND scraped_postcodes >= total_postcodes
                WHEN total_postcodes > 0 AND scraped_postcodes > 0 THEN 'partial' ELSE 'pending' END AS state,
        CAST(CASE WHEN total_postcodes > 0 THEN floor(scraped_postcodes / total_postcodes * 100 + 0.5) ELSE 0 END AS INT) AS pct
 FROM both_sides""", "property", "sale", "crime_record")
+ORACLE["completeness_totals"] = f"""SELECT count(*) FILTER (state = 'done') AS done,
+  count(*) FILTER (state = 'partial') AS partial, CAST(sum(property_count) AS BIGINT) AS properties,
+  CAST(sum(sale_count) AS BIGINT) AS sales FROM ({ORACLE["outcode_completeness"]})"""
+on_views("work_list", """SELECT postcode, min(id) AS position FROM property WHERE listing_status = 'for_sale'
+GROUP BY postcode""", "property")
 on_views("freshness", """
 SELECT postcode, count(*) AS property_count, max(updated_at) AS last_updated,
        coalesce(max(updated_at) >= TIMESTAMP '2024-06-01 00:00:00', FALSE) AS is_fresh
@@ -417,6 +422,15 @@ SELECT DISTINCT postcode FROM property WHERE postcode NOT IN (SELECT postcode FR
 on_views("properties_with_sales", """
 SELECT p.id, p.address, s.id AS sale_id, s.date_sold_iso, s.price_numeric, s.tenure, s.property_type AS sale_type
 FROM property p LEFT JOIN sale s ON s.property_id = p.id""", "property", "sale")
+on_views("last_entered_sale", """
+SELECT p.address, p.postcode, p.bedrooms, r.date_sold, r.price, s.tenure
+FROM property p JOIN raw_sale r ON r.property_id = p.id JOIN sale s ON s.id = r.id
+WHERE r.id = (SELECT max(x.id) FROM raw_sale x WHERE x.property_id = p.id)""", "property", "sale", "raw_sale")
+on_views("sales_export", """
+SELECT p.outcode, p.address, p.postcode, coalesce(s.property_type, p.property_type) AS property_type, p.bedrooms,
+       p.bathrooms, p.extra_features, NULL AS floorplan_urls, NULL AS url, r.date_sold, s.date_sold_iso, r.price,
+       s.price_numeric, NULL AS price_change_pct, s.tenure
+FROM property p JOIN raw_sale r ON r.property_id = p.id JOIN sale s ON s.id = r.id""", "property", "sale", "raw_sale")
 on_views("dataset_size", """SELECT count(DISTINCT property_id) AS dataset_size FROM sale
 WHERE price_numeric IS NOT NULL""", "sale")
 on_views("repeat_sales", """SELECT property_id, count(*) AS sale_count FROM sale
@@ -524,3 +538,4 @@ SELECT date_trunc('day', ts) AS period_start, event_type, count(*) AS count, rou
 ORACLE["stream_freshness"] = """
 SELECT user_id, count(*) AS property_count, max(ts) AS last_updated FROM events GROUP BY user_id"""
 ORACLE["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+ORACLE["stream_ingest"] = ORACLE["upsert_properties"]

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contract.views import table, view
+from contract.views import VIEWS, table, view
 from plotwise.functions import text
 from plotwise.functions.features import FEATURE_COLUMNS, parse_features
 from plotwise.operators import (
@@ -16,10 +16,11 @@ from plotwise.operators import (
 )
 from plotwise.operators.predicates import InsightsFilter
 from plotwise.operators.sales import (
-    latest_sale, latest_two_sales, priced_property_count, properties_with_sales as properties_and_sales,
+    last_entered_sale as last_entered, latest_sale, latest_two_sales, priced_property_count, properties_with_sales as properties_and_sales,
     repeat_sold_properties, sales_with_property, without_sales,
 )
-from plotwise.sources import html_pages
+from plotwise.session import staging_path
+from plotwise.sources import html_pages, sinks
 from plotwise.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,9 +356,7 @@ def category_top_phrases(spark, sf):
 @query
 def kpis_with_features(spark, sf):
     options = InsightsFilter(has_parking=True, chain_free=False)
-    base = insights.filtered_base(
-        view(spark, sf, "sale"), view(spark, sf, "property"), options, parsed_of(spark, sf)
-    )
+    base = insights.filtered_base(view(spark, sf, "sale"), view(spark, sf, "property"), options)
     return insights.kpis(base)
 
 
@@ -551,6 +550,20 @@ def outcode_completeness(spark, sf):
     return coverage_ops.outcode_completeness(coverage_ops.outcode_coverage(directory, held))
 
 
+@query
+def completeness_totals(spark, sf):
+    return coverage_ops.completeness_totals(outcode_completeness(spark, sf))
+
+
+@query
+def work_list(spark, sf):
+    """Distinct postcodes of the listings in the order they first appear."""
+    wanted = view(spark, sf, "property").where("listing_status = 'for_sale'").select(
+        F.lower("postcode").alias("postcode"), F.col("id").alias("position")
+    )
+    return predicates.normalise_work_list(wanted)
+
+
 @query
 def freshness(spark, sf):
     return predicates.freshness(view(spark, sf, "property"), datetime(2024, 7, 1))
@@ -601,6 +614,26 @@ def properties_with_sales(spark, sf):
     )
 
 
+def scraped_sales(spark, sf):
+    none = F.lit(None).cast("string")
+    parsed = view(spark, sf, "sale").select("id", "price_numeric", "date_sold_iso", "tenure", "property_type")
+    raw = view(spark, sf, "raw_sale").select("id", "property_id", "date_sold", "price")
+    return raw.join(parsed, "id").withColumn("price_change_pct", none)
+
+
+@query
+def last_entered_sale(spark, sf):
+    return last_entered(scraped_sales(spark, sf), view(spark, sf, "property"))
+
+
+@query
+def sales_export(spark, sf):
+    properties = view(spark, sf, "property").withColumns({
+        "url": F.lit(None).cast("string"), "floorplan_urls": F.lit(None).cast("string"),
+    })
+    return sinks.sales_export(properties, scraped_sales(spark, sf))
+
+
 @query
 def dataset_size(spark, sf):
     return priced_property_count(view(spark, sf, "sale"))
@@ -618,12 +651,15 @@ def records_of(spark, sf):
     return view(spark, sf, "record").withColumns({"extra_features": none, "floorplan_urls": none})
 
 
+UPSERTED = ("address", "postcode", "postcode_clean", "property_type", "bedrooms", "bathrooms", "url",
+            "listing_status", "listing_price", "listing_checked_at", "extra_features")
+
+
 @query
 def upsert_properties(spark, sf):
     stored = view(spark, sf, "property").withColumn("url", F.lit(None).cast("string"))
     merged = upsert.upsert_properties(stored, upsert.record_changes(records_of(spark, sf)))
-    return merged.select("address", "postcode", "postcode_clean", "property_type", "bedrooms", "bathrooms",
-                         "url", "listing_status", "listing_price", "listing_checked_at", "extra_features")
+    return merged.select(*UPSERTED)
 
 
 @query
@@ -723,6 +759,14 @@ def ml_metrics(spark, sf):
     return model.metrics(scored_of(spark, sf)[1])
 
 
+@query
+def ml_predictions(spark, sf):
+    rows = dataset.scoring_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None, MODEL_FEATURES, "2002-01-15"
+    )
+    return model.predictions(model.score(scored_of(spark, sf)[0], rows))
+
+
 @query
 def ml_importance(spark, sf):
     return model.importance_table(spark, scored_of(spark, sf)[0])
@@ -790,6 +834,29 @@ def stream_dedup(spark, sf):
     return rows.select("user_id", "event_type")
 
 
+@query
+def stream_ingest(spark, sf):
+    """Orders arrive as a stream of scraped records and are brought into the table."""
+    store = staging_path(spark, "ingest")
+    stored = view(spark, sf, "property").withColumn("url", F.lit(None).cast("string"))
+    properties = jobs.VersionedTable(spark, f"{store}/property", stored.schema)
+    properties.store(stored, -1)
+
+    def bring_in(batch, batch_id):
+        none = F.lit(None).cast("array<string>")
+        session = batch.sparkSession
+        places = {t: table(session, sf, t) for t in ("customer", "nation", "region")}
+        records = session.sql(VIEWS["record"], orders=batch, **places).withColumns(
+            {"extra_features": none, "floorplan_urls": none}
+        )
+        merged = upsert.upsert_properties(properties.read(before=batch_id), upsert.record_changes(records))
+        properties.store(merged, batch_id)
+
+    orders = jobs.stream_files(spark, sf, table(spark, sf, "orders").schema, "orders.parquet")
+    jobs.run_available(orders, bring_in, f"{store}/checkpoint")
+    return properties.read().select(*UPSERTED)
+
+
 # --- pages -------------------------------------------------------------------
 
 @query

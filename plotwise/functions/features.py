@@ -478,37 +478,50 @@ def _mentions(low: Column, words: str) -> Column:
     return found
 
 
-def feature_columns(phrases: Column, joined: Column, low: Column, lease: Column) -> dict[str, Column]:
-    """All 112 columns over a phrase array, the joined phrases, the same in lower
+def _sq_ft(phrases: Column) -> Column:
+    """Any square feet win over all square metres."""
+    feet = _first(phrases, lambda p: _number(_group(p, SQ_FT_PATTERN)).cast("int"))
+    metres = _first(phrases, lambda p: _number(_group(p, SQ_M_PATTERN)))
+    return F.coalesce(feet, F.bround(metres * SQ_FT_PER_SQ_M, 0).cast("int"))
+
+
+# How each column is found in the joined text, where the leftmost match decides ...
+_IN_TEXT: dict[str, Callable[[Column], Column]] = {
+    "epc_rating": lambda joined: F.upper(_group(joined, EPC_PATTERN)),
+    "council_tax_band": lambda joined: F.upper(_group(joined, TAX_BAND_PATTERN)),
+    "service_charge": lambda joined: _number(_group(joined, SERVICE_CHARGE_PATTERN)).cast("int"),
+    "ground_rent": lambda joined: _number(_group(joined, GROUND_RENT_PATTERN)).cast("int"),
+}
+# ... or phrase by phrase.
+_BY_PHRASE: dict[str, Callable[[Column], Column]] = {
+    "chain_free": _chain_free,
+    "garden": _garden,
+    "heating": _heating,
+    "furnished": _furnished,
+    "receptions": _receptions,
+    "distance_to_station": _station_miles,
+    "acre_plot": _acres,
+    **{name: _labelled(rules) for name, rules in LABEL_RULES.items()},
+}
+
+
+def feature_column(name: str, phrases: Column, joined: Column, low: Column, lease: Column) -> Column:
+    """One parsed column over a phrase array, the joined phrases, the same in lower
     case, and the lease struct."""
-    columns: dict[str, Column] = {
-        name: _first(phrases, _labelled(rules)) for name, rules in LABEL_RULES.items()
-    }
-    columns.update({
-        "epc_rating": F.upper(_group(joined, EPC_PATTERN)),
-        "council_tax_band": F.upper(_group(joined, TAX_BAND_PATTERN)),
-        "chain_free": _first(phrases, _chain_free),
-        "garden": _first(phrases, _garden),
-        "heating": _first(phrases, _heating),
-        "furnished": _first(phrases, _furnished),
-        "receptions": _first(phrases, _receptions),
-        "sq_ft": F.coalesce(
-            _first(phrases, lambda p: _number(_group(p, SQ_FT_PATTERN)).cast("int")),
-            F.bround(_first(phrases, lambda p: _number(_group(p, SQ_M_PATTERN))) * SQ_FT_PER_SQ_M, 0)
-            .cast("int"),
-        ),
-        "service_charge": _number(_group(joined, SERVICE_CHARGE_PATTERN)).cast("int"),
-        "ground_rent": _number(_group(joined, GROUND_RENT_PATTERN)).cast("int"),
-        "distance_to_station": _first(phrases, _station_miles),
-        "acre_plot": _first(phrases, _acres),
-    })
-    columns = {name: F.when(_mentions(low, COLUMN_WORDS[name]), c) for name, c in columns.items()}
-    columns.update({
-        name: F.when(_mentions(low, PATTERN_WORDS[name]) & _matches(joined, pattern), F.lit(True))
-        for name, pattern in BOOLEAN_PATTERNS.items()
-    })
-    columns.update({"lease_type": lease["kind"], "lease_years": lease["years"]})
-    return {name: columns[name] for name in FEATURE_COLUMNS}
+    if name in BOOLEAN_PATTERNS:
+        found = _mentions(low, PATTERN_WORDS[name]) & _matches(joined, BOOLEAN_PATTERNS[name])
+        return F.when(found, F.lit(True))
+    if name == "lease_type":
+        return lease["kind"]
+    if name == "lease_years":
+        return lease["years"]
+    if name == "sq_ft":
+        value = _sq_ft(phrases)
+    elif name in _IN_TEXT:
+        value = _IN_TEXT[name](joined)
+    else:
+        value = _first(phrases, _BY_PHRASE[name])
+    return F.when(_mentions(low, COLUMN_WORDS[name]), value)
 
 
 def parse_features(df: DataFrame, source: str = "extra_features",
@@ -538,5 +551,5 @@ def parse_features(df: DataFrame, source: str = "extra_features",
         staged = staged.withColumn("_lease", lease)
     else:
         staged = staged.withColumn("_lease", F.lit(None).cast("struct<kind string, years int>"))
-    parsed = feature_columns(F.col("_phrases"), F.col("_joined"), F.col("_low"), F.col("_lease"))
-    return staged.select(*kept, *[parsed[n].alias(prefix + n) for n in names])
+    sources = [F.col(c) for c in ("_phrases", "_joined", "_low", "_lease")]
+    return staged.select(*kept, *[feature_column(n, *sources).alias(prefix + n) for n in names])

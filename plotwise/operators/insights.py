@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plotwise.functions.features import parse_features
 from plotwise.functions.numbers import half_even, whole
 from plotwise.functions.text import price_display
 from plotwise.operators import market, order_stats
@@ -21,16 +22,18 @@ def filtered_base(sales: DataFrame, properties: DataFrame, options: InsightsFilt
                   features: DataFrame | None = None) -> DataFrame:
     """Sale-property base under the dashboard options.
 
-    Feature options are ordinary predicates on the parsed columns: the matching
-    property ids reduce the base by a semi join, in the same plan.
+    Feature options are predicates on parsed columns: only the columns asked about
+    are parsed, unless a stored feature table is given, and the matching property
+    ids reduce the base by a semi join, in the same plan.
     """
     base = sales_with_property(sales, properties).where(options.on_sales())
-    if options.needs_features():
-        if features is None:
-            raise ValueError("feature options need the parsed feature table")
-        wanted = features.where(options.on_features()).select(F.col("id").alias("property_id"))
-        base = base.join(wanted, "property_id", "left_semi")
-    return base
+    names = options.feature_names()
+    if not names:
+        return base
+    if features is None:
+        features = parse_features(properties, wanted=names, keep=("id",))
+    wanted = features.where(options.on_features()).select(F.col("id").alias("property_id"))
+    return base.join(wanted, "property_id", "left_semi")
 
 
 def price_histogram(base: DataFrame, value: str = "price_numeric", buckets: int = BUCKETS) -> DataFrame:

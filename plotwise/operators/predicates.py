@@ -110,11 +110,11 @@ class InsightsFilter:
             parts.append(F.upper("property_type") == self.property_type.strip().upper())
         return conjunction(parts)
 
-    def needs_features(self) -> bool:
-        return any(
-            option is not None
-            for option in (self.epc_rating, self.has_garden, self.has_parking, self.chain_free)
-        )
+    def feature_names(self) -> tuple[str, ...]:
+        """Parsed columns the options ask about."""
+        asked = {"epc_rating": self.epc_rating, "garden": self.has_garden,
+                 "parking": self.has_parking, "chain_free": self.chain_free}
+        return tuple(name for name, option in asked.items() if option is not None)
 
     def on_features(self, prefix: str = "") -> Column:
         """Predicate over the parsed feature columns, named with ``prefix``."""
