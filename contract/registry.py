@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import plotwise
 from contract.views import VIEWS, table, view
 from plotwise.functions import text
 from plotwise.functions.features import FEATURE_COLUMNS, parse_features
@@ -23,6 +25,10 @@ from plotwise.session import staging_path
 from plotwise.sources import html_pages, sinks
 from plotwise.streaming import jobs
 
+# Send library functions to the workers by value: the caller's working directory need
+# not be on their path. A cluster ships the package with --py-files instead.
+cloudpickle.register_pickle_by_value(plotwise)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
