@@ -22,7 +22,7 @@ from plotwise.operators.sales import (
     repeat_sold_properties, sales_with_property, without_sales,
 )
 from plotwise.session import staging_path
-from plotwise.sources import html_pages, sinks
+from plotwise.sources import html_pages, readers, sinks
 from plotwise.streaming import jobs
 
 # Send library functions to the workers by value: the caller's working directory need
@@ -868,3 +868,14 @@ def stream_ingest(spark, sf):
 @query
 def page_extract(spark, sf):
     return html_pages.extract_pages(table(spark, sf, "pages"))
+
+
+@query
+def page_addresses(spark, sf):
+    return page_extract(spark, sf).select("page_id", "url", "address", "postcode")
+
+
+@query
+def area_postcodes(spark, sf):
+    directory = view(spark, sf, "property").select("postcode", "outcode").distinct()
+    return readers.postcodes_for(directory, "am1")
