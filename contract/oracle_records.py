@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contract.oracle import BASE, ORACLE, STREET, on_base, on_views, whole
+from contract.oracle import BASE, ORACLE, STREET, on_base, on_views
 from contract.views import with_views
 from plotwise.functions.features import BOOLEAN_PATTERNS, FEATURE_COLUMNS, LABEL_RULES
 from plotwise.operators import spatial, text_reports

@@ -28,11 +28,6 @@ def finite(value: Column) -> Column:
     )
 
 
-def median_of(value: Column) -> Column:
-    """True median (mean of the middle two) as an aggregate."""
-    return F.median(value)
-
-
 def clamp_to(value: Column, sql_type: str) -> Column:
     """Clip to the range of a small integer type, round half to even, cast."""
     low, high = {"byte": (-128, 127), "short": (-32768, 32767)}[sql_type]

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from plotwise.operators import area_records, lookups, spatial
-from plotwise.operators.dataset import PROPERTY_FEATURES
 from plotwise.session import materialise
 
 EPC_COLUMNS = ("epc_rating", "epc_score", "epc_environment_impact", "estimated_energy_cost")
@@ -61,7 +60,3 @@ def enrich(properties: DataFrame, reference: ReferenceData,
         risk = risk.select("postcode", F.col("risk_level").alias("flood_risk_level"))
         rows = lookups.fill_missing(rows, risk, ["postcode"], ["flood_risk_level"])
     return rows
-
-
-def fact_columns() -> list[str]:
-    return [name for _, name, _, _ in PROPERTY_FEATURES]
