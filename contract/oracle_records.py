@@ -542,9 +542,11 @@ ORACLE["stream_ingest"] = ORACLE["upsert_properties"]
 
 # --- pages -------------------------------------------------------------------
 # The given pages hold a heading and no sale table, so heading and address are all.
+# Markup decodes these character references also where the semicolon is missing.
 
 ORACLE["page_addresses"] = r"""SELECT page_id, url, address,
   upper(nullif(trim(regexp_extract(address, '[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}', 0, 'i')), '')) AS postcode
-FROM (SELECT page_id, url, trim(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS address FROM pages) WHERE address <> ''"""
+FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+        '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS address FROM pages) WHERE address <> ''"""
 on_views("area_postcodes", "SELECT DISTINCT postcode FROM property WHERE outcode = 'AM1'", "property")
