@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe
+from plotwise.llm import bpe, pii, secrets
+from plotwise.llm.spans import as_text, count_of, of_kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +24,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_secrets(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.learn_formats(docs))
+    return found.select(
+        "doc_id", *[count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(as_text(of_kinds(F.col("spans"), secrets.BASE_KINDS)), 256).alias("base_sha256"),
+        as_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_bpe(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -31,3 +43,14 @@ def op4_bpe(spark, sf):
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_pii(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    return found.select(
+        "doc_id", *[count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(as_text(of_kinds(F.col("spans"), pii.BASE_KINDS)), 256).alias("base_sha256"),
+        as_text(F.col("spans")).alias("spans"),
+    )
