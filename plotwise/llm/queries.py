@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, pii, secrets
+from plotwise.llm import bpe, fingerprints, language, pii, secrets, sharding
+from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,36 @@ def op4_bpe(spark, sf):
     )
 
 
+@query
+def op6_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    net = language.learn(docs)
+    found = language.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_sharding(spark, sf):
+    sharded = sharding.into_shards(table(spark, sf, "documents"), 40)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_fingerprints(spark, sf):
+    prints = materialise(fingerprints.compare_with_edits(table(spark, sf, "documents")), "document-prints")
+    # Rows whose id is divisible by 100 ask for all documents near their fingerprint.
+    asking = prints.where("doc_id % 100 = 0").select("fingerprint")
+    documents = prints.groupBy(F.col("fingerprint").alias("found")).agg(F.count("*").alias("n"))
+    pairs = fingerprints.within_radius(prints.select("fingerprint"), asking)
+    near = pairs.join(documents, pairs["fingerprint"] == documents["found"]).groupBy("query").agg(F.sum("n").alias("n_near"))
+    a, b = F.col("fingerprint"), F.col("edited_fingerprint")
+    return prints.join(near, F.col("fingerprint") == F.col("query"), "left").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_hex(a).alias("fingerprint"), fingerprints.as_hex(b).alias("edited_fingerprint"),
+        fingerprints.likeness(a, b).alias("near_edited"), fingerprints.likeness(a, F.col("next_fingerprint")).alias("near_next"),
+        F.when(F.col("doc_id") % 100 == 0, F.col("n_near") - 1).alias("n_near"),
+    )
+
+
 @query
 def op9_pii(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
