@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, decontaminate, fingerprints, language, pii, secrets, sharding
+from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, pii, secrets, sharding
 from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
@@ -83,6 +83,12 @@ def op4_bpe(spark, sf):
     )
 
 
+@query
+def op5_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs)
+
+
 @query
 def op6_language(spark, sf):
     docs = table(spark, sf, "documents")
