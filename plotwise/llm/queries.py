@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, pii, secrets, sharding
+from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, pii, secrets, sharding
 from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
@@ -73,6 +73,11 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query
+def op3_ngram_join(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op4_bpe(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
