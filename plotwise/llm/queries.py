@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, pii, secrets, sharding
+from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, secrets, sharding
 from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
@@ -133,3 +133,14 @@ def op9_pii(spark, sf):
         F.sha2(as_text(of_kinds(F.col("spans"), pii.BASE_KINDS)), 256).alias("base_sha256"),
         as_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op10_passages(spark, sf):
+    found = passages.repeated_passages(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["stop"] - p["start"]).alias("n_repeated"),
+        F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["stop"].cast("string"))), ",").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.col("passages.sources")))).alias("source_ids"),
+    )
