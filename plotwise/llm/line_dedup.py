@@ -45,13 +45,18 @@ def lines_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return split.withColumn("line", normal(F.col("line")))
 
 
-def half_keys(words: Column) -> Column:
+def word_count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def half_keys(line: Column, n: Column) -> Column:
     """Hashes of the first and the last half, also as a line one word shorter would cut them."""
-    n = F.size(words)
-    cuts = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    front = F.transform(cuts, lambda k: F.xxhash64(F.lit("front"), k, F.array_join(F.slice(words, 1, k), " ")))
-    back = F.transform(cuts, lambda k: F.xxhash64(F.lit("back"), k, F.array_join(F.slice(words, n - k + 1, k), " ")))
-    return F.concat(front, back)
+    def ends(k: Column) -> list[Column]:
+        return [F.xxhash64(F.lit("front"), k, F.call_function("substring_index", line, F.lit(" "), k)),
+                F.xxhash64(F.lit("back"), k, F.call_function("substring_index", line, F.lit(" "), -k))]
+
+    half, shorter = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return F.when(half == shorter, F.array(*ends(half))).otherwise(F.array(*ends(half), *ends(shorter)))
 
 
 def word_hash(word: Column) -> Column:
@@ -132,11 +137,10 @@ def near_repeats(docs: DataFrame, table: DataFrame, first: DataFrame, near_words
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text_hash and line_no (from 0) of every line that repeats an earlier one."""
-    words = F.split("line", " ")
-    listed = lines_of(docs, text, doc_id).withColumn("n", F.size(words)).where(F.col("n") >= min_words)
+    listed = lines_of(docs, text, doc_id).withColumn("n", word_count(F.col("line"))).where(F.col("n") >= min_words)
     table = materialise(listed.select(
         *PLACE, "n", F.xxhash64("line").alias("line_hash"), F.hash("line").alias("line_check"),
-        F.when(F.col("n") >= near_words, half_keys(words)).otherwise(F.array().cast("array<bigint>")).alias("halves")), "lines")
+        F.when(F.col("n") >= near_words, half_keys(F.col("line"), F.col("n"))).otherwise(F.array().cast("array<bigint>")).alias("halves")), "lines")
     first = table.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("times"))
     again = first.where("times > 1").select(*LINE, F.col("place").alias("first_place"))
     equal = table.join(again, LINE).where(F.struct(*PLACE) > F.col("first_place")).select(*PLACE)
