@@ -1,12 +1,92 @@
-"""A corpus made ready for training: five stages, each written as Parquet and read again."""
+"""A corpus made ready for training, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the documents of the next one. All but the last return the
+columns of ``docs``, whatever they are besides doc_id and text. Other tables are read
+from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plotwise.llm import bpe, decontaminate, language, line_dedup, ngram_join
+from plotwise.session import materialise
+
+#: A text whose likeliest language is less likely than this is in none of the learned ones.
+LIKELY = 0.4
+#: Near duplicates: words in a shingle, and percentage of shingles in common.
+SHINGLE, PERCENT = 5, 80
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row, so that no column of a row clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+
+
+def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from packed rows whose text has changed."""
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learned language stay; null texts, texts without a letter and other languages go.
+
+    Without any labelled text there is nothing to tell languages by, and every text
+    with a letter stays.
+    """
+    net = language.learn(docs)
+    if not net.languages:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    found = language.identify(packed(docs), net)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LIKELY)).select("_row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; so do documents that have only short lines left after that."""
+    shorter = line_dedup.without_repeats(packed(docs))
+    words = F.transform(F.split("text", "\n"), lambda line: F.size(F.split(F.trim(line), " ")))
+    emptied = (F.col("n_removed") > 0) & ~F.exists(words, lambda n: n >= line_dedup.MIN_WORDS)
+    changed = shorter.where(~emptied)
+    return with_text(docs, changed)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, that of the smallest id."""
+    return ngram_join.one_of_each(packed(docs), SHINGLE, PERCENT).select("_row.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("n_hit = 0").select("_row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids (little-endian unsigned 32-bit) of every document."""
+    coded = bpe.encode_decode(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.coalesce(F.octet_length("token_ids") / 4, F.lit(0)).cast("long").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding", encode),
+]
 
-STAGES: list = []
+#: Neither a trained network nor BPE merges can be stated in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage for the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

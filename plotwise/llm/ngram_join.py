@@ -102,17 +102,18 @@ def listed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def name_sets(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, size, set_id and set_check of every row; set_id is null for an empty set."""
+    """doc_id, text_hash, size, set_id and set_check of every row; set_id is null for an empty set."""
     def run(batches):
         for batch in batches:
-            sets = gram_sets(batch.column(1), n)
+            sets = gram_sets(batch.column(2), n)
             names = [digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())],
-                names=["doc_id", "size", "set_id", "set_check"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())],
+                names=["doc_id", "text_hash", "size", "set_id", "set_check"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), word_hashes(F.col(text)).alias("words")).mapInArrow(
-        run, "doc_id long, size long, set_id long, set_check long")
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_hashes(F.col(text)).alias("words"))
+    return read.mapInArrow(run, "doc_id long, text_hash long, size long, set_id long, set_check long")
 
 
 def as_bytes(hashes: np.ndarray) -> bytes:
@@ -312,15 +313,36 @@ def classes(sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+def classed(docs: DataFrame, words: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text_hash, size and class of every row; the class is null for an empty set."""
     named = materialise(name_sets(docs, words, text, doc_id), "gram-sets")
     total = named.agg(F.sum("size")).first()[0] or 0
     blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
     sets = materialise(memberships(shared_grams(deal_grams(docs, words, blocks, text), blocks), percent), "region-sets")
     found = classes(sets, percent)
-    joined = named.join(found, F.col("set_id") == F.col("node"), "left").select(
-        "doc_id", "size", F.coalesce("component", "set_id").alias("class"))
-    smallest = joined.where("class is not null").groupBy(F.col("class").alias("_class")).agg(F.min("doc_id").alias("smallest"))
-    return joined.join(smallest, F.col("class") == F.col("_class"), "left").select(
+    return named.join(found, F.col("set_id") == F.col("node"), "left").select(
+        "doc_id", "text_hash", "size", F.coalesce("component", "set_id").alias("class"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    rows = classed(docs, words, percent, text, doc_id)
+    smallest = rows.where("class is not null").groupBy(F.col("class").alias("_class")).agg(F.min("doc_id").alias("smallest"))
+    return rows.join(smallest, F.col("class") == F.col("_class"), "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class: of the smallest doc_id, then of the smallest text hash.
+
+    Rows with empty sets all stay.
+    """
+    rows = materialise(classed(docs, words, percent, text, doc_id), "classed")
+    times = rows.where("class is not null").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    first = times.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash", "times")).alias("f")).select(
+        F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"), F.col("f.times").alias("_times"))
+    empty = rows.where("class is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().withColumn("_times", F.lit(1).cast("long"))
+    kept = docs.join(first.unionByName(empty), F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")))
+    # Rows that are equal in id and text are one document; these few are reduced to one row.
+    single, repeated = kept.where("_times = 1"), kept.where("_times > 1").dropDuplicates(["_id", "_hash"])
+    return single.unionByName(repeated).select(*docs.columns)
