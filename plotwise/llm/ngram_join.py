@@ -44,8 +44,9 @@ BLOCK = 2_000_000
 GATHER = 2_000_000
 #: Members of a region that all others are compared with in a round.
 LEADERS = 4
-#: Pairs between classes, for each member of a region, up to which they are compared at once.
-DENSE = 16
+#: Pairs between classes, for each member of a region, up to which they are looked at one by
+#: one: in the first round, when a region's documents are still classes of their own, and later.
+DENSE = (16, 128)
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -272,14 +273,27 @@ def feasible(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size"))
 
 
+def still_in_reach(members: DataFrame, percent: int) -> DataFrame:
+    """Members that can be linked with a set of some size that has missed no more pivots than
+    the best member of the region."""
+    best = members.groupBy(F.col("pivot").alias("_pivot")).agg(F.min("missed").alias("_least"))
+    joined = members.join(best, F.col("pivot") == F.col("_pivot"))
+    whole = 100 + percent
+    # The other set must be large enough for its own misses and small enough for these ones.
+    smallest = (percent * F.col("size") + whole * F.col("_least")) * percent
+    largest = (whole * (F.col("size") - F.col("missed")) - percent * F.col("size")) * 100
+    return joined.where(smallest <= largest).drop("_pivot", "_least")
+
+
 def classes(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of every set that is linked with another one."""
     placed = sets.select("set_id", "size", "alone", F.posexplode("pivots").alias("at", "pivot")).select("pivot", "set_id", "size", (F.col("alone") + F.col("at")).alias("missed"))
     crowded = placed.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
-    members = materialise(placed.join(crowded, "pivot", "left_semi"), "regions")
+    members = placed.join(crowded, "pivot", "left_semi")
     links: DataFrame | None = None
     found = None
     while True:
+        members = still_in_reach(members, percent)
         if found is None:
             labelled = members.withColumn("class", F.col("set_id"))
         else:
@@ -289,7 +303,7 @@ def classes(sets: DataFrame, percent: int) -> DataFrame:
         by_class = labelled.groupBy("pivot", "class").agg(F.count("*").alias("n"))
         regions = by_class.groupBy("pivot").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         # Pairs between classes are at most half of n * n - squares.
-        open_regions = materialise(regions.where("classes > 1").select("pivot", (F.col("n") * F.col("n") - F.col("squares") <= 2 * DENSE * F.col("n")).alias("few")), "open-regions")
+        open_regions = materialise(regions.where("classes > 1").select("pivot", (F.col("n") * F.col("n") - F.col("squares") <= 2 * DENSE[found is not None] * F.col("n")).alias("few")), "open-regions")
         if open_regions.limit(1).count() == 0:
             break
         active = materialise(labelled.join(if_few(open_regions), "pivot"), "active-regions")
