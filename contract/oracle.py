@@ -13,7 +13,7 @@ base AS (
          s.property_type AS sale_type, substr(s.date_sold_iso, 1, 7) AS month,
          CAST(substr(s.date_sold_iso, 1, 4) AS INT) AS year,
          p.address, p.postcode, p.postcode_clean, p.property_type, p.bedrooms, p.bathrooms,
-         p.listing_status, upper(trim(coalesce(s.property_type, p.property_type, 'Unknown'))) AS type_key
+         p.listing_status, upper(coalesce(nullif(trim(s.property_type), ''), nullif(trim(p.property_type), ''), 'Unknown')) AS type_key
   FROM sale s JOIN property p ON s.property_id = p.id)
 """
 
@@ -106,7 +106,7 @@ FROM base WHERE price_numeric IS NOT NULL AND month IS NOT NULL GROUP BY {key} m
 
 on_base("recent_sales", """
 SELECT sale_id, property_id, address, postcode, price_numeric AS price, date_sold_iso AS date_sold,
-       trim(coalesce(sale_type, property_type, 'Unknown')) AS property_type, bedrooms
+       coalesce(nullif(trim(sale_type), ''), nullif(trim(property_type), ''), 'Unknown') AS property_type, bedrooms
 FROM base WHERE price_numeric IS NOT NULL AND date_sold_iso IS NOT NULL
 ORDER BY date_sold_iso DESC, sale_id DESC LIMIT 50""")
 
@@ -232,8 +232,8 @@ FROM base WHERE price_numeric IS NOT NULL AND month IS NOT NULL GROUP BY month""
 
 SCATTER = """
 SELECT sale_id, bedrooms, price_numeric AS price, coalesce(postcode, 'Unknown') AS postcode,
-       trim(coalesce(sale_type, property_type, 'Unknown')) AS property_type
-FROM base WHERE price_numeric IS NOT NULL AND bedrooms IS NOT NULL ORDER BY sale_id LIMIT 2000"""
+       coalesce(nullif(trim(sale_type), ''), nullif(trim(property_type), ''), 'Unknown') AS property_type
+FROM base WHERE price_numeric IS NOT NULL AND bedrooms IS NOT NULL"""
 on_base("scatter_sample", SCATTER)
 
 on_base("postcode_heatmap", f"""
@@ -267,7 +267,7 @@ DEALS = f"""
 SELECT property_id, address, postcode, ptype AS property_type, bedrooms, price_numeric AS price,
        date_sold_iso AS date_sold, {whole('m')} AS postcode_avg, round_even(d, 1) AS value_score,
        CASE WHEN d <= 15 THEN 'Low' WHEN d <= 25 THEN 'Medium' ELSE 'High' END AS risk_level
-FROM (SELECT b.*, trim(coalesce(sale_type, property_type, 'Unknown')) AS ptype, m,
+FROM (SELECT b.*, coalesce(nullif(trim(sale_type), ''), nullif(trim(property_type), ''), 'Unknown') AS ptype, m,
              (m - price_numeric) / m * 100 AS d
       FROM (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY date_sold_iso DESC, sale_id DESC) AS r
             FROM base WHERE price_numeric IS NOT NULL AND date_sold_iso IS NOT NULL) b
@@ -305,7 +305,7 @@ POINTS = f"""{LATEST}, points AS (
   FROM property p LEFT JOIN latest l ON l.property_id = p.id
   WHERE postcode IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL)
 """
-on_views("map_points", f"WITH {POINTS} SELECT * FROM points ORDER BY id LIMIT 2000", "property", "sale")
+on_views("map_points", f"WITH {POINTS} SELECT * FROM points", "property", "sale")
 
 on_views("quartile_bands", f"""WITH {POINTS}, ranked AS (
   SELECT latest_price, row_number() OVER (ORDER BY latest_price) - 1 AS r, count(*) OVER () AS n

@@ -251,10 +251,13 @@ GROUP BY id""", "property", "poi")
 # --- lookups -----------------------------------------------------------------
 
 on_views("imd_lookup", f"""SELECT p.id, {', '.join(f'i.{c}' for c in IMD_COLUMNS)}
-FROM property p LEFT JOIN postcode_lookup l ON lower(p.postcode) = l.postcode LEFT JOIN imd i USING (lsoa)""",
+FROM property p LEFT JOIN postcode_lookup l ON lower(p.postcode) = l.postcode
+LEFT JOIN (SELECT lsoa, unnest(min(struct_pack({', '.join(f'{c} := {c}' for c in IMD_COLUMNS)}))) FROM imd GROUP BY lsoa) i USING (lsoa)""",
          "property", "postcode_lookup", "imd")
 on_views("broadband_lookup", f"""SELECT p.id, {', '.join(f'b.{c}' for c in BROADBAND_COLUMNS)}
-FROM property p LEFT JOIN broadband b ON replace(p.postcode, ' ', '-') = b.postcode""", "property", "broadband")
+FROM property p LEFT JOIN (
+  SELECT postcode, unnest(min(struct_pack({', '.join(f'{c} := {c}' for c in BROADBAND_COLUMNS)}))) FROM broadband GROUP BY postcode) b
+ON replace(p.postcode, ' ', '-') = b.postcode""", "property", "broadband")
 on_views("geocode", """
 SELECT id, CASE WHEN property_type <> 'BUILDING' THEN latitude ELSE 51.0 END AS latitude,
        CASE WHEN property_type <> 'BUILDING' THEN longitude ELSE -1.0 END AS longitude FROM property""", "property")
@@ -342,12 +345,9 @@ SELECT postcode, z AS flood_zone,
 FROM (SELECT p.postcode, CAST(coalesce((SELECT CASE WHEN count(*) = 0 THEN 1
           WHEN bool_or(contains(lower(notation), 'zone3')) THEN 3 ELSE 2 END
         FROM flood_area a WHERE a.postcode = p.postcode), 1) AS INT) AS z,
-        (SELECT count(*) FROM w WHERE w.postcode = p.postcode) AS n,
-        (SELECT count(*) FROM w WHERE w.postcode = p.postcode AND severity IN ('1', 'Severe')) AS severe
+        (SELECT count(*) FROM flood_warning w WHERE w.postcode = p.postcode) AS n,
+        (SELECT count(*) FROM flood_warning w WHERE w.postcode = p.postcode AND severity IN ('1', 'Severe')) AS severe
       FROM (SELECT DISTINCT postcode FROM planning_entity) p)""", "planning_entity", "flood_area", "flood_warning")
-ORACLE["flood_risk"] = ORACLE["flood_risk"].replace("\nSELECT postcode, z AS", """, w AS (
-  SELECT * FROM flood_warning QUALIFY row_number() OVER (PARTITION BY postcode ORDER BY position) <= 10)
-SELECT postcode, z AS""", 1)
 on_views("listing_records", r"""WITH d AS (
   SELECT property_id, channel = 'RES_BUY' AND coalesce(published, FALSE) AND NOT coalesce(archived, TRUE) AS live,
          coalesce(nullif(regexp_extract(description, 'for (Guide [Pp]rice £[\d,]+)', 1), ''),
@@ -539,6 +539,13 @@ ORACLE["stream_freshness"] = """
 SELECT user_id, count(*) AS property_count, max(ts) AS last_updated FROM events GROUP BY user_id"""
 ORACLE["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
 ORACLE["stream_ingest"] = ORACLE["upsert_properties"]
+# Of equal address, date and price, the first record counts.
+on_views("stream_ingest_sales", """
+SELECT address, ltrim(date_sold, '0') AS date_sold, price, CAST(replace(substr(price, 2), ',', '') AS BIGINT) AS price_numeric,
+       concat(right(date_sold, 4), '-11-0', substr(ltrim(date_sold, '0'), 1, 1)) AS date_sold_iso,
+       arg_min(sale_type, seq) AS property_type, 'FREEHOLD' AS tenure
+FROM record GROUP BY address, date_sold, price, ltrim(date_sold, '0')
+QUALIFY row_number() OVER (PARTITION BY address, ltrim(date_sold, '0'), price ORDER BY min(seq)) = 1""", "record")
 
 # --- pages -------------------------------------------------------------------
 # The given pages hold a heading and no sale table, so heading and address are all.

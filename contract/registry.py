@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import plotwise
+from plotwise import schemas
 from contract.views import VIEWS, table, view
 from plotwise.functions import text
 from plotwise.functions.features import FEATURE_COLUMNS, parse_features
@@ -261,7 +262,7 @@ def points_of(spark, sf):
 @query
 def map_points(spark, sf):
     return compare.map_points(
-        view(spark, sf, "property"), latest_sale(view(spark, sf, "sale")), 2000
+        view(spark, sf, "property"), latest_sale(view(spark, sf, "sale"))
     )
 
 
@@ -515,7 +516,7 @@ def planning_totals(spark, sf):
 
 @query
 def flood_risk(spark, sf):
-    warnings = area_records.first_warnings(view(spark, sf, "flood_warning"))
+    warnings = view(spark, sf, "flood_warning")
     postcodes = view(spark, sf, "planning_entity").select("postcode").distinct()
     return area_records.flood_risk(postcodes, view(spark, sf, "flood_area"), warnings)
 
@@ -813,10 +814,13 @@ def naive_forecast_worst(spark, sf):
 
 # --- streams -----------------------------------------------------------------
 
+def table_stream(spark, sf, name):
+    """A table as a stream, whether it is one file or a folder of files."""
+    return jobs.stream_files(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
+
+
 def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    rows = jobs.stream_files(spark, sf, schema, "events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query
@@ -840,27 +844,37 @@ def stream_dedup(spark, sf):
     return rows.select("user_id", "event_type")
 
 
-@query
-def stream_ingest(spark, sf):
-    """Orders arrive as a stream of scraped records and are brought into the table."""
+def ingested(spark, sf):
+    """Tables of properties and sales after orders have arrived as a stream of scraped records."""
     store = staging_path(spark, "ingest")
     stored = view(spark, sf, "property").withColumn("url", F.lit(None).cast("string"))
-    properties = jobs.VersionedTable(spark, f"{store}/property", stored.schema)
-    properties.store(stored, -1)
+    properties = jobs.KeyedTable(spark, f"{store}/property", stored.schema, "address")
+    properties.rewrite(stored)
+    sales = jobs.KeyedTable(spark, f"{store}/sale", schemas.sale_schema(), "property_id")
+    bring_in = jobs.ingest_batch(properties, sales)
 
-    def bring_in(batch, batch_id):
+    def records_arrive(batch, batch_id):
         none = F.lit(None).cast("array<string>")
         session = batch.sparkSession
         places = {t: table(session, sf, t) for t in ("customer", "nation", "region")}
-        records = session.sql(VIEWS["record"], orders=batch, **places).withColumns(
-            {"extra_features": none, "floorplan_urls": none}
-        )
-        merged = upsert.upsert_properties(properties.read(before=batch_id), upsert.record_changes(records))
-        properties.store(merged, batch_id)
-
-    orders = jobs.stream_files(spark, sf, table(spark, sf, "orders").schema, "orders.parquet")
-    jobs.run_available(orders, bring_in, f"{store}/checkpoint")
-    return properties.read().select(*UPSERTED)
+        records = session.sql(VIEWS["record"], orders=batch, **places).withColumns({"extra_features": none, "floorplan_urls": none})
+        bring_in(records.withColumn("sales", F.array(F.struct(
+            F.col("date_sold"), F.col("price"), F.lit("").alias("price_change_pct"), F.col("sale_type").alias("property_type"), F.col("tenure")))), batch_id)
+
+    jobs.run_available(table_stream(spark, sf, "orders"), records_arrive, f"{store}/checkpoint")
+    return properties, sales
+
+
+@query
+def stream_ingest(spark, sf):
+    return ingested(spark, sf)[0].read().select(*UPSERTED)
+
+
+@query
+def stream_ingest_sales(spark, sf):
+    properties, sales = ingested(spark, sf)
+    places = properties.read().select(F.col("id").alias("property_id"), "address")
+    return sales.read().join(places, "property_id").select("address", "date_sold", "price", "price_numeric", "date_sold_iso", "property_type", "tenure")
 
 
 # --- pages -------------------------------------------------------------------

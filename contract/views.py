@@ -90,7 +90,8 @@ SELECT o_orderkey AS id, o_custkey AS property_id,
        CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN NULL
             ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date_sold_iso,
        CASE o_orderstatus WHEN 'F' THEN 'FREEHOLD' WHEN 'O' THEN 'LEASEHOLD' END AS tenure,
-       CASE o_orderpriority WHEN '1-URGENT' THEN ' Terraced' WHEN '2-HIGH' THEN 'flat' END AS property_type,
+       CASE o_orderpriority WHEN '1-URGENT' THEN ' Terraced' WHEN '2-HIGH' THEN 'flat' WHEN '3-MEDIUM' THEN ''
+         WHEN '5-LOW' THEN CASE WHEN o_orderstatus = 'F' THEN '  ' END END AS property_type,
        o_orderdate, o_totalprice, o_orderstatus
 FROM {orders}
 """,
@@ -154,7 +155,10 @@ SELECT o_orderkey AS seq, o_orderdate AS ingested_at,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS bathrooms,
        concat('/house/', CAST(o_orderkey AS STRING)) AS url,
        CASE WHEN o_orderstatus = 'P' THEN CAST(floor(o_totalprice) AS BIGINT) END AS asking_price,
-       'Offers over' AS asking_price_display
+       'Offers over' AS asking_price_display,
+       concat(CASE WHEN o_orderkey % 3 = 0 THEN '0' ELSE '' END, CAST(o_orderkey % 9 + 1 AS STRING), ' Nov ', CAST(year(o_orderdate) AS STRING)) AS date_sold,
+       concat('£', CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) + 1 AS STRING), ',500') AS price,
+       CASE o_orderstatus WHEN 'F' THEN 'Flat' ELSE 'House' END AS sale_type, lower('FREEHOLD') AS tenure
 FROM {{orders}} JOIN ({VIEWS["property"]}) AS p ON o_custkey = p.id
 """,
     "postcode_lookup": f"""
@@ -171,6 +175,8 @@ SELECT concat('E', {OUTCODE}) AS lsoa,
        CAST(n_nationkey % 4 + 1 AS INT) AS imd_housing_decile,
        CAST(n_nationkey % 3 + 1 AS INT) AS imd_environment_decile
 FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
+UNION ALL
+SELECT concat('E', {OUTCODE}), 1, 9, 9, 9, 9, 9, 9, 9 FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0
 """,
     "broadband": f"""
 SELECT replace(postcode, ' ', '-') AS postcode, CAST(max(c_custkey) % 900 AS DOUBLE) AS broadband_median_speed,
@@ -178,6 +184,9 @@ SELECT replace(postcode, ' ', '-') AS postcode, CAST(max(c_custkey) % 900 AS DOU
        CAST(max(c_custkey) % 90 AS DOUBLE) AS broadband_ultrafast_pct,
        CAST(max(c_custkey) % 80 AS DOUBLE) AS broadband_full_fibre_pct
 FROM ({PLACE}) AS place GROUP BY postcode
+UNION ALL
+SELECT replace(postcode, ' ', '-'), CAST(10 AS DOUBLE), CAST(100 AS DOUBLE), CAST(100 AS DOUBLE), CAST(100 AS DOUBLE)
+FROM ({PLACE}) AS place GROUP BY postcode HAVING max(c_custkey) % 2 = 0
 """,
     # Energy certificates: some with the exact address, some with its start, some unrelated.
     "epc_cert": f"""

@@ -199,7 +199,12 @@ def price_band(price: Column) -> Column:
 
 def property_type_key(*candidates: Column) -> Column:
     """First known type, trimmed and upper-cased, ``UNKNOWN`` when none is known."""
-    return F.upper(F.trim(F.coalesce(*candidates, F.lit("Unknown"))))
+    return F.upper(first_text(*candidates, F.lit("Unknown")))
+
+
+def first_text(*candidates: Column) -> Column:
+    """First value that is neither NULL nor blank, trimmed."""
+    return F.coalesce(*[blank_to_null(strip(c)) for c in candidates])
 
 
 def number_word(value: Column) -> Column:

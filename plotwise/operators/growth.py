@@ -16,9 +16,11 @@ BASE_YEAR = 2000.0  # keeps the regression sums small
 
 
 def parse_periods(periods: str) -> list[int]:
-    """``"1,3,5"`` to a list: whole years from 1 to 30, at most ten of them."""
-    years = [int(p) for p in (part.strip() for part in periods.split(",")) if p.isdigit()]
-    return [y for y in years if 1 <= y <= MAX_PERIOD_YEARS][:MAX_PERIODS]
+    """``"1,3,5"`` to a list: whole years from 1 to 30, at most ten of them; anything else is an error."""
+    years = [int(part) for part in periods.split(",")]
+    if len(years) > MAX_PERIODS or not all(1 <= y <= MAX_PERIOD_YEARS for y in years):
+        raise ValueError(f"expected up to {MAX_PERIODS} periods of 1 to {MAX_PERIOD_YEARS} years, got {periods!r}")
+    return years
 
 
 def annual_medians(base: DataFrame, key: str = "postcode") -> DataFrame:

@@ -12,7 +12,6 @@ from plotwise.operators.predicates import InsightsFilter
 from plotwise.operators.sales import display_type, sales_with_property
 
 BUCKETS = 20
-SCATTER_ROWS = 2000
 DEAL_ROWS = 50
 # A deal is more than 5 % below its postcode; risk steps at 15 and 25 %.
 DEAL_FLOOR_PCT, LOW_RISK_PCT, MEDIUM_RISK_PCT = 5, 15, 25
@@ -81,17 +80,17 @@ def time_series(base: DataFrame) -> DataFrame:
     )
 
 
-def scatter(base: DataFrame, limit: int = SCATTER_ROWS) -> DataFrame:
-    """Bedrooms against price, the first rows by sale id."""
-    return (
+def scatter(base: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bedrooms against price of every sale; with a limit, the first rows by sale id."""
+    points = (
         base.where(market.priced() & F.col("bedrooms").isNotNull())
         .select(
             "sale_id", "bedrooms", F.col("price_numeric").alias("price"),
             F.coalesce("postcode", F.lit("Unknown")).alias("postcode"),
             display_type().alias("property_type"),
         )
-        .orderBy("sale_id").limit(limit)
     )
+    return points if limit is None else points.orderBy("sale_id").limit(limit)
 
 
 def postcode_heatmap(base: DataFrame) -> DataFrame:

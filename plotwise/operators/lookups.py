@@ -36,10 +36,9 @@ def fill_missing(df: DataFrame, facts: DataFrame, on: Sequence[str], columns: Se
 
 
 def _one_per_key(dim: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Guard against repeated keys, so that a lookup never multiplies rows."""
-    return dim.where(F.col(key).isNotNull()).groupBy(key).agg(
-        *[F.max(c).alias(c) for c in columns]
-    )
+    """One whole row per key, so that a lookup neither multiplies rows nor mixes two."""
+    first = F.min(F.struct(*columns)).alias("_row")
+    return dim.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, "_row.*")
 
 
 def with_imd(properties: DataFrame, postcode_lookup: DataFrame, imd: DataFrame) -> DataFrame:
@@ -181,8 +180,8 @@ def _parts(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
 
 
 def _number_and_word(address: Column) -> Column:
-    """House number and the word after it, NULL without them."""
-    pattern = r"^(\d+)\s*(\S+)"
+    """House number and the word after it, NULL without them; the number is never cut."""
+    pattern = r"^(\d++)\s*(\S+)"
     number, word = F.regexp_extract(address, pattern, 1), F.regexp_extract(address, pattern, 2)
     return F.when(word != "", F.concat_ws(" ", number, word))
 

@@ -96,7 +96,7 @@ class InsightsFilter:
         parts = self._shared("price_numeric")
         if self.property_type:
             wanted = self.property_type.strip().upper()
-            parts.append(F.upper(F.coalesce("sale_type", "property_type")) == wanted)
+            parts.append(F.upper(text.first_text(F.col("sale_type"), F.col("property_type"))) == wanted)
         if self.tenure:
             parts.append(F.upper("tenure") == self.tenure.upper().strip())
         parts.append(listing_state(self.has_listing))

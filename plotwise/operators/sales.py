@@ -34,7 +34,7 @@ def sales_with_property(sales: DataFrame, properties: DataFrame,
 
 def display_type() -> Column:
     """Trimmed type in its own case, for row listings."""
-    return F.trim(F.coalesce("sale_type", "property_type", F.lit("Unknown")))
+    return text.first_text(F.col("sale_type"), F.col("property_type"), F.lit("Unknown"))
 
 
 def latest_sale(sales: DataFrame, priced: bool = True) -> DataFrame:

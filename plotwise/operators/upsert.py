@@ -63,7 +63,8 @@ def upsert_properties(properties: DataFrame, changes: DataFrame) -> DataFrame:
     own = [c for c in RECORD_COLUMNS if c in properties.columns]
     other = [c for c in properties.columns if c not in (*own, "id", "address", "created_at", "updated_at")]
     stored = properties.withColumn("seq", F.lit(-1).cast("bigint"))
-    arriving = changes.select("address", "seq", *own, F.col("ingested_at").alias("updated_at"))
+    # Records without an address have no property to go to.
+    arriving = changes.where(text.blank_to_null(text.strip(F.col("address"))).isNotNull()).select("address", "seq", *own, F.col("ingested_at").alias("updated_at"))
     both = stored.unionByName(arriving, allowMissingColumns=True)
     merged = both.groupBy("address").agg(
         F.max("id").alias("id"),
@@ -148,9 +149,11 @@ def upsert_planning(stored: DataFrame, arriving: DataFrame, now: datetime,
     stale = newest.where(expired("_newest", now, days)).select("postcode")
     kept = stored.join(stale, "postcode", "left_anti")
     columns = [c for c in stored.columns if c not in ("postcode", "reference")]
+    both = kept.withColumn("_new", F.lit(0)).unionByName(arriving.select(*stored.columns).withColumn("_new", F.lit(1)))
+    # Fetched at the same time, the arriving row wins; among equals the largest.
+    latest = F.max_by(F.struct(*columns), F.struct("fetched_at", "_new", F.struct(*columns)))
     return (
-        kept.unionByName(arriving.select(*stored.columns)).groupBy("postcode", "reference")
-        .agg(F.max_by(F.struct(*columns), "fetched_at").alias("r"))
+        both.groupBy("postcode", "reference").agg(latest.alias("r"))
         .select("postcode", "reference", "r.*").select(*stored.columns)
     )
 

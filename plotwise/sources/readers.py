@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotwise.functions import geo, text
-from plotwise.functions.numbers import finite
+from plotwise.functions.numbers import finite, half_even
 from plotwise.operators import area_records
 
 # Stop types, brands and report columns of the open-data files.
@@ -218,8 +218,11 @@ OSM_SCHEMA = (
 
 
 def read_map_elements(spark: SparkSession, path: str, kind: str, unnamed: str) -> DataFrame:
-    """Pubs or gyms from map extracts: own position, else that of the centre."""
-    elements = spark.read.schema(OSM_SCHEMA).json(path).select(F.explode("elements").alias("e"))
+    """Pubs or gyms from map extracts: own position, else that of the centre.
+
+    A file is one JSON document, on one line or many; a broken one is an error.
+    """
+    elements = spark.read.schema(OSM_SCHEMA).json(path, multiLine=True, mode="FAILFAST").select(F.explode("elements").alias("e"))
     lat = F.coalesce(F.nullif("e.lat", F.lit(0.0)), "e.center.lat")
     lon = F.coalesce(F.nullif("e.lon", F.lit(0.0)), "e.center.lon")
     rows = elements.select(
@@ -309,14 +312,14 @@ def read_broadband(spark: SparkSession, path: str) -> DataFrame:
         return F.coalesce(finite(_col(column)), F.lit(0.0))
 
     total = sum((number(c) for c in [*bands, *([ultra] if ultra else [])]), F.lit(0.0))
-    share = lambda c: F.round(number(c) / F.nullif(total, F.lit(0.0)) * 100, 1)
+    share = lambda c: half_even(number(c) / F.nullif(total, F.lit(0.0)) * 100, 1)
     none = F.lit(None).cast("double")
     return df.select(
         text.postcode_key(_col(postcode)).alias("postcode"),
-        (F.round(finite(_col(median)), 1) if median else none).alias("broadband_median_speed"),
+        (half_even(finite(_col(median)), 1) if median else none).alias("broadband_median_speed"),
         (share(superfast) if superfast and bands else none).alias("broadband_superfast_pct"),
         (share(ultra) if ultra and bands else none).alias("broadband_ultrafast_pct"),
-        (F.round(finite(_col(fibre)), 1) if fibre else none).alias("broadband_full_fibre_pct"),
+        (half_even(finite(_col(fibre)), 1) if fibre else none).alias("broadband_full_fibre_pct"),
     ).where(F.col("postcode").isNotNull())
 
 
@@ -338,7 +341,7 @@ def epc_cost(*costs: Column) -> Column:
 
 def read_epc(spark: SparkSession, path: str) -> DataFrame:
     """Certificates per postcode in the order of the file."""
-    rows = spark.read.schema(EPC_SCHEMA).json(path).select("postcode", F.posexplode("rows").alias("seq", "r"))
+    rows = spark.read.schema(EPC_SCHEMA).json(path, mode="FAILFAST").select("postcode", F.posexplode("rows").alias("seq", "r"))
     value = lambda name: F.col("r").getField(name)
     return rows.select(
         "postcode", F.col("seq").cast("bigint").alias("seq"), F.upper(value("address")).alias("address"),
@@ -352,7 +355,7 @@ def read_epc(spark: SparkSession, path: str) -> DataFrame:
 
 def read_crime(spark: SparkSession, path: str) -> DataFrame:
     """Street-crime records (postcode, category, month) with usable fields."""
-    df = spark.read.schema("postcode string, category string, month string").json(path)
+    df = spark.read.schema("postcode string, category string, month string").json(path, mode="FAILFAST")
     return df.where((F.col("category") != "") & F.col("month").rlike(area_records.CRIME_MONTH_PATTERN))
 
 
@@ -363,7 +366,7 @@ PLANNING_SCHEMA = (
 
 
 def read_planning(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(PLANNING_SCHEMA).json(path).select(
+    rows = spark.read.schema(PLANNING_SCHEMA).json(path, mode="FAILFAST").select(
         "postcode", "fetched_at", F.explode("entities").alias("e")
     )
     return area_records.planning_records(rows.select(
@@ -375,7 +378,7 @@ def read_planning(spark: SparkSession, path: str) -> DataFrame:
 
 def read_flood_areas(spark: SparkSession, path: str) -> DataFrame:
     schema = "postcode string, items array<struct<notation string>>"
-    return spark.read.schema(schema).json(path).select(
+    return spark.read.schema(schema).json(path, mode="FAILFAST").select(
         "postcode", F.explode("items.notation").alias("notation")
     ).withColumn("notation", F.coalesce("notation", F.lit("")))
 
@@ -383,13 +386,13 @@ def read_flood_areas(spark: SparkSession, path: str) -> DataFrame:
 def read_flood_warnings(spark: SparkSession, path: str) -> DataFrame:
     schema = ("postcode string, items array<struct<severityLevel string, message string,"
               " description string, eaAreaName string>>")
-    rows = spark.read.schema(schema).json(path).select("postcode", F.posexplode("items").alias("position", "w"))
-    return area_records.first_warnings(rows.select(
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST").select("postcode", F.posexplode("items").alias("position", "w"))
+    return rows.select(
         "postcode", "position",
         F.coalesce("w.severityLevel", F.lit("Unknown")).alias("severity"),
         F.coalesce("w.message", F.lit("")).alias("message"),
         F.coalesce("w.description", "w.eaAreaName", F.lit("")).alias("area"),
-    ))
+    )
 
 
 FOR_SALE_SCHEMA = (
@@ -428,7 +431,7 @@ def for_sale_records(listings: DataFrame, site: str = "") -> DataFrame:
 
 
 def read_for_sale(spark: SparkSession, path: str, site: str = "") -> DataFrame:
-    return for_sale_records(spark.read.schema(FOR_SALE_SCHEMA).json(path), site)
+    return for_sale_records(spark.read.schema(FOR_SALE_SCHEMA).json(path, mode="FAILFAST"), site)
 
 
 SALE_JSON = ("struct<dateSold string, price string, displayPrice string, priceChangePercentage string,"
@@ -476,4 +479,4 @@ def listing_to_property(listings: DataFrame, site: str = "") -> DataFrame:
 
 
 def read_listings(spark: SparkSession, path: str, site: str = "") -> DataFrame:
-    return listing_to_property(spark.read.schema(LISTING_SCHEMA).json(path), site)
+    return listing_to_property(spark.read.schema(LISTING_SCHEMA).json(path, mode="FAILFAST"), site)

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from plotwise.operators import upsert
-from plotwise.session import staging_path
+from plotwise.session import materialise, staging_path
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.parquet",
@@ -56,7 +56,12 @@ def collect_updates(stream: DataFrame, keys: Sequence[str], label: str, mode: st
     out, checkpoint = staging_path(spark, label), staging_path(spark, f"{label}-checkpoint")
     run_available(stream, _write_batches(out), checkpoint, mode)
     fields = StructType.fromJson(stream.schema.jsonValue()).add("batch_id", LongType())
-    written = spark.read.schema(fields).option("recursiveFileLookup", True).parquet(out)
+    try:
+        written = spark.read.schema(fields).option("recursiveFileLookup", True).parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = spark.createDataFrame([], fields)  # nothing arrived, so no batch wrote anything
     return upsert.latest_version(written, list(keys), "batch_id").drop("batch_id")
 
 
@@ -90,57 +95,55 @@ def freshness_view(stream: DataFrame, key: str, event_time: str) -> DataFrame:
 
 # --- continuous ingest -------------------------------------------------------
 
-class VersionedTable:
-    """A parquet table kept as numbered versions below the shared folder.
+class KeyedTable:
+    """A parquet table in parts by a hash of its key, of which a batch rewrites those it touches.
 
-    Versions are named after the batch that made them and count once the batch has
-    noted them in a small commit table. A batch repeated after a failure starts
-    from the same earlier version and replaces its own.
+    A batch repeated after a failure finds its own rows in place; bringing in the same
+    records twice changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, parts: int = 64) -> None:
+        self.spark, self.path, self.schema, self.key, self.parts = spark, path.rstrip("/"), schema, key, parts
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
 
-    def _newest(self, before: int | None) -> int | None:
+    def _stored(self) -> DataFrame:
+        fields = StructType(list(self.schema.fields)).add("_part", IntegerType())
         try:
-            commits = self.spark.read.schema("version bigint").option("recursiveFileLookup", True).parquet(f"{self.path}/commits")
+            return self.spark.read.schema(fields).parquet(self.path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return None
+                return self.spark.createDataFrame([], fields)
             raise
-        if before is not None:
-            commits = commits.where(F.col("version") < before)
-        return commits.agg(F.max("version")).first()[0]
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the one a given batch starts from."""
-        version = self._newest(before)
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self._version(version)
-
-    def _version(self, version: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/version={version}")
-
-    def store(self, df: DataFrame, version: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
-        self.spark.range(version, version + 1).toDF("version").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/commits/{version}")
-        return self._version(version)
-
-
-def ingest_batch(properties: VersionedTable, sales: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """Batch function that brings scraped records into the two tables."""
+
+    def read(self) -> DataFrame:
+        return self._stored().drop("_part")
+
+    def touched_by(self, rows: DataFrame) -> DataFrame:
+        """The stored parts that hold a key of ``rows``; there are at most ``parts`` numbers to collect."""
+        numbers = [r[0] for r in rows.select(self._part().alias("p")).distinct().collect()]
+        return self._stored().where(F.col("_part").isin(numbers)).drop("_part")
+
+    def rewrite(self, df: DataFrame) -> DataFrame:
+        """Put ``df`` in place of the parts it belongs to, and return it as written."""
+        whole = materialise(df.select(*self.schema.fieldNames()), "table-parts")
+        dealt = whole.withColumn("_part", self._part())
+        dealt.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.path)
+        return whole
+
+
+def ingest_batch(properties: KeyedTable, sales: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Batch function that brings scraped records into tables keyed by address and by property_id."""
     def apply(records: DataFrame, batch_id: int) -> None:
-        merged = upsert.upsert_properties(properties.read(before=batch_id), upsert.record_changes(records))
-        stored = properties.store(merged, batch_id)
-        arriving = upsert.with_property_id(upsert.sale_rows(records), stored)
-        sales.store(upsert.insert_sales(sales.read(before=batch_id), arriving), batch_id)
+        changes = upsert.record_changes(records)
+        merged = properties.rewrite(upsert.upsert_properties(properties.touched_by(changes), changes))
+        arriving = materialise(upsert.with_property_id(upsert.sale_rows(records), merged), "arriving-sales")
+        sales.rewrite(upsert.insert_sales(sales.touched_by(arriving), arriving))
     return apply
 
 
-def ingest(stream: DataFrame, properties: VersionedTable, sales: VersionedTable, checkpoint: str) -> StreamingQuery:
+def ingest(stream: DataFrame, properties: KeyedTable, sales: KeyedTable, checkpoint: str) -> StreamingQuery:
     return run_available(stream, ingest_batch(properties, sales), checkpoint)
 
 

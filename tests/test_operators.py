@@ -107,7 +107,10 @@ def test_leaderboard_order(tables):
 
 
 def test_periods_text():
-    assert growth.parse_periods("1, 3,x,40,10") == [1, 3, 10]
+    assert growth.parse_periods("1, 3,10") == [1, 3, 10]
+    for wrong in ("1,x", "40", "0", ",".join(map(str, range(1, 12)))):
+        with pytest.raises(ValueError):
+            growth.parse_periods(wrong)
 
 
 def test_order_statistics_match_python(spark):

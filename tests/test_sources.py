@@ -100,7 +100,7 @@ def test_landed_records(spark, tmp_path):
     row = readers.read_planning(spark, write(tmp_path / "p.json", json.dumps(plan))).first()
     assert (row["reference"], row["status"], row["is_major"], row["application_type"]) == ("9", "decided", True, "other")
     flood = {"postcode": "A", "items": [{"severityLevel": "3", "eaAreaName": "x"}] * 12}
-    assert readers.read_flood_warnings(spark, write(tmp_path / "f.json", json.dumps(flood))).count() == 10
+    assert readers.read_flood_warnings(spark, write(tmp_path / "f.json", json.dumps(flood))).count() == 12
     crime = '{"postcode":"A","category":"burglary","month":"2023-01"}\n{"postcode":"A","category":"","month":"2023-01"}\n{"postcode":"A","category":"x","month":"2023"}\n'
     assert readers.read_crime(spark, write(tmp_path / "c.json", crime)).count() == 1
 
