@@ -46,7 +46,7 @@ GATHER = 2_000_000
 LEADERS = 4
 #: Pairs between classes, for each member of a region, up to which they are looked at one by
 #: one: in the first round, when a region's documents are still classes of their own, and later.
-DENSE = (16, 128)
+DENSE = (16, 1024)
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -287,7 +287,7 @@ def still_in_reach(members: DataFrame, percent: int) -> DataFrame:
 
 def classes(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of every set that is linked with another one."""
-    placed = sets.select("set_id", "size", "alone", F.posexplode("pivots").alias("at", "pivot")).select("pivot", "set_id", "size", (F.col("alone") + F.col("at")).alias("missed"))
+    placed = sets.select("set_id", "size", "alone", F.posexplode("pivots").alias("at", "pivot")).select("pivot", "set_id", "size", "alone", (F.col("alone") + F.col("at")).alias("missed"))
     crowded = placed.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
     members = placed.join(crowded, "pivot", "left_semi")
     links: DataFrame | None = None
@@ -298,7 +298,7 @@ def classes(sets: DataFrame, percent: int) -> DataFrame:
             labelled = members.withColumn("class", F.col("set_id"))
         else:
             labelled = members.join(found, F.col("set_id") == F.col("node"), "left").select(
-                "pivot", "set_id", "size", "missed", F.coalesce("component", "set_id").alias("class"))
+                "pivot", "set_id", "size", "alone", "missed", F.coalesce("component", "set_id").alias("class"))
         labelled = materialise(labelled, "labelled-regions")
         by_class = labelled.groupBy("pivot", "class").agg(F.count("*").alias("n"))
         regions = by_class.groupBy("pivot").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
@@ -311,7 +311,11 @@ def classes(sets: DataFrame, percent: int) -> DataFrame:
         within = few.alias("x").join(few.alias("y"), F.col("x.pivot") == F.col("y.pivot")).where(
             (F.col("x.class") != F.col("y.class")) & (F.col("x.set_id") < F.col("y.set_id")) & feasible(percent)).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
         many = active.where("not few")
-        leaders = many.groupBy("pivot", F.pmod(F.xxhash64("set_id"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("missed", "set_id", "size", "class")).alias("l")).select("pivot", "l.*")
+        # At first, sets with the fewest n-grams of their own lead: they are likeliest to be close
+        # to all others, and as they lead every region they are in, few pairs are compared twice.
+        # Later, those that have missed least: without them most others are out of reach.
+        first = F.col("alone") if found is None else F.col("missed")
+        leaders = many.groupBy("pivot", F.pmod(F.xxhash64("set_id"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(first.alias("first"), "set_id", "missed", "size", "class")).alias("l")).select("pivot", "l.*")
         leaders = materialise(leaders, "leaders")
         led = many.alias("x").join(leaders.alias("y"), F.col("x.pivot") == F.col("y.pivot")).where(
             (F.col("x.class") != F.col("y.class")) & (F.col("x.set_id") != F.col("y.set_id")) & feasible(percent)).select(
@@ -321,7 +325,7 @@ def classes(sets: DataFrame, percent: int) -> DataFrame:
         links = fresh if links is None else links.unionByName(fresh)
         found = materialise(components(links), "classes")
         # Leaders have met all members of their region; few-pair regions are done.
-        members = materialise(many.join(leaders.select("pivot", "set_id"), ["pivot", "set_id"], "left_anti").select("pivot", "set_id", "size", "missed"), "regions")
+        members = materialise(many.join(leaders.select("pivot", "set_id"), ["pivot", "set_id"], "left_anti").select("pivot", "set_id", "size", "alone", "missed"), "regions")
     if found is None:
         return sets.sparkSession.createDataFrame([], "node long, component long")
     return found
