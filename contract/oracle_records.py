@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from contract import phrases
 from contract.oracle import BASE, ORACLE, STREET, on_base, on_views
 from contract.views import with_views
-from plotwise.functions.features import BOOLEAN_PATTERNS, FEATURE_COLUMNS, LABEL_RULES
+from plotwise.functions.features import FEATURE_COLUMNS
 from plotwise.operators import spatial, text_reports
 from plotwise.operators.area_records import (
     CRIME_CATEGORIES, CRIME_COLUMNS, MAJOR_KEYWORDS, PLANNING_CODES,
@@ -17,7 +18,8 @@ def q(value: str) -> str:
 
 
 # --- listing features --------------------------------------------------------
-# Written phrase by phrase over a list, where the library searches joined text.
+# Yes/no columns and labels are stated phrase by phrase; the others are written over a
+# list of phrases, where the library searches joined text.
 
 PHRASES = """
 feats AS (
@@ -41,10 +43,6 @@ def _first(expression: str) -> str:
     return f"list_filter(list_transform(f, lambda x: {expression}), lambda v: v IS NOT NULL)[1]"
 
 
-def _labels(rules) -> str:
-    return "CASE " + " ".join(f"WHEN {_search(p)} THEN {q(label)}" for p, label in rules) + " END"
-
-
 def _extract(pattern: str, value: str = "x") -> str:
     return f"nullif(regexp_extract({value}, {q(pattern)}, 1, 'i'), '')"
 
@@ -58,21 +56,6 @@ def _word_number(value: str) -> str:
 
 
 SPECIAL = {
-    "needs_modernisation": _any(_search(r"(need|in need|require).*(modernis|updat|renovat|refurb)")),
-    "original_features": _any(_search(r"original\s*features|retain.*original")),
-    "lift": _any("lower(x) = 'lift' OR contains(lower(x), 'lift access') OR contains(lower(x), 'elevator')"),
-    "study": _any(
-        "lower(x) IN ('study', 'home office', 'office', 'study room') OR ("
-        + _search(r"\bstudy\b") + " AND len(x) < 30) OR " + _search(r"home\s*office|study/office|office/study")),
-    "cellar": _any("contains(lower(x), 'cellar') OR contains(lower(x), 'undercroft') OR "
-                   "lower(x) IN ('basement', 'basement room', 'basement storage')"),
-    "extended": _any("(" + _search(r"\bextend(ed|sion)\b") + " AND NOT contains(lower(x), 'potential'))"
-                     " OR contains(lower(x), 'side return')"),
-    "side_access": _any(_search(r"side\s*(access|return|entrance|gate|passage)")
-                        + " AND NOT contains(lower(x), 'extension')"),
-    "separate_living_room": _any(
-        "lower(x) IN ('sitting room', 'living room', 'drawing room', 'lounge', 'living/dining room', 'front room')"
-        " OR " + _search(r"^(separate|large|spacious|bright)\s*(sitting|living|drawing)\s*room$")),
     "chain_free": _first(
         "CASE WHEN " + _search("no onward chain|chain free|no chain|no forward chain|chain-free")
         + " THEN TRUE WHEN contains(lower(x), 'end of chain') THEN FALSE END"),
@@ -128,9 +111,9 @@ SPECIAL["epc_rating"] = f"upper({_first(_extract(r'(?:epc|energy)\b.*\b([A-G])\b
 def _feature_sql(name: str) -> str:
     if name in SPECIAL:
         return SPECIAL[name]
-    if name in LABEL_RULES:
-        return _first(_labels(LABEL_RULES[name]))
-    return _any(_search(BOOLEAN_PATTERNS[name]))
+    if name in phrases.LABELLED:
+        return _first("CASE x " + " ".join(f"WHEN {q(p)} THEN {q(label)}" for p, label in phrases.labels(name).items()) + " END")
+    return f"CASE WHEN list_has_any(f, [{', '.join(map(q, phrases.setting(name)))}]) THEN TRUE END"
 
 
 PARSED = PHRASES + ", parsed AS MATERIALIZED (SELECT id, " + ",\n".join(

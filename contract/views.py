@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contract.phrases import more_case
+
 OUTCODE = "concat(upper(left(r_name, 2)), CAST(n_nationkey AS STRING))"
 
 PLACE = f"""
@@ -50,9 +52,10 @@ CASE
     CASE c_custkey % 7
       WHEN 0 THEN 'Fireplace' WHEN 1 THEN 'Porch' WHEN 2 THEN 'Utility room' WHEN 3 THEN ''
       WHEN 4 THEN 'Newly refurbished' WHEN 5 THEN 'Cul-de-sac location' ELSE '95 year lease' END,
+    '", "', @MORE@,
     '"]')
 END
-"""
+""".replace("@MORE@", more_case("c_custkey * 7 + c_custkey % 29"))
 
 VIEWS: dict[str, str] = {
     "property": f"""
