@@ -513,6 +513,21 @@ on_views("naive_forecast_worst", f"""WITH {PAIRS}
 SELECT property_id, sale_id, latest AS price_numeric, CAST(previous AS DOUBLE) AS predicted, CAST(latest AS DOUBLE) AS actual,
        CAST(previous - latest AS DOUBLE) AS residual FROM pairs ORDER BY abs(residual) DESC, sale_id LIMIT 10""", "sale")
 
+HELD_OUT = "SELECT count(*) AS n FROM sale s JOIN property p ON s.property_id = p.id WHERE price_numeric IS NOT NULL AND date_sold_iso >= '2000-01-01'"
+on_views("ml_metrics", f"SELECT n, TRUE AS mae_positive, TRUE AS rmse_at_least_mae, TRUE AS r_squared_below_one FROM ({HELD_OUT})", "property", "sale")
+on_views("ml_worst_predictions", f"SELECT least(n, 10) AS n, TRUE AS ordered, TRUE AS none_worse FROM ({HELD_OUT})", "property", "sale")
+on_views("ml_predictions", """
+SELECT p.id AS property_id, p.address, x.price AS last_sale_price, TRUE AS valued, coalesce(x.price, 0) <> 0 AS compared
+FROM property p LEFT JOIN (SELECT property_id, arg_max(price_numeric, (date_sold_iso, id)) AS price FROM sale
+  WHERE price_numeric IS NOT NULL AND date_sold_iso IS NOT NULL GROUP BY 1) x ON x.property_id = p.id""", "property", "sale")
+ORACLE["ml_importance"] = """
+SELECT unnest(['bedrooms', 'bathrooms', 'property_type', 'latitude', 'longitude', 'tenure', 'sale_year', 'parking']) AS feature,
+       TRUE AS is_share, TRUE AS adds_up"""
+on_views("ml_residual_histogram", f"""WITH {PAIRS}, r AS (SELECT CAST(previous - latest AS DOUBLE) AS residual FROM pairs),
+x AS (SELECT min(residual) AS lo, max(residual) AS hi FROM r)
+SELECT CAST(least(floor((residual - lo) / ((hi - lo) / 20)), 19) AS INT) AS bucket, count(*) AS count,
+       min(residual) AS min_residual, max(residual) AS max_residual FROM r, x GROUP BY 1""", "sale")
+
 # --- streams -----------------------------------------------------------------
 
 ORACLE["stream_period_totals"] = """

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotwise.functions.numbers import half_even
 from plotwise.operators.dataset import feature_kinds
+from plotwise.session import materialise
 
 DEFAULT_CUTOFF = "2024-01-01"
 TEST_RATIO, SPLIT_SEED = 0.2, 42
 MIN_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 20, 5, 2
-CATEGORY_SLOTS = 64
+# Rows that the overall mean counts for in the mean of a category.
+PRIOR_ROWS = 10.0
 SPLIT_BUCKETS = 10000
 
 
@@ -51,6 +53,8 @@ class PriceModel:
     numeric: list[str]
     categorical: list[str]
     log_transform: bool = False
+    encodings: dict[str, DataFrame] = field(default_factory=dict)
+    overall: float = 0.0
     importances: list[tuple[str, float]] = field(default_factory=list)
 
 
@@ -58,21 +62,30 @@ def _missing(name: str) -> str:
     return f"{name}__missing"
 
 
-def prepare(data: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Numbers with a missing flag, categories as hashed slots marked nominal.
+def _category(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
-    Hashing needs no dictionary pass and no driver state however many station
-    names there are; the column metadata tells the trees to split by category.
+
+def encode_categories(rows: DataFrame, categorical: Sequence[str], label: str) -> tuple[dict[str, DataFrame], float]:
+    """Mean label of every category of the training rows, drawn to the overall mean where rows are few.
+
+    Each category keeps a value of its own, however many there are; the tables are as
+    long as the categories and are joined, never collected.
     """
-    flags = {_missing(c): F.col(c).isNull().cast("double") for c in numeric}
-    slots = {}
+    overall = rows.agg(F.avg(label)).first()[0] or 0.0
+    tables = {}
     for c in categorical:
-        meta = {"ml_attr": {"type": "nominal", "name": f"{c}__slot", "num_vals": CATEGORY_SLOTS}}
-        slot = F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(CATEGORY_SLOTS)).cast("double")
-        slots[f"{c}__slot"] = slot.alias(f"{c}__slot", metadata=meta)
-    return data.select(
-        "*", *[v.alias(k) for k, v in flags.items()], *slots.values()
-    )
+        mean = (F.sum(label) + F.lit(PRIOR_ROWS * overall)) / (F.count(label) + F.lit(PRIOR_ROWS))
+        tables[c] = materialise(rows.groupBy(_category(c).alias(f"{c}__key")).agg(mean.alias(f"{c}__mean")), "encoding")
+    return tables, overall
+
+
+def prepare(data: DataFrame, numeric: Sequence[str], encodings: dict[str, DataFrame], overall: float) -> DataFrame:
+    """Numbers with a missing flag, categories as their mean label; unseen ones get the overall mean."""
+    ready = data.select("*", *[F.col(c).isNull().cast("double").alias(_missing(c)) for c in numeric])
+    for c, table in encodings.items():
+        ready = ready.join(table, _category(c) == F.col(f"{c}__key"), "left").drop(f"{c}__key").fillna({f"{c}__mean": overall})
+    return ready
 
 
 def _varying(data: DataFrame, numeric: Sequence[str]) -> list[str]:
@@ -87,7 +100,7 @@ def _varying(data: DataFrame, numeric: Sequence[str]) -> list[str]:
 
 
 def train(rows: DataFrame, target: str, features: Sequence[str], log_transform: bool = False,
-          rounds: int = 20, depth: int = 5, learning_rate: float = 0.1) -> PriceModel:
+          rounds: int = 100, depth: int = 6, learning_rate: float = 0.1) -> PriceModel:
     """Gradient-boosted regression over numeric and categorical features."""
     kinds = feature_kinds()
     present = [f for f in features if f in rows.columns and f != target]
@@ -97,10 +110,12 @@ def train(rows: DataFrame, target: str, features: Sequence[str], log_transform:
     rows = rows.where(F.col(target).isNotNull())
     numeric = _varying(rows, [f for f in present if f not in categorical])
     label = F.log1p(F.col(target)) if log_transform else F.col(target)
-    ready = prepare(rows, numeric, categorical).withColumn("_label", label.cast("double"))
+    labelled = rows.withColumn("_label", label.cast("double"))
+    encodings, overall = encode_categories(labelled, categorical, "_label")
+    ready = materialise(prepare(labelled, numeric, encodings, overall), "training-rows")
     inputs = (
         [f"{c}__filled" for c in numeric] + [_missing(c) for c in numeric]
-        + [f"{c}__slot" for c in categorical]
+        + [f"{c}__mean" for c in categorical]
     )
     stages = []
     if numeric:
@@ -109,8 +124,7 @@ def train(rows: DataFrame, target: str, features: Sequence[str], log_transform:
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
     stages.append(GBTRegressor(
         featuresCol="_features", labelCol="_label", predictionCol="_prediction", maxIter=rounds,
-        maxDepth=depth, stepSize=learning_rate, seed=SPLIT_SEED, maxBins=CATEGORY_SLOTS,
-        cacheNodeIds=False,
+        maxDepth=depth, stepSize=learning_rate, seed=SPLIT_SEED, cacheNodeIds=False,
     ))
     fitted = Pipeline(stages=stages).fit(ready)
     weights = fitted.stages[-1].featureImportances.toArray()
@@ -118,13 +132,13 @@ def train(rows: DataFrame, target: str, features: Sequence[str], log_transform:
     for column, weight in zip(inputs, weights):
         name = column.rsplit("__", 1)[0]
         shares[name] = shares.get(name, 0.0) + float(weight)
-    return PriceModel(fitted, target, numeric, categorical, log_transform,
+    return PriceModel(fitted, target, numeric, categorical, log_transform, encodings, overall,
                       sorted(shares.items(), key=lambda kv: -kv[1]))
 
 
 def score(model: PriceModel, rows: DataFrame) -> DataFrame:
     """Add ``predicted`` on the original scale."""
-    scored = model.fitted.transform(prepare(rows, model.numeric, model.categorical))
+    scored = model.fitted.transform(prepare(rows, model.numeric, model.encodings, model.overall))
     raw = F.expm1("_prediction") if model.log_transform else F.col("_prediction")
     return scored.select(*rows.columns, raw.alias("predicted"))
 
@@ -185,16 +199,20 @@ def predictions(scored: DataFrame) -> DataFrame:
 def save(spark: SparkSession, model: PriceModel, path: str) -> None:
     """Store the fitted stages and the column roles below one path."""
     model.fitted.write().overwrite().save(f"{path}/stages")
-    roles = [(model.target, model.numeric, model.categorical, model.log_transform)]
+    roles = [(model.target, model.numeric, model.categorical, model.log_transform, model.overall)]
     spark.createDataFrame(
-        roles, "target string, numeric array<string>, categorical array<string>, log_transform boolean"
+        roles, "target string, numeric array<string>, categorical array<string>, log_transform boolean, overall double"
     ).write.mode("overwrite").parquet(f"{path}/roles")
+    for name, table in model.encodings.items():
+        table.write.mode("overwrite").parquet(f"{path}/encodings/{name}")
 
 
 def load(spark: SparkSession, path: str) -> PriceModel:
     roles = spark.read.parquet(f"{path}/roles").first()
+    categorical = list(roles["categorical"])
+    encodings = {name: spark.read.parquet(f"{path}/encodings/{name}") for name in categorical}
     return PriceModel(PipelineModel.load(f"{path}/stages"), roles["target"], list(roles["numeric"]),
-                      list(roles["categorical"]), roles["log_transform"])
+                      categorical, roles["log_transform"], encodings, roles["overall"])
 
 
 def residual_histogram(residuals: DataFrame, buckets: int = 20) -> DataFrame:
