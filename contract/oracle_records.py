@@ -554,4 +554,12 @@ ORACLE["page_addresses"] = r"""SELECT page_id, url, address,
 FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
         '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS address FROM pages) WHERE address <> ''"""
+# A page without a heading has neither address nor postcode.
+on_views("page_extract", """
+SELECT id AS page_id, concat('/house/', id) AS url, CASE WHEN id % 10 = 9 THEN '' ELSE trim(address) END AS address, CASE WHEN id % 10 <> 9 THEN postcode END AS postcode, 'Terraced' AS property_type,
+       CAST(id % 6 AS INT) AS bedrooms, CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE id % 3 END AS INT) AS bathrooms,
+       concat('Garage|', id, ' sq ft') AS extra_features, concat('/fp', id, '.png|/floorplan.JPG') AS floorplan_urls,
+       concat(id % 28 + 1, ' Nov 2019|£', id, ',000|+', id % 5, '%|Flat|Leasehold',
+              CASE WHEN id % 2 = 0 THEN concat(';1 Jan 2010|£', id, '|||Freehold') ELSE '' END) AS sales
+FROM property""", "property")
 on_views("area_postcodes", "SELECT DISTINCT postcode FROM property WHERE outcode = 'AM1'", "property")

@@ -895,12 +895,19 @@ def stream_ingest_sales(spark, sf):
 
 @query
 def page_extract(spark, sf):
-    return html_pages.extract_pages(table(spark, sf, "pages"))
+    """Everything a property page holds; lists as text."""
+    pages = html_pages.extract_pages(view(spark, sf, "property_page"))
+    sale = lambda s: F.concat_ws("|", s["date_sold"], s["price"], s["price_change_pct"], s["property_type"], s["tenure"])
+    return pages.select(
+        "page_id", "url", "address", "postcode", "property_type", "bedrooms", "bathrooms",
+        F.array_join("extra_features", "|").alias("extra_features"), F.array_join("floorplan_urls", "|").alias("floorplan_urls"),
+        F.array_join(F.transform("sales", sale), ";").alias("sales"),
+    )
 
 
 @query
 def page_addresses(spark, sf):
-    return page_extract(spark, sf).select("page_id", "url", "address", "postcode")
+    return html_pages.extract_pages(table(spark, sf, "pages")).select("page_id", "url", "address", "postcode")
 
 
 @query

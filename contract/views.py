@@ -220,6 +220,23 @@ SELECT concat('AF', CAST(p_partkey % 25 AS STRING), ' ', CAST(p_size % 9 + 1 AS
        CASE WHEN p_size > 40 THEN '2024-03-01' WHEN p_size > 30 THEN '' END AS decision_date,
        CAST(DATE '2024-01-01' + CAST(p_size AS INT) AS TIMESTAMP) AS fetched_at
 FROM {part}
+""",
+    # Property pages as they are landed, one for each property.
+    "property_page": f"""
+SELECT id AS page_id, concat('/house/', CAST(id AS STRING)) AS url,
+       concat('<!DOCTYPE html><html><head><title>x</title><script>var h = "<h1>no</h1>";</script></head><body>',
+         CASE WHEN id % 10 = 9 THEN '' ELSE concat('<h1> ', address, ' </h1>') END,
+         '<table><tr><th>Date</th><th>Change</th><th>Price</th><th>Property</th><th>Tenure</th></tr><tr><td>',
+         CAST(id % 28 + 1 AS STRING), ' Nov 2019</td><td>+', CAST(id % 5 AS STRING), '%</td><td>&pound;', CAST(id AS STRING),
+         ',000</td><td>Flat</td><td>Leasehold</td></tr>',
+         CASE WHEN id % 2 = 0 THEN concat('<tr><td>1 Jan 2010</td><td></td><td>£', CAST(id AS STRING), '</td><td>Freehold</td></tr>') ELSE '' END,
+         '<tr><td>x</td></tr></table><table><tr><td>a</td><td>b</td><td>c</td></tr></table>',
+         '<div><h2>Key Features</h2><p>text</p><ul><li>Garage</li><li> </li><li>', CAST(id AS STRING), ' sq ft</li></ul></div><ul><li>menu</li></ul>',
+         '<dl><dt>Bedrooms</dt><dd>', CAST(id % 6 AS STRING), ' beds</dd><dt>Bathrooms</dt><dd>',
+         CASE WHEN id % 3 = 0 THEN 'two' ELSE CAST(id % 3 AS STRING) END, '</dd><dt>Type</dt><dd>Terraced</dd></dl>',
+         '<img src="/fp', CAST(id AS STRING), '.png" alt="Floorplan"><a href="/floorplan.JPG">see</a>',
+         CASE WHEN id % 4 = 0 THEN concat('<img src="/fp', CAST(id AS STRING), '.png" class="big floorplan">') ELSE '' END, '</body></html>') AS html
+FROM ({VIEWS["property"]}) AS p
 """,
     "flood_area": """
 SELECT concat('AF', CAST(s_suppkey % 25 AS STRING), ' ', CAST(s_nationkey % 9 + 1 AS STRING), 'AB') AS postcode,
@@ -260,6 +277,7 @@ SOURCES = {
     "broadband": PLACES,
     "epc_cert": ORDERS_AND_PLACES,
     "planning_entity": ("part",),
+    "property_page": PLACES,
     "flood_area": ("supplier",),
     "flood_warning": ("supplier",),
     "listing_page": ("customer",),
