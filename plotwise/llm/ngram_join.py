@@ -39,9 +39,9 @@ from plotwise.session import materialise
 WORDS = 4
 PERCENT = 85
 #: n-grams in a block of hashes.
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 #: n-grams gathered in a task before they are dealt to the blocks.
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Members of a region that all others are compared with in a round.
 LEADERS = 4
 #: Pairs between classes, for each member of a region, up to which they are looked at one by

@@ -38,7 +38,7 @@ TOUCH = 3
 #: Words in a stretch by which documents are cut for alignment.
 STRETCH = 64
 #: Seeds in a block of hashes, and seeds gathered in a task before they are dealt.
-BLOCK = GATHER = 2_000_000
+BLOCK = GATHER = 1_000_000
 #: Words of a gap up to which it is aligned word by word; a longer one counts as unequal.
 LONGEST_GAP = 64
 
