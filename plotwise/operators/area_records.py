@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.functions import text
 from plotwise.operators.predicates import listing_is_fresh
@@ -69,11 +69,10 @@ def crime_summary(counts: DataFrame) -> DataFrame:
         F.sum("count").alias("count"), F.grouping("category").alias("_c"), F.grouping("month").alias("_m"),
     )
     facet = F.when(F.col("_c") == 0, "category").when(F.col("_m") == 0, "month").otherwise("total")
-    months = counts.select("postcode", "month").distinct().groupBy("postcode").agg(
-        F.count("*").alias("_months")
-    )
     rows = sets.select("postcode", facet.alias("facet"), F.coalesce("category", "month").alias("value"), "count")
-    return rows.join(months, "postcode").select(
+    # The month rows of a postcode are its months with data.
+    months = F.count_if(F.col("facet") == "month").over(Window.partitionBy("postcode"))
+    return rows.withColumn("_months", months).select(
         "postcode", "facet", "value", "count",
         F.when(F.col("facet") == "total", F.col("_months")).alias("months_covered"),
     )

@@ -129,15 +129,19 @@ def _price_cells(base: DataFrame) -> DataFrame:
 def _overall(cells: DataFrame) -> DataFrame:
     """Total sales, spread and median over all cells."""
     by_price = cells.groupBy("price_numeric").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    ranked = order_stats.with_running_counts(by_price, [], "price_numeric")
-    price = F.col("price_numeric").cast("double")
+    # Squares are taken around a price in the middle: sums of plain squares cancel.
+    centre = by_price.agg(F.avg("price_numeric").alias("centre"))
+    ranked = order_stats.with_running_counts(by_price, [], "price_numeric").withColumn("_centre", centre.scalar())
+    price = F.col("price_numeric").cast("double") - F.col("_centre")
     sums = ranked.agg(
+        F.max("_centre").alias("centre"),
         F.sum("rows").alias("total_sales"), F.sum("n").alias("n"),
         order_stats.mean_expr("price_numeric").alias("mean"),
         F.sum(price * price * F.col("n")).alias("squares"),
         order_stats.median_expr("price_numeric").alias("median"),
     )
-    variance = (F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
+    off = F.col("mean") - F.col("centre")
+    variance = (F.col("squares") - F.col("n") * off * off) / (F.col("n") - 1)
     return sums.withColumn("sd", F.when(F.col("n") >= 2, F.sqrt(F.greatest(variance, F.lit(0.0)))))
 
 
