@@ -128,7 +128,10 @@ _FACETS = [
 ]
 on_base("summary_grouping_sets", " UNION ALL ".join(f"""
 SELECT postcode_clean, '{facet}' AS facet, {value} AS value, count(*) AS count,
-       {'CAST(NULL AS BIGINT)' if facet == 'year' else whole('avg(price_numeric)')} AS avg_price
+       {'CAST(NULL AS BIGINT)' if facet == 'year' else whole('avg(price_numeric)')} AS avg_price,
+       {whole('median(price_numeric)') if facet == 'month' else 'CAST(NULL AS BIGINT)'} AS median_price,
+       {'min(price_numeric)' if facet == 'month' else 'CAST(NULL AS BIGINT)'} AS min_price,
+       {'max(price_numeric)' if facet == 'month' else 'CAST(NULL AS BIGINT)'} AS max_price
 FROM sbase WHERE {value} IS NOT NULL AND {condition} GROUP BY postcode_clean, {value}"""
     for facet, value, condition in _FACETS), "," + STREET)
 

@@ -160,7 +160,9 @@ def summary_grouping_sets(base: DataFrame, key: str = "postcode_clean") -> DataF
     """Count and mean price per postcode and facet, all six facets in one pass.
 
     One scan and one shuffle through GROUPING SETS; ``facet`` names the column
-    that ``value`` comes from. The year facet also counts unpriced sales.
+    that ``value`` comes from. The year facet also counts unpriced sales. Months
+    also have extremes and a true median, which is found from price counts, so that
+    no group of prices is held in memory.
     """
     slim = base.select(
         key, "price_numeric", *[F.col(c).cast("string").alias(c) for c in SUMMARY_FACETS]
@@ -171,23 +173,28 @@ def summary_grouping_sets(base: DataFrame, key: str = "postcode_clean") -> DataF
         F.count("*").alias("rows"),
         F.count("price_numeric").alias("priced_rows"),
         whole(F.avg("price_numeric")).alias("avg_price"),
+        F.min("price_numeric").alias("low"), F.max("price_numeric").alias("high"),
         *[F.grouping(facet).alias(f"_g_{facet}") for facet in SUMMARY_FACETS],
     )
     facet_name = F.coalesce(*[
         F.when(F.col(f"_g_{facet}") == 0, F.lit(facet)) for facet in SUMMARY_FACETS
     ])
     facet_value = F.coalesce(*SUMMARY_FACETS)
-    is_year = F.col("facet") == "year"
+    is_year, is_month = F.col("facet") == "year", F.col("facet") == "month"
+    medians = order_stats.price_stats(base.where(priced() & F.col("month").isNotNull()), [key, "month"], "price_numeric").select(
+        F.col(key).alias("_key"), F.col("month").alias("_month"), whole(F.col("median")).alias("median"))
     return (
         sets.select(
             key, facet_name.alias("facet"), facet_value.alias("value"),
-            "rows", "priced_rows", "avg_price",
+            "rows", "priced_rows", "avg_price", "low", "high",
         )
         .where(F.col("value").isNotNull())
         .withColumn("count", F.when(is_year, F.col("rows")).otherwise(F.col("priced_rows")))
         .where(F.col("count") > 0)
+        .join(medians, is_month & F.col(key).eqNullSafe(F.col("_key")) & (F.col("value") == F.col("_month")), "left")
         .select(key, "facet", "value", "count",
-                F.when(~is_year, F.col("avg_price")).alias("avg_price"))
+                F.when(~is_year, F.col("avg_price")).alias("avg_price"), F.col("median").alias("median_price"),
+                F.when(is_month, F.col("low")).alias("min_price"), F.when(is_month, F.col("high")).alias("max_price"))
     )
 
 
