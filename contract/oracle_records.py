@@ -410,7 +410,7 @@ SELECT p.address, p.postcode, p.bedrooms, r.date_sold, r.price, s.tenure
 FROM property p JOIN raw_sale r ON r.property_id = p.id JOIN sale s ON s.id = r.id
 WHERE r.id = (SELECT max(x.id) FROM raw_sale x WHERE x.property_id = p.id)""", "property", "sale", "raw_sale")
 on_views("sales_export", """
-SELECT p.outcode, p.address, p.postcode, coalesce(s.property_type, p.property_type) AS property_type, p.bedrooms,
+SELECT p.outcode, p.address, p.postcode, CASE WHEN trim(s.property_type) <> '' THEN s.property_type ELSE p.property_type END AS property_type, p.bedrooms,
        p.bathrooms, p.extra_features, NULL AS floorplan_urls, NULL AS url, r.date_sold, s.date_sold_iso, r.price,
        s.price_numeric, NULL AS price_change_pct, s.tenure
 FROM property p JOIN raw_sale r ON r.property_id = p.id JOIN sale s ON s.id = r.id""", "property", "sale", "raw_sale")

@@ -20,7 +20,7 @@ def _sales_of(properties: DataFrame, sales: DataFrame) -> DataFrame:
     sold = sales.select(
         F.col("id").alias("sale_id"), F.col("property_id").alias("id"), "date_sold", "date_sold_iso",
         "price", "price_numeric", "price_change_pct", "tenure",
-        text.blank_to_null(F.col("property_type")).alias("_sale_type"),
+        F.when(text.strip(F.col("property_type")) != "", F.col("property_type")).alias("_sale_type"),
     )
     return properties.join(sold, "id").withColumn(
         "property_type", F.coalesce("_sale_type", "property_type")
