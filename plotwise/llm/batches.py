@@ -5,25 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-#: Rows and characters handled at a time, so that a batch of long texts stays small in memory.
+#: Rows and bytes handled at a time, so that a batch of long texts stays small in memory.
 ROWS = 512
-CHARACTERS = 4_000_000
+BYTES = 4_000_000
 
 
-def slices(texts: list) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts, each run below ROWS rows and about CHARACTERS long."""
+def slices(column: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """Consecutive runs of texts with their bounds, each below ROWS rows and about BYTES long.
+
+    Only one run at a time is turned into Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if i + 1 - start >= ROWS or held >= CHARACTERS:
-            yield start, i + 1
+    for i, size in enumerate(sizes):
+        held += size
+        if i + 1 - start >= ROWS or held >= BYTES or i + 1 == len(sizes):
+            yield start, i + 1, column.slice(start, i + 1 - start).to_pylist()
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
 
 
 def append_columns(df: DataFrame, text: str, fields: list[StructField],
@@ -43,11 +46,10 @@ def append_columns(df: DataFrame, text: str, fields: list[StructField],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in slices(texts):
+            for a, b, texts in slices(batch.column(batch.schema.get_field_index(text))):
                 part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(n)) for n in names]
-                columns += [pa.array(v, k) for v, k in zip(compute(texts[a:b]), kinds)]
+                columns += [pa.array(v, k) for v, k in zip(compute(texts), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in fields])
 
     return df.mapInArrow(run, schema)

@@ -235,10 +235,9 @@ def learn(docs: DataFrame, text: str = "text") -> Model | None:
     """
     def gather(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for _, _, texts in slices(batch.column(0)):
                 kinds, cast = [], []
-                for t in texts[a:b]:
+                for t in texts:
                     base = base_spans(t or "")
                     for kind, start, end, _ in base + proposals(t or "", base):
                         kinds.append(kind)

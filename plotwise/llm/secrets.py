@@ -226,10 +226,9 @@ def learn_formats(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
     """
     def gather(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for _, _, texts in slices(batch.column(0)):
                 pool = set()
-                for t in texts[a:b]:
+                for t in texts:
                     values, tokens = labelled(t or "")
                     pool.update(values)
                     pool.update(("ordinary", x) for x in set(tokens) if zlib.crc32(x.encode()) % THIN == 0)
