@@ -545,6 +545,20 @@ SELECT address, ltrim(date_sold, '0') AS date_sold, price, CAST(replace(substr(p
 FROM record GROUP BY address, date_sold, price, ltrim(date_sold, '0')
 QUALIFY row_number() OVER (PARTITION BY address, ltrim(date_sold, '0'), price ORDER BY min(seq)) = 1""", "record")
 
+# --- landed files ------------------------------------------------------------
+
+on_views("landed_crime", "SELECT postcode, category, month, count(*) AS count FROM crime_record GROUP BY ALL", "crime_record")
+on_views("landed_epc", """
+SELECT postcode, row_number() OVER (PARTITION BY postcode ORDER BY seq) - 1 AS seq, upper(address) AS address, epc_rating, epc_score,
+       nullif(environment_impact, 0) AS environment_impact, CAST(estimated_energy_cost + 100 AS INT) AS estimated_energy_cost
+FROM epc_cert""", "epc_cert")
+ORACLE["landed_planning"] = ORACLE["planning_records"]
+on_views("landed_flood_areas", "SELECT postcode, notation FROM flood_area", "flood_area")
+on_views("landed_flood_warnings", """
+SELECT postcode, CAST(row_number() OVER (PARTITION BY postcode ORDER BY position) - 1 AS INT) AS position,
+       CASE severity WHEN '3' THEN 'Unknown' ELSE severity END AS severity, '' AS message, CAST(position AS VARCHAR) AS area
+FROM flood_warning""", "flood_warning")
+
 # --- pages -------------------------------------------------------------------
 # The given pages hold a heading and no sale table, so heading and address are all.
 # Markup decodes these character references also where the semicolon is missing.

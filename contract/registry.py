@@ -891,6 +891,56 @@ def stream_ingest_sales(spark, sf):
     return sales.read().join(places, "property_id").select("address", "date_sold", "price", "price_numeric", "date_sold_iso", "property_type", "tenure")
 
 
+# --- landed files ------------------------------------------------------------
+# Views are written in the form in which files land, and read by the readers.
+
+def landed(df, keys, name, fields):
+    """One JSON record for each key, with a list of records in the order of ``at``."""
+    spark = df.sparkSession
+    path = staging_path(spark, f"landed-{name}")
+    records = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.struct(*fields).alias("r")))).alias("l"))
+    records.select(*keys, F.col("l.r").alias(name)).write.json(path)
+    return path
+
+
+@query
+def landed_crime(spark, sf):
+    path = staging_path(spark, "landed-crime")
+    view(spark, sf, "crime_record").select("postcode", "category", "month").write.json(path)
+    return readers.read_crime(spark, path).groupBy("postcode", "category", "month").agg(F.count("*").alias("count"))
+
+
+@query
+def landed_epc(spark, sf):
+    certs = view(spark, sf, "epc_cert").withColumn("at", F.col("seq"))
+    fields = [
+        F.col("address"), F.col("epc_rating").alias("current-energy-rating"), F.col("epc_score").cast("string").alias("current-energy-efficiency"),
+        F.when(F.col("environment_impact") > 0, F.col("environment_impact").cast("string")).otherwise("n/a").alias("environment-impact-current"),
+        F.concat(F.col("estimated_energy_cost").cast("string"), F.lit(".7")).alias("heating-cost-current"),
+        F.lit("bad").alias("hot-water-cost-current"), F.lit("100").alias("lighting-cost-current"),
+    ]
+    return readers.read_epc(spark, landed(certs, ["postcode"], "rows", fields))
+
+
+@query
+def landed_planning(spark, sf):
+    rows = view(spark, sf, "planning_entity").withColumn("at", F.col("entity"))
+    fields = [F.col("entity"), F.col("reference"), F.col("description"), F.col("end_date").alias("end-date"), F.col("decision_date").alias("decision-date")]
+    return readers.read_planning(spark, landed(rows, ["postcode", "fetched_at"], "entities", fields))
+
+
+@query
+def landed_flood_areas(spark, sf):
+    return readers.read_flood_areas(spark, landed(view(spark, sf, "flood_area").withColumn("at", F.col("notation")), ["postcode"], "items", [F.col("notation")]))
+
+
+@query
+def landed_flood_warnings(spark, sf):
+    rows = view(spark, sf, "flood_warning").withColumn("at", F.col("position"))
+    fields = [F.nullif(F.col("severity"), F.lit("3")).alias("severityLevel"), F.col("position").cast("string").alias("eaAreaName")]
+    return readers.read_flood_warnings(spark, landed(rows, ["postcode"], "items", fields))
+
+
 # --- pages -------------------------------------------------------------------
 
 @query
