@@ -559,6 +559,16 @@ SELECT postcode, CAST(row_number() OVER (PARTITION BY postcode ORDER BY position
        CASE severity WHEN '3' THEN 'Unknown' ELSE severity END AS severity, '' AS message, CAST(position AS VARCHAR) AS area
 FROM flood_warning""", "flood_warning")
 
+on_views("landed_postcodes", """
+SELECT replace(postcode, ' ', '') AS postcode, outcode AS lsoa, CASE WHEN id % 7 <> 0 THEN latitude END AS lat, longitude AS lng
+FROM property WHERE id % 5 <> 0""", "property")
+on_views("landed_stops", """
+SELECT CASE id % 5 WHEN 0 THEN 'rail' WHEN 1 THEN 'tube' ELSE 'bus' END AS kind,
+       CASE id % 5 WHEN 0 THEN 'RSE' WHEN 1 THEN 'TMU' ELSE 'BCT' END AS subtype, name, lat, lon
+FROM poi WHERE id % 5 < 3 AND id % 9 <> 0""", "poi")
+on_views("landed_imd", """
+SELECT lsoa, imd_decile, nullif(imd_income_decile, 9) AS imd_income_decile, CAST(NULL AS INT) AS imd_crime_decile FROM imd""", "imd")
+
 # --- pages -------------------------------------------------------------------
 # The given pages hold a heading and no sale table, so heading and address are all.
 # Markup decodes these character references also where the semicolon is missing.

@@ -941,6 +941,42 @@ def landed_flood_warnings(spark, sf):
     return readers.read_flood_warnings(spark, landed(rows, ["postcode"], "items", fields))
 
 
+def landed_csv(df, name):
+    path = staging_path(df.sparkSession, f"landed-{name}")
+    df.write.csv(path, header=True)
+    return path
+
+
+@query
+def landed_postcodes(spark, sf):
+    """Ended postcodes and unreadable coordinates among the rows."""
+    rows = view(spark, sf, "property").select(
+        F.col("postcode").alias("pcds"), F.col("outcode").alias("lsoa11"),
+        F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("latitude").cast("string")).alias("lat"), F.col("longitude").cast("string").alias("long"),
+        F.when(F.col("id") % 5 == 0, "201001").alias("doterm"))
+    return readers.read_postcode_lookup(spark, landed_csv(rows, "postcodes"))
+
+
+@query
+def landed_stops(spark, sf):
+    """Stops of all kinds, of other kinds and without coordinates."""
+    rows = view(spark, sf, "poi").select(
+        F.col("id").alias("ATCOCode"), F.col("name").alias("CommonName"),
+        F.when(F.col("id") % 9 == 0, "").otherwise(F.col("lat").cast("string")).alias("Latitude"), F.col("lon").alias("Longitude"),
+        F.element_at(F.array(*map(F.lit, ("RSE", "TMU", "BCT", "FER", "xyz"))), (F.col("id") % 5 + 1).cast("int")).alias("StopType"))
+    return readers.read_stops(spark, landed_csv(rows, "stops")).select("kind", "subtype", "name", "lat", "lon")
+
+
+@query
+def landed_imd(spark, sf):
+    """Deciles under headers with extra wording, one missing, one unreadable."""
+    rows = view(spark, sf, "imd").select(
+        F.col("lsoa").alias("LSOA code (2011)"),
+        F.col("imd_decile").alias("Index of Multiple Deprivation (IMD) Decile (where 1 is most deprived 10% of LSOAs)"),
+        F.when(F.col("imd_income_decile") == 9, "n/a").otherwise(F.col("imd_income_decile").cast("string")).alias("Income Decile (where 1 is most deprived 10% of LSOAs)"))
+    return readers.read_imd(spark, landed_csv(rows, "imd")).select("lsoa", "imd_decile", "imd_income_decile", "imd_crime_decile")
+
+
 # --- pages -------------------------------------------------------------------
 
 @query
