@@ -569,6 +569,18 @@ FROM poi WHERE id % 5 < 3 AND id % 9 <> 0""", "poi")
 on_views("landed_imd", """
 SELECT lsoa, imd_decile, nullif(imd_income_decile, 9) AS imd_income_decile, CAST(NULL AS INT) AS imd_crime_decile FROM imd""", "imd")
 
+on_views("landed_broadband", """
+SELECT replace(postcode, ' ', '') AS postcode, CASE WHEN id % 8 <> 0 THEN round_even(id % 999 + 0.25::DOUBLE, 1) END AS broadband_median_speed,
+       round_even(id % 17 / nullif(t, 0) * 100, 1) AS broadband_superfast_pct,
+       round_even(id % 5 / nullif(t, 0) * 100, 1) AS broadband_ultrafast_pct,
+       round_even(id % 90 + 0.45::DOUBLE, 1) AS broadband_full_fibre_pct
+FROM (SELECT *, CAST(id % 3 + id % 11 + id % 13 + id % 5 AS DOUBLE) AS t FROM property)""", "property")
+
+on_views("csv_export_written", """
+SELECT p.address, p.postcode, p.property_type, CAST(p.bedrooms AS VARCHAR) AS bedrooms, CAST(p.bathrooms AS VARCHAR) AS bathrooms,
+       r.date_sold, r.price, s.tenure
+FROM property p JOIN sale s ON s.property_id = p.id JOIN raw_sale r ON r.id = s.id""", "property", "sale", "raw_sale")
+
 # --- pages -------------------------------------------------------------------
 # The given pages hold a heading and no sale table, so heading and address are all.
 # Markup decodes these character references also where the semicolon is missing.

@@ -977,6 +977,27 @@ def landed_imd(spark, sf):
     return readers.read_imd(spark, landed_csv(rows, "imd")).select("lsoa", "imd_decile", "imd_income_decile", "imd_crime_decile")
 
 
+@query
+def landed_broadband(spark, sf):
+    """Connections by speed band; the shares are taken of all of them."""
+    n = lambda k: (F.col("id") % k).cast("string")
+    rows = view(spark, sf, "property").select(
+        F.concat(F.col("postcode"), F.lit(" ")).alias("postcode"), F.when(F.col("id") % 8 == 0, "").otherwise((F.col("id") % 999 + 0.25).cast("string")).alias("Median download speed (Mbit/s)"),
+        n(3).alias("Number of connections < 2 Mbit/s (number of lines)"), n(11).alias("Number of connections 10<30 Mbit/s"),
+        n(13).alias("Number of connections 30<300 Mbit/s"), n(5).alias("Number of connections >= 300 Mbit/s"),
+        n(17).alias("Number of connections >= 30 Mbit/s"), (F.col("id") % 90 + 0.45).cast("string").alias("FTTP %"))
+    return readers.read_broadband(spark, landed_csv(rows, "broadband"))
+
+
+@query
+def csv_export_written(spark, sf):
+    """The CSV export, written and read back; all columns are text."""
+    path = staging_path(spark, "csv-export")
+    sales = view(spark, sf, "sale").join(view(spark, sf, "raw_sale").select("id", "date_sold", "price"), "id")
+    sinks.write_csv(sinks.csv_export(view(spark, sf, "property"), sales), path)
+    return spark.read.csv(path, header=True, escape='"')
+
+
 # --- pages -------------------------------------------------------------------
 
 @query
