@@ -6,8 +6,9 @@ document (smallest doc_id), never with all others, so the matches grow with the
 The matches of two documents are chained: seeds that keep their order in both add their
 words, distance costs, and a Fenwick tree over the places in the earlier document finds
 the best predecessor of each seed. Chains are aligned word by word between their seeds
-and beyond their ends; those similar enough are pieces of repeated passages. Pieces that
-touch are joined, and passages of at least ``min_words`` words count.
+and beyond their ends; those similar enough are pieces of repeated passages. Of a chain
+that is not, the longest stretches between seeds that are similar enough are pieces. Pieces
+that touch are joined, and passages of at least ``min_words`` words count.
 
 The earliest holder of a passage keeps it and is named as the source. Words are what
 white space separates, with A-Z in lower case. Null texts have no words. Rows equal in id
@@ -206,8 +207,20 @@ def chains_of(matches: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "doc_key long, source_key long, at array<int>, source_at array<int>")
 
 
+def ends_alike(a: list, b: list) -> tuple[int, int]:
+    """Numbers of equal words at the start and, of the others, at the end of both."""
+    n, left, right = min(len(a), len(b)), 0, 0
+    while left < n and a[left] == b[left]:
+        left += 1
+    while right < n - left and a[-1 - right] == b[-1 - right]:
+        right += 1
+    return left, right
+
+
 def distance(a: list, b: list) -> int:
-    """Edit distance of two short sequences of words."""
+    """Edit distance of two sequences of words, of which the part between equal ends is short."""
+    left, right = ends_alike(a, b)
+    a, b = a[left: len(a) - right], b[left: len(b) - right]
     if max(len(a), len(b)) > LONGEST_GAP or not a or not b:
         return max(len(a), len(b))
     row = list(range(len(b) + 1))
@@ -244,6 +257,53 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], source_at: list[int]) ->
     return first[0] - left, last[0] + right, 1 - edits / max(words, 1)
 
 
+def similar_parts(a: np.ndarray, b: np.ndarray, at: list[int], source_at: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Starts and ends of the similar pieces of ``a`` around a chain of seeds.
+
+    That is the whole chain if it is similar enough. Otherwise the longest run of its seeds
+    that is, without the words that differ before and after it, and the same again with
+    the seeds on either side. Runs of seeds shorter than a piece are left out.
+    """
+    start, stop, alike = align(a, b, at, source_at)
+    if alike >= similarity:
+        return [(start, stop)] if stop - start >= PIECE else []
+    n, x = len(at), np.array(at, np.int64)
+    # Equal words directly before and after each seed, and edits between neighbours.
+    left, right, edits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    left[0] = ends_alike(a[: at[0]][::-1][:BEYOND].tolist(), b[: source_at[0]][::-1][:BEYOND].tolist())[0]
+    right[-1] = ends_alike(a[at[-1] + K: at[-1] + K + BEYOND].tolist(), b[source_at[-1] + K: source_at[-1] + K + BEYOND].tolist())[0]
+    for i in range(n - 1):
+        if at[i + 1] >= at[i] + K and source_at[i + 1] >= source_at[i] + K:
+            gap, source_gap = a[at[i] + K: at[i + 1]].tolist(), b[source_at[i] + K: source_at[i + 1]].tolist()
+            edits[i + 1] = distance(gap, source_gap)
+            if edits[i + 1]:
+                right[i], left[i + 1] = ends_alike(gap, source_gap)
+        else:
+            edits[i + 1] = abs((at[i + 1] - at[i]) - (source_at[i + 1] - source_at[i]))
+    # A run is similar enough if its share of words that may differ is not below its edits.
+    share = 1 - similarity
+    balance = share * (x - x[0]) - np.cumsum(edits)
+    gains, losses = balance + share * (right + K), balance - share * left
+    found, waiting = [], [(0, n)]
+    while waiting:
+        low, high = waiting.pop()
+        if low >= high or x[high - 1] + K + right[high - 1] - x[low] + left[low] < PIECE:
+            continue
+        # The best gain from each seed on never rises, so the last one that is enough can be searched for.
+        most = np.maximum.accumulate(gains[low:high][::-1])
+        last = high - 1 - np.searchsorted(most, losses[low:high] - 1e-9)
+        words = np.where(last >= np.arange(low, high), x[last] + K + right[last] - x[low:high] + left[low:high], 0)
+        first = low + int(words.argmax())
+        if words[first - low] < PIECE:
+            continue
+        final = int(last[first - low])
+        begin, end = int(x[first] - left[first]), int(x[final] + K + right[final])
+        wider = align(a, b, at[first: final + 1], source_at[first: final + 1])
+        found.append((min(begin, wider[0]), max(end, wider[1])) if wider[2] >= similarity else (begin, end))
+        waiting += [(low, first), (final + 1, high)]
+    return sorted(found)
+
+
 def stretches(chains: DataFrame, key: str, at: str) -> DataFrame:
     """Chains with the numbers of the stretches of one of their documents that they touch."""
     low = F.greatest(F.element_at(at, 1) - BEYOND, F.lit(0))
@@ -273,8 +333,7 @@ def aligned(chains: DataFrame, sequences: DataFrame, similarity: float) -> DataF
                     base[side] = stretch * STRETCH if base[side] is None else base[side]
                     text[side] += part
                 a, b = (np.frombuffer(t, "<u2") for t in text)
-                start, stop, alike = align(a, b, [x - base[0] for x in row["at"]], [x - base[1] for x in row["source_at"]])
-                if alike >= similarity and stop - start >= PIECE:
+                for start, stop in similar_parts(a, b, [x - base[0] for x in row["at"]], [x - base[1] for x in row["source_at"]], similarity):
                     rows.append((row["doc_key"], row["source_key"], base[0] + start, base[0] + stop))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["doc_key", "source_key", "start", "stop"])

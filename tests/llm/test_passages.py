@@ -94,6 +94,53 @@ def test_exact_and_fuzzy_passages(spark):
         assert not any(v for k, v in found.items() if k != 2)
 
 
+def test_passages_of_one_pair_are_found_at_any_gap(spark):
+    rng = random.Random(5)
+    fresh = iter(range(10 ** 6))
+
+    def text(n):
+        return [f"g{next(fresh)}x{rng.random()}" for _ in range(n)]
+
+    rows, want = [], {}
+    for i, (size, gap) in enumerate((s, g) for s in (60, 200) for g in (20, 40, 60, 100, 200, 500)):
+        one, two = text(size), text(size)
+        rows.append((2 * i, " ".join(text(30) + one + text(gap) + two + text(30))))
+        rows.append((2 * i + 1, " ".join(text(50) + one + text(gap) + two + text(10))))
+        want[2 * i + 1] = set(range(50, 50 + size)) | set(range(50 + size + gap, 50 + 2 * size + gap)), gap / (2 * size + gap) <= 0.2
+    found = found_in(spark, rows)
+    for i, (words, whole) in want.items():
+        held = set().union(*(range(a, b) for a, b, _ in found[i]))
+        assert words <= held and len(found[i]) == (1 if whole else 2)
+        assert whole or held == words
+        assert all(s == [i - 1] for _, _, s in found[i])
+    assert not any(found[i - 1] for i in want)
+
+
+def test_parts_of_a_chain_are_the_longest_similar_runs():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        a, b, at, source_at = [], [], [], []
+        for _ in range(int(rng.integers(2, 9))):
+            run = rng.integers(0, 60000, int(rng.integers(6, 50))).tolist()
+            for k in range(0, len(run) - passages.K + 1, 7):
+                at.append(len(a) + k)
+                source_at.append(len(b) + k)
+            a += run + rng.integers(60000, 62000, int(rng.integers(1, 30))).tolist()
+            b += run + rng.integers(62001, 65000, int(rng.integers(1, 30))).tolist()
+        a, b = np.array(a, "<u2"), np.array(b, "<u2")
+        parts = passages.similar_parts(a, b, at, source_at, 0.8)
+        longest = 0
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                start, stop, alike = passages.align(a, b, at[i: j + 1], source_at[i: j + 1])
+                longest = max(longest, stop - start if alike >= 0.8 else 0)
+        assert max((y - x for x, y in parts), default=0) >= (longest if longest >= passages.PIECE else 0)
+        same = np.zeros(len(a), bool)
+        for i, j in zip(at, source_at):
+            same[i: i + passages.K] = True
+        assert all(same[x:y].mean() > 0.5 for x, y in parts)
+
+
 def test_short_common_runs_are_left_alone(spark):
     rng = random.Random(7)
     line = " ".join(f"common{i}" for i in range(30))
