@@ -3,6 +3,9 @@
 Every document is reduced to a winnowed sequence of word k-mers: any run of WINDOW + K - 1
 words that two documents share has a common seed. Each seed is matched with its earliest
 document (smallest doc_id), never with all others, so the matches grow with the corpus.
+The earliest holder of a few words need not be the document that shares the passage around
+them. So the longer runs of words that begin at the place of a seed are seeds as well,
+each with an earliest document of its own, which shares all of these words.
 The matches of two documents are chained: seeds that keep their order in both add their
 words, distance costs, and a Fenwick tree over the places in the earlier document finds
 the best predecessor of each seed. Chains are aligned word by word between their seeds
@@ -26,6 +29,8 @@ from plotwise.session import materialise
 
 K = 5
 WINDOW = 10
+#: Words of the longer runs that are matched from the place of each seed.
+LONG = (20, 40)
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Words of a piece that is worth aligning.
@@ -44,14 +49,21 @@ BLOCK = GATHER = 1_000_000
 LONGEST_GAP = 64
 
 
-def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of a sequence of word hashes and their places."""
-    n = len(words) - K + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def grams_of(words: np.ndarray) -> np.ndarray:
+    """Hashes of all word k-mers of a sequence of word hashes."""
+    n = max(len(words) - K + 1, 0)
     grams = np.zeros(n, np.uint64)
     for k in range(K):
         grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + words[k: k + n])
+    return grams
+
+
+def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of a sequence of word hashes and their places."""
+    grams = grams_of(words)
+    n = len(grams)
+    if n < 1:
+        return grams, np.zeros(0, np.int64)
     if n <= WINDOW:
         at = np.array([int(grams.argmin())])
     else:
@@ -59,18 +71,31 @@ def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[at], at
 
 
+def long_runs(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place a hash of the run of each length in LONG (multiples of K) from there, or 0 where the text ends before."""
+    grams, out = grams_of(words), np.zeros((len(places), len(LONG)), np.uint32)
+    for level, length in enumerate(LONG):
+        fits = places + length <= len(words)
+        run = np.zeros(int(fits.sum()), np.uint64)
+        for k in range(0, length, K):
+            run = mixed(run * np.uint64(0x9E3779B97F4A7C15) + grams[places[fits] + k])
+        out[fits, level] = np.maximum(run >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    return out
+
+
 def seeds_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, doc_key, n_words, seeds, places and codes (two bytes of each word's hash)."""
+    """doc_id, doc_key, n_words, seeds, places, runs (four bytes for each seed and length in LONG) and codes (two bytes of each word's hash)."""
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
             flat, edges = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lists.offsets.to_numpy().tolist()
-            seeds, places, counts, codes, sizes = [], [], [0], [], []
+            seeds, places, counts, runs, codes, sizes = [], [], [0], [], [], []
             for a, b in zip(edges, edges[1:]):
                 s, at = winnow(flat[a:b])
                 seeds.append(s.view(np.int64))
                 places.append(at)
                 counts.append(len(s))
+                runs.append(long_runs(flat[a:b], at).astype("<u4").tobytes())
                 sizes.append(b - a)
                 codes.append((flat[a:b] >> np.uint64(20)).astype("<u2").tobytes())
             offsets = pa.array(np.cumsum(counts), pa.int32())
@@ -78,20 +103,21 @@ def seeds_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(seeds) if seeds else [], pa.int64())),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places) if places else [], pa.int32())),
-                pa.array(codes, pa.binary())], names=["doc_id", "doc_key", "n_words", "seeds", "places", "codes"])
+                pa.array(runs, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "doc_key", "n_words", "seeds", "places", "runs", "codes"])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("doc_key"), word_hashes(F.col(text)).alias("words"))
-    return read.mapInArrow(run, "doc_id long, doc_key long, n_words long, seeds array<long>, places array<int>, codes binary")
+    return read.mapInArrow(run, "doc_id long, doc_key long, n_words long, seeds array<long>, places array<int>, runs binary, codes binary")
 
 
 def deal_seeds(sequences: DataFrame, blocks: int) -> DataFrame:
-    """Seeds with their documents in blocks by hash: arrays of ids, keys, places and seeds."""
-    kinds = {"block": pa.int32(), "ids": pa.binary(), "known": pa.binary(), "keys": pa.binary(), "places": pa.binary(), "seeds": pa.binary()}
+    """Seeds with their documents in blocks by hash: arrays of ids, keys, places, seeds and runs."""
+    kinds = {"block": pa.int32(), "ids": pa.binary(), "known": pa.binary(), "keys": pa.binary(), "places": pa.binary(), "seeds": pa.binary(), "runs": pa.binary()}
 
     def emit(held: list[tuple]):
         owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
         ids, known, keys = (np.array(x) for x in zip(*[(h[0] or 0, h[0] is not None, h[1]) for h in held]))
         seeds, places = np.concatenate([h[2] for h in held]).view(np.uint64), np.concatenate([h[3] for h in held])
+        runs = np.concatenate([np.frombuffer(h[4], "<u4").reshape(-1, len(LONG)) for h in held])
         block = (seeds % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         edges = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -99,15 +125,15 @@ def deal_seeds(sequences: DataFrame, blocks: int) -> DataFrame:
         for b in np.flatnonzero(np.diff(edges)).tolist():
             part = order[edges[b]: edges[b + 1]]
             who = owner[part]
-            rows.append((b, ids[who].astype("<i8").tobytes(), known[who].astype("u1").tobytes(), keys[who].astype("<i8").tobytes(), places[part].astype("<i4").tobytes(), seeds[part].astype("<u8").tobytes()))
+            rows.append((b, ids[who].astype("<i8").tobytes(), known[who].astype("u1").tobytes(), keys[who].astype("<i8").tobytes(), places[part].astype("<i4").tobytes(), seeds[part].astype("<u8").tobytes(), runs[part].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for doc_id, key, seeds, places in zip(*[batch.column(i).to_pylist() for i in (0, 1)], *[batch.column(i) for i in (2, 3)]):
+            for doc_id, key, seeds, places, runs in zip(*[batch.column(i).to_pylist() for i in (0, 1)], *[batch.column(i) for i in (2, 3, 4)]):
                 if len(seeds.values):
-                    held.append((doc_id, key, seeds.values.to_numpy(), places.values.to_numpy()))
+                    held.append((doc_id, key, seeds.values.to_numpy(), places.values.to_numpy(), runs.as_py()))
                     size += len(held[-1][2])
                 if size >= GATHER:
                     yield from emit(held)
@@ -115,24 +141,46 @@ def deal_seeds(sequences: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield from emit(held)
 
-    return sequences.select("doc_id", "doc_key", "seeds", "places").mapInArrow(run, "block int, ids binary, known binary, keys binary, places binary, seeds binary")
+    return sequences.select("doc_id", "doc_key", "seeds", "places", "runs").mapInArrow(run, "block int, ids binary, known binary, keys binary, places binary, seeds binary, runs binary")
 
 
 def matches_of(dealt: DataFrame) -> DataFrame:
-    """doc_key, at, source_key and source_at of every seed whose earliest document is another one."""
+    """doc_key, at, source_key and source_at of every seed whose earliest document is another one.
+
+    The same for the longer runs from a seed, as a match of their first and of their last
+    K words; where a shorter run has led to the same place, only what that did not give.
+    """
     def run(table: pa.Table) -> pa.Table:
-        ids, known, keys, places, seeds = (
+        ids, known, keys, places, seeds, runs = (
             np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-            for name, kind in (("ids", "<i8"), ("known", "u1"), ("keys", "<i8"), ("places", "<i4"), ("seeds", "<u8")))
+            for name, kind in (("ids", "<i8"), ("known", "u1"), ("keys", "<i8"), ("places", "<i4"), ("seeds", "<u8"), ("runs", "<u4")))
         order = np.lexsort((places, keys, ids, known, seeds))
-        seeds, keys, places = seeds[order], keys[order], places[order]
         first = np.ones(len(seeds), bool)
-        first[1:] = seeds[1:] != seeds[:-1]
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        other = keys != keys[lead]
+        first[1:] = seeds[order][1:] != seeds[order][:-1]
+        # What stands alone has no partner.
+        several = ~(first & np.append(first[1:], True))
+        order, first = order[several], first[several]
+        keys, places, runs = keys[order], places[order], runs.reshape(-1, len(LONG))[order]
+        group = np.cumsum(first) - 1
+        lead = np.flatnonzero(first)[group]
+        other = np.flatnonzero(keys != keys[lead])
+        found = [(other, lead[other], 0)]
+        for level, length in enumerate(LONG):
+            alike = np.lexsort((np.arange(len(group)), runs[:, level], group))
+            new = np.ones(len(group), bool)
+            new[1:] = (group[alike][1:] != group[alike][:-1]) | (runs[alike, level][1:] != runs[alike, level][:-1])
+            longer = lead.copy()
+            longer[alike] = alike[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            longer = np.where(runs[:, level] > 0, longer, lead)
+            apart, moved = keys != keys[longer], longer != lead
+            start = np.flatnonzero(apart & moved)
+            end = start if level else np.flatnonzero(apart & (runs[:, level] > 0))
+            found += [(start, longer[start], 0), (end, longer[end], length - K)]
+            lead = longer
+        at, source, shift = (np.concatenate(x) for x in zip(*[(a, b, np.full(len(a), c, np.int32)) for a, b, c in found]))
         return pa.table({
-            "doc_key": pa.array(keys[other], pa.int64()), "at": pa.array(places[other], pa.int32()),
-            "source_key": pa.array(keys[lead][other], pa.int64()), "source_at": pa.array(places[lead][other], pa.int32())})
+            "doc_key": pa.array(keys[at], pa.int64()), "at": pa.array(places[at] + shift, pa.int32()),
+            "source_key": pa.array(keys[source], pa.int64()), "source_at": pa.array(places[source] + shift, pa.int32())})
 
     return dealt.groupBy("block").applyInArrow(run, "doc_key long, at int, source_key long, source_at int")
 
@@ -195,7 +243,7 @@ def chains_of(matches: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, source, a, b in zip(*[batch.column(i).to_pylist() for i in (0, 1)], *[batch.column(i) for i in (2, 3)]):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
+                a, b = np.unique(np.stack([a.values.to_numpy(), b.values.to_numpy()]), axis=1)
                 if a.max() - a.min() + 2 * BEYOND < PIECE:
                     continue
                 for links in chain(a, b):

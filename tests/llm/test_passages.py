@@ -94,6 +94,25 @@ def test_exact_and_fuzzy_passages(spark):
         assert not any(v for k, v in found.items() if k != 2)
 
 
+def test_passages_of_stock_sentences(spark):
+    rng = random.Random(9)
+    stock = [[f"s{i}n{k}" for k in range(15)] for i in range(40)]
+    rows = [(i, [w for _ in range(12) for w in rng.choice(stock)]) for i in range(120)]
+    held = [[w for s in rng.sample(stock, 4) for w in s] for _ in range(30)]
+    rows += [(200 + i, [f"a{i}b{k}" for k in range(30)] + p + [f"c{i}d{k}" for k in range(30)]) for i, p in enumerate(held)]
+    rows += [(300 + i, [f"e{i}f{k}" for k in range(30)] + p + [f"g{i}h{k}" for k in range(30)]) for i, p in enumerate(held)]
+    found = found_in(spark, [(i, " ".join(w)) for i, w in rows])
+    # Brute force: words in a run of MIN_WORDS that an earlier document holds.
+    seen, exact = set(), {}
+    for doc_id, words in rows:
+        runs = [tuple(words[i: i + passages.MIN_WORDS]) for i in range(len(words) - passages.MIN_WORDS + 1)]
+        exact[doc_id] = {k for i, r in enumerate(runs) if r in seen for k in range(i, i + passages.MIN_WORDS)}
+        seen.update(runs)
+    assert all(len(exact[300 + i]) == 60 for i in range(30))
+    for doc_id, words in exact.items():
+        assert words <= set().union(*(range(a, b) for a, b, _ in found[doc_id]))
+
+
 def test_passages_of_one_pair_are_found_at_any_gap(spark):
     rng = random.Random(5)
     fresh = iter(range(10 ** 6))
