@@ -46,13 +46,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LIKELY)).select("_row.*")
 
 
+def holders_of_short_lines(docs: DataFrame) -> DataFrame:
+    """_id and _hash (of the text) of every document that is the earliest to hold a short line that is not blank."""
+    lines = line_dedup.lines_of(docs, "text", "doc_id")
+    short = lines.where((F.col("line") != "") & (line_dedup.word_count(F.col("line")) < line_dedup.MIN_WORDS))
+    first = short.groupBy(F.xxhash64("line").alias("line_hash"), F.hash("line").alias("line_check")).agg(F.min(F.struct("doc_id", "text_hash")).alias("place"))
+    return first.select(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")).distinct()
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; so do documents that have only short lines left after that."""
+    """Lines that repeat an earlier one go; so do documents all of whose lines left after that are blank or occur in earlier documents."""
     shorter = line_dedup.without_repeats(packed(docs))
     words = F.transform(F.split("text", "\n"), lambda line: F.size(F.split(F.trim(line), " ")))
-    emptied = (F.col("n_removed") > 0) & ~F.exists(words, lambda n: n >= line_dedup.MIN_WORDS)
-    changed = shorter.where(~emptied)
-    return with_text(docs, changed)
+    # A longer line that is left is the first of its kind; short ones are never taken out.
+    only_short = (F.col("n_removed") > 0) & ~F.exists(words, lambda n: n >= line_dedup.MIN_WORDS)
+    cut = materialise(shorter.select("text", "_row", F.coalesce(only_short, F.lit(False)).alias("_short")), "shorter-texts")
+    in_doubt = cut.where("_short").withColumn("_text_hash", F.xxhash64("_row.text"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    kept = in_doubt.join(holders_of_short_lines(docs), same, "left_semi")
+    return with_text(docs, cut.where("not _short").select("text", "_row").unionByName(kept.select("text", "_row")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,17 @@ def test_line_stage(spark, documents):
     assert rows_of(stage(1, spark, documents)) == Counter(after_lines(documents.collect()))
 
 
+def test_line_stage_keeps_documents_with_lines_of_their_own(spark):
+    licence = "all rights to this text are reserved"
+    texts = {1: f"{licence}\nfirst verse", 2: f"{licence}\na verse of mine\n\nfirst verse", 3: f"{licence}\n FIRST verse\n",
+             4: licence, 5: f"{licence}\n我们在河边走了很久", 6: f"{licence}\n \n", 7: f"{licence}\na verse of mine", None: f"{licence}\nno number"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r["doc_id"]: r for r in stage(1, spark, docs).collect()}
+    # The row without an id comes first, so that the licence line is its own.
+    assert {i: r["text"] for i, r in got.items()} == {None: texts[None], 1: "first verse", 2: "a verse of mine\n\nfirst verse", 5: "我们在河边走了很久"}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_near_duplicate_stage(spark, documents):
     rows = documents.collect()
     sets = {r["doc_id"]: gram_set(r["text"], corpus_pipeline.SHINGLE) for r in rows}
