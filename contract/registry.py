@@ -826,6 +826,36 @@ def naive_forecast_worst(spark, sf):
     return model.worst_predictions(naive_residuals(spark, sf))
 
 
+# The whole output of the fitted model, which SQL cannot state; tests hold it against its scored rows.
+
+@query
+def fitted_metrics(spark, sf):
+    return model.metrics(scored_of(spark, sf)[1])
+
+
+@query
+def fitted_predictions(spark, sf):
+    rows = dataset.scoring_dataset(
+        view(spark, sf, "sale"), view(spark, sf, "property"), None, MODEL_FEATURES, "2002-01-15"
+    )
+    return model.predictions(model.score(scored_of(spark, sf)[0], rows))
+
+
+@query
+def fitted_importance(spark, sf):
+    return model.importance_table(spark, scored_of(spark, sf)[0])
+
+
+@query
+def fitted_worst_predictions(spark, sf):
+    return model.worst_predictions(scored_of(spark, sf)[1])
+
+
+@query
+def fitted_residual_histogram(spark, sf):
+    return model.residual_histogram(scored_of(spark, sf)[1])
+
+
 # --- streams -----------------------------------------------------------------
 
 def table_stream(spark, sf, name):
