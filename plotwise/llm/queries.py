@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, secrets, sharding
+from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, secrets, sharding, spelling
 from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
@@ -144,3 +145,18 @@ def op10_passages(spark, sf):
         F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["stop"].cast("string"))), ",").alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.col("passages.sources")))).alias("source_ids"),
     )
+
+
+def dropped_letter(doc_id: str, word: str) -> str:
+    """The word without one code point, for the pairs of id and word whose crc32 97 divides."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    if h % 97:
+        return word
+    at = h % len(word)
+    return word[:at] + word[at + 1:]
+
+
+@query
+def op13_spelling(spark, sf):
+    words = spelling.count_words(table(spark, sf, "documents"), dropped_letter)
+    return spelling.spelling_variants(words)
