@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, secrets, sharding, spelling
+from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, quality, secrets, sharding, spelling
 from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
@@ -147,6 +147,13 @@ def op10_passages(spark, sf):
     )
 
 
+@query
+def op12_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    trees = quality.learn(docs, table(spark, sf, "labels"))
+    return quality.score(docs, trees).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def dropped_letter(doc_id: str, word: str) -> str:
     """The word without one code point, for the pairs of id and word whose crc32 97 divides."""
     h = zlib.crc32(f"{doc_id}:{word}".encode())
