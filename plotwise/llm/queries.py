@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import bpe, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, quality, secrets, sharding, spelling
+from plotwise.llm import bpe, collocations, decontaminate, fingerprints, language, line_dedup, ngram_join, passages, pii, quality, secrets, sharding, spelling
 from plotwise.session import materialise
 from plotwise.llm.spans import as_text, count_of, of_kinds
 
@@ -147,6 +147,42 @@ def op10_passages(spark, sf):
     )
 
 
+@query
+def op11_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLE["op11_collocations"] = r"""
+WITH piece AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+          FROM documents)),
+gram AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (VALUES (1), (2), (3), (4)) sizes(k) WHERE len(w) >= k)
+    GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f) AS n FROM gram WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE k > 1 AND f >= 30),
+cut AS (
+    SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 :], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM candidate)),
+scored AS (
+    SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score
+    FROM cut JOIN gram x ON x.lang = cut.lang AND x.phrase = head JOIN gram y ON y.lang = cut.lang AND y.phrase = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS around
+    FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM candidate, (VALUES (2), (3)) sizes(m) WHERE m < k)
+    GROUP BY lang, phrase),
+ranked AS (
+    SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+    FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase
+    WHERE around IS NULL OR CAST(100 AS HUGEINT) * around < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_quality(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
