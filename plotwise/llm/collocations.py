@@ -8,10 +8,12 @@ distinct chunks with their frequencies keeps it once. All counting is done on th
 an n-gram of a chunk counts as often as the chunk occurs, and one that starts in the overlap
 belongs to the next chunk only, so each occurrence is counted once.
 
-Phrases grow by one word at a time. A phrase can only reach the bound if both phrases one
-word shorter have, so those of n words are looked for where both parts passed. Which have
-passed is known from a bitmap of ``SLOTS`` bits (a fixed size, whatever the corpus holds);
-phrases that share a slot cost work and change nothing, since counts are made on the words.
+A phrase can only reach the bound if both phrases one word shorter have. So words are counted
+first, then pairs of words that passed, then longer phrases whose parts passed, each by a
+64-bit hash; which have passed is kept in a bitmap of ``SLOTS`` bits, a fixed size whatever
+the corpus holds. Phrases that share a hash or a slot pass together, which costs work and
+changes nothing: a last pass spells out the phrases whose parts all passed and counts them
+by their words.
 
 Languages are counted apart; a null one is ``und``. Null and empty texts have no words. Extra
 columns are ignored and repeated rows count as often as they occur.
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from plotwise.llm.batches import slices
 from plotwise.session import materialise
@@ -35,7 +38,9 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: One word in EVERY starts a chunk; a chunk without one is cut after WIDEST words.
 EVERY, WIDEST = 12, 200
 #: Bytes of distinct chunks or phrases gathered in a task before they are handed on.
-HELD = 8_000_000
+HELD = 24_000_000
+#: Bytes of chunks that are looked at together.
+TOGETHER = 4_000_000
 #: Bits of the map of phrases that reached the bound, and of one row of it.
 SLOTS, ROW = 2**26, 32_768
 #: Copies of the counts that a join by parts of phrases is spread over.
@@ -47,15 +52,17 @@ COVERED = 80
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
 
-def chunks(words: list[bytes], overlap: int) -> Iterator[tuple[int, bytes]]:
+def chunks(words: list[bytes], overlap: int) -> list[tuple[int, bytes]]:
     """(words that start in it, words) of each chunk of a piece."""
-    n, start = len(words), 0
-    for i in range(1, n):
-        if crc32(words[i]) % EVERY == 0 or i - start >= WIDEST:
-            yield i - start, b" ".join(words[start: i + overlap])
-            start = i
-    if n:
-        yield n - start, b" ".join(words[start:])
+    n, start, out = len(words), 0, []
+    for cut in [i for i, w in enumerate(words) if not crc32(w) % EVERY] + [n]:
+        while cut - start > WIDEST:
+            out.append((WIDEST, b" ".join(words[start: start + WIDEST + overlap])))
+            start += WIDEST
+        if cut > start:
+            out.append((cut - start, b" ".join(words[start: cut + overlap])))
+            start = cut
+    return out
 
 
 def dictionary(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -93,13 +100,12 @@ def dictionary(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang
 
 # ---- counting --------------------------------------------------------------
 
-def slot(lang: Column, phrase: Column) -> Column:
-    return F.crc32(F.concat(lang, F.lit(" "), phrase)) % SLOTS
+ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def passed_map(counts: DataFrame) -> np.ndarray:
-    """Bitmap of SLOTS bits, set for the phrases of ``counts``; all that reaches the driver."""
-    numbered = counts.select((slot(F.col("lang"), F.col("phrase")) + 1).alias("slot"))
+def passed_map(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of SLOTS bits, set for the column ``hash``; all that reaches the driver."""
+    numbered = hashes.select((F.col("hash").bitwiseAND(F.lit(SLOTS - 1)) + 1).alias("slot"))
     rows = numbered.groupBy(F.bitmap_bucket_number("slot").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros((SLOTS // ROW, ROW // 8), np.uint8)
     for r in rows.collect():
@@ -107,10 +113,29 @@ def passed_map(counts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-class Phrases:
-    """Distinct phrases of the words of a batch, one word longer with each call of ``extend``.
+def has_passed(passed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = (hashes & np.uint64(8 * len(passed) - 1)).astype(np.int64)
+    return (passed[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
-    ``at`` is the number of the phrase that starts at each place, -1 where none does.
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TOGETHER bytes, none of them empty."""
+    kept, held = [], 0
+    for batch in batches:
+        kept.append(batch)
+        held += batch.nbytes
+        if held >= TOGETHER:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, held = [], 0
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
+class Places:
+    """The places of all words of a batch of chunks, one after another.
+
+    ``numbers`` tells apart the pairs of language and word; ``own`` holds for places that
+    count, ``last`` for the last words of chunks.
     """
 
     def __init__(self, batch: pa.RecordBatch):
@@ -126,47 +151,73 @@ class Phrases:
         self.times = batch.column(3).to_numpy()[row]
         langs = batch.column(0).dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.hashes = np.array([crc32(f"{x} ".encode()) for x in self.langs], np.int64)
-        self.add(np.arange(len(row)), langs.indices.to_numpy().astype(np.int64)[row], b"")
-
-    def add(self, places: np.ndarray, before: np.ndarray, blank: bytes = b" ") -> None:
-        """At ``places`` the phrase ``before`` goes on with the word that ends the new one."""
-        n = len(self.levels)
-        pairs, number = np.unique(before * len(self.words) + self.code[places + n], return_inverse=True)
-        parent, word = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
-        self.levels.append((parent, word))
-        self.at = np.full(len(self.code), -1)
-        self.at[places] = number
-        heads = self.hashes[parent].tolist()
-        self.hashes = np.array([crc32(blank + self.words[w], h) for w, h in zip(word.tolist(), heads)], np.int64)
-
-    def extend(self, passed: np.ndarray) -> None:
-        slots = self.hashes % SLOTS
-        good = (passed[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
-        # The appended value serves the place after the last word.
-        holds = np.append((self.at >= 0) & good[self.at] if len(good) else np.zeros(len(self.at), bool), False)
-        # A phrase ends inside its chunk: its second part starts there and does so too.
-        places = np.flatnonzero(holds[:-1] & holds[1:] & ~self.last)
-        self.add(places, self.at[places])
-
-    def totals(self) -> Iterator[tuple[str, bytes, int]]:
-        """(language, phrase, occurrences) over the places that are a chunk's own."""
-        counted = np.flatnonzero((self.at >= 0) & self.own)
-        numbers, inverse = np.unique(self.at[counted], return_inverse=True)
-        sums = np.zeros(len(numbers), np.int64)
-        np.add.at(sums, inverse, self.times[counted])
-        parts, at = [], numbers
-        for parent, word in reversed(self.levels):
-            parts.append([self.words[w] for w in word[at].tolist()])
-            at = parent[at]
-        for k, total, *phrase in zip(at.tolist(), sums.tolist(), *reversed(parts)):
-            yield self.langs[k], b" ".join(phrase), total
-
-
-def count_phrases(parsed: DataFrame, passed: list[np.ndarray], least: int) -> DataFrame:
-    """lang, phrase, a: phrases one word longer than there are bitmaps, with at least ``least`` occurrences."""
-    maps = parsed.sparkSession.sparkContext.broadcast(passed)
+        pairs = langs.indices.to_numpy().astype(np.int64)[row] * len(self.words) + self.code
+        pairs, self.numbers = np.unique(pairs, return_inverse=True)
+        self.lang_of, self.word_of = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
+
+    def word_hashes(self) -> np.ndarray:
+        """The hash of language and word that Spark's xxhash64 gives, for every place."""
+        seeds = [xxh64_intdigest(x.encode(), 42) for x in self.langs]
+        made = [xxh64_intdigest(self.words[w], seeds[x]) for x, w in zip(self.lang_of.tolist(), self.word_of.tolist())]
+        return np.array(made, np.uint64)[self.numbers]
+
+    def candidates(self, maps: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hash, whether it may reach the bound) of the phrase that starts at each place, for 1, 2, ... words.
+
+        One size more than there are bitmaps: both parts of these have passed.
+        """
+        single = hashes = self.word_hashes()
+        may = np.ones(len(hashes), bool)
+        out = []
+        for size, passed in enumerate(maps, 1):
+            good = may.copy()
+            good[may] = has_passed(passed, hashes[may])
+            out.append((hashes, good))
+            # A phrase goes on inside its chunk; where its second part starts there, it ends there.
+            may = good & ~self.last & np.append(good[1:], False)
+            following = np.zeros(len(single), np.uint64)
+            following[: max(0, len(single) - size)] = single[size:]
+            hashes = hashes * ODD + following
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX
+            hashes ^= hashes >> np.uint64(32)
+        return [*out, (hashes, may)]
+
+    def sums(self, numbers: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct ``numbers`` and the occurrences of their ``places``."""
+        found, inverse = np.unique(numbers, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, inverse, self.times[places])
+        return found, total
+
+    def words_found(self) -> Iterator[tuple[str, bytes, int]]:
+        places = np.flatnonzero(self.own)
+        found, total = self.sums(self.numbers[places], places)
+        for x, w, n in zip(self.lang_of[found].tolist(), self.word_of[found].tolist(), total.tolist()):
+            yield self.langs[x], self.words[w], n
+
+    def phrases_found(self, maps: list[np.ndarray]) -> Iterator[tuple[str, bytes, int]]:
+        """(language, phrase, occurrences) of phrases of two words and more, told apart by their words."""
+        at, levels = self.numbers, []
+        for size, (_, good) in enumerate(self.candidates(maps)[1:], 1):
+            places = np.flatnonzero(good)
+            pairs, made = np.unique(at[places] * max(1, len(self.words)) + self.code[places + size], return_inverse=True)
+            levels.append((pairs // max(1, len(self.words)), pairs % max(1, len(self.words))))
+            at = np.full(len(self.code), -1)
+            at[places] = made
+            counted = places[self.own[places]]
+            numbers, total = self.sums(at[counted], counted)
+            parts = []
+            for parent, word in reversed(levels):
+                parts.append([self.words[w] for w in word[numbers].tolist()])
+                numbers = parent[numbers]
+            parts.append([self.words[w] for w in self.word_of[numbers].tolist()])
+            for x, n, *phrase in zip(self.lang_of[numbers].tolist(), total.tolist(), *reversed(parts)):
+                yield self.langs[x], b" ".join(phrase), n
+
+
+def count_spelled(parsed: DataFrame, maps: list[np.ndarray] | None, least: int) -> DataFrame:
+    """lang, phrase, a: words (without ``maps``) or longer phrases with at least ``least`` occurrences."""
+    shared = parsed.sparkSession.sparkContext.broadcast(maps) if maps is not None else None
 
     def emit(counts: dict) -> pa.RecordBatch:
         arrays = [pa.array([x for x, _ in counts], pa.string()), pa.array([p for _, p in counts], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
@@ -175,11 +226,9 @@ def count_phrases(parsed: DataFrame, passed: list[np.ndarray], least: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, int] = {}
         held = 0
-        for batch in batches:
-            found = Phrases(batch)
-            for level in maps.value:
-                found.extend(level)
-            for lang, phrase, total in found.totals():
+        for batch in gathered(batches):
+            places = Places(batch)
+            for lang, phrase, total in places.phrases_found(shared.value) if shared else places.words_found():
                 key = lang, phrase
                 if key in counts:
                     counts[key] += total
@@ -195,6 +244,22 @@ def count_phrases(parsed: DataFrame, passed: list[np.ndarray], least: int) -> Da
     return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
+def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataFrame:
+    """hash: of phrases one word longer than there are ``maps``, whose parts passed, that occur ``least`` times together."""
+    shared = parsed.sparkSession.sparkContext.broadcast(maps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            places = Places(batch)
+            hashes, may = places.candidates(shared.value)[-1]
+            at = np.flatnonzero(may & places.own)
+            found, total = places.sums(hashes[at], at)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["hash", "a"])
+
+    parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "hash long, a long")
+    return parts.groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("hash")
+
+
 # ---- scoring ---------------------------------------------------------------
 
 def joined(words: Column, start, length) -> Column:
@@ -220,16 +285,13 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     least COVERED percent of its occurrences is left out. Order: score and a descending, phrase.
     """
     parsed = materialise(dictionary(docs, longest, text, lang), "chunks")
-    levels, passed = [], []
-    for size in range(1, longest + 1):
-        levels.append(materialise(count_phrases(parsed, passed, least).withColumn("size", F.lit(size)), "phrases"))
-        if size < longest:
-            passed.append(passed_map(levels[-1]))
-    counts = levels[0]
-    for level in levels[1:]:
-        counts = counts.unionByName(level)
+    single = materialise(count_spelled(parsed, None, least), "words")
+    maps = [passed_map(single.select(F.xxhash64("lang", "phrase").alias("hash")))]
+    while len(maps) < longest - 1:
+        maps.append(passed_map(count_hashed(parsed, maps, least)))
+    longer = materialise(count_spelled(parsed, maps, least).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
+    counts = single.withColumn("size", F.lit(1)).unionByName(longer)
     words = F.split("phrase", " ")
-    longer = counts.where("size > 1")
 
     cuts = longer.select("lang", "phrase", "a", "size", words.alias("words"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     parts = cuts.select("lang", "phrase", "a", "k", joined(F.col("words"), F.lit(1), F.col("k")).alias("first"),

@@ -52,12 +52,13 @@ def some_rows(seed):
 
 @pytest.mark.parametrize("every, widest, held", [(12, 200, 8_000_000), (2, 5, 300), (1000, 7, 100)])
 def test_equals_plain_counts(spark, monkeypatch, every, widest, held):
-    for name, value in (("EVERY", every), ("WIDEST", widest), ("HELD", held)):
+    for name, value in (("EVERY", every), ("WIDEST", widest), ("HELD", held), ("TOGETHER", held)):
         monkeypatch.setattr(collocations, name, value)
     rows = some_rows(every)
     docs = spark.createDataFrame([(i, *r, 5) for i, r in enumerate(rows)], "doc_id long, text string, lang string, n int")
     assert found(docs, least=3, top=40) == expected(rows, 3, 40)
     assert found(docs, least=1, top=100_000, longest=3) == expected(rows, 1, 100_000, 3)
+    assert found(docs, least=2, top=100_000, longest=2) == expected(rows, 2, 100_000, 2)
 
 
 def test_shared_slots_change_nothing(spark, monkeypatch):
