@@ -536,6 +536,23 @@ SELECT date_trunc('day', ts) AS period_start, event_type, count(*) AS count, rou
 ORACLE["stream_freshness"] = """
 SELECT user_id, count(*) AS property_count, max(ts) AS last_updated FROM events GROUP BY user_id"""
 ORACLE["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+# Of the events that arrive in a turn, those count whose period ends after the watermark that
+# the turns before have left.
+LATE_EVENTS = """
+WITH e AS (
+    SELECT *, CAST(floor(epoch(ts) / 432000) AS INT) + CASE WHEN event_id % 20 = 0 THEN 2 ELSE 0 END AS turn FROM events),
+mark AS (
+    SELECT turn, max(max(ts)) OVER w - INTERVAL 2 DAY AS to_time, max(max(date_trunc('day', ts))) OVER w - INTERVAL 2 DAY AS to_day
+    FROM e GROUP BY turn WINDOW w AS (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+"""
+ORACLE["stream_periods_late"] = f"""{LATE_EVENTS}
+SELECT date_trunc('day', ts) AS period_start, event_type, count(*) AS count, round(avg(value), 6) AS avg_price,
+       min(value) AS min_price, max(value) AS max_price
+FROM e JOIN mark USING (turn) WHERE to_time IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > to_time GROUP BY 1, 2"""
+ORACLE["stream_dedup_late"] = f"""{LATE_EVENTS}
+SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day
+FROM e JOIN mark USING (turn) WHERE to_day IS NULL OR date_trunc('day', ts) > to_day"""
+ORACLE["stream_freshness_late"] = ORACLE["stream_freshness"]
 ORACLE["stream_ingest"] = ORACLE["upsert_properties"]
 # Of equal address, date and price, the first record counts.
 on_views("stream_ingest_sales", """

@@ -888,14 +888,16 @@ def stream_dedup(spark, sf):
     return rows.select("user_id", "event_type")
 
 
+ORDERS_IN_TURNS = (0.25, 0.5, 0.75)
+
+
 def ingested(spark, sf):
-    """Tables of properties and sales after orders have arrived as a stream of scraped records."""
-    store = staging_path(spark, "ingest")
+    """Tables of properties and sales after orders have arrived, in four turns, as a stream of scraped records."""
+    folder = staging_path(spark, "ingest")
     stored = view(spark, sf, "property").withColumn("url", F.lit(None).cast("string"))
-    properties = jobs.KeyedTable(spark, f"{store}/property", stored.schema, "address")
-    properties.rewrite(stored)
-    sales = jobs.KeyedTable(spark, f"{store}/sale", schemas.sale_schema(), "property_id")
-    bring_in = jobs.ingest_batch(properties, sales)
+    store = jobs.ingest_store(spark, f"{folder}/tables", stored.schema, schemas.sale_schema())
+    store.load(property=stored)
+    bring_in = jobs.ingest_batch(store, "orders")
 
     def records_arrive(batch, batch_id):
         none = F.lit(None).cast("array<string>")
@@ -905,20 +907,56 @@ def ingested(spark, sf):
         bring_in(records.withColumn("sales", F.array(F.struct(
             F.col("date_sold"), F.col("price"), F.lit("").alias("price_change_pct"), F.col("sale_type").alias("property_type"), F.col("tenure")))), batch_id)
 
-    jobs.run_available(table_stream(spark, sf, "orders"), records_arrive, f"{store}/checkpoint")
-    return properties, sales
+    orders = table(spark, sf, "orders")
+    bounds = orders.agg(F.percentile_approx("o_orderkey", list(ORDERS_IN_TURNS))).first()[0] or []
+    turn = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda bound: bound < F.col("o_orderkey")))
+    for part in jobs.in_turns(orders.withColumn("turn", turn), "turn"):
+        part.write.mode("append").parquet(f"{folder}/landing")
+        jobs.run_available(jobs.stream_files(spark, f"{folder}/landing", part.schema), records_arrive, f"{folder}/checkpoint")
+    return store.snapshot()
 
 
 @query
 def stream_ingest(spark, sf):
-    return ingested(spark, sf)[0].read().select(*UPSERTED)
+    return ingested(spark, sf).read(jobs.PROPERTY).select(*UPSERTED)
 
 
 @query
 def stream_ingest_sales(spark, sf):
-    properties, sales = ingested(spark, sf)
-    places = properties.read().select(F.col("id").alias("property_id"), "address")
-    return sales.read().join(places, "property_id").select("address", "date_sold", "price", "price_numeric", "date_sold_iso", "property_type", "tenure")
+    tables = ingested(spark, sf)
+    places = tables.read(jobs.PROPERTY).select(F.col("id").alias("property_id"), "address")
+    return tables.read(jobs.SALE).join(places, "property_id").select("address", "date_sold", "price", "price_numeric", "date_sold_iso", "property_type", "tenure")
+
+
+# Events land in turns of five days; one in twenty arrives two turns late. A watermark two
+# days behind the newest event drops most of these.
+TURN = "CAST(floor(unix_seconds(ts) / 432000) AS INT) + CASE WHEN event_id % 20 = 0 THEN 2 ELSE 0 END"
+DELAY = "2 days"
+
+
+def event_turns(spark, sf):
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.in_turns(events.withColumn("turn", F.expr(TURN)), "turn")
+
+
+@query
+def stream_periods_late(spark, sf):
+    totals = jobs.replay(
+        event_turns(spark, sf), lambda s: jobs.period_totals(s, "ts", "value", "1 day", DELAY, "event_type"), ["period_start", "event_type"], "late-periods")
+    return totals.withColumn("avg_price", F.round("avg_price", 6))
+
+
+@query
+def stream_dedup_late(spark, sf):
+    def once(stream):
+        days = stream.select("user_id", "event_type", F.date_trunc("day", "ts").alias("day"))
+        return jobs.deduplicate(days, ["user_id", "event_type", "day"], "day", DELAY)
+    return jobs.replay(event_turns(spark, sf), once, ["user_id", "event_type", "day"], "late-dedup", "append")
+
+
+@query
+def stream_freshness_late(spark, sf):
+    return jobs.replay(event_turns(spark, sf), lambda s: jobs.freshness_view(s, "user_id", "ts"), ["user_id"], "late-freshness")
 
 
 # --- landed files ------------------------------------------------------------

@@ -7,15 +7,16 @@ folder per micro-batch, and re-running a batch overwrites its own folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 
 from plotwise.operators import upsert
 from plotwise.session import materialise, staging_path
+from plotwise.streaming.tables import KeyedTable, TableStore
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.parquet",
@@ -52,9 +53,14 @@ def collect_updates(stream: DataFrame, keys: Sequence[str], label: str, mode: st
     Every micro-batch writes the rows it changed; the final state is the latest
     version of each key.
     """
-    spark = stream.sparkSession
-    out, checkpoint = staging_path(spark, label), staging_path(spark, f"{label}-checkpoint")
+    out, checkpoint = staging_path(stream.sparkSession, label), staging_path(stream.sparkSession, f"{label}-checkpoint")
     run_available(stream, _write_batches(out), checkpoint, mode)
+    return _newest(stream, out, keys)
+
+
+def _newest(stream: DataFrame, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest of the rows that batches have written below ``out``."""
+    spark = stream.sparkSession
     fields = StructType.fromJson(stream.schema.jsonValue()).add("batch_id", LongType())
     try:
         written = spark.read.schema(fields).option("recursiveFileLookup", True).parquet(out)
@@ -65,6 +71,39 @@ def collect_updates(stream: DataFrame, keys: Sequence[str], label: str, mode: st
     return upsert.latest_version(written, list(keys), "batch_id").drop("batch_id")
 
 
+def replay(arrivals: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], keys: Sequence[str], label: str,
+           mode: str = "update", seen: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
+    """Newest row per key of a stream whose input lands in turns.
+
+    Each of ``arrivals`` is written to the landing folder, then the query goes on from its
+    checkpoint: state and watermark carry over, rows behind the watermark are dropped, and
+    state it has passed is let go before the next turn. ``seen`` is told of each run.
+    """
+    stream = out = None
+    for part in arrivals:
+        spark = part.sparkSession
+        if out is None:
+            landing, out, checkpoint = (staging_path(spark, f"{label}-{x}") for x in ("landing", "batches", "checkpoint"))
+        part.write.mode("append").parquet(landing)
+        stream = build(stream_files(spark, landing, part.schema))
+        query = run_available(stream, _write_batches(out), checkpoint, mode)
+        if seen:
+            seen(query)
+    if out is None:
+        raise ValueError("nothing to replay")
+    return _newest(stream, out, keys)
+
+
+def in_turns(df: DataFrame, turn: str) -> Iterable[DataFrame]:
+    """The rows of ``df`` turn by turn, without the column that numbers the turns.
+
+    An empty table has one empty turn.
+    """
+    numbers = [r[0] for r in df.select(turn).distinct().orderBy(turn).collect()]
+    for number in numbers or [None]:
+        yield df.where(F.col(turn).eqNullSafe(F.lit(number))).drop(turn)
+
+
 # --- in-flight operators -----------------------------------------------------
 
 def deduplicate(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
@@ -95,56 +134,32 @@ def freshness_view(stream: DataFrame, key: str, event_time: str) -> DataFrame:
 
 # --- continuous ingest -------------------------------------------------------
 
-class KeyedTable:
-    """A parquet table in parts by a hash of its key, of which a batch rewrites those it touches.
-
-    A batch repeated after a failure finds its own rows in place; bringing in the same
-    records twice changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, parts: int = 64) -> None:
-        self.spark, self.path, self.schema, self.key, self.parts = spark, path.rstrip("/"), schema, key, parts
-
-    def _part(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
-
-    def _stored(self) -> DataFrame:
-        fields = StructType(list(self.schema.fields)).add("_part", IntegerType())
-        try:
-            return self.spark.read.schema(fields).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], fields)
-            raise
-
-    def read(self) -> DataFrame:
-        return self._stored().drop("_part")
+PROPERTY, SALE = "property", "sale"
 
-    def touched_by(self, rows: DataFrame) -> DataFrame:
-        """The stored parts that hold a key of ``rows``; there are at most ``parts`` numbers to collect."""
-        numbers = [r[0] for r in rows.select(self._part().alias("p")).distinct().collect()]
-        return self._stored().where(F.col("_part").isin(numbers)).drop("_part")
 
-    def rewrite(self, df: DataFrame) -> DataFrame:
-        """Put ``df`` in place of the parts it belongs to, and return it as written."""
-        whole = materialise(df.select(*self.schema.fieldNames()), "table-parts")
-        dealt = whole.withColumn("_part", self._part())
-        dealt.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.path)
-        return whole
+def ingest_store(spark: SparkSession, path: str, properties: StructType, sales: StructType, **options) -> TableStore:
+    """Properties by address and sales by what makes a sale unique, changed together."""
+    return TableStore(spark, path, {
+        PROPERTY: KeyedTable(properties, ("address",)), SALE: KeyedTable(sales, ("property_id", "date_sold", "price"))}, **options)
 
 
-def ingest_batch(properties: KeyedTable, sales: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """Batch function that brings scraped records into tables keyed by address and by property_id."""
+def ingest_batch(store: TableStore, source: str = "records") -> Callable[[DataFrame, int], None]:
+    """Batch function that brings scraped records of a source into both tables of a store."""
     def apply(records: DataFrame, batch_id: int) -> None:
-        changes = upsert.record_changes(records)
-        merged = properties.rewrite(upsert.upsert_properties(properties.touched_by(changes), changes))
+        change = store.begin()
+        if change.has(source, batch_id):
+            return
+        changes = materialise(upsert.record_changes(records), "record-changes")
+        merged = change.replace(PROPERTY, upsert.upsert_properties(change.touched(PROPERTY, changes), changes))
         arriving = materialise(upsert.with_property_id(upsert.sale_rows(records), merged), "arriving-sales")
-        sales.rewrite(upsert.insert_sales(sales.touched_by(arriving), arriving))
+        change.replace(SALE, upsert.insert_sales(change.touched(SALE, arriving), arriving))
+        change.commit(source, batch_id)
     return apply
 
 
-def ingest(stream: DataFrame, properties: KeyedTable, sales: KeyedTable, checkpoint: str) -> StreamingQuery:
-    return run_available(stream, ingest_batch(properties, sales), checkpoint)
+def ingest(stream: DataFrame, store: TableStore, checkpoint: str) -> StreamingQuery:
+    """Bring in what has arrived; batches are counted by checkpoint."""
+    return run_available(stream, ingest_batch(store, checkpoint), checkpoint)
 
 
 def pending_work(work: DataFrame, done: DataFrame, key: str = "postcode") -> DataFrame:

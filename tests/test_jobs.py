@@ -20,46 +20,6 @@ def records(spark, rows):
     return spark.createDataFrame(full, schemas.record_schema())
 
 
-def test_ingest_resumes_and_is_idempotent(spark):
-    landing, store = staging_path(spark, "landing"), staging_path(spark, "tables")
-    check = staging_path(spark, "check")
-    properties = jobs.KeyedTable(spark, store + "/p", schemas.property_schema(), "address")
-    sales = jobs.KeyedTable(spark, store + "/s", schemas.sale_schema(), "property_id")
-    assert properties.read().count() == 0
-
-    def run():
-        jobs.ingest(jobs.stream_files(spark, landing, schemas.record_schema()), properties, sales, check)
-
-    records(spark, [(1, "A", 2, "04 Nov 2023"), (2, "B", 1, "5 Nov 2023")]).write.mode("append").parquet(landing)
-    run()
-    records(spark, [(3, "A", 3, "4 Nov 2023"), (4, "C", 1, "6 Nov 2023")]).write.mode("append").parquet(landing)
-    run()
-    run()
-    assert {r["address"]: r["bedrooms"] for r in properties.read().collect()} == {"A": 3, "B": 1, "C": 1}
-    assert sorted(r["date_sold"] for r in sales.read().collect()) == ["4 Nov 2023", "5 Nov 2023", "6 Nov 2023"]
-    ids = {r["id"] for r in properties.read().collect()}
-    assert {r["property_id"] for r in sales.read().collect()} == ids
-    # A repeated batch changes nothing, and neither does a run from a fresh checkpoint.
-    jobs.ingest_batch(properties, sales)(records(spark, [(3, "A", 3, "4 Nov 2023")]), 1)
-    assert properties.read().count() == 3 and sales.read().count() == 3
-    jobs.ingest(jobs.stream_files(spark, landing, schemas.record_schema()), properties, sales, staging_path(spark, "check"))
-    assert {r["address"]: r["bedrooms"] for r in properties.read().collect()} == {"A": 3, "B": 1, "C": 1}
-    assert sales.read().count() == 3
-
-
-def test_a_batch_writes_only_the_parts_it_touches(spark):
-    store = staging_path(spark, "tables")
-    properties = jobs.KeyedTable(spark, store + "/p", schemas.property_schema(), "address")
-    sales = jobs.KeyedTable(spark, store + "/s", schemas.sale_schema(), "property_id")
-    batch = jobs.ingest_batch(properties, sales)
-    batch(records(spark, [(i, f"House {i}", 1, "4 Nov 2023") for i in range(200)]), 0)
-    before = set(Path(store, "p").rglob("*.parquet"))
-    batch(records(spark, [(900, "House 7", 5, "4 Nov 2023")]), 1)
-    after = set(Path(store, "p").rglob("*.parquet"))
-    assert len(after - before) == 1 and len(before - after) == 1
-    assert properties.read().count() == 200 and properties.read().where("bedrooms = 5").count() == 1
-
-
 def test_streams_of_one_file_and_of_a_folder_agree(spark):
     folder = staging_path(spark, "layouts")
     df = spark.range(100).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) ts", "id % 4 k")
