@@ -131,6 +131,15 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
 
+def distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, all below ``bound``, and the place of each value among them."""
+    if bound > 4 * len(values) + 1024:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(bound, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+
+
 class Places:
     """The places of all words of a batch of chunks, one after another.
 
@@ -152,7 +161,7 @@ class Places:
         langs = batch.column(0).dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
         pairs = langs.indices.to_numpy().astype(np.int64)[row] * len(self.words) + self.code
-        pairs, self.numbers = np.unique(pairs, return_inverse=True)
+        pairs, self.numbers = distinct(pairs, len(self.langs) * len(self.words))
         self.lang_of, self.word_of = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
 
     def word_hashes(self) -> np.ndarray:
@@ -182,16 +191,16 @@ class Places:
             hashes ^= hashes >> np.uint64(32)
         return [*out, (hashes, may)]
 
-    def sums(self, numbers: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct ``numbers`` and the occurrences of their ``places``."""
-        found, inverse = np.unique(numbers, return_inverse=True)
-        total = np.zeros(len(found), np.int64)
+    def sums(self, inverse: np.ndarray, places: np.ndarray, many: int) -> np.ndarray:
+        """Occurrences of each of ``many`` numbers over the ``places`` they stand for."""
+        total = np.zeros(many, np.int64)
         np.add.at(total, inverse, self.times[places])
-        return found, total
+        return total
 
     def words_found(self) -> Iterator[tuple[str, bytes, int]]:
         places = np.flatnonzero(self.own)
-        found, total = self.sums(self.numbers[places], places)
+        found, inverse = distinct(self.numbers[places], len(self.word_of))
+        total = self.sums(inverse, places, len(found))
         for x, w, n in zip(self.lang_of[found].tolist(), self.word_of[found].tolist(), total.tolist()):
             yield self.langs[x], self.words[w], n
 
@@ -205,7 +214,8 @@ class Places:
             at = np.full(len(self.code), -1)
             at[places] = made
             counted = places[self.own[places]]
-            numbers, total = self.sums(at[counted], counted)
+            numbers, inverse = distinct(at[counted], len(pairs))
+            total = self.sums(inverse, counted, len(numbers))
             parts = []
             for parent, word in reversed(levels):
                 parts.append([self.words[w] for w in word[numbers].tolist()])
@@ -253,7 +263,8 @@ def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataF
             places = Places(batch)
             hashes, may = places.candidates(shared.value)[-1]
             at = np.flatnonzero(may & places.own)
-            found, total = places.sums(hashes[at], at)
+            found, inverse = np.unique(hashes[at], return_inverse=True)
+            total = places.sums(inverse, at, len(found))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["hash", "a"])
 
     parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "hash long, a long")
