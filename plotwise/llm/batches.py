@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,24 @@ ROWS = 512
 BYTES = 4_000_000
 
 
+def row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive runs of ROWS rows of a batch."""
+    for start in range(0, batch.num_rows, ROWS):
+        yield batch.slice(start, ROWS)
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system.
+
+    Python workers stay for the tasks of later stages, and so would their freed memory.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, list]]:
     """Consecutive runs of texts with their bounds, each below ROWS rows and about BYTES long.
 
@@ -30,12 +50,12 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, list]]:
 
 
 def append_columns(df: DataFrame, text: str, fields: list[StructField],
-                   make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+                   make: Callable[[], Callable[[list], list[list]]], tidy: bool = False) -> DataFrame:
     """``df`` with ``fields`` computed from the text column.
 
     ``make`` runs once for each task and returns a function from a list of texts (None
     for null) to one list of values for each field. A column of ``df`` that has the
-    name of a new field is replaced.
+    name of a new field is replaced. ``tidy`` tasks give their memory back when they end.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
@@ -51,5 +71,8 @@ def append_columns(df: DataFrame, text: str, fields: list[StructField],
                 columns = [part.column(part.schema.get_field_index(n)) for n in names]
                 columns += [pa.array(v, k) for v, k in zip(compute(texts), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in fields])
+        if tidy:
+            batch = part = columns = texts = compute = None
+            release()
 
     return df.mapInArrow(run, schema)

@@ -208,4 +208,4 @@ def identify(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
             return list(model.predict(texts, tables))
         return compute
 
-    return append_columns(docs, text, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make)
+    return append_columns(docs, text, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make, tidy=True)

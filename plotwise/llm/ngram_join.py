@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plotwise.llm.batches import release, row_slices
 from plotwise.llm.graphs import components
 from plotwise.llm.sizes import if_few
 from plotwise.session import materialise
@@ -69,8 +70,9 @@ def mixed(x: np.ndarray, factor: np.uint64 = MIX) -> np.ndarray:
 
 def gram_sets(words: pa.ListArray, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each list of word hashes."""
-    flat = words.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     edges = words.offsets.to_numpy()
+    flat = words.values.slice(edges[0], edges[-1] - edges[0]).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    edges = edges - edges[0]
     grams = np.zeros(max(0, len(flat) - n + 1), np.uint64)
     for k in range(n):
         grams = mixed(grams * ODD + flat[k: k + len(grams)])
@@ -106,12 +108,15 @@ def name_sets(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
     """doc_id, text_hash, size, set_id and set_check of every row; set_id is null for an empty set."""
     def run(batches):
         for batch in batches:
-            sets = gram_sets(batch.column(2), n)
-            names = [digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())],
-                names=["doc_id", "text_hash", "size", "set_id", "set_check"])
+            for part in row_slices(batch):
+                sets = gram_sets(part.column(2), n)
+                names = [digest(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())],
+                    names=["doc_id", "text_hash", "size", "set_id", "set_check"])
+        batch = part = sets = None
+        release()
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_hashes(F.col(text)).alias("words"))
     return read.mapInArrow(run, "doc_id long, text_hash long, size long, set_id long, set_check long")
@@ -164,15 +169,18 @@ def deal_grams(docs: DataFrame, n: int, blocks: int, text: str) -> DataFrame:
     def run(batches):
         sets, held = {}, 0
         for batch in batches:
-            for s in gram_sets(batch.column(0), n):
-                if len(s) and (name := digest(s)[0]) not in sets:
-                    sets[name] = s
-                    held += len(s)
-                    if held >= GATHER:
-                        yield from emit(sets)
-                        sets, held = {}, 0
+            for part in row_slices(batch):
+                for s in gram_sets(part.column(0), n):
+                    if len(s) and (name := digest(s)[0]) not in sets:
+                        sets[name] = s
+                        held += len(s)
+                        if held >= GATHER:
+                            yield from emit(sets)
+                            sets, held = {}, 0
         if sets:
             yield from emit(sets)
+        batch = part = sets = s = None
+        release()
 
     return listed(docs, text).mapInArrow(run, BLOCKS)
 
