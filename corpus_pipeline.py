@@ -21,8 +21,13 @@ SHINGLE, PERCENT = 5, 80
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row, so that no column of a row clashes with an operator's."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    """doc_id, text and the rest of the row, so that no column of a row clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def unpacked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from packed rows."""
+    return rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not net.languages:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     found = language.identify(packed(docs), net)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LIKELY)).select("_row.*")
+    return unpacked(docs, found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LIKELY)))
 
 
 def holders_of_short_lines(docs: DataFrame) -> DataFrame:
@@ -56,26 +61,25 @@ def holders_of_short_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; so do documents all of whose lines left after that are blank or occur in earlier documents."""
-    shorter = line_dedup.without_repeats(packed(docs))
+    shorter = line_dedup.without_repeats(packed(docs).withColumn("_before", F.xxhash64("text")))
     words = F.transform(F.split("text", "\n"), lambda line: F.size(F.split(F.trim(line), " ")))
     # A longer line that is left is the first of its kind; short ones are never taken out.
     only_short = (F.col("n_removed") > 0) & ~F.exists(words, lambda n: n >= line_dedup.MIN_WORDS)
-    cut = materialise(shorter.select("text", "_row", F.coalesce(only_short, F.lit(False)).alias("_short")), "shorter-texts")
-    in_doubt = cut.where("_short").withColumn("_text_hash", F.xxhash64("_row.text"))
-    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    kept = in_doubt.join(holders_of_short_lines(docs), same, "left_semi")
+    cut = materialise(shorter.select("text", "_before", "_row", F.coalesce(only_short, F.lit(False)).alias("_short")), "shorter-texts")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_before") == F.col("_hash"))
+    kept = cut.where("_short").join(holders_of_short_lines(docs), same, "left_semi")
     return with_text(docs, cut.where("not _short").select("text", "_row").unionByName(kept.select("text", "_row")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that of the smallest id."""
-    return ngram_join.one_of_each(packed(docs), SHINGLE, PERCENT).select("_row.*")
+    return unpacked(docs, ngram_join.one_of_each(packed(docs), SHINGLE, PERCENT))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.contamination(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("n_hit = 0").select("_row.*")
+    return unpacked(docs, found.where("n_hit = 0"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
