@@ -513,17 +513,78 @@ on_views("naive_forecast_worst", f"""WITH {PAIRS}
 SELECT property_id, sale_id, latest AS price_numeric, CAST(previous AS DOUBLE) AS predicted, CAST(latest AS DOUBLE) AS actual,
        CAST(previous - latest AS DOUBLE) AS residual FROM pairs ORDER BY abs(residual) DESC, sale_id LIMIT 10""", "sale")
 
-HELD_OUT = "SELECT count(*) AS n FROM sale s JOIN property p ON s.property_id = p.id WHERE price_numeric IS NOT NULL AND date_sold_iso >= '2000-01-01'"
-on_views("ml_metrics", f"SELECT n, TRUE AS mae_positive, TRUE AS rmse_at_least_mae, TRUE AS r_squared_below_one FROM ({HELD_OUT})", "property", "sale")
-on_views("ml_worst_predictions", f"SELECT least(n, 10) AS n, TRUE AS ordered, TRUE AS none_worse FROM ({HELD_OUT})", "property", "sale")
-on_views("ml_predictions", """
-SELECT p.id AS property_id, p.address, x.price AS last_sale_price, TRUE AS valued, coalesce(x.price, 0) <> 0 AS compared
-FROM property p LEFT JOIN (SELECT property_id, arg_max(price_numeric, (date_sold_iso, id)) AS price FROM sale
-  WHERE price_numeric IS NOT NULL AND date_sold_iso IS NOT NULL GROUP BY 1) x ON x.property_id = p.id""", "property", "sale")
-ORACLE["ml_importance"] = """
-SELECT unnest(['bedrooms', 'bathrooms', 'property_type', 'latitude', 'longitude', 'tenure', 'sale_year', 'parking']) AS feature,
-       TRUE AS is_share, TRUE AS adds_up"""
-on_views("ml_residual_histogram", f"""WITH {PAIRS}, r AS (SELECT CAST(previous - latest AS DOUBLE) AS residual FROM pairs),
+# Boosted stumps: in every round the cut of any column that explains most of what is left.
+STUMP_FEATURES = ("bathrooms", "bedrooms", "sale_month", "sale_year")
+STUMP_ROUNDS = 6
+_EXPLAINED = "CAST({0}s AS DOUBLE) * CAST({0}s AS DOUBLE) / CAST({0}n AS DOUBLE)"
+_LEAF = "CAST(floor(CAST({0}s AS DOUBLE) / CAST(2 * {0}n AS DOUBLE)) AS BIGINT)"
+
+
+def _stump_value(source: str, row: str) -> str:
+    chosen = " ".join(f"WHEN '{f}' THEN {row}.{f}" for f in STUMP_FEATURES)
+    return f"CASE WHEN CASE {source}.feature {chosen} END > {source}.cut THEN {source}.right_value ELSE {source}.left_value END"
+
+
+def _stump_rounds() -> str:
+    parts = ["""sold AS (
+  SELECT s.property_id, s.id AS sale_id, date_sold_iso, price_numeric AS y, bathrooms, bedrooms,
+         CAST(substr(date_sold_iso, 6, 2) AS INT) AS sale_month, CAST(left(date_sold_iso, 4) AS INT) AS sale_year
+  FROM sale s JOIN property p ON s.property_id = p.id WHERE price_numeric IS NOT NULL)""",
+             "start AS (SELECT CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM sold WHERE date_sold_iso < '2000-01-01')",
+             "p0 AS (SELECT sold.*, v AS pred FROM sold, start)"]
+    names, values = ", ".join(f"'{f}'" for f in STUMP_FEATURES), ", ".join(f"CAST({f} AS BIGINT)" for f in STUMP_FEATURES)
+    for k in range(1, STUMP_ROUNDS + 1):
+        parts.append(f"""s{k} AS (
+  SELECT feature, value, count(*) AS n, sum(r) AS s
+  FROM (SELECT unnest([{names}]) AS feature, unnest([{values}]) AS value, y - pred AS r FROM p{k - 1} WHERE date_sold_iso < '2000-01-01') GROUP BY ALL),
+c{k} AS (
+  SELECT feature, value, sum(n) OVER u AS ln, sum(s) OVER u AS ls, sum(n) OVER a AS wn, sum(s) OVER a AS ws, wn - ln AS rn, ws - ls AS rs
+  FROM s{k} WINDOW u AS (PARTITION BY feature ORDER BY value NULLS FIRST ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature)),
+b{k} AS (
+  SELECT {k} AS round, feature, value AS cut, {_LEAF.format('l')} AS left_value, {_LEAF.format('r')} AS right_value,
+         {_EXPLAINED.format('l')} + {_EXPLAINED.format('r')} - {_EXPLAINED.format('w')} AS gain
+  FROM c{k} WHERE value IS NOT NULL AND rn > 0 ORDER BY gain DESC, feature, value LIMIT 1),
+p{k} AS (SELECT p.* REPLACE (p.pred + {_stump_value('b', 'p')} AS pred) FROM p{k - 1} p, b{k} b)""")
+    union = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, STUMP_ROUNDS + 1))
+    parts.append(f"grown AS ({union})")
+    parts.append(f"""scored AS (
+  SELECT property_id, sale_id, date_sold_iso, CAST(pred AS DOUBLE) AS predicted, CAST(y AS DOUBLE) AS actual, CAST(pred - y AS DOUBLE) AS residual
+  FROM p{STUMP_ROUNDS} WHERE date_sold_iso >= '2000-01-01')""")
+    return ", ".join(parts)
+
+
+STUMPS = _stump_rounds()
+for _name, _sql in {
+    "ml_stumps": "SELECT CAST(round AS INT) AS round, feature, cut, left_value, right_value, round(gain / 1e6, 3) AS gain FROM grown",
+    "ml_residuals": "SELECT * FROM scored",
+    "ml_metrics": """SELECT count(*) AS n, round_even(1 - sum(residual * residual) / sum(pow(actual - m, 2)), 4) AS r_squared, round_even(sqrt(avg(residual * residual)), 2) AS rmse,
+       round_even(avg(abs(residual)), 2) AS mae, round_even(avg(abs(residual / nullif(actual, 0))) * 100, 2) AS mape
+FROM scored, (SELECT avg(actual) AS m FROM scored)""",
+    "ml_worst_predictions": "SELECT property_id, sale_id, predicted, actual, residual FROM scored ORDER BY abs(residual) DESC, sale_id LIMIT 10",
+    "ml_importance": f"""SELECT feature, round_even(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM grown) * 100, 2) AS importance
+FROM (SELECT unnest([{', '.join(f"'{f}'" for f in STUMP_FEATURES)}]) AS feature) LEFT JOIN grown USING (feature) GROUP BY feature""",
+    "ml_residual_histogram": """SELECT CAST(least(floor((residual - lo) / ((hi - lo) / 20)), 19) AS INT) AS bucket, count(*) AS count,
+       min(residual) AS min_residual, max(residual) AS max_residual
+FROM scored, (SELECT min(residual) AS lo, max(residual) AS hi FROM scored) GROUP BY 1""",
+    "ml_predictions": f""", asked AS (
+  SELECT p.id AS property_id, p.address, p.bathrooms, p.bedrooms, 1 AS sale_month, 2002 AS sale_year, nullif(CAST(x.price AS DOUBLE), 0) AS last, x.price AS last_sale_price
+  FROM property p LEFT JOIN (SELECT property_id, arg_max(price_numeric, (date_sold_iso, id)) AS price FROM sale
+    WHERE price_numeric IS NOT NULL AND date_sold_iso IS NOT NULL GROUP BY 1) x ON x.property_id = p.id),
+valued AS (
+  SELECT asked.property_id, any_value(address) AS address, any_value(last_sale_price) AS last_sale_price, any_value(last) AS last,
+         CAST((SELECT v FROM start) + sum({_stump_value('grown', 'asked')}) AS DOUBLE) AS predicted_value
+  FROM asked, grown GROUP BY asked.property_id)
+SELECT property_id, address, predicted_value, last_sale_price, round_even(predicted_value - last, 2) AS difference,
+       round_even((predicted_value - last) / last * 100, 1) AS difference_pct FROM valued""",
+}.items():
+    on_views(_name, f"WITH {STUMPS} {_sql}", "property", "sale")
+on_views("ml_category_means", """WITH r AS (
+  SELECT s.id AS sale_id, p.property_type, coalesce(p.property_type, '') AS k, s.id % 5 AS fold, CAST(price_numeric AS DOUBLE) AS y
+  FROM sale s JOIN property p ON s.property_id = p.id WHERE price_numeric IS NOT NULL),
+c AS (SELECT k, fold, sum(y) AS s, count(*) AS n FROM r GROUP BY ALL),
+m AS (SELECT k, fold, (sum(s) OVER (PARTITION BY k) - s + 1000000.0) / (sum(n) OVER (PARTITION BY k) - n + 10) AS mean FROM c)
+SELECT sale_id, property_type, round(mean, 4) AS mean FROM r JOIN m USING (k, fold)""", "property", "sale")
+on_views("naive_forecast_histogram", f"""WITH {PAIRS}, r AS (SELECT CAST(previous - latest AS DOUBLE) AS residual FROM pairs),
 x AS (SELECT min(residual) AS lo, max(residual) AS hi FROM r)
 SELECT CAST(least(floor((residual - lo) / ((hi - lo) / 20)), 19) AS INT) AS bucket, count(*) AS count,
        min(residual) AS min_residual, max(residual) AS max_residual FROM r, x GROUP BY 1""", "sale")

@@ -15,7 +15,7 @@ from plotwise.functions import text
 from plotwise.functions.features import FEATURE_COLUMNS, parse_features
 from plotwise.operators import (
     area_records, compare, coverage as coverage_ops, dataset, growth, insights, lookups, market, model,
-    predicates, similar, spatial, text_reports, upsert,
+    predicates, similar, spatial, text_reports, upsert, stumps,
 )
 from plotwise.operators.predicates import InsightsFilter
 from plotwise.operators.sales import (
@@ -767,37 +767,66 @@ def scored_of(spark, sf):
     return FITTED[key], model.with_residual(model.score(FITTED[key], held_out), "price_numeric")
 
 
+STUMP_FEATURES = ("bathrooms", "bedrooms", "sale_month", "sale_year")
+STUMP_ROUNDS = 6
+
+
+STUMP_MODELS: dict[tuple[str, str], stumps.StumpModel] = {}
+
+
+def stump_model(spark, sf):
+    """A model that SQL can state, fitted once in a session, and its scored test rows."""
+    data = dataset.price_dataset(view(spark, sf, "sale"), view(spark, sf, "property"), None, STUMP_FEATURES)
+    rows, held_out = model.split(data, "temporal", "2000-01-01")
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in STUMP_MODELS:
+        STUMP_MODELS[key] = stumps.fit(rows, "price_numeric", STUMP_FEATURES, STUMP_ROUNDS)
+    fitted = STUMP_MODELS[key]
+    return fitted, model.with_residual(stumps.score(fitted, held_out), "price_numeric")
+
+
+@query
+def ml_stumps(spark, sf):
+    return stumps.stump_table(spark, stump_model(spark, sf)[0]).withColumn("gain", F.round(F.col("gain") / 1e6, 3))
+
+
 @query
 def ml_metrics(spark, sf):
-    """Rows that were scored, and what holds for the errors of any model."""
-    return model.metrics(scored_of(spark, sf)[1]).selectExpr("n", "mae > 0 AS mae_positive", "rmse >= mae AS rmse_at_least_mae", "r_squared < 1 AS r_squared_below_one")
+    return model.metrics(stump_model(spark, sf)[1])
 
 
 @query
 def ml_predictions(spark, sf):
-    """Properties that get a value, next to their last price."""
-    rows = dataset.scoring_dataset(
-        view(spark, sf, "sale"), view(spark, sf, "property"), None, MODEL_FEATURES, "2002-01-15"
-    )
-    found = model.predictions(model.score(scored_of(spark, sf)[0], rows))
-    return found.selectExpr("property_id", "address", "last_sale_price", "predicted_value > 0 AS valued", "difference IS NOT NULL AS compared")
+    rows = dataset.scoring_dataset(view(spark, sf, "sale"), view(spark, sf, "property"), None, STUMP_FEATURES, "2002-01-15")
+    return model.predictions(stumps.score(stump_model(spark, sf)[0], rows))
 
 
 @query
 def ml_importance(spark, sf):
-    table = model.importance_table(spark, scored_of(spark, sf)[0])
-    return table.selectExpr("feature", "importance BETWEEN 0 AND 100 AS is_share", "abs(sum(importance) OVER () - 100) < 0.1 AS adds_up")
+    return stumps.importance_table(spark, stump_model(spark, sf)[0])
 
 
 @query
 def ml_worst_predictions(spark, sf):
-    """The ten worst of the fitted model: as many as asked for, and no other row is worse."""
-    scored = scored_of(spark, sf)[1]
-    worst = model.worst_predictions(scored)
-    least = worst.agg(F.count("*").alias("n"), F.min(F.abs("residual")).alias("least"), F.max(F.abs("residual")).alias("most"))
-    bound = least.select("least").scalar()
-    worse = scored.where(F.abs("residual") > bound + 1e-6).agg(F.count("*").alias("worse"))
-    return worse.withColumn("l", least.select(F.struct("n", "least", "most")).scalar()).selectExpr("l.n", "l.most >= l.least AS ordered", "worse < l.n AS none_worse")
+    return model.worst_predictions(stump_model(spark, sf)[1]).select("property_id", "sale_id", "predicted", "actual", "residual")
+
+
+@query
+def ml_residuals(spark, sf):
+    return stump_model(spark, sf)[1].select("property_id", "sale_id", "date_sold_iso", "predicted", "actual", "residual")
+
+
+@query
+def ml_residual_histogram(spark, sf):
+    return model.residual_histogram(stump_model(spark, sf)[1])
+
+
+@query
+def ml_category_means(spark, sf):
+    """Mean price of each sale's type over the sales of other folds."""
+    rows = dataset.price_dataset(view(spark, sf, "sale"), view(spark, sf, "property"), None, ("property_type",))
+    means = model.means_of_other_folds(rows, "property_type", "price_numeric", 100000.0, F.pmod("sale_id", F.lit(5)))
+    return means.select("sale_id", "property_type", F.round("property_type__mean", 4).alias("mean"))
 
 
 def naive_residuals(spark, sf):
@@ -812,7 +841,7 @@ def naive_residuals(spark, sf):
 
 
 @query
-def ml_residual_histogram(spark, sf):
+def naive_forecast_histogram(spark, sf):
     return model.residual_histogram(naive_residuals(spark, sf))
 
 
@@ -826,7 +855,7 @@ def naive_forecast_worst(spark, sf):
     return model.worst_predictions(naive_residuals(spark, sf))
 
 
-# The whole output of the fitted model, which SQL cannot state; tests hold it against its scored rows.
+# The whole output of gradient-boosted trees, which SQL cannot state; tests hold it against its scored rows.
 
 @query
 def fitted_metrics(spark, sf):

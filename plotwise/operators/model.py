@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plotwise.functions.numbers import half_even
 from plotwise.operators.dataset import feature_kinds
@@ -20,6 +20,7 @@ MIN_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 20, 5, 2
 # Rows that the overall mean counts for in the mean of a category.
 PRIOR_ROWS = 10.0
 SPLIT_BUCKETS = 10000
+FOLDS = 5
 
 
 def _split_hash() -> Column:
@@ -80,6 +81,29 @@ def encode_categories(rows: DataFrame, categorical: Sequence[str], label: str) -
     return tables, overall
 
 
+def means_of_other_folds(rows: DataFrame, category: str, label: str, overall: float, fold: Column) -> DataFrame:
+    """``rows`` with the mean label of their category over the rows of other folds.
+
+    A training row must not see its own label; drawn to the overall mean like
+    ``encode_categories``, and equal to it where no other fold has the category.
+    """
+    placed = rows.withColumn("_fold", fold)
+    cells = placed.groupBy(_category(category).alias("_key"), F.col("_fold").alias("_of")).agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+    whole = Window.partitionBy("_key")  # one row per fold
+    mean = (F.sum("_s").over(whole) - F.coalesce("_s", F.lit(0.0)) + F.lit(PRIOR_ROWS * overall)) / (F.sum("_n").over(whole) - F.col("_n") + F.lit(PRIOR_ROWS))
+    table = cells.select("_key", "_of", mean.alias(f"{category}__mean"))
+    joined = placed.join(table, (_category(category) == F.col("_key")) & F.col("_fold").eqNullSafe(F.col("_of")), "left")
+    return joined.drop("_key", "_of", "_fold").fillna({f"{category}__mean": overall})
+
+
+def prepare_training(data: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, overall: float) -> DataFrame:
+    """As ``prepare``, with categories by the mean of the other folds."""
+    ready = prepare(data, numeric, {}, overall)
+    for c in categorical:
+        ready = means_of_other_folds(ready, c, label, overall, F.pmod(F.xxhash64("sale_id", F.lit(SPLIT_SEED + 1)), F.lit(FOLDS)))
+    return ready
+
+
 def prepare(data: DataFrame, numeric: Sequence[str], encodings: dict[str, DataFrame], overall: float) -> DataFrame:
     """Numbers with a missing flag, categories as their mean label; unseen ones get the overall mean."""
     ready = data.select("*", *[F.col(c).isNull().cast("double").alias(_missing(c)) for c in numeric])
@@ -112,7 +136,7 @@ def train(rows: DataFrame, target: str, features: Sequence[str], log_transform:
     label = F.log1p(F.col(target)) if log_transform else F.col(target)
     labelled = rows.withColumn("_label", label.cast("double"))
     encodings, overall = encode_categories(labelled, categorical, "_label")
-    ready = materialise(prepare(labelled, numeric, encodings, overall), "training-rows")
+    ready = materialise(prepare_training(labelled, numeric, categorical, "_label", overall), "training-rows")
     inputs = (
         [f"{c}__filled" for c in numeric] + [_missing(c) for c in numeric]
         + [f"{c}__mean" for c in categorical]
