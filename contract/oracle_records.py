@@ -405,6 +405,32 @@ SELECT DISTINCT postcode FROM property WHERE postcode NOT IN (SELECT postcode FR
 on_views("properties_with_sales", """
 SELECT p.id, p.address, s.id AS sale_id, s.date_sold_iso, s.price_numeric, s.tenure, s.property_type AS sale_type
 FROM property p LEFT JOIN sale s ON s.property_id = p.id""", "property", "sale")
+on_views("properties_nested", """
+WITH h AS (
+  SELECT p.id, p.address, s.id AS sale_id, s.date_sold_iso AS d, s.price_numeric AS v
+  FROM property p LEFT JOIN sale s ON s.property_id = p.id),
+rise AS (
+  SELECT id, max(step) AS largest_rise FROM (
+    SELECT id, v - lag(v) OVER (PARTITION BY id ORDER BY coalesce(d, ''), sale_id) AS step FROM h WHERE v IS NOT NULL) GROUP BY id)
+SELECT h.id, any_value(address) AS address, count(sale_id) AS n_sales, count(v) AS n_priced, CAST(coalesce(sum(v), 0) AS BIGINT) AS total,
+       arg_max(v, (d, sale_id)) FILTER (v IS NOT NULL AND d IS NOT NULL) AS last_price, any_value(largest_rise) AS largest_rise,
+       coalesce(string_agg(concat(coalesce(d, '?'), ':', sale_id, ':', coalesce(CAST(v AS VARCHAR), '?')), ';' ORDER BY coalesce(d, ''), sale_id)
+                FILTER (sale_id IS NOT NULL), '') AS history
+FROM h LEFT JOIN rise ON rise.id = h.id GROUP BY h.id""", "property", "sale")
+on_views("properties_nested_flat", """
+SELECT property_id, date_sold_iso, s.id AS sale_id, price_numeric, s.tenure, s.property_type AS sale_type
+FROM property p JOIN sale s ON s.property_id = p.id""", "property", "sale")
+on_views("properties_with_any_sale", "SELECT id, address FROM property WHERE id IN (SELECT property_id FROM sale)", "property", "sale")
+on_views("due_properties", """
+SELECT id, updated_at FROM property WHERE updated_at IS NULL OR updated_at < TIMESTAMP '2024-03-01 00:00:00' - INTERVAL 90 DAY""", "property")
+on_views("merged_files", """
+SELECT id, CASE WHEN id % 4 IN (0, 2) THEN address END AS address, CASE WHEN id % 4 <> 2 THEN bedrooms END AS bedrooms,
+       CASE id % 4 WHEN 0 THEN bathrooms * 1000.0::DOUBLE WHEN 1 THEN bathrooms * 1000 + 0.5::DOUBLE END AS price,
+       CASE WHEN id % 4 >= 2 THEN CAST(bathrooms AS DOUBLE) END AS rate, CASE WHEN id % 4 >= 2 THEN created_at END AS seen
+FROM property""", "property")
+on_views("cache_refresh", """
+SELECT outcode, count(*) AS properties, CAST(CASE WHEN outcode LIKE 'A%' THEN 3 ELSE 2 END AS INT) AS version FROM property GROUP BY outcode""", "property")
+on_views("resumed_work", "SELECT postcode, count(*) AS properties, CAST(1 AS BIGINT) AS times FROM property GROUP BY postcode", "property")
 on_views("last_entered_sale", """
 SELECT p.address, p.postcode, p.bedrooms, r.date_sold, r.price, s.tenure
 FROM property p JOIN raw_sale r ON r.property_id = p.id JOIN sale s ON s.id = r.id

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,8 +20,8 @@ from plotwise.operators import (
 )
 from plotwise.operators.predicates import InsightsFilter
 from plotwise.operators.sales import (
-    last_entered_sale as last_entered, latest_sale, latest_two_sales, priced_property_count, properties_with_sales as properties_and_sales,
-    repeat_sold_properties, sales_with_property, without_sales,
+    flat_sales, history_figures, last_entered_sale as last_entered, latest_sale, latest_two_sales, priced_property_count, properties_with_sales as properties_and_sales,
+    nested_sales, repeat_sold_properties, sales_with_property, with_sales_of, without_sales,
 )
 from plotwise.session import staging_path
 from plotwise.sources import html_pages, readers, sinks
@@ -621,6 +622,65 @@ def properties_with_sales(spark, sf):
     )
 
 
+@query
+def properties_nested(spark, sf):
+    """One row per property with its ordered sales, from a stored nested table."""
+    path = staging_path(spark, "nested-sales")
+    nested_sales(view(spark, sf, "property").select("id", "address"), view(spark, sf, "sale")).write.parquet(path)
+    nested = spark.read.parquet(path)
+    entry = F.array_join(F.transform("sales", lambda s: F.concat_ws(
+        ":", F.coalesce(s["date_sold_iso"], F.lit("?")), s["sale_id"].cast("string"), F.coalesce(s["price_numeric"].cast("string"), F.lit("?")))), ";")
+    return nested.select("id", "address", entry.alias("history")).join(history_figures(nested), "id")
+
+
+@query
+def properties_nested_flat(spark, sf):
+    """The nested sales taken apart again."""
+    return flat_sales(nested_sales(view(spark, sf, "property").select("id"), view(spark, sf, "sale")))
+
+
+@query
+def properties_with_any_sale(spark, sf):
+    return with_sales_of(view(spark, sf, "property"), view(spark, sf, "sale")).select("id", "address")
+
+
+@query
+def due_properties(spark, sf):
+    return upsert.due_for_refresh(view(spark, sf, "property"), datetime(2024, 3, 1), 90, "updated_at").select("id", "updated_at")
+
+
+@query
+def merged_files(spark, sf):
+    """Properties written in four layouts: numbers of other width, missing and additional columns."""
+    homes = view(spark, sf, "property")
+    layouts = (
+        ("CAST(id AS INT) AS id", "CAST(bedrooms AS SMALLINT) AS bedrooms", "CAST(bathrooms * 1000 AS INT) AS price", "address"),
+        ("id", "bedrooms", "bathrooms * 1000 + CAST(0.5 AS DOUBLE) AS price"),
+        ("address", "id", "CAST(bathrooms AS DECIMAL(5, 1)) AS rate", "CAST(created_at AS DATE) AS seen"),
+        ("CAST(id AS INT) AS id", "CAST(bedrooms AS TINYINT) AS bedrooms", "CAST(bathrooms AS DECIMAL(9, 3)) AS rate", "created_at AS seen"),
+    )
+    path = staging_path(spark, "layouts")
+    for k, columns in enumerate(layouts):
+        homes.where(F.pmod("id", F.lit(4)) == k).selectExpr(*columns).write.parquet(f"{path}/{k}")
+    return sinks.merge_parquet(spark, path).select("id", "address", "bedrooms", "price", F.col("rate").cast("double").alias("rate"), "seen")
+
+
+@query
+def cache_refresh(spark, sf):
+    """Areas cached by outcode: those of A first, the others later, then those of A again when they are too old."""
+    homes, path = view(spark, sf, "property"), staging_path(spark, "cache")
+    areas, age = homes.select("outcode").distinct(), timedelta(days=30)
+
+    def fetch(version):
+        return lambda due: homes.join(due, "outcode").groupBy("outcode").agg(F.count("*").alias("properties")).withColumn("version", F.lit(version))
+
+    first = sinks.refresh_cache(spark, path, "outcode", datetime.now(), age, fetch(1), areas.where("outcode LIKE 'A%'"))
+    written = first.select(F.max("_metadata.file_modification_time")).first()[0] or datetime.now()
+    time.sleep(1.5)
+    sinks.refresh_cache(spark, path, "outcode", written, age, fetch(2), areas)
+    return sinks.refresh_cache(spark, path, "outcode", written + age + timedelta(seconds=0.5), age, fetch(3), areas).select("outcode", "properties", "version")
+
+
 def scraped_sales(spark, sf):
     none = F.lit(None).cast("string")
     parsed = view(spark, sf, "sale").select("id", "price_numeric", "date_sold_iso", "tenure", "property_type")
@@ -988,6 +1048,38 @@ def stream_freshness_late(spark, sf):
     return jobs.replay(event_turns(spark, sf), lambda s: jobs.freshness_view(s, "user_id", "ts"), ["user_id"], "late-freshness")
 
 
+def interrupted(do, calls):
+    """``do``, but lost after as many calls."""
+    left = [calls]
+
+    def attempt(items):
+        left[0] -= 1
+        if left[0] < 0:
+            raise InterruptedError
+        return do(items)
+    return attempt
+
+
+@query
+def resumed_work(spark, sf):
+    """Properties counted by postcode in four batches, of which the first run finishes two."""
+    homes = view(spark, sf, "property")
+    results = spark.createDataFrame([], "postcode string, properties bigint").schema
+    store = jobs.work_store(spark, staging_path(spark, "work"), results)
+
+    def count(items):
+        return homes.join(items, "postcode").groupBy("postcode").agg(F.count("*").alias("properties"))
+
+    work = homes.select("postcode")
+    try:
+        jobs.run_work(work, store, interrupted(count, 2), 4)
+    except InterruptedError:
+        pass
+    jobs.run_work(work, store, count, 4)
+    done = store.snapshot().read("done").groupBy("postcode").agg(F.count("*").alias("times"))
+    return store.snapshot().read("result").join(done, "postcode", "left")
+
+
 # --- landed files ------------------------------------------------------------
 # Views are written in the form in which files land, and read by the readers.
 

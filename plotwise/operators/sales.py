@@ -135,3 +135,40 @@ def with_sales_of(properties: DataFrame, sales: DataFrame) -> DataFrame:
 def without_sales(properties: DataFrame, sales: DataFrame) -> DataFrame:
     """Properties that have no sale at all (left anti)."""
     return properties.join(sales, properties["id"] == sales["property_id"], "left_anti")
+
+
+SALE_FIELDS = ("date_sold_iso", "sale_id", "price_numeric", "tenure", "sale_type")
+
+
+def nested_sales(properties: DataFrame, sales: DataFrame) -> DataFrame:
+    """One row per property with ``sales``, its history as an array of SALE_FIELDS by date and id.
+
+    Sales without a date come first; a property without sales has an empty array. Stored,
+    the array is read field by field: a question about prices reads no tenures.
+    """
+    history = sales.select(F.col("property_id").alias("id"), F.struct(
+        "date_sold_iso", F.col("id").alias("sale_id"), "price_numeric", "tenure", F.col("property_type").alias("sale_type")).alias("s"))
+    lists = history.groupBy("id").agg(F.array_sort(F.collect_list("s"), lambda a, b: F.when(
+        F.coalesce(a["date_sold_iso"], F.lit("")) < F.coalesce(b["date_sold_iso"], F.lit("")), -1).when(
+        F.coalesce(a["date_sold_iso"], F.lit("")) > F.coalesce(b["date_sold_iso"], F.lit("")), 1).when(
+        a["sale_id"] < b["sale_id"], -1).when(a["sale_id"] > b["sale_id"], 1).otherwise(0)).alias("sales"))
+    joined = properties.join(lists, "id", "left")
+    return joined.withColumn("sales", F.coalesce("sales", F.filter(F.array(F.lit(None).cast(lists.schema["sales"].dataType.elementType)), lambda s: F.lit(False))))
+
+
+def history_figures(nested: DataFrame) -> DataFrame:
+    """Figures of each property's history, from the prices and dates of the array alone."""
+    priced = F.filter("sales", lambda s: s["price_numeric"].isNotNull())
+    prices = F.transform(priced, lambda s: s["price_numeric"])
+    last = F.element_at(F.filter(priced, lambda s: s["date_sold_iso"].isNotNull()), -1)
+    rises = F.zip_with(F.slice(prices, 2, F.greatest(F.size(prices) - 1, F.lit(0))), F.slice(prices, 1, F.greatest(F.size(prices) - 1, F.lit(0))), lambda b, a: b - a)
+    return nested.select(
+        "id", F.size("sales").alias("n_sales"), F.size(prices).alias("n_priced"),
+        F.aggregate(prices, F.lit(0).cast("long"), lambda total, p: total + p).alias("total"),
+        F.when(F.size(F.filter(priced, lambda s: s["date_sold_iso"].isNotNull())) > 0, last["price_numeric"]).alias("last_price"),
+        F.array_max(rises).alias("largest_rise"))
+
+
+def flat_sales(nested: DataFrame) -> DataFrame:
+    """The array back as one row per sale; properties without sales have none."""
+    return nested.select(F.col("id").alias("property_id"), F.inline("sales"))

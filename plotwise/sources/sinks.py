@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
+import json
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import (
+    ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, NullType, ShortType, StringType, StructType, TimestampType,
+)
 
 from plotwise.functions import text
 from plotwise.functions.features import parse_features
+from plotwise.session import materialise
 
 EXPORT_COLUMNS = (
     "address", "postcode", "property_type", "bedrooms", "bathrooms", "extra_features",
@@ -47,15 +59,87 @@ def write_sales_export(export: DataFrame, path: str, files_per_outcode: int = 8)
     )
 
 
-def merge_parquet(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """All parquet files below a folder under one promoted schema.
+# --- merging files whose schemas differ ---------------------------------------
+
+#: Numbers from narrow to wide: two of different width meet in the wider one.
+NUMBERS = (ByteType(), ShortType(), IntegerType(), LongType(), FloatType(), DoubleType())
+
 
-    Derived outputs live outside the folder, or are left out by ``pattern``.
+def promoted(a: DataType, b: DataType) -> DataType:
+    """The narrowest type that holds the values of both; TypeError where none does.
+
+    A column without a type (all null) takes the other's. Whole numbers beside a float meet
+    in double, since a float does not hold them all.
     """
-    return (
-        spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).parquet(path)
-    )
+    if a == b or isinstance(b, NullType):
+        return a
+    if isinstance(a, NullType):
+        return b
+    if a in NUMBERS and b in NUMBERS:
+        wide = max(a, b, key=NUMBERS.index)
+        return DoubleType() if isinstance(wide, FloatType) else wide
+    if isinstance(a, DecimalType) and isinstance(b, DecimalType):
+        scale = max(a.scale, b.scale)
+        return DecimalType(min(38, max(a.precision - a.scale, b.precision - b.scale) + scale), scale)
+    if {type(a), type(b)} == {DateType, TimestampType}:
+        return TimestampType()
+    raise TypeError(f"no common type for {a.simpleString()} and {b.simpleString()}")
+
+
+def file_schemas(spark: SparkSession, path: str, pattern: str = "*.parquet", skip: Sequence[str] = ()) -> DataFrame:
+    """path and schema (as JSON) of every Parquet file below a folder, from its footer.
+
+    Footers are read in tasks; nothing of the columns is.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
+    if skip:
+        listed = listed.where(~F.element_at(F.split("path", "/"), -1).isin(*skip))
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            schemas = []
+            for p in paths:
+                files, inside = pa.fs.FileSystem.from_uri(p)
+                with files.open_input_file(inside) as opened:
+                    arrow = pq.ParquetFile(opened).schema_arrow
+                schemas.append(from_arrow_schema(arrow, prefer_timestamp_ntz=False).json())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(schemas, pa.string())], names=["path", "schema"])
+
+    return listed.repartition("path").mapInArrow(footers, "path string, schema string")
+
+
+def merge_parquet(spark: SparkSession, path: str, pattern: str = "*.parquet", skip: Sequence[str] = ()) -> DataFrame:
+    """All Parquet files below a folder under one promoted schema.
+
+    Files are read by groups of equal schema, each cast to the common one: columns that a
+    group lacks, or that are null throughout, are null, numbers are widened. Derived outputs
+    are left out by ``pattern`` or by name (``skip``). Columns stand in the order in which
+    schemas, by first path, bring them in.
+    """
+    found = file_schemas(spark, path, pattern, skip).orderBy("path").collect()  # one short row per file
+    if not found:
+        raise FileNotFoundError(f"no Parquet files below {path}")
+    groups: dict[str, list[str]] = {}
+    for r in found:
+        groups.setdefault(r["schema"], []).append(r["path"])
+    schemas = {text_: StructType.fromJson(json.loads(text_)) for text_ in groups}
+    common: dict[str, DataType] = {}
+    for schema in schemas.values():
+        for f in schema.fields:
+            try:
+                common[f.name] = promoted(common.get(f.name, NullType()), f.dataType)
+            except TypeError as error:
+                raise TypeError(f"column {f.name}: {error}") from None
+    frames = []
+    for text_, schema in schemas.items():
+        typed = StructType([f for f in schema.fields if not isinstance(f.dataType, NullType)])
+        rows = spark.read.schema(typed).parquet(*groups[text_])
+        here = set(typed.fieldNames())
+        # A column that is null in all files is text.
+        kinds = {c: StringType() if isinstance(t, NullType) else t for c, t in common.items()}
+        frames.append(rows.select(*[(F.col(c) if c in here else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def write_enriched(properties: DataFrame, path: str) -> None:
@@ -106,6 +190,35 @@ def cache_is_stale(spark: SparkSession, path: str, now: datetime, max_age_days:
     return newest is None or (now - newest).total_seconds() > max_age_days * 86400
 
 
+def stale_parts(spark: SparkSession, path: str, part: str, now: datetime, max_age: timedelta) -> DataFrame:
+    """Values of the partition column whose newest file is older than ``max_age`` at ``now``."""
+    cached = spark.read.parquet(path)
+    newest = cached.select(F.col(part), F.col("_metadata.file_modification_time").alias("at")).groupBy(part).agg(F.max("at").alias("at"))
+    return newest.where(F.lit(now) - F.col("at") > F.lit(max_age)).select(part)
+
+
+def refresh_cache(spark: SparkSession, path: str, part: str, now: datetime, max_age: timedelta,
+                  fetch: Callable[[DataFrame], DataFrame], wanted: DataFrame) -> DataFrame:
+    """A partitioned copy of a reference set, with the parts that are missing or too old fetched anew.
+
+    ``wanted`` holds the values of the partition column that should be there; ``fetch`` gets
+    those to fetch and returns their rows. Ages are those of the files, so nothing is stamped
+    into the rows, and other parts are neither read nor written. A part that is fetched
+    without rows keeps what it has.
+    """
+    try:
+        have = spark.read.parquet(path)
+        due = stale_parts(spark, path, part, now, max_age).unionByName(wanted.join(have.select(part).distinct(), part, "left_anti").select(part))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        due = wanted.select(part)
+    due = materialise(due.join(wanted, part, "left_semi").distinct(), "due-parts")
+    fresh = materialise(fetch(due).join(due, part, "left_semi"), "fetched")
+    fresh.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_version(df: DataFrame, table_path: str, version: int, partition: Column | None = None) -> str:
     """Store the next version of a table beside the current one.
 

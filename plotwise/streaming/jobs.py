@@ -162,7 +162,33 @@ def ingest(stream: DataFrame, store: TableStore, checkpoint: str) -> StreamingQu
     return run_available(stream, ingest_batch(store, checkpoint), checkpoint)
 
 
-def pending_work(work: DataFrame, done: DataFrame, key: str = "postcode") -> DataFrame:
-    """Work items left after an interrupted run."""
-    return upsert.not_done(work, done, key)
+def work_store(spark: SparkSession, path: str, results: StructType, key: str = "postcode") -> TableStore:
+    """Results of work items next to the log of the items that are done."""
+    log = StructType([results[key]]).add("batch", LongType())
+    return TableStore(spark, path, {"result": KeyedTable(results, tuple(results.fieldNames())), "done": KeyedTable(log, (key,))})
 
+
+def pending_work(work: DataFrame, store: TableStore) -> DataFrame:
+    """Work items that no run has finished."""
+    key = store.tables["done"].key[0]
+    return upsert.not_done(work, store.snapshot().read("done"), key)
+
+
+def run_work(work: DataFrame, store: TableStore, do: Callable[[DataFrame], DataFrame], batches: int = 1) -> int:
+    """Finish the pending items of ``work``, batch by batch, and return how many there were.
+
+    The results of a batch and the log of its items become visible in one commit, so a run
+    that is interrupted goes on after its last whole batch: no item is lost and none is done
+    twice. Items are dealt to batches by a hash of their key.
+    """
+    key = store.tables["done"].key[0]
+    named = work.where(F.col(key).isNotNull())  # without a key there is nothing to log
+    todo = materialise(pending_work(named, store).dropDuplicates([key]).withColumn("_turn", F.pmod(F.xxhash64(key), F.lit(batches))), "pending")
+    for turn in range(batches):
+        items = materialise(todo.where(F.col("_turn") == turn).drop("_turn"), "work-items")
+        change = store.begin()
+        for name, rows in (("result", do(items)), ("done", items.select(key, F.lit(change.base.version + 1).cast("long").alias("batch")))):
+            fresh = materialise(rows.select(*store.tables[name].schema.fieldNames()), f"work-{name}")
+            change.replace(name, change.touched(name, fresh).unionByName(fresh))
+        change.commit()
+    return todo.count()
