@@ -5,6 +5,7 @@ from __future__ import annotations
 from contract import phrases
 from contract.oracle import BASE, ORACLE, STREET, on_base, on_views
 from contract.views import with_views
+from plotwise.functions import geo
 from plotwise.functions.features import FEATURE_COLUMNS
 from plotwise.operators import spatial, text_reports
 from plotwise.operators.area_records import (
@@ -652,6 +653,45 @@ QUALIFY row_number() OVER (PARTITION BY address, ltrim(date_sold, '0'), price OR
 # --- landed files ------------------------------------------------------------
 
 on_views("landed_crime", "SELECT postcode, category, month, count(*) AS count FROM crime_record GROUP BY ALL", "crime_record")
+_SIN2 = "sin({0}) * sin({0})"
+
+
+def _grid_degrees() -> str:
+    """CTEs that end in ``placed`` (id, lat, lon): grid metres to degrees, one step of an iteration after another."""
+    a, b, k = geo.AIRY_A, geo.AIRY_B, geo.GRID_SCALE
+    n, e2, w2 = (a - b) / (a + b), 1 - (b / a) ** 2, 1 - (geo.GRS80_B / geo.GRS80_A) ** 2
+    d, t = f"(phi - {geo.GRID_LAT0!r})", f"(phi + {geo.GRID_LAT0!r})"
+    arc = (f"{b * k!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * {d} - {3 * n + 3 * n**2 + 2.625 * n**3!r} * sin({d}) * cos({t})"
+           f" + {1.875 * (n**2 + n**3)!r} * sin(2 * {d}) * cos(2 * {t}) - {35 / 24 * n**3!r} * sin(3 * {d}) * cos(3 * {t}))")
+    parts = [f"f0 AS (SELECT id, CAST(100000 + id * 7919 % 500000 AS DOUBLE) AS e, CAST(id * 104729 % 1000000 AS DOUBLE) AS n, {geo.GRID_LAT0!r} AS phi FROM property)"]
+    parts += [f"f{i} AS (SELECT id, e, n, phi + (n - ({geo.GRID_N0!r}) - {arc}) / {a * k!r} AS phi FROM f{i - 1})" for i in range(1, 13)]
+    parts.append(f"""u AS (SELECT id, phi, tan(phi) AS t, {a * k!r} / sqrt(1 - {e2!r} * {_SIN2.format('phi')}) AS nu,
+       {a * k * (1 - e2)!r} / pow(1 - {e2!r} * {_SIN2.format('phi')}, 1.5) AS rho, (e - {geo.GRID_E0!r}) / nu AS d, nu / rho - 1 AS h FROM f12),
+air AS (SELECT id,
+       phi - t * nu / rho * (pow(d, 2) / 2 - pow(d, 4) / 24 * (5 + 3 * t * t + h - 9 * t * t * h) + pow(d, 6) / 720 * (61 + 90 * t * t + 45 * pow(t, 4))) AS la,
+       {geo.GRID_LON0!r} + 1 / cos(phi) * (d - pow(d, 3) / 6 * (nu / rho + 2 * t * t) + pow(d, 5) / 120 * (5 + 28 * t * t + 24 * pow(t, 4))
+         - pow(d, 7) / 5040 * (61 + 662 * t * t + 1320 * pow(t, 4) + 720 * pow(t, 6))) AS lo FROM u),
+xyz AS (SELECT id, {a!r} / sqrt(1 - {e2!r} * {_SIN2.format('la')}) AS nu, nu * cos(la) * cos(lo) AS x, nu * cos(la) * sin(lo) AS y, nu * {1 - e2!r} * sin(la) AS z FROM air),""")
+    (rx, ry, rz), (sx, sy, sz), m = geo.SHIFT_ROTATION, geo.SHIFT_M, 1 + geo.SHIFT_PPM
+    parts[-1] += f"""
+moved AS (SELECT id, {sx!r} + {m!r} * x - {rz!r} * y + {ry!r} * z AS x, {sy!r} + {rz!r} * x + {m!r} * y - {rx!r} * z AS y, {sz!r} - {ry!r} * x + {rx!r} * y + {m!r} * z AS z FROM xyz),
+l0 AS (SELECT id, x, y, z, sqrt(x * x + y * y) AS flat, atan2(z, flat * {1 - w2!r}) AS p FROM moved)"""
+    parts += [f"l{i} AS (SELECT id, x, y, z, flat, atan2(z + {w2 * geo.GRS80_A!r} / sqrt(1 - {w2!r} * {_SIN2.format('p')}) * sin(p), flat) AS p FROM l{i - 1})" for i in range(1, 11)]
+    parts.append("placed AS (SELECT id, round(degrees(p), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon FROM l10)")
+    return ", ".join(parts)
+
+
+GRID_DEGREES = _grid_degrees()
+on_views("landed_schools", f"""WITH {GRID_DEGREES}
+SELECT 'school' AS kind, CASE WHEN id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS subtype, trim(address) AS name, 'Good' AS rating, lat, lon
+FROM property JOIN placed USING (id) WHERE id % 5 <> 0 AND id % 7 <> 0""", "property")
+on_views("green_space_sites", f"""WITH {GRID_DEGREES}
+SELECT 'green_space' AS kind, CASE WHEN id % 2 = 0 THEN 'Play Space' ELSE 'Unknown' END AS subtype,
+       CASE WHEN id % 3 > 0 THEN address WHEN id % 2 = 0 THEN 'Play Space' ELSE 'Unknown' END AS name, lat, lon
+FROM property JOIN placed USING (id)""", "property")
+on_views("outcode_rollup", f"""WITH {HELD}
+SELECT split_part(postcode, ' ', 1) AS outcode, count(*) AS scraped_postcodes, CAST(sum(property_count) AS BIGINT) AS property_count,
+       CAST(sum(sale_count) AS BIGINT) AS sale_count, max(last_updated) AS last_updated FROM held GROUP BY 1""", "property", "sale")
 on_views("landed_epc", """
 SELECT postcode, row_number() OVER (PARTITION BY postcode ORDER BY seq) - 1 AS seq, upper(address) AS address, epc_rating, epc_score,
        nullif(environment_impact, 0) AS environment_impact, CAST(estimated_energy_cost + 100 AS INT) AS estimated_energy_cost

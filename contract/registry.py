@@ -1099,6 +1099,35 @@ def landed_crime(spark, sf):
     return readers.read_crime(spark, path).groupBy("postcode", "category", "month").agg(F.count("*").alias("count"))
 
 
+GRID_PLACE = {"Easting": "100000 + id * 7919 % 500000", "Northing": "id * 104729 % 1000000"}
+
+
+@query
+def landed_schools(spark, sf):
+    path = staging_path(spark, "schools")
+    view(spark, sf, "property").selectExpr(
+        "address AS EstablishmentName", "CASE WHEN id % 5 = 0 THEN 'Closed' ELSE 'Open' END AS `EstablishmentStatus (name)`",
+        "CASE WHEN id % 2 = 0 THEN ' Primary' ELSE 'Secondary' END AS `PhaseOfEducation (name)`", "'Good' AS `OfstedRating (name)`",
+        *[f"CASE WHEN id % 7 <> 0 THEN CAST({v} AS STRING) ELSE 'none' END AS {k}" for k, v in GRID_PLACE.items()],
+    ).write.csv(path, header=True)
+    return readers.read_schools(spark, path).select("kind", "subtype", "name", "rating", "lat", "lon")
+
+
+@query
+def green_space_sites(spark, sf):
+    """Sites of four boundary vertices each, moved from the grid to degrees."""
+    corners = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((-30, -20), (30, -20), (30, 20), (-30, 20))]))
+    vertices = view(spark, sf, "property").selectExpr("id AS site_id", "CASE WHEN id % 3 > 0 THEN address END AS name", "CASE WHEN id % 2 = 0 THEN 'Play Space' END AS function",
+                                                      *[f"{v} AS {k}" for k, v in GRID_PLACE.items()]).withColumn("c", corners)
+    sites = readers.green_spaces(vertices.select("site_id", "name", "function", (F.col("Easting") + F.col("c.dx")).alias("x"), (F.col("Northing") + F.col("c.dy")).alias("y")))
+    return sites.select("kind", "subtype", "name", "lat", "lon")
+
+
+@query
+def outcode_rollup(spark, sf):
+    return coverage_ops.outcode_rollup(coverage_ops.postcode_list(view(spark, sf, "property"), view(spark, sf, "sale")))
+
+
 @query
 def landed_epc(spark, sf):
     certs = view(spark, sf, "epc_cert").withColumn("at", F.col("seq"))

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -60,7 +57,12 @@ _NORTHING_STEPS = 12
 _LATITUDE_STEPS = 10
 
 
-def _meridian_arc(phi: np.ndarray) -> np.ndarray:
+def _repeat(steps: int, start: Column, step) -> Column:
+    """``step`` applied ``steps`` times."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda x, _: step(x))
+
+
+def _meridian_arc(phi: Column) -> Column:
     n = (AIRY_A - AIRY_B) / (AIRY_A + AIRY_B)
     series = (
         1 + n + 1.25 * n**2 + 1.25 * n**3,
@@ -71,89 +73,69 @@ def _meridian_arc(phi: np.ndarray) -> np.ndarray:
     diff, total = phi - GRID_LAT0, phi + GRID_LAT0
     arc = series[0] * diff
     for k, sign in ((1, -1.0), (2, 1.0), (3, -1.0)):
-        arc = arc + sign * series[k] * np.sin(k * diff) * np.cos(k * total)
+        arc = arc + sign * series[k] * F.sin(k * diff) * F.cos(k * total)
     return AIRY_B * GRID_SCALE * arc
 
 
-def _grid_to_airy(east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    phi = np.full_like(north, GRID_LAT0)
-    arc = np.zeros_like(north)
-    for _ in range(_NORTHING_STEPS):
-        phi = phi + (north - GRID_N0 - arc) / (AIRY_A * GRID_SCALE)
-        arc = _meridian_arc(phi)
-    e2 = 1 - (AIRY_B / AIRY_A) ** 2
-    curve = 1 - e2 * np.sin(phi) ** 2
-    nu = AIRY_A * GRID_SCALE / np.sqrt(curve)
-    rho = nu * (1 - e2) / curve
-    eta2 = nu / rho - 1
-    t2 = np.tan(phi) ** 2
-    d = (east - GRID_E0) / nu
-    lat = phi - np.tan(phi) * nu / rho * (
-        d**2 / 2
-        - d**4 / 24 * (5 + 3 * t2 + eta2 - 9 * t2 * eta2)
-        + d**6 / 720 * (61 + 90 * t2 + 45 * t2**2)
+def _squared_eccentricity(a: float, b: float) -> float:
+    return 1 - (b / a) ** 2
+
+
+def _airy_angles(easting: Column, phi: Column, nu: Column, rho: Column) -> tuple[Column, Column]:
+    """Latitude and longitude on the Airy ellipsoid from the foot point latitude ``phi``."""
+    tan, d = F.tan(phi), (easting - GRID_E0) / nu
+    t2, eta2 = tan * tan, nu / rho - 1
+
+    def power(k: int) -> Column:
+        return F.pow(d, F.lit(float(k)))
+
+    lat = phi - tan * nu / rho * (
+        power(2) / 2
+        - power(4) / 24 * (5 + 3 * t2 + eta2 - 9 * t2 * eta2)
+        + power(6) / 720 * (61 + 90 * t2 + 45 * t2 * t2)
     )
-    lon = GRID_LON0 + 1 / np.cos(phi) * (
+    lon = GRID_LON0 + 1 / F.cos(phi) * (
         d
-        - d**3 / 6 * (nu / rho + 2 * t2)
-        + d**5 / 120 * (5 + 28 * t2 + 24 * t2**2)
-        - d**7 / 5040 * (61 + 662 * t2 + 1320 * t2**2 + 720 * t2**3)
+        - power(3) / 6 * (nu / rho + 2 * t2)
+        + power(5) / 120 * (5 + 28 * t2 + 24 * t2 * t2)
+        - power(7) / 5040 * (61 + 662 * t2 + 1320 * t2 * t2 + 720 * t2 * t2 * t2)
     )
     return lat, lon
 
 
-def _airy_to_wgs84(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e2 = 1 - (AIRY_B / AIRY_A) ** 2
-    nu = AIRY_A / np.sqrt(1 - e2 * np.sin(lat) ** 2)
-    xyz = np.stack([
-        nu * np.cos(lat) * np.cos(lon),
-        nu * np.cos(lat) * np.sin(lon),
-        nu * (1 - e2) * np.sin(lat),
-    ])
-    rx, ry, rz = SHIFT_ROTATION
-    turn = np.array([
-        [1 + SHIFT_PPM, -rz, ry],
-        [rz, 1 + SHIFT_PPM, -rx],
-        [-ry, rx, 1 + SHIFT_PPM],
-    ])
-    x, y, z = turn @ xyz + np.array(SHIFT_M)[:, None]
-    e2 = 1 - (GRS80_B / GRS80_A) ** 2
-    flat = np.hypot(x, y)
-    phi = np.arctan2(z, flat * (1 - e2))
-    for _ in range(_LATITUDE_STEPS):
-        nu = GRS80_A / np.sqrt(1 - e2 * np.sin(phi) ** 2)
-        phi = np.arctan2(z + e2 * nu * np.sin(phi), flat)
-    return phi, np.arctan2(y, x)
-
-
-_DEGREES = StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())])
-
-
-@F.pandas_udf(_DEGREES)
-def grid_to_wgs84(easting: pd.Series, northing: pd.Series) -> pd.DataFrame:
-    """National-grid metres to degrees, six places; NULL outside the grid."""
-    east = easting.to_numpy(dtype="float64", na_value=np.nan)
-    north = northing.to_numpy(dtype="float64", na_value=np.nan)
+def reproject(df: DataFrame, easting: str = "easting", northing: str = "northing") -> DataFrame:
+    """Add ``lat`` and ``lon`` (degrees, six places) from grid columns and drop the rows off the grid.
+
+    Column expressions throughout: iterations run a fixed number of steps inside an
+    expression, and every stage is a projection that the next one reads several times.
+    """
+    east, north = F.col(easting).cast("double"), F.col(northing).cast("double")
     inside = (east >= 0) & (east <= GRID_MAX_EASTING) & (north >= 0) & (north <= GRID_MAX_NORTHING)
-    lat = np.full(len(east), np.nan)
-    lon = np.full(len(east), np.nan)
-    if inside.any():
-        phi, lam = _airy_to_wgs84(*_grid_to_airy(east[inside], north[inside]))
-        lat[inside] = np.round(np.degrees(phi), 6)
-        lon[inside] = np.round(np.degrees(lam), 6)
-    out = pd.DataFrame({"lat": lat, "lon": lon})
-    return out.astype(object).where(out.notna(), None)
-
-
-def reproject(df, easting: str = "easting", northing: str = "northing"):
-    """Add ``lat`` and ``lon`` from grid columns and drop the rows off the grid."""
-    placed = df.withColumn(
-        "_wgs84",
-        grid_to_wgs84(F.col(easting).cast("double"), F.col(northing).cast("double")),
-    )
-    return (
-        placed.withColumn("lat", F.col("_wgs84.lat"))
-        .withColumn("lon", F.col("_wgs84.lon"))
-        .drop("_wgs84")
-        .where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    )
+    rows = df.where(inside).withColumn("_grid_phi", _repeat(
+        _NORTHING_STEPS, F.lit(GRID_LAT0), lambda phi: phi + (north - GRID_N0 - _meridian_arc(phi)) / (AIRY_A * GRID_SCALE)))
+
+    airy = _squared_eccentricity(AIRY_A, AIRY_B)
+    curve = 1 - airy * F.pow(F.sin("_grid_phi"), F.lit(2.0))
+    rows = rows.withColumns({"_grid_nu": AIRY_A * GRID_SCALE / F.sqrt(curve), "_grid_rho": AIRY_A * GRID_SCALE * (1 - airy) / (curve * F.sqrt(curve))})
+    lat, lon = _airy_angles(east, F.col("_grid_phi"), F.col("_grid_nu"), F.col("_grid_rho"))
+    rows = rows.withColumns({"_grid_lat": lat, "_grid_lon": lon})
+
+    lat, lon = F.col("_grid_lat"), F.col("_grid_lon")
+    nu = AIRY_A / F.sqrt(1 - airy * F.pow(F.sin(lat), F.lit(2.0)))
+    rows = rows.withColumns({"_grid_x": nu * F.cos(lat) * F.cos(lon), "_grid_y": nu * F.cos(lat) * F.sin(lon), "_grid_z": nu * (1 - airy) * F.sin(lat)})
+
+    x, y, z = (F.col(f"_grid_{axis}") for axis in "xyz")
+    rx, ry, rz = SHIFT_ROTATION
+    scale = 1 + SHIFT_PPM
+    rows = rows.withColumns({
+        "_grid_x": SHIFT_M[0] + scale * x - rz * y + ry * z,
+        "_grid_y": SHIFT_M[1] + rz * x + scale * y - rx * z,
+        "_grid_z": SHIFT_M[2] - ry * x + rx * y + scale * z,
+    })
+
+    wgs = _squared_eccentricity(GRS80_A, GRS80_B)
+    flat = F.hypot(x, y)
+    phi = _repeat(_LATITUDE_STEPS, F.atan2(z, flat * (1 - wgs)), lambda p: F.atan2(
+        z + wgs * GRS80_A / F.sqrt(1 - wgs * F.pow(F.sin(p), F.lit(2.0))) * F.sin(p), flat))
+    placed = rows.withColumns({"lat": F.bround(F.degrees(phi), 6), "lon": F.bround(F.degrees(F.atan2(y, x)), 6)})
+    return placed.drop(*[f"_grid_{c}" for c in ("phi", "nu", "rho", "lat", "lon", "x", "y", "z")])
