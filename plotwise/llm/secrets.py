@@ -6,7 +6,8 @@ built and states with statistically equal continuations are merged (Hoeffding bo
 which leaves a probabilistic automaton of the format; another one is learned from
 tokens that no pattern matched. Every token of every text is then scored by how much
 better a credential format explains it than ordinary text does, and tokens beyond the
-threshold are added as spans of kind ``format``. Pattern matches always stay.
+threshold are added as spans of kind ``format``. Pattern matches always stay. Of a value
+longer than LEARN_LENGTH symbols the rest is not learned; scoring takes whole tokens.
 
 Null texts count as empty. A kind without any labelled value has no automaton; without
 any, nothing is added.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +33,7 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "format")
 #: Labelled values of each kind, and ordinary tokens, that the automata are learned from.
 SAMPLE = 3000
-#: One ordinary token in so many, chosen by a hash of the token, may enter the sample.
-THIN = 256
-#: Symbols of a value used for learning; scoring takes whole tokens.
+#: Symbols of a value used for learning. Of a longer value nothing is learned about its end.
 LEARN_LENGTH = 64
 #: Chance for a merge test to keep equal states apart.
 ALPHA = 0.05
@@ -124,10 +124,11 @@ class PrefixTree:
     going: list[dict[int, int]] = field(default_factory=lambda: [{}])
     child: list[dict[int, int]] = field(default_factory=lambda: [{}])
 
-    def add(self, value: list[int], times: int = 1) -> None:
+    def add(self, value: list[int], times: int = 1, ends: bool = True) -> None:
+        """Count a value; of one that was cut, what follows its last symbol is unknown."""
         at = 0
         self.passed[0] += times
-        for s in value:
+        for i, s in enumerate(value, 1):
             self.going[at][s] = self.going[at].get(s, 0) + times
             if s not in self.child[at]:
                 self.child[at][s] = len(self.passed)
@@ -136,8 +137,10 @@ class PrefixTree:
                 self.going.append({})
                 self.child.append({})
             at = self.child[at][s]
-            self.passed[at] += times
-        self.ended[at] += times
+            if ends or i < len(value):
+                self.passed[at] += times
+        if ends:
+            self.ended[at] += times
 
     def differ(self, x: int, n: int, y: int, m: int) -> bool:
         return n > 0 and m > 0 and abs(x / n - y / m) > np.sqrt(0.5 * np.log(2 / ALPHA)) * (n ** -0.5 + m ** -0.5)
@@ -214,32 +217,54 @@ def learn(values: list[str], unseen: float) -> Automaton:
     """The automaton of some values; ``unseen`` is the log probability of a symbol off all paths."""
     tree = PrefixTree()
     for value in sorted(values):
-        tree.add(symbols(value[:LEARN_LENGTH]))
+        tree.add(symbols(value[:LEARN_LENGTH]), ends=len(value) <= LEARN_LENGTH)
     return tree.merged(unseen)
 
 
+class Smallest:
+    """The ``size`` distinct values of smallest crc32 among those offered, ties by value."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.held, self.bound = size, set(), 1 << 32
+
+    def offer(self, values: Iterable[str]) -> None:
+        for value in values:
+            rank = zlib.crc32(value.encode())
+            if rank <= self.bound:
+                self.held.add((rank, value))
+        if len(self.held) > 2 * self.size:
+            self.held = set(sorted(self.held)[: self.size])
+            self.bound = max(self.held)[0]
+
+    def values(self) -> list[str]:
+        return [value for _, value in sorted(self.held)[: self.size]]
+
+
 def learn_formats(docs: DataFrame, text: str = "text") -> dict[str, Automaton]:
     """An automaton for each kind of credential found in ``docs``, and for ``ordinary`` tokens.
 
-    The pool of labelled values is gathered from all texts on the executors; each
-    automaton is learned here from the SAMPLE values of its kind with the smallest hash.
+    Of each kind the SAMPLE distinct values of smallest crc32 are learned from, here. Each
+    task passes on the SAMPLE smallest of its own rows, among which those of all rows are,
+    so what is shuffled grows with the tasks and nothing depends on the size of a table.
     """
     def gather(batches):
+        pools = {kind: Smallest(SAMPLE) for kind in (*BASE_KINDS, "ordinary")}
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
-                pool = set()
                 for t in texts:
                     values, tokens = labelled(t or "")
-                    pool.update(values)
-                    pool.update(("ordinary", x) for x in set(tokens) if zlib.crc32(x.encode()) % THIN == 0)
-                kinds, values = zip(*sorted(pool)) if pool else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
+                    for kind, value in values:
+                        pools[kind].offer([value])
+                    pools["ordinary"].offer(set(tokens))
+        for kind, pool in pools.items():
+            values = pool.values()
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values), pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
     seen = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(gather, "kind string, value string")
-    pool = materialise(seen.groupBy("kind", "value").agg(F.count("*").alias("n")), "secret-values")
+    pool = materialise(seen.distinct(), "secret-values")
     models = {}
     for kind in (*BASE_KINDS, "ordinary"):
-        rows = pool.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
+        rows = pool.where(F.col("kind") == kind).orderBy(F.crc32(F.col("value").cast("binary")), "value").limit(SAMPLE).collect()
         if rows:
             models[kind] = learn([r["value"] for r in rows], ANY_SYMBOL if kind == "ordinary" else OFF_FORMAT)
     return models
