@@ -1,14 +1,19 @@
 """Personal data by weak supervision.
 
 Four strict patterns find e-mail addresses, IP addresses, cards and phone numbers; their
-matches always stay. Looser patterns propose further candidates. On every candidate a
-set of labelers votes for, against or not at all: its format, a checksum, gazetteers, and
-the words around it. Expectation-maximisation over the counts of vote patterns of all
-documents estimates how reliable each labeler is and how likely each pattern is personal
-data; a logistic span classifier is trained on these likelihoods and decides which
-proposals are added.
-
-Null texts count as empty. Without any candidate nothing is learned or added.
+matches always stay. Looser patterns propose further candidates, also inside runs that a
+strict pattern took whole and then refused, such as a phone number that runs on into the
+next number. On every candidate a set of labelers votes for, against or not at all: its
+format, a checksum, gazetteers, and the words around it. Expectation-maximisation over the
+counts of vote patterns of all documents estimates how reliable each labeler is on each
+family of kinds, with all families together as the prior of each, and how likely each
+pattern is personal data. Refused runs are candidates too, so that there is something to
+tell personal data from; they are never added. A logistic span classifier is trained on
+these likelihoods. It sees the votes and the shape of the span, which no labeler looks at,
+and decides which proposals are added.
+
+Null texts count as empty. Without any candidate nothing is learned or added. Proposals
+that overlap a strict match, or one of a kind listed earlier, are not made.
 """
 
 from __future__ import annotations
@@ -25,12 +30,19 @@ from plotwise.llm.batches import append_columns, slices
 from plotwise.llm.spans import SPANS, free_of, in_order
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("local_phone", "national_id", "bank_account", "person", "street")
+ADDED_KINDS = ("world_phone", "grouped_card", "spelled_email", "local_phone", "national_id", "bank_account", "person", "street")
 KINDS = (*BASE_KINDS, *ADDED_KINDS)
+#: Kinds whose labelers are judged together; any other kind is a family of its own.
+FAMILY = {"world_phone": "phone", "local_phone": "phone", "grouped_card": "card", "spelled_email": "email"}
+FAMILIES = tuple(k for k in KINDS if k not in FAMILY)
 #: Probability from which a proposal is added.
 CERTAIN = 0.95
 #: Characters on either side that the context labelers read.
 AROUND = 40
+#: Candidates that all families together count for in the estimate of one family.
+SHARED = 5.0
+#: Fewest digits of a refused card that is looked at; shorter runs are plain numbers.
+REFUSED_DIGITS = 12
 
 # The strict patterns. A run of digits is taken whole, so a match never
 # starts inside one.
@@ -41,6 +53,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 PROPOSED = {
+    "world_phone": re.compile(r"\+(?:1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}"
+                              r"|[2-9][0-9]{0,2}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-][0-9]{2,4}){2,4})(?![0-9]|[.-][0-9])"),
+    "grouped_card": re.compile(r"(?<![0-9])(?:[3-6][0-9]{3}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([\x20-])[0-9]{6}\2[0-9]{5})(?![0-9])"),
+    "spelled_email": re.compile(r"(?<![\w.])[\w.+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]+)+", re.A),
     "local_phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
     "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "bank_account": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
@@ -50,6 +66,9 @@ PROPOSED = {
 
 #: What a text must hold somewhere for a proposal to be possible; cheap to look for.
 NEEDED = {
+    "world_phone": re.compile(r"\+[0-9]"),
+    "grouped_card": re.compile(r"[3-6][0-9]{3}[\x20-][0-9]{4}"),
+    "spelled_email": re.compile(r"[\[(]at[\])]"),
     "local_phone": re.compile(r"[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}"),
     "national_id": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "bank_account": re.compile(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
@@ -60,12 +79,24 @@ NEEDED = {
 # Gazetteers.
 TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora".split())
 FORENAMES = frozenset("""
-    james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan
-    joseph jessica thomas sarah charles karen anna peter hans klaus ursula monika jean marie pierre
-    camille luis carmen josé maría ana juan carlos laura paul emma sofia lucas
+    adam alan albert alexander alice amanda amy ana andrea andrew angela anita ann anna anne anthony antonio arthur
+    barbara beatrice benjamin bernard betty brian camille carl carlos carmen carol caroline catherine charles charlotte
+    christian christine christopher claire claudia claus cristina daniel david deborah denise dennis diana diego donald
+    dorothy edward elena elizabeth emily emma eric erika eva felix fernando frances francis françois frank gabriel george
+    gerhard hans heidi heinrich helen helmut henri henry ines inge isabel jack jacques james jan jane jean jennifer
+    jessica joan john jorge josé joseph juan julia julie jürgen karen karl kevin klaus laura lisa louis lucas lucía luis
+    manuel margaret maria maría marie mark martin mary michael michel miguel monika nancy nicolas olivier pablo patricia
+    paul pedro peter philippe pierre rachel ralf richard robert rosa ruth sabine sandra sarah simon sofia stefan stephen
+    susan thomas ursula uwe victor walter werner william wolfgang
+""".split())
+MAIL_ENDINGS = frozenset("""
+    com org net edu gov mil int info biz io co me dev app ai cloud de at ch fr be lu nl es pt it pl cz se no dk fi ie uk
+    eu us ca mx br ar cl au nz jp kr cn in za ru tr
+""".split())
+CALLING_CODES = frozenset("""
+    1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91
+    92 93 94 95 98 351 352 353 354 358 420 421
 """.split())
-MAIL_ENDINGS = frozenset("com org net edu gov io de fr es uk eu".split())
-CALLING_CODES = frozenset("1 33 34 44 49 39 31 32 41 43 46 47 48 52 55 61 81 86 91".split())
 
 FOR = {
     "email": re.compile(r"e-?mail|mail|contact|courriel|correo", re.I),
@@ -77,9 +108,15 @@ FOR = {
     "person": re.compile(r"dear|name|signed|attn|sincerely|born|patient", re.I),
     "street": re.compile(r"address|lives|live at|resid|ship|home", re.I),
 }
-FOR["local_phone"] = FOR["phone"]
+FOR.update({kind: FOR[family] for kind, family in FAMILY.items()})
 AGAINST = re.compile(r"version|isbn|issn|doi|figure|table|chapter|order|invoice|total|price|[$€£%=]", re.I)
 LABELERS = ("format", "checksum", "gazetteer", "context", "counter_context", "neighbours")
+#: Labelers that have nothing to say on a kind. Their silence there is no evidence.
+SILENT = {
+    "email": ("checksum",), "spelled_email": ("checksum",), "phone": ("checksum",), "world_phone": ("checksum",),
+    "local_phone": ("gazetteer",), "national_id": ("format", "gazetteer"), "bank_account": ("gazetteer",),
+    "person": ("checksum",), "street": ("checksum", "gazetteer"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -104,25 +141,36 @@ def emails(text: str) -> list[tuple[str, int, int, float]]:
     return found
 
 
-def base_spans(text: str) -> list[tuple[str, int, int, float]]:
-    found = emails(text)
+def matches(text: str) -> tuple[list[tuple[str, int, int, float]], list[tuple[str, int, int, float]]]:
+    """Spans of the four strict patterns, and the runs they refused."""
+    found, refused = emails(text), []
     for m in IP.finditer(text):
         parts = [p.lstrip("0") for p in m[0].split(".")]
-        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
-            found.append(("ip", *m.span(), 1.0))
+        held = all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
+        (found if held else refused).append(("ip", *m.span(), 1.0))
     for m in CARD.finditer(text):
-        if 14 <= m.end() - m.start() and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
-            found.append(("card", *m.span(), 1.0))
+        if m.end() - m.start() >= REFUSED_DIGITS and len(digits := m[0].replace(" ", "").replace("-", "")) >= REFUSED_DIGITS:
+            held = 14 <= len(digits) <= 19 and luhn(digits)
+            (found if held else refused).append(("card", *m.span(), 1.0))
     for m in PHONE.finditer(text):
-        if 10 <= sum(x.isdigit() for x in m[0]) <= 15:
-            found.append(("phone", *m.span(), 1.0))
-    return found
+        held = 10 <= sum(x.isdigit() for x in m[0]) <= 15
+        (found if held else refused).append(("phone", *m.span(), 1.0))
+    return found, refused
+
+
+def base_spans(text: str) -> list[tuple[str, int, int, float]]:
+    return matches(text)[0]
 
 
 def proposals(text: str, taken: list) -> list[tuple[str, int, int, float]]:
-    """Looser matches that no pattern match touches."""
-    return [(kind, *m.span(), 0.0) for kind, pattern in PROPOSED.items() if NEEDED[kind].search(text)
-            for m in pattern.finditer(text) if free_of(taken, *m.span())]
+    """Looser matches that neither a strict match nor an earlier proposal touches."""
+    made, busy = [], list(taken)
+    for kind, pattern in PROPOSED.items():
+        if NEEDED[kind].search(text):
+            new = [(kind, *m.span(), 0.0) for m in pattern.finditer(text) if free_of(busy, *m.span())]
+            made += new
+            busy += new
+    return made
 
 
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
@@ -132,18 +180,23 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     digits = "".join(x for x in value if x in "0123456789")
     words = re.findall(r"\w+", value.lower())
     form = checksum = listed = 0
-    if kind == "email":
+    if kind == "spelled_email":
+        form = 1
+        listed = 1 if words[-1] in MAIL_ENDINGS else -1
+    elif kind == "email":
         form = 1 if value.count(".") <= 5 and not value.startswith((".", "-", "%")) else -1
         listed = 1 if words[-1] in MAIL_ENDINGS else -1
     elif kind == "ip":
-        form = -1 if any(len(p) > 1 and p.startswith("0") for p in value.split(".")) else 1
+        parts = value.split(".")
+        form = -1 if any(len(p) > 1 and p.startswith("0") for p in parts) else 1
+        checksum = 1 if all(len(p) <= 3 and int(p) <= 255 for p in parts) else -1
         listed = -1 if value.startswith(("0.", "127.", "255.")) else 1
-    elif kind == "card":
+    elif kind in ("card", "grouped_card"):
         form = 1 if len(digits) in (15, 16) else -1
         checksum = 1 if luhn(digits) else -1
         listed = 1 if digits[0] in "3456" else -1
-    elif kind == "phone":
-        form = 1 if 11 <= len(digits) <= 13 else 0
+    elif kind in ("phone", "world_phone"):
+        form = 1 if 11 <= len(digits) <= 13 else 0 if 10 <= len(digits) <= 15 else -1
         listed = 1 if any(digits.startswith(c) for c in CALLING_CODES) else -1
     elif kind == "local_phone":
         form = 1 if value.startswith("(") else 0
@@ -167,54 +220,79 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return form, checksum, listed, context, counter, -1 if glued else 1
 
 
+def shape(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Small numbers that describe a span and what stands before it, one below each of SHAPES."""
+    value = text[start:end]
+    digits = sum(x in "0123456789" for x in value)
+    parts = len(re.split(r"[\x20().@-]+", value))
+    before = 0 if start == 0 else 1 if text[start - 1].isspace() else 2 if text[start - 1] in ":=\"'(<" else 3
+    return min((end - start) // 4, 9), min(4 * digits // (end - start), 4), min(parts, 7), before
+
+
+SHAPES = (10, 5, 8, 4)
+
+
 @dataclass
 class Model:
-    """Estimated labelers and the classifier; weights belong to ``features``."""
+    """Estimated labelers by family, and the classifier; weights belong to ``features``."""
 
-    share: float
-    right: np.ndarray
+    right: dict[str, np.ndarray]
     weights: np.ndarray
 
-    def probability(self, kind: str, cast: tuple[int, ...]) -> float:
-        z = float(features(kind, cast) @ self.weights)
+    def probability(self, text: str, kind: str, start: int, end: int) -> float:
+        z = float(features(kind, votes(text, kind, start, end), shape(text, start, end)) @ self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def features(kind: str, cast: tuple[int, ...]) -> np.ndarray:
-    """Constant, kind, and for each labeler whether it voted for and against."""
+def features(kind: str, cast: tuple[int, ...], form: tuple[int, ...]) -> np.ndarray:
+    """Constant, family, whether each labeler voted for and against, and the shape."""
     v = np.array(cast)
-    return np.concatenate([[1.0], [float(k == kind) for k in KINDS], v == 1, v == -1])
+    family = FAMILY.get(kind, kind)
+    shapes = [np.arange(size) == value for size, value in zip(SHAPES, form)]
+    return np.concatenate([[1.0], [float(k == family) for k in FAMILIES], v == 1, v == -1, *shapes])
+
+
+def vote_sums(cast: np.ndarray, weight: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Sum of weights by labeler and vote, of the labelers asked."""
+    return np.stack([((cast == v - 1) * asked * weight[:, None]).sum(axis=0) for v in range(3)], axis=1)
 
 
-def estimate(cast: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(cast: np.ndarray, count: np.ndarray, prior: np.ndarray | None = None,
+             asked: np.ndarray | None = None, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """Expectation-maximisation: share of personal data, chance of each vote, likelihood of each row.
 
-    ``right[c, j, v]`` is the chance that labeler j votes v - 1 on class c.
+    ``right[c, j, v]`` is the chance that labeler j votes v - 1 on class c, ``prior`` the
+    votes of that kind counted beforehand, ``asked`` which labelers have a say on a row.
+    The votes added up are where the likelihoods start.
     """
-    rows, n = cast.shape
-    likely = np.clip(0.5 + 0.15 * cast.sum(axis=1), 0.05, 0.95)
+    asked = np.ones(cast.shape, bool) if asked is None else asked
+    prior = np.ones((2, cast.shape[1], 3)) if prior is None else prior
+    likely = 1 / (1 + np.exp(-1.5 * cast.sum(axis=1)))
     for _ in range(rounds):
         share = float(np.clip((likely * count).sum() / count.sum(), 0.01, 0.99))
-        right = np.empty((2, n, 3))
-        for c, weight in enumerate((count * (1 - likely), count * likely)):
-            for v in range(3):
-                right[c, :, v] = ((cast == v - 1) * weight[:, None]).sum(axis=0) + 1.0
+        right = prior + np.stack([vote_sums(cast, count * (1 - likely), asked), vote_sums(cast, count * likely, asked)])
         right /= right.sum(axis=2, keepdims=True)
         log = np.log(right)
-        each = [sum(log[c, j, cast[:, j] + 1] for j in range(n)) for c in (0, 1)]
+        each = [sum(asked[:, j] * log[c, j, cast[:, j] + 1] for j in range(cast.shape[1])) for c in (0, 1)]
         z = each[1] - each[0] + np.log(share / (1 - share))
         likely = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return share, right, likely
 
 
-def fit(patterns: list[tuple[str, tuple[int, ...], int]]) -> Model | None:
-    """The model of some (kind, votes, count)."""
+def fit(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]]) -> Model | None:
+    """The model of some (kind, votes, shape, count)."""
     if not patterns:
         return None
     cast = np.array([p[1] for p in patterns])
-    count = np.array([p[2] for p in patterns], float)
-    share, right, likely = estimate(cast, count)
-    x = np.array([features(k, v) for k, v, _ in patterns])
+    count = np.array([p[3] for p in patterns], float)
+    family = np.array([FAMILY.get(p[0], p[0]) for p in patterns])
+    asked = np.array([[j not in SILENT.get(p[0], ()) for j in LABELERS] for p in patterns])
+    _, together, _ = estimate(cast, count, asked=asked)
+    right, likely = {}, np.empty(len(cast))
+    for f in np.unique(family):
+        rows = family == f
+        _, right[str(f)], likely[rows] = estimate(cast[rows], count[rows], SHARED * together, asked[rows])
+    x = np.array([features(k, v, form) for k, v, form, _ in patterns])
     w = np.zeros(x.shape[1])
     for _ in range(100):  # Newton steps on the weighted, slightly shrunk logistic loss
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -224,29 +302,32 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int]]) -> Model | None:
         w -= np.clip(change, -2, 2)
         if np.abs(change).max() < 1e-6:
             break
-    return Model(share, right, w)
+    return Model(right, w)
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model | None:
     """Labelers and classifier from the candidates of all ``docs``.
 
-    Executors reduce the candidates to counts of (kind, votes), of which there are at
-    most a few thousand whatever the data; the estimates are made from these counts.
+    Executors reduce the candidates to counts of (kind, votes, shape), which are small
+    numbers from fixed ranges, so the counts are bounded whatever the data; the estimates
+    are made from these counts.
     """
     def gather(batches):
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
-                kinds, cast = [], []
+                kinds, cast, forms = [], [], []
                 for t in texts:
-                    base = base_spans(t or "")
-                    for kind, start, end, _ in base + proposals(t or "", base):
+                    base, refused = matches(t or "")
+                    for kind, start, end, _ in base + refused + proposals(t or "", base):
                         kinds.append(kind)
                         cast.append(list(votes(t, kind, start, end)))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(cast, pa.list_(pa.int32()))], names=["kind", "votes"])
+                        forms.append(list(shape(t, start, end)))
+                columns = [pa.array(kinds, pa.string()), pa.array(cast, pa.list_(pa.int32())), pa.array(forms, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "votes", "shape"])
 
-    seen = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(gather, "kind string, votes array<int>")
-    counts = seen.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    return fit(sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in counts))
+    seen = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(gather, "kind string, votes array<int>, shape array<int>")
+    counts = seen.groupBy("kind", "votes", "shape").agg(F.count("*").alias("n")).collect()
+    return fit(sorted((r["kind"], tuple(r["votes"]), tuple(r["shape"]), r["n"]) for r in counts))
 
 
 def find(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -255,7 +336,7 @@ def find(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     The score of a span is the classifier's probability. A column named ``spans`` is
     replaced.
     """
-    plain = None if model is None else (model.share, model.right, model.weights)
+    plain = None if model is None else (model.right, model.weights)
 
     def make():
         judge = None if plain is None else Model(*plain)
@@ -265,8 +346,8 @@ def find(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
             for t in texts:
                 base = base_spans(t or "")
                 if judge is not None:
-                    base = [(k, a, b, judge.probability(k, votes(t, k, a, b))) for k, a, b, _ in base]
-                    added = [(k, a, b, judge.probability(k, votes(t, k, a, b))) for k, a, b, _ in proposals(t or "", base)]
+                    base = [(k, a, b, judge.probability(t, k, a, b)) for k, a, b, _ in base]
+                    added = [(k, a, b, judge.probability(t, k, a, b)) for k, a, b, _ in proposals(t or "", base)]
                     base += [s for s in added if s[3] >= CERTAIN]
                 out.append(in_order(base, KINDS))
             return [out]

@@ -68,6 +68,77 @@ def test_proposals_need_more_than_a_shape(spark):
     assert out[102] == out[103] == out[104] == []
 
 
+def test_labelers_are_judged_by_family():
+    # The context labeler is right on phones and says nothing of cards.
+    rng = np.random.default_rng(2)
+    patterns = []
+    for kind, of_context in (("world_phone", True), ("grouped_card", False)):
+        for held in rng.random(3000) < 0.5:
+            sure = [1 if (rng.random() < 0.9) == held else -1 for _ in range(3)]
+            context = held if of_context else rng.random() < 0.5
+            patterns.append((kind, (*sure, int(context), 0, 1), (4, 3, 4, 1), 1))
+    model = pii.fit(patterns)
+    phone, card = (model.right[f][1, 3, 2] - model.right[f][0, 3, 2] for f in ("phone", "card"))
+    assert phone > 0.8 and abs(card) < 0.1
+
+
+def test_numbers_inside_refused_runs():
+    text = "phone +1 (826) 555-4081 190.137.223.20 and 4111 1111 1111 1111 2023 end"
+    base, refused = pii.matches(text)
+    assert [k for k, *_ in base] == ["ip"] and {k for k, *_ in refused} == {"card", "phone"}
+    found = {k: text[a:b] for k, a, b, _ in pii.proposals(text, base)}
+    assert found == {"world_phone": "+1 (826) 555-4081", "grouped_card": "4111 1111 1111 1111"}
+
+
+def card(rng):
+    head = "4" + "".join(str(x) for x in rng.integers(0, 10, 14))
+    last = next(d for d in "0123456789" if pii.luhn(head + d))
+    return head + last
+
+
+def bank_account(rng):
+    tail = "".join(str(x) for x in rng.integers(0, 10, 16))
+    check = 98 - int("".join(str(int(x, 36)) for x in tail + "DE00")) % 97
+    return f"DE{check:02}{tail[:4]}{tail[4:]}"
+
+
+def test_planted_data_is_caught_and_clean_texts_stay_clean(spark):
+    rng = np.random.default_rng(9)
+
+    def number(n):
+        return "".join(str(x) for x in rng.integers(0, 10, n))
+
+    def grouped(digits):
+        return " ".join(digits[i: i + 4] for i in range(0, len(digits), 4))
+
+    planted = {
+        "world_phone": lambda: (f"call +1 (5{number(2)}) 5{number(2)}-{number(4)}", " 10.20.30.40"),
+        "grouped_card": lambda: (f"card {grouped(card(rng))}", " 2023 2024"),
+        "spelled_email": lambda: (f"mail bob{number(3)} [at] example [dot] com", ""),
+        "local_phone": lambda: (f"phone: (2{number(2)}) 5{number(2)}-{number(4)}", ""),
+        "national_id": lambda: (f"ssn 1{number(2)}-1{number(1)}-1{number(3)}", ""),
+        "person": lambda: (f"dear Mrs. {rng.choice(['Anna', 'Laura', 'Ruth'])} Lindgren", ""),
+    }
+    rows, where = [], {}
+    for i in range(600):
+        rows.append((i, f"text with bob{i}@mail.example.com or +1 (554) 555-{i:04} and {card(rng)} at 10.0.0.{i % 250}"))
+    for kind, make in planted.items():
+        for _ in range(50):
+            value, after = make()
+            where[len(rows)] = kind
+            rows.append((len(rows), f"some words {value}{after} more words"))
+    clean = len(rows)
+    for i in range(300):
+        rows.append((len(rows), f"In 20{i % 90 + 10} chapter {i} had 1,{number(3)} pages, version 2.{i}.1, order {number(12)} and total 555-{number(2)}, {number(4)} {number(4)} {number(4)} {number(4)}1"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.find(docs, pii.learn(docs)).collect()}
+    for kind in planted:
+        asked = [i for i, k in where.items() if k == kind]
+        assert sum(kind in out[i] for i in asked) >= 0.9 * len(asked), kind
+    assert not any(out[i] & set(pii.ADDED_KINDS) for i in range(clean, len(rows)))
+    assert not any(out[i] & set(pii.ADDED_KINDS) for i in range(600))
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "plain words"), (2, None)], "doc_id long, text string")
     assert pii.learn(docs) is None
