@@ -743,3 +743,37 @@ SELECT id AS page_id, concat('/house/', id) AS url, CASE WHEN id % 10 = 9 THEN '
               CASE WHEN id % 2 = 0 THEN concat(';1 Jan 2010|£', id, '|||Freehold') ELSE '' END) AS sales
 FROM property""", "property")
 on_views("area_postcodes", "SELECT DISTINCT postcode FROM property WHERE outcode = 'AM1'", "property")
+
+
+# Bundles in long form: the SQL of each part, turned into one row per figure.
+def long_rows(section: str, sql: str, key: str, numbers: str, labels: str = "") -> str:
+    named = [*numbers.split(), *labels.split()]
+    values = [f"CAST({c} AS DOUBLE)" for c in numbers.split()] + ["NULL"] * len(labels.split())
+    texts = ["NULL"] * len(numbers.split()) + [f"CAST({c} AS VARCHAR)" for c in labels.split()]
+    return (f"SELECT '{section}' AS section, {f'CAST({key} AS VARCHAR)' if key else repr('')} AS key, "
+            f"unnest([{', '.join(map(repr, named))}]) AS measure, unnest(CAST([{', '.join(values)}] AS DOUBLE[])) AS value, "
+            f"unnest(CAST([{', '.join(texts)}] AS VARCHAR[])) AS label FROM ({sql})")
+
+
+ORACLE["overview_bundle"] = "\nUNION ALL ".join([
+    long_rows("median_price", ORACLE["upper_median"], "", "median_price"),
+    long_rows("price_distribution", ORACLE["price_bands"], "range", "count"),
+    long_rows("top_postcodes", ORACLE["top_postcodes"], "postcode", "count avg_price"),
+    long_rows("property_types", ORACLE["type_breakdown"], "property_type", "count avg_price"),
+    long_rows("bedroom_distribution", ORACLE["bedroom_dist"], "bedrooms", "count avg_price"),
+    long_rows("yearly_trends", ORACLE["sales_volume"], "year", "count"),
+    long_rows("price_trends", ORACLE["monthly_trend"], "month", "avg_price median_price min_price max_price count"),
+])
+# Listed properties that were never sold count among the properties.
+on_views("unsold_listings", """SELECT count(*) AS listed FROM property p
+WHERE listing_status = 'for_sale' AND NOT EXISTS (SELECT 1 FROM sale s WHERE s.property_id = p.id)""", "property", "sale")
+UNSOLD = ORACLE.pop("unsold_listings")
+WITH_UNSOLD = f"SELECT k.* REPLACE (total_properties + listed AS total_properties) FROM ({ORACLE['kpis']}) k, ({UNSOLD}) u"
+ORACLE["insights_bundle"] = "\nUNION ALL ".join([
+    long_rows("price_histogram", ORACLE["price_histogram"], "bucket", "min_price max_price count", "range_label"),
+    long_rows("time_series", ORACLE["insights_time_series"], "month", "median_price avg_price sales_count"),
+    long_rows("trend_line", ORACLE["trend_line"], "", "x_min x_max y_at_min y_at_max"),
+    long_rows("postcode_heatmap", ORACLE["postcode_heatmap"], "postcode", "avg_price count growth_pct"),
+    long_rows("kpis", WITH_UNSOLD, "", "appreciation_rate price_per_bedroom market_velocity_pct price_volatility_pct "
+              "total_sales total_properties median_price", "market_velocity_direction"),
+])

@@ -16,13 +16,14 @@ from plotwise.functions import text
 from plotwise.functions.features import FEATURE_COLUMNS, parse_features
 from plotwise.operators import (
     area_records, compare, coverage as coverage_ops, dataset, growth, insights, lookups, market, model,
-    predicates, similar, spatial, text_reports, upsert, stumps,
+    one_pass, predicates, similar, spatial, text_reports, upsert, stumps,
 )
 from plotwise.operators.predicates import InsightsFilter
 from plotwise.operators.sales import (
     flat_sales, history_figures, last_entered_sale as last_entered, latest_sale, latest_two_sales, priced_property_count, properties_with_sales as properties_and_sales,
     nested_sales, repeat_sold_properties, sales_with_property, with_sales_of, without_sales,
 )
+from plotwise.plans import market_questions
 from plotwise.session import staging_path
 from plotwise.sources import html_pages, readers, sinks
 from plotwise.streaming import jobs
@@ -1239,3 +1240,26 @@ def page_addresses(spark, sf):
 def area_postcodes(spark, sf):
     directory = view(spark, sf, "property").select("postcode", "outcode").distinct()
     return readers.postcodes_for(directory, "am1")
+
+
+# --- bundles -----------------------------------------------------------------
+
+#: Key columns of the frames of a bundle in long form; a frame without any is one row.
+BUNDLE_KEYS = {
+    "price_histogram": ["bucket"], "time_series": ["month"], "postcode_heatmap": ["postcode"],
+    "price_distribution": ["range"], "top_postcodes": ["postcode"], "property_types": ["property_type"],
+    "bedroom_distribution": ["bedrooms"], "yearly_trends": ["year"], "price_trends": ["month"],
+}
+
+
+@query
+def overview_bundle(spark, sf):
+    frames = market_questions.overview_figures(view(spark, sf, "property"), view(spark, sf, "sale"))
+    return one_pass.long_form(frames, BUNDLE_KEYS)
+
+
+@query
+def insights_bundle(spark, sf):
+    frames = market_questions.insights_figures(view(spark, sf, "property"), view(spark, sf, "sale"))
+    line = frames["trend_line"].selectExpr("x_min", "x_max", "round(y_at_min, 4) AS y_at_min", "round(y_at_max, 4) AS y_at_max")
+    return one_pass.long_form({**frames, "trend_line": line}, BUNDLE_KEYS)

@@ -41,7 +41,11 @@ def price_histogram(base: DataFrame, value: str = "price_numeric", buckets: int
     Prices are counted once; the extremes are read from those counts as a scalar
     subquery, so the base is scanned a single time.
     """
-    counts = order_stats.value_counts(base, [], value)
+    return histogram_of_counts(order_stats.value_counts(base, [], value), value, buckets)
+
+
+def histogram_of_counts(counts: DataFrame, value: str = "price_numeric", buckets: int = BUCKETS) -> DataFrame:
+    """The histogram of (value, n) rows."""
     # The row count keeps this branch on the same aggregate, so its shuffle is shared.
     extremes = counts.agg(
         F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("rows")
@@ -53,7 +57,7 @@ def price_histogram(base: DataFrame, value: str = "price_numeric", buckets: int
         .withColumn("low", F.col("_x.low")).withColumn("width", width)
         .groupBy(slot.cast("int").alias("bucket")).agg(F.sum("n").alias("count"))
     )
-    frame = base.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    frame = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     floor_price = F.col("_x.low") + F.col("bucket") * width
     shown = (F.col("count") > 0) | F.col("bucket").isin(0, buckets - 1)
     return (
@@ -102,9 +106,13 @@ def postcode_heatmap(base: DataFrame) -> DataFrame:
         base.where(market.priced() & F.col("postcode").isNotNull())
         .groupBy("postcode", "year")
         .agg(F.sum(F.col("price_numeric").cast("double")).alias("s"), F.count("*").alias("n"))
-        .withColumn("mean", F.col("s") / F.col("n"))
     )
-    per_postcode = yearly.groupBy("postcode").agg(
+    return heatmap_of_years(yearly)
+
+
+def heatmap_of_years(yearly: DataFrame) -> DataFrame:
+    """The heatmap of (postcode, year, s, n) rows: sum and number of prices."""
+    per_postcode = yearly.withColumn("mean", F.col("s") / F.col("n")).groupBy("postcode").agg(
         whole(F.sum("s") / F.sum("n")).alias("avg_price"),
         F.sum("n").alias("count"),
         F.min("year").alias("y0"), F.max("year").alias("y1"),
@@ -183,6 +191,10 @@ def _per_property(base: DataFrame) -> DataFrame:
     held = base.groupBy("property_id").agg(
         F.sum(F.when(usable, price)).alias("bed_price"), F.sum(F.when(usable, beds)).alias("beds")
     )
+    return _over_properties(held)
+
+
+def _over_properties(held: DataFrame) -> DataFrame:
     return held.agg(
         F.count("*").alias("properties"), F.sum("bed_price").alias("bed_price"), F.sum("beds").alias("beds")
     )
@@ -195,9 +207,14 @@ def kpis(base: DataFrame, listing_only: DataFrame | None = None) -> DataFrame:
     cells, whose shuffle the overall and the time figures share. ``listing_only``
     adds the listed properties without sales to the total.
     """
-    cells = _price_cells(base)
+    return kpis_of_cells(_price_cells(base), _per_property(base), listing_only)
+
+
+def kpis_of_cells(cells: DataFrame, held: DataFrame, listing_only: DataFrame | None = None) -> DataFrame:
+    """The indicators from (month, price_numeric, rows, n) cells and one row of
+    properties, bed_price and beds."""
     row = (
-        _per_property(base)
+        held
         .withColumn("_o", market.single_row(_overall(cells)))
         .withColumn("_t", market.single_row(_over_time(cells)))
     )

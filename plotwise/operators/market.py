@@ -62,13 +62,18 @@ def overall_upper_median(sales: DataFrame) -> DataFrame:
 
 def price_bands(sales: DataFrame) -> DataFrame:
     """Sales per fixed price band, empty bands shown with zero."""
+    return bands_of_counts(order_stats.value_counts(sales, [], "price_numeric"))
+
+
+def bands_of_counts(counts: DataFrame) -> DataFrame:
+    """Sales per price band of (price_numeric, n) rows."""
     labels = [name for name, _, _ in text.PRICE_BANDS]
-    bands = sales.sparkSession.createDataFrame(
+    bands = counts.sparkSession.createDataFrame(
         [(i, name) for i, name in enumerate(labels)], "band int, range string"
     )
     counted = (
-        sales.where(priced()).groupBy(text.price_band(F.col("price_numeric")).alias("range"))
-        .agg(F.count("*").alias("n"))
+        counts.groupBy(text.price_band(F.col("price_numeric")).alias("range"))
+        .agg(F.sum("n").alias("n"))
     )
     return (
         bands.join(counted, "range", "left")

@@ -13,8 +13,8 @@ PROPERTY_COLUMNS = (
 
 
 def sales_with_property(sales: DataFrame, properties: DataFrame,
-                        *extra_columns: str) -> DataFrame:
-    """Every sale next to its property (inner equi-join on the property id).
+                        *extra_columns: str, how: str = "inner") -> DataFrame:
+    """Every sale next to its property (equi-join on the property id, inner unless told).
 
     The sale's own type is kept as ``sale_type``; ``type_key`` is the normalised
     type of either. Unused columns are pruned down to the scans.
@@ -27,7 +27,7 @@ def sales_with_property(sales: DataFrame, properties: DataFrame,
         text.year_of(F.col("date_sold_iso")).alias("year"),
     )
     right = properties.select(F.col("id").alias("property_id"), *dict.fromkeys(kept))
-    return left.join(right, "property_id").withColumn(
+    return left.join(right, "property_id", how).withColumn(
         "type_key", text.property_type_key(F.col("sale_type"), F.col("property_type"))
     )
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from plotwise.operators import compare, growth, insights, market
+from plotwise.operators import compare, growth, insights, market, one_pass
 from plotwise.operators.predicates import InsightsFilter
 from plotwise.operators.sales import sales_with_property, without_sales
 from plotwise.session import materialise
@@ -33,6 +33,25 @@ def market_overview(properties: DataFrame, sales: DataFrame) -> dict[str, DataFr
     }
 
 
+def overview_figures(properties: DataFrame, sales: DataFrame) -> dict[str, DataFrame]:
+    """The figures of ``market_overview`` that are sums over sales, from one scan of the base."""
+    known = sales_with_property(sales, properties.withColumn("held", F.lit(True)), "held", how="left")
+    base = known.withColumn("held", F.coalesce("held", F.lit(False)))
+    return one_pass.overview(materialise(one_pass.overview_cells(base), "overview-cells"))
+
+
+def insights_figures(properties: DataFrame, sales: DataFrame,
+                     options: InsightsFilter = InsightsFilter(), features: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The figures of ``housing_insights`` from one scan of the filtered base.
+
+    Listed properties without a sale count in the total, which takes the keys of the sales
+    once more.
+    """
+    base = insights.filtered_base(sales, properties, options, features)
+    unsold = without_sales(properties.where(options.on_listings()), sales)
+    return one_pass.dashboard(materialise(one_pass.dashboard_cells(base), "insights-cells"), unsold)
+
+
 def postcode_analytics(properties: DataFrame, sales: DataFrame) -> dict[str, DataFrame]:
     """The per-postcode figures for every postcode; filter on ``postcode_clean`` for one."""
     base = sales_with_property(sales, market.with_street(properties), "street")
