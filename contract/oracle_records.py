@@ -777,3 +777,12 @@ ORACLE["insights_bundle"] = "\nUNION ALL ".join([
     long_rows("kpis", WITH_UNSOLD, "", "appreciation_rate price_per_bedroom market_velocity_pct price_volatility_pct "
               "total_sales total_properties median_price", "market_velocity_direction"),
 ])
+YEARLY, PERIODS = "concat_ws('|', postcode, CAST(year AS VARCHAR))", "concat_ws('|', postcode, CAST(period_years AS VARCHAR))"
+ORACLE["growth_bundle"] = "\nUNION ALL ".join([
+    long_rows("annual_medians", ORACLE["annual_medians"], YEARLY, "median_price sale_count"),
+    long_rows("metrics", ORACLE["cagr_periods"], PERIODS, "cagr_pct start_price end_price"),
+    long_rows("volatility", ORACLE["volatility"], "postcode", "volatility_pct"),
+    long_rows("max_drawdown", ORACLE["max_drawdown"], "postcode", "max_drawdown_pct"),
+    long_rows("forecast", ORACLE["forecast"], YEARLY, "predicted_price lower_bound upper_bound"),
+    long_rows("data_years", ORACLE["data_span"], "postcode", "data_years"),
+])

@@ -1249,6 +1249,8 @@ BUNDLE_KEYS = {
     "price_histogram": ["bucket"], "time_series": ["month"], "postcode_heatmap": ["postcode"],
     "price_distribution": ["range"], "top_postcodes": ["postcode"], "property_types": ["property_type"],
     "bedroom_distribution": ["bedrooms"], "yearly_trends": ["year"], "price_trends": ["month"],
+    "annual_medians": ["postcode", "year"], "metrics": ["postcode", "period_years"], "volatility": ["postcode"],
+    "max_drawdown": ["postcode"], "forecast": ["postcode", "year"], "data_years": ["postcode"],
 }
 
 
@@ -1263,3 +1265,10 @@ def insights_bundle(spark, sf):
     frames = market_questions.insights_figures(view(spark, sf, "property"), view(spark, sf, "sale"))
     line = frames["trend_line"].selectExpr("x_min", "x_max", "round(y_at_min, 4) AS y_at_min", "round(y_at_max, 4) AS y_at_max")
     return one_pass.long_form({**frames, "trend_line": line}, BUNDLE_KEYS)
+
+
+@query
+def growth_bundle(spark, sf):
+    """Growth figures of every postcode; the yearly medians are written once, from one scan."""
+    frames = market_questions.postcode_growth(view(spark, sf, "property"), view(spark, sf, "sale"))
+    return one_pass.long_form(frames, BUNDLE_KEYS)
