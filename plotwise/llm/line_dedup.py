@@ -11,10 +11,15 @@ a half with another one are listed at all. Within a key, lines are compared with
 earliest one, or whole lines with shortened ones, never all with all.
 
 Words are what single blanks separate, in lower case, without blanks around the line.
-Lines with fewer than ``min_words`` words are never repeats; with fewer than
-``near_words``, only when equal. Earlier means a smaller doc_id, then text hash, then
-line number; rows equal in id and text are one document. A line counts as a repeat of an
-earlier one whether or not that one is a repeat itself. Null texts stay null.
+Lines with fewer than ``min_words`` words are repeats only if they have ``min_chars`` code
+points; with fewer than ``near_words`` words, only when equal. A line of ``min_chars`` code
+points without a blank, as in scripts that write none, is compared by its code points in
+place of words, so one code point put in, left out or replaced makes it a repeat. It is
+compared with lines of its kind alone. Without ``min_chars`` words alone count.
+
+Earlier means a smaller doc_id, then text hash, then line number; rows equal in id and text
+are one document. A line counts as a repeat of an earlier one whether or not that one is a
+repeat itself. Null texts stay null.
 
 Only DataFrame operations are used.
 """
@@ -28,6 +33,8 @@ from plotwise.session import materialise
 
 MIN_WORDS = 5
 NEAR_WORDS = 8
+#: Code points of a line that counts as long enough however few its words are.
+MIN_CHARS = 20
 #: Word hashes are kept this small so that their sums over a line do not overflow.
 SPAN = 1 << 40
 
@@ -49,9 +56,27 @@ def word_count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def half_keys(line: Column, n: Column) -> Column:
-    """Hashes of the first and the last half, also as a line one word shorter would cut them."""
+def unspaced(line: Column, min_chars: int | None) -> Column:
+    """Whether the line is compared by its code points."""
+    return F.lit(False) if min_chars is None else (F.length(line) >= min_chars) & ~F.contains(line, F.lit(" "))
+
+
+def units(line: Column, min_chars: int | None) -> Column:
+    """What an edit puts in, leaves out or replaces: words, or the code points of an unspaced line.
+
+    Code points carry a line end, which no word holds, so that they never equal words.
+    """
+    words = F.split(line, " ")
+    if min_chars is None:
+        return words
+    return F.when(unspaced(line, min_chars), F.transform(F.split(line, ""), lambda c: F.concat(c, F.lit("\n")))).otherwise(words)
+
+
+def half_keys(line: Column, n: Column, by_chars: bool = False) -> Column:
+    """Hashes of the first and the last half, also as a line one unit shorter would cut them."""
     def ends(k: Column) -> list[Column]:
+        if by_chars:
+            return [F.xxhash64(F.lit("head"), k, F.left(line, k)), F.xxhash64(F.lit("tail"), k, F.right(line, k))]
         return [F.xxhash64(F.lit("front"), k, F.call_function("substring_index", line, F.lit(" "), k)),
                 F.xxhash64(F.lit("back"), k, F.call_function("substring_index", line, F.lit(" "), -k))]
 
@@ -102,9 +127,9 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def near_repeats(docs: DataFrame, table: DataFrame, first: DataFrame, near_words: int, text: str, doc_id: str) -> DataFrame:
+def near_repeats(docs: DataFrame, table: DataFrame, first: DataFrame, min_chars: int | None, text: str, doc_id: str) -> DataFrame:
     """Places of lines whose first occurrence is one word apart from an earlier line."""
-    keyed = table.where(F.col("n") >= near_words).select(*LINE, F.explode("halves").alias("half"))
+    keyed = table.select(*LINE, F.explode("halves").alias("half"))
     shared = materialise(
         keyed.groupBy("half").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high")).where("low <> high").select("half"), "shared-halves")
     chosen = keyed.join(if_few(shared), "half", "left_semi").select(*LINE).distinct()
@@ -112,7 +137,7 @@ def near_repeats(docs: DataFrame, table: DataFrame, first: DataFrame, near_words
     few = if_few(places.select(*LINE, *[F.col(c).alias(f"_{c}") for c in PLACE]))
     at_place = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line_no") == F.col("_line_no"))
     lines = materialise(
-        lines_of(docs, text, doc_id).join(few, at_place).select(*LINE, *PLACE, F.split("line", " ").alias("words")).dropDuplicates(LINE), "line-words")
+        lines_of(docs, text, doc_id).join(few, at_place).select(*LINE, *PLACE, units(F.col("line"), min_chars).alias("words")).dropDuplicates(LINE), "line-words")
     variants = materialise(neighbourhood(lines), "line-variants")
     met = materialise(variants.groupBy("key").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high")).where("low <> high").select("key"), "met-keys")
     meeting = materialise(variants.join(if_few(met), "key", "left_semi"), "meeting-lines")
@@ -135,26 +160,34 @@ def near_repeats(docs: DataFrame, table: DataFrame, first: DataFrame, near_words
     return sure.select(*PLACE).distinct()
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text", doc_id: str = "doc_id",
+            min_chars: int | None = None) -> DataFrame:
     """doc_id, text_hash and line_no (from 0) of every line that repeats an earlier one."""
-    listed = lines_of(docs, text, doc_id).withColumn("n", word_count(F.col("line"))).where(F.col("n") >= min_words)
+    line, n = F.col("line"), F.col("n")
+    long_enough = n >= min_words
+    halves = F.when(n >= near_words, half_keys(line, n))
+    if min_chars is not None:
+        long_enough |= F.length(line) >= min_chars
+        halves = F.when(unspaced(line, min_chars), half_keys(line, F.length(line), by_chars=True)).when(n >= near_words, half_keys(line, n))
+    listed = lines_of(docs, text, doc_id).withColumn("n", word_count(line)).where(long_enough)
     table = materialise(listed.select(
         *PLACE, "n", F.xxhash64("line").alias("line_hash"), F.hash("line").alias("line_check"),
-        F.when(F.col("n") >= near_words, half_keys(F.col("line"), F.col("n"))).otherwise(F.array().cast("array<bigint>")).alias("halves")), "lines")
+        halves.otherwise(F.array().cast("array<bigint>")).alias("halves")), "lines")
     first = table.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("times"))
     again = first.where("times > 1").select(*LINE, F.col("place").alias("first_place"))
     equal = table.join(again, LINE).where(F.struct(*PLACE) > F.col("first_place")).select(*PLACE)
-    near = near_repeats(docs, table, first.select(*LINE, "place"), near_words, text, doc_id)
+    near = near_repeats(docs, table, first.select(*LINE, "place"), min_chars, text, doc_id)
     return equal.unionByName(near).distinct()
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, text: str = "text", doc_id: str = "doc_id",
+                    min_chars: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and n_lines and n_removed.
 
     All rows stay; a text all of whose lines are repeats becomes empty. Columns named
     n_lines and n_removed are replaced.
     """
-    gone = repeats(docs, min_words, near_words, text, doc_id)
+    gone = repeats(docs, min_words, near_words, text, doc_id, min_chars)
     listed = gone.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("_gone")).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
     joined = docs.join(listed, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")

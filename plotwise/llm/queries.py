@@ -92,7 +92,7 @@ def op4_bpe(spark, sf):
 @query
 def op5_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, min_chars=line_dedup.MIN_CHARS)
 
 
 @query
