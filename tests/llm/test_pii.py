@@ -96,12 +96,6 @@ def card(rng):
     return head + last
 
 
-def bank_account(rng):
-    tail = "".join(str(x) for x in rng.integers(0, 10, 16))
-    check = 98 - int("".join(str(int(x, 36)) for x in tail + "DE00")) % 97
-    return f"DE{check:02}{tail[:4]}{tail[4:]}"
-
-
 def test_planted_data_is_caught_and_clean_texts_stay_clean(spark):
     rng = np.random.default_rng(9)
 
