@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plotwise.llm.batches import row_slices
 from plotwise.llm.ngram_join import mixed, word_hashes
 from plotwise.session import materialise
 
@@ -58,24 +59,33 @@ def grams_of(words: np.ndarray) -> np.ndarray:
     return grams
 
 
-def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of a sequence of word hashes and their places."""
+def winnow(words: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of sequences of word hashes, one after the other between ``edges``, and their places in all."""
+    edges = np.array([0, len(words)]) if edges is None else edges
     grams = grams_of(words)
-    n = len(grams)
-    if n < 1:
-        return grams, np.zeros(0, np.int64)
-    if n <= WINDOW:
-        at = np.array([int(grams.argmin())])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1))
-    return grams[at], at
-
-
-def long_runs(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each place a hash of the run of each length in LONG (multiples of K) from there, or 0 where the text ends before."""
+    starts, n = edges[:-1], np.maximum(np.diff(edges) - K + 1, 0)
+    chosen = np.zeros(len(grams), bool)
+    for i in np.flatnonzero((n > 0) & (n < WINDOW)).tolist():
+        chosen[starts[i] + int(grams[starts[i]: starts[i] + n[i]].argmin())] = True
+    if len(grams) >= WINDOW:
+        windows = len(grams) - WINDOW + 1
+        least, at = grams[:windows].copy(), np.arange(windows)
+        for k in range(1, WINDOW):
+            less = grams[k: k + windows] < least
+            least[less] = grams[k: k + windows][less]
+            at[less] = np.flatnonzero(less) + k
+        whole = n >= WINDOW
+        turns = np.bincount(starts[whole], minlength=len(words) + 1) - np.bincount((starts + n - WINDOW + 1)[whole], minlength=len(words) + 1)
+        chosen[at[np.cumsum(turns)[:windows] > 0]] = True
+    places = np.flatnonzero(chosen)
+    return grams[places], places
+
+
+def long_runs(words: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each place a hash of the run of each length in LONG (multiples of K) from there, or 0 where its text ends before."""
     grams, out = grams_of(words), np.zeros((len(places), len(LONG)), np.uint32)
     for level, length in enumerate(LONG):
-        fits = places + length <= len(words)
+        fits = places + length <= ends
         run = np.zeros(int(fits.sum()), np.uint64)
         for k in range(0, length, K):
             run = mixed(run * np.uint64(0x9E3779B97F4A7C15) + grams[places[fits] + k])
@@ -83,27 +93,36 @@ def long_runs(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def as_binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Rows of bytes: what lies between neighbouring ``edges`` of ``data``."""
+    offsets = (edges * data.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def within(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Edges of the lists and their values, both from 0."""
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    return edges - edges[0], lists.values.slice(edges[0], edges[-1] - edges[0])
+
+
 def seeds_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc_id, doc_key, n_words, seeds, places, runs (four bytes for each seed and length in LONG) and codes (two bytes of each word's hash)."""
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
-            flat, edges = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lists.offsets.to_numpy().tolist()
-            seeds, places, counts, runs, codes, sizes = [], [], [0], [], [], []
-            for a, b in zip(edges, edges[1:]):
-                s, at = winnow(flat[a:b])
-                seeds.append(s.view(np.int64))
-                places.append(at)
-                counts.append(len(s))
-                runs.append(long_runs(flat[a:b], at).astype("<u4").tobytes())
-                sizes.append(b - a)
-                codes.append((flat[a:b] >> np.uint64(20)).astype("<u2").tobytes())
-            offsets = pa.array(np.cumsum(counts), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(seeds) if seeds else [], pa.int64())),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places) if places else [], pa.int32())),
-                pa.array(runs, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "doc_key", "n_words", "seeds", "places", "runs", "codes"])
+            for part in row_slices(batch):
+                edges, values = within(part.column(2))
+                flat = values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                seeds, places = winnow(flat, edges)
+                owner = np.searchsorted(edges, places, side="right") - 1
+                held = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
+                runs = long_runs(flat, places, edges[owner + 1]).astype("<u4").ravel()
+                offsets = pa.array(held, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(np.diff(edges), pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(seeds.view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(places - edges[owner], pa.int32())),
+                    as_binary(runs, held * len(LONG)), as_binary((flat >> np.uint64(20)).astype("<u2"), edges)],
+                    names=["doc_id", "doc_key", "n_words", "seeds", "places", "runs", "codes"])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("doc_key"), word_hashes(F.col(text)).alias("words"))
     return read.mapInArrow(run, "doc_id long, doc_key long, n_words long, seeds array<long>, places array<int>, runs binary, codes binary")
@@ -192,33 +211,31 @@ def chain(at: np.ndarray, source_at: np.ndarray) -> list[list[int]]:
     in either document. As that cost is a difference of sums, the best predecessor is
     the largest score plus GAP times its places among all that come before in both.
     """
-    order = np.lexsort((-source_at, at))
-    rank = np.unique(source_at, return_inverse=True)[1] + 1
-    size = int(rank.max())
-    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (size + 1)
+    order = np.lexsort((-source_at, at)).tolist()
+    rank = (np.unique(source_at, return_inverse=True)[1] + 1).tolist()
+    size = max(rank)
+    at, source_at = at.tolist(), source_at.tolist()
+    tree, holder = [-np.inf] * (size + 1), [-1] * (size + 1)
     score, before = [0.0] * len(at), [-1] * len(at)
     waiting: list[int] = []
 
-    def add(i: int) -> None:
-        value, r = (score[i] + GAP * (int(at[i]) + int(source_at[i])), i), int(rank[i])
-        while r <= size:
-            if tree[r][0] < value[0]:
-                tree[r] = value
-            r += r & -r
-
-    for i in order.tolist():
+    for i in order:
         if waiting and at[waiting[0]] < at[i]:
             for j in waiting:
-                add(j)
+                value, r = score[j] + GAP * (at[j] + source_at[j]), rank[j]
+                while r <= size:
+                    if tree[r] < value:
+                        tree[r], holder[r] = value, j
+                    r += r & -r
             waiting = []
-        best, r = (-np.inf, -1), int(rank[i]) - 1
+        best, last, r = -np.inf, -1, rank[i] - 1
         while r > 0:
-            best = max(best, tree[r])
+            if best < tree[r] or best == tree[r] and last < holder[r]:
+                best, last = tree[r], holder[r]
             r -= r & -r
-        gain = best[0] - GAP * (int(at[i]) + int(source_at[i]))
-        words = K if best[1] < 0 else min(K, int(at[i] - at[best[1]]), int(source_at[i] - source_at[best[1]]))
+        gain = best - GAP * (at[i] + source_at[i])
         if gain > 0:
-            score[i], before[i] = words + gain, best[1]
+            score[i], before[i] = min(K, at[i] - at[last], source_at[i] - source_at[last]) + gain, last
         else:
             score[i] = K
         waiting.append(i)
@@ -234,6 +251,36 @@ def chain(at: np.ndarray, source_at: np.ndarray) -> list[list[int]]:
     return chains
 
 
+def chains_in(at: np.ndarray, source_at: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of at least two matches of all pairs: places in both documents, the number of each chain's pair and the edges of the chains.
+
+    Where every match of a pair comes after the one before in both documents, and adds
+    more than its distance costs, all of them are one chain and none is searched for.
+    """
+    order = np.lexsort((source_at, at, pair))
+    at, source_at, pair = at[order].astype(np.int64), source_at[order].astype(np.int64), pair[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (at[1:] != at[:-1]) | (source_at[1:] != source_at[:-1])
+    at, source_at, pair = at[new], source_at[new], pair[new]
+    on, source_on = np.diff(at), np.diff(source_at)
+    rising = (on > 0) & (source_on > 0) & (np.minimum(np.minimum(on, source_on), K) - GAP * (on + source_on) > 1e-9)
+    total = int(pair.max()) + 1 if len(pair) else 0
+    counts = np.bincount(pair, minlength=total)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    searched = np.zeros(total, bool)
+    searched[pair[1:][(pair[1:] == pair[:-1]) & ~rising]] = True
+    plain = np.flatnonzero((counts > 1) & ~searched)
+    links, owners, sizes = [np.flatnonzero(np.isin(pair, plain))], [plain], [counts[plain]]
+    for i in np.flatnonzero(searched).tolist():
+        found = [c for c in chain(at[edges[i]: edges[i + 1]], source_at[edges[i]: edges[i + 1]]) if len(c) > 1]
+        if found:
+            links.append(np.concatenate(found) + edges[i])
+            owners.append(np.full(len(found), i))
+            sizes.append(np.array([len(c) for c in found]))
+    links = np.concatenate(links)
+    return at[links], source_at[links], np.concatenate(owners), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+
 def chains_of(matches: DataFrame) -> DataFrame:
     """doc_key, source_key, at and source_at (arrays) of every chain long enough to be aligned."""
     pairs = matches.groupBy("doc_key", "source_key").agg(F.collect_list(F.struct("at", "source_at")).alias("m")).where(F.size("m") > 1)
@@ -241,16 +288,14 @@ def chains_of(matches: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, source, a, b in zip(*[batch.column(i).to_pylist() for i in (0, 1)], *[batch.column(i) for i in (2, 3)]):
-                a, b = np.unique(np.stack([a.values.to_numpy(), b.values.to_numpy()]), axis=1)
-                if a.max() - a.min() + 2 * BEYOND < PIECE:
-                    continue
-                for links in chain(a, b):
-                    if len(links) > 1:
-                        rows.append((key, source, a[links].tolist(), b[links].tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["doc_key", "source_key", "at", "source_at"])
+            for part in row_slices(batch):
+                (edges, at), (_, source_at) = within(part.column(2)), within(part.column(3))
+                pair = np.repeat(np.arange(part.num_rows), np.diff(edges))
+                at, source_at, owner, ends = chains_in(at.to_numpy(), source_at.to_numpy(), pair)
+                offsets, owner = pa.array(ends, pa.int32()), pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(owner), part.column(1).take(owner), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(source_at, pa.int32()))], names=["doc_key", "source_key", "at", "source_at"])
 
     return listed.mapInArrow(run, "doc_key long, source_key long, at array<int>, source_at array<int>")
 
@@ -328,28 +373,114 @@ def similar_parts(a: np.ndarray, b: np.ndarray, at: list[int], source_at: list[i
                 right[i], left[i + 1] = ends_alike(gap, source_gap)
         else:
             edits[i + 1] = abs((at[i + 1] - at[i]) - (source_at[i + 1] - source_at[i]))
+    found = []
+    for first, final in longest_runs(x, left, right, edits, similarity):
+        begin, end = int(x[first] - left[first]), int(x[final] + K + right[final])
+        wider = align(a, b, at[first: final + 1], source_at[first: final + 1])
+        found.append((min(begin, wider[0]), max(end, wider[1])) if wider[2] >= similarity else (begin, end))
+    return sorted(found)
+
+
+def longest_runs(x: np.ndarray, left: np.ndarray, right: np.ndarray, edits: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """First and last seeds of the longest similar run of a chain, and of those on either side of it.
+
+    ``x`` are the places of the seeds, ``left`` and ``right`` the equal words directly
+    before and after each, ``edits`` those between a seed and the one before.
+    """
     # A run is similar enough if its share of words that may differ is not below its edits.
-    share = 1 - similarity
+    share, n = 1 - similarity, len(x)
     balance = share * (x - x[0]) - np.cumsum(edits)
     gains, losses = balance + share * (right + K), balance - share * left
+    stops, starts = x + K + right, x - left
     found, waiting = [], [(0, n)]
     while waiting:
         low, high = waiting.pop()
-        if low >= high or x[high - 1] + K + right[high - 1] - x[low] + left[low] < PIECE:
+        if low >= high or stops[high - 1] - starts[low] < PIECE:
             continue
         # The best gain from each seed on never rises, so the last one that is enough can be searched for.
         most = np.maximum.accumulate(gains[low:high][::-1])
         last = high - 1 - np.searchsorted(most, losses[low:high] - 1e-9)
-        words = np.where(last >= np.arange(low, high), x[last] + K + right[last] - x[low:high] + left[low:high], 0)
+        words = np.where(last >= np.arange(low, high), stops[last] - starts[low:high], 0)
         first = low + int(words.argmax())
         if words[first - low] < PIECE:
             continue
         final = int(last[first - low])
-        begin, end = int(x[first] - left[first]), int(x[final] + K + right[final])
-        wider = align(a, b, at[first: final + 1], source_at[first: final + 1])
-        found.append((min(begin, wider[0]), max(end, wider[1])) if wider[2] >= similarity else (begin, end))
+        found.append((first, final))
         waiting += [(low, first), (final + 1, high)]
-    return sorted(found)
+    return found
+
+
+def extended(text: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of places in ``text``, what ``extend`` gives from there in the direction of ``step``, the unequal words in it, and the equal words at its start."""
+    reach = np.arange(BEYOND)
+    inside = reach < room[:, None]
+    way = np.where(inside, reach * step, 0)
+    top = max(len(text) - 1, 0)
+    alike = inside & (text[np.clip(a[:, None] + way, 0, top)] == text[np.clip(b[:, None] + way, 0, top)])
+    balance = np.cumsum(np.where(inside, np.where(alike, 1, -3), -BEYOND), axis=1)
+    best = balance.argmax(axis=1)
+    words = np.where(balance[np.arange(len(a)), best] > 0, best + 1, 0)
+    return words, (~alike & (reach < words[:, None])).sum(axis=1), np.where(alike.all(axis=1), BEYOND, alike.argmin(axis=1))
+
+
+def edits_between(text: np.ndarray, at: np.ndarray, source_at: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits between each match and the one before, where ``linked``, and the equal words directly before and after each match if there are any edits."""
+    edits, left, right = (np.zeros(len(at), np.int64) for _ in range(3))
+    on, source_on = np.diff(at, prepend=0), np.diff(source_at, prepend=0)
+    edits[linked] = np.abs(on - source_on)[linked]
+    both = np.flatnonzero(linked & (on > K) & (source_on > K))
+    # Of gaps of one length, those without a differing word need no look.
+    level = both[on[both] == source_on[both]]
+    sizes = on[level] - K
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    unlike = text[np.repeat(at[level] - sizes, sizes) + inner] != text[np.repeat(source_at[level] - sizes, sizes) + inner]
+    differ = np.bincount(np.repeat(np.arange(len(level)), sizes)[unlike], minlength=len(level)) > 0
+    for i in np.concatenate([level[differ], both[on[both] != source_on[both]]]).tolist():
+        gap, source_gap = text[at[i - 1] + K: at[i]].tolist(), text[source_at[i - 1] + K: source_at[i]].tolist()
+        edits[i] = distance(gap, source_gap)
+        if edits[i]:
+            right[i - 1], left[i] = ends_alike(gap, source_gap)
+    return edits, left, right
+
+
+def similar_pieces(text: np.ndarray, bounds: tuple, at: np.ndarray, source_at: np.ndarray, edges: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the chains, starts and stops (in ``text``) of what ``similar_parts`` gives for each chain.
+
+    ``text`` holds the words of both documents of every chain, ``bounds`` where the first
+    begins, where it ends and the second begins, and where that ends; ``at`` and ``source_at`` are
+    places in ``text``. The ends of all chains are compared at once, and so are those of all runs.
+    """
+    begin, middle, end = bounds
+    owner = np.repeat(np.arange(len(begin)), np.diff(edges))
+
+    def ends(first: np.ndarray, last: np.ndarray, of: np.ndarray):
+        before = extended(text, at[first] - 1, source_at[first] - 1, np.minimum(at[first] - begin[of], source_at[first] - middle[of]), -1)
+        after = extended(text, at[last] + K, source_at[last] + K, np.minimum(middle[of] - at[last], end[of] - source_at[last]) - K, 1)
+        return before, after
+
+    first, last = edges[:-1], edges[1:] - 1
+    (left, left_edits, left_same), (right, right_edits, right_same) = ends(first, last, np.arange(len(begin)))
+    words = at[last] + K - at[first] + left + right
+    # A chain that is too short even with its ends has no piece.
+    long = words >= PIECE
+    linked = long[owner]
+    linked[first] = False
+    edits, before, after = edits_between(text, at, source_at, linked)
+    before[first], after[last] = left_same, right_same
+    total = np.concatenate([[0], np.cumsum(edits)])
+    whole = long & (1 - (total[edges[1:]] - total[first] + left_edits + right_edits) / np.maximum(words, 1) >= similarity)
+    runs = []
+    for i in np.flatnonzero(long & ~whole).tolist():
+        x, y = int(edges[i]), int(edges[i + 1])
+        runs += [(i, x + low, x + high) for low, high in longest_runs(at[x:y], before[x:y], after[x:y], edits[x:y], similarity)]
+    of, low, high = np.array(runs, np.int64).reshape(-1, 3).T
+    (wide, wide_edits, _), (further, further_edits, _) = ends(low, high, of)
+    length = at[high] + K - at[low] + wide + further
+    enough = 1 - (total[high + 1] - total[low + 1] + wide_edits + further_edits) / np.maximum(length, 1) >= similarity
+    starts = at[low] - np.where(enough, np.maximum(before[low], wide), before[low])
+    stops = at[high] + K + np.where(enough, np.maximum(after[high], further), after[high])
+    chosen = np.flatnonzero(whole)
+    return np.concatenate([chosen, of]), np.concatenate([(at[first] - left)[chosen], starts]), np.concatenate([(at[last] + K + right)[chosen], stops])
 
 
 def stretches(chains: DataFrame, key: str, at: str) -> DataFrame:
@@ -374,17 +505,19 @@ def aligned(chains: DataFrame, sequences: DataFrame, similarity: float) -> DataF
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                text, base = [b"", b""], [None, None]
-                for side, stretch, part in zip(row["side"], row["stretch"], row["part"]):
-                    base[side] = stretch * STRETCH if base[side] is None else base[side]
-                    text[side] += part
-                a, b = (np.frombuffer(t, "<u2") for t in text)
-                for start, stop in similar_parts(a, b, [x - base[0] for x in row["at"]], [x - base[1] for x in row["source_at"]], similarity):
-                    rows.append((row["doc_key"], row["source_key"], base[0] + start, base[0] + stop))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["doc_key", "source_key", "start", "stop"])
+            for part in row_slices(batch):
+                (edges, at), (_, source_at), (cut, side), (_, stretch), (_, pieces) = (within(part.column(i)) for i in range(2, 7))
+                side, stretch, chain_of = side.to_numpy(), stretch.to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(edges))
+                ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset: pieces.offset + len(pieces) + 1].astype(np.int64)
+                text, ends = np.frombuffer(pieces.buffers()[2], np.uint8)[ends[0]: ends[-1]].view("<u2"), (ends - ends[0]) // 2
+                source = cut[:-1] + np.add.reduceat(side == 0, cut[:-1])
+                begin, middle, end = ends[cut[:-1]], ends[source], ends[cut[1:]]
+                base, source_base = begin - stretch[cut[:-1]] * STRETCH, middle - stretch[source] * STRETCH
+                owners, starts, stops = similar_pieces(
+                    text, (begin, middle, end), at.to_numpy() + base[chain_of], source_at.to_numpy() + source_base[chain_of], edges, similarity)
+                shift, owners = base[owners], pa.array(owners, pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(owners), part.column(1).take(owners), pa.array(starts - shift, pa.int32()), pa.array(stops - shift, pa.int32())], names=["doc_key", "source_key", "start", "stop"])
 
     return ready.mapInArrow(run, "doc_key long, source_key long, start int, stop int")
 

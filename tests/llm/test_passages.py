@@ -160,6 +160,60 @@ def test_parts_of_a_chain_are_the_longest_similar_runs():
         assert all(same[x:y].mean() > 0.5 for x, y in parts)
 
 
+def test_many_texts_are_winnowed_as_one_by_one():
+    rng = np.random.default_rng(10)
+    for _ in range(100):
+        edges = np.concatenate([[0], np.cumsum(rng.integers(0, 40, 6))])
+        words = rng.integers(0, rng.choice([5, 1 << 60]), edges[-1]).astype(np.uint64)
+        want = []
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            grams = passages.grams_of(words[a:b])
+            width = min(passages.WINDOW, len(grams))
+            want += sorted({a + i + int(grams[i: i + width].argmin()) for i in range(len(grams) - width + 1)}) if width else []
+        assert passages.winnow(words, edges)[1].tolist() == want
+
+
+def test_chains_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        lists, want = [], []
+        for pair in range(5):
+            n = int(rng.integers(1, 25))
+            at = np.sort(rng.choice(400, n, replace=False))
+            source_at = at + np.cumsum(rng.integers(0, 3, n)) if rng.random() < 0.6 else rng.permutation(at)
+            lists.append((at, source_at, np.full(n, pair)))
+            want += [(pair, at[c].tolist(), source_at[c].tolist()) for c in passages.chain(at, source_at) if len(c) > 1]
+        columns = [np.concatenate(c) for c in zip(*lists)]
+        mixed = rng.permutation(np.tile(np.arange(len(columns[0])), 2))
+        at, source_at, owner, edges = passages.chains_in(*[c[mixed] for c in columns])
+        assert sorted((int(o), at[a:b].tolist(), source_at[a:b].tolist()) for o, a, b in zip(owner, edges, edges[1:])) == sorted(want)
+
+
+def test_pieces_of_many_chains_are_those_of_each():
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        texts, bounds, ats, sources, sizes, want, start = [], [], [], [], [], [], 0
+        for i in range(8):
+            a = rng.integers(0, 4 if i % 4 == 0 else 60000, int(rng.integers(10, 200)))
+            keep = rng.random(len(a)) > rng.choice([0, 0.02, 0.1, 0.3])
+            b = np.concatenate([rng.integers(0, 60000, int(rng.integers(0, 20))), a[keep]])
+            places = np.flatnonzero(keep)
+            seeds = [(k, int(len(b) - len(places) + np.searchsorted(places, k))) for k in range(0, len(a) - passages.K, int(rng.integers(1, 12))) if keep[k: k + passages.K].all()]
+            if len(seeds) < 2:
+                continue
+            at, source_at = (np.array(x) for x in zip(*seeds))
+            parts = passages.similar_parts(a, b, at.tolist(), source_at.tolist(), 0.8)
+            want += [(len(bounds), start + x, start + y) for x, y in parts]
+            bounds.append((start, start + len(a), start + len(a) + len(b)))
+            ats.append(at + start)
+            sources.append(source_at + start + len(a))
+            sizes.append(len(at))
+            texts += [a, b]
+            start += len(a) + len(b)
+        got = passages.similar_pieces(np.concatenate(texts), np.array(bounds).T, np.concatenate(ats), np.concatenate(sources), np.concatenate([[0], np.cumsum(sizes)]), 0.8)
+        assert sorted(zip(*[x.tolist() for x in got])) == sorted(want)
+
+
 def test_short_common_runs_are_left_alone(spark):
     rng = random.Random(7)
     line = " ".join(f"common{i}" for i in range(30))
