@@ -1222,7 +1222,8 @@ def csv_export_written(spark, sf):
 @query
 def page_extract(spark, sf):
     """Everything a property page holds; lists as text."""
-    pages = html_pages.extract_pages(view(spark, sf, "property_page"))
+    # One small file of customers makes a page for each of them, so these lie in one partition.
+    pages = html_pages.extract_pages(view(spark, sf, "property_page"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     sale = lambda s: F.concat_ws("|", s["date_sold"], s["price"], s["price_change_pct"], s["property_type"], s["tenure"])
     return pages.select(
         "page_id", "url", "address", "postcode", "property_type", "bedrooms", "bathrooms",

@@ -150,13 +150,17 @@ def _first_number(terms: str, word: str):
     return F.coalesce(F.get(F.reverse(F.filter(digits, lambda d: d.isNotNull())), 0), F.lit(0))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """Property records of pages (page_id, url, html); pages without any drop out.
 
+    ``tasks`` spreads pages that come from few partitions over that many before they are
+    parsed; without it they are parsed where they are read.
+
     Sales come from the first table: date, change, price, then type and tenure
     with five columns, or tenure alone with four.
     """
-    raw = pages.select("page_id", "url", "html").mapInPandas(
+    read = pages.select("page_id", "url", "html")
+    raw = (read.repartition(tasks, "page_id") if tasks else read).mapInPandas(
         _parse_batches, f"page_id bigint, url string, {RAW_SCHEMA}"
     )
     wide = F.size(F.get("table_rows", 0)) >= 5

@@ -136,6 +136,15 @@ PAGE = """<html><body><h1> 10 <b>High</b> Street, SW20 8NE</h1>
 <script>var h = "<h1>no</h1>";</script></body></html>"""
 
 
+def test_pages_are_the_same_however_they_are_spread(spark):
+    rows = [(i, "u", PAGE if i % 3 else None) for i in range(40)] + [(None, "v", PAGE)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    spread = html_pages.extract_pages(df, 4)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, html_pages.extract_pages(df).collect()))
+    empty = spark.createDataFrame([], df.schema)
+    assert html_pages.extract_pages(empty, 4).count() == 0
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, "v", "<p>nothing</p>"), (3, "w", None)], "page_id bigint, url string, html string")
     rows = html_pages.extract_pages(df).collect()
