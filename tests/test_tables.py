@@ -146,3 +146,26 @@ def test_late_rows_are_dropped_and_state_is_let_go(spark):
     nothing = jobs.replay(jobs.in_turns(df.limit(0).withColumn("v", F.lit(1.0)), "turn"),
                           lambda s: jobs.period_totals(s, "ts", "v", "1 day", "1 day"), ["period_start"], "none")
     assert nothing.count() == 0
+
+
+def test_a_large_part_is_written_by_many_tasks(spark):
+    rows = spark.range(20000).select("id", F.col("id").alias("property_id"), F.sha2(F.col("id").cast("string"), 256).alias("price"))
+    fields = schemas.sale_schema()
+    sales = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    store = new_store(spark)
+    staged = materialise(sales.repartition(8), "sales")
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(advised, "64k")
+    try:
+        store.load(sale=staged)
+        now = store.snapshot()
+        change = store.begin()
+        fresh = materialise(sales.where("id < 10").withColumn("price", F.lit("new")), "fresh")
+        change.replace(jobs.SALE, change.touched(jobs.SALE, fresh).unionByName(fresh))
+        change.commit()
+    finally:
+        spark.conf.unset(advised)
+    assert now.tables[jobs.SALE].parts == 1 and now.tables[jobs.SALE].files[0].rows == 20000
+    assert len(now.read(jobs.SALE).inputFiles()) > 1
+    assert sorted(r["price"] for r in now.read(jobs.SALE).collect()) == sorted(r["price"] for r in rows.collect())
+    assert store.snapshot().read(jobs.SALE).count() == 20010
