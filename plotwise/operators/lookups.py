@@ -153,6 +153,37 @@ def _texts(df: DataFrame, ident: str, name: str) -> DataFrame:
 
 
 OPENING = 12
+#: Numbers of 64 bits in the map of openings: a fixed size whatever the tables hold.
+MAP_WORDS = 2**20
+
+
+def _opening_bits(postcode: str, opening: str) -> tuple[Column, Column]:
+    """The two bits of the map that an opening in a postcode sets."""
+    hashed = F.xxhash64(postcode, opening)
+    bits = F.lit(64 * MAP_WORDS)
+    return F.pmod(hashed, bits), F.pmod(F.shiftrightunsigned(hashed, 32), bits)
+
+
+def _opening_map(texts: DataFrame) -> Column:
+    """Bits of the openings of ``texts``, as one array that every task looks up.
+
+    It only thins out places before they travel: a bit may also be set by another opening.
+    """
+    keys = texts.select("_pc", F.substring("_text", 1, OPENING).alias("_opening"))
+    bits = keys.select(F.explode(F.array(*_opening_bits("_pc", "_opening"))).alias("_bit"))
+    words = bits.groupBy(F.shiftright("_bit", 6).alias("id")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")).alias("_word"))
+    whole = texts.sparkSession.range(MAP_WORDS).join(words, "id", "left").select("id", F.coalesce("_word", F.lit(0).cast("bigint")).alias("_word"))
+    ordered = F.sort_array(F.collect_list(F.struct("id", "_word")))
+    return whole.agg(F.transform(ordered, lambda w: w["_word"])).scalar()
+
+
+def _may_open(known: Column, postcode: str, opening: str) -> Column:
+    """Whether the map has an opening; never false for one that was put in."""
+    first, second = (
+        F.getbit(F.get(known, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+        for bit in _opening_bits(postcode, opening))
+    return first & second
 
 
 def _parts(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
@@ -160,7 +191,8 @@ def _parts(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
 
     A place in a text counts only where it shows the opening characters of such an
     address; there the substrings of the lengths of those addresses are listed.
-    Shorter addresses are their own opening, so nothing is missed.
+    Shorter addresses are their own opening, so nothing is missed. Most places show
+    none and are dropped where they arise, by the map of openings.
     """
     openings = others.groupBy("_pc", F.substring("_text", 1, OPENING).alias("_opening")).agg(
         F.collect_set(F.length("_text")).alias("_lengths")
@@ -171,6 +203,7 @@ def _parts(df: DataFrame, name: str, others: DataFrame) -> DataFrame:
     places = (
         df.join(sizes, "_pc").withColumn("_n", F.explode(fitting)).withColumn("_at", starts)
         .withColumn("_opening", F.col("_text").substr(F.col("_at"), F.col("_n")))
+        .where(_may_open(_opening_map(others), "_pc", "_opening"))
         .join(openings, ["_pc", "_opening"])
     )
     within = F.filter("_lengths", lambda n: F.col("_at") + n - 1 <= F.length("_text"))

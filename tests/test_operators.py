@@ -1,4 +1,5 @@
 import random
+import re
 import statistics
 from datetime import datetime, timedelta
 
@@ -333,3 +334,31 @@ def test_work_lists(spark):
     assert [r["postcode"] for r in ordered.collect()] == ["SW20 8NE", "E1 6AA"]
     done = spark.createDataFrame([("E1 6AA",)], "postcode string")
     assert [r["postcode"] for r in upsert.not_done(ordered, done).collect()] == ["SW20 8NE"]
+
+
+def test_only_places_that_may_open_an_address_travel(spark):
+    rng = random.Random(5)
+    names = [f"{rng.randrange(1, 400)}{rng.choice(['', 'a', ' '])} {rng.choice(['High Street', 'Mill', 'Church Road, Flat 2'])}" for _ in range(150)]
+    props = [(i, f"P{i % 3}", n) for i, n in enumerate(names)]
+    certs = [(i, f"P{i % 4}", rng.choice(["", "Flat 1, "]) + rng.choice(names) + rng.choice(["", ", Annexe"])) for i in range(300)]
+    p = spark.createDataFrame([*props, (900, "P0", None), (901, None, "Mill")], "id bigint, postcode string, address string")
+    c = spark.createDataFrame([*certs, (900, "P0", None), (901, None, "Mill")], "seq bigint, postcode string, address string")
+
+    def start(address):
+        m = re.match(r"^(\d+)\s*(\S+)", address)
+        return m and m.groups()
+
+    wanted = {}
+    for seq, at, cert in certs:
+        a = cert.strip().upper()
+        near = [i for i, pc, n in props if pc == at and ((b := n.strip().upper()) in a or a in b or (start(a) and start(a) == start(b)))]
+        if near:
+            wanted[seq] = min(near)
+    assert {r["seq"]: r["property_id"] for r in lookups.match_epc_by_containment(p, c).collect()} == wanted
+    texts = lookups._texts(p, "id", "p_id")
+    places = texts.select("_pc", "_text", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_at")).withColumn(
+        "_opening", F.substring("_text", F.col("_at"), F.lit(lookups.OPENING)))
+    kept = places.where(lookups._may_open(lookups._opening_map(texts), "_pc", "_opening")).collect()
+    opens = {(r["_pc"], r["_text"][: lookups.OPENING]) for r in texts.collect()}
+    assert {(r["_pc"], r["_opening"]) for r in kept if r["_at"] == 1} == opens
+    assert len(kept) < places.count() / 5
