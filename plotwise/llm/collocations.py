@@ -55,7 +55,7 @@ ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 def chunks(words: list[bytes], overlap: int) -> list[tuple[int, bytes]]:
     """(words that start in it, words) of each chunk of a piece."""
     n, start, out = len(words), 0, []
-    for cut in [i for i, w in enumerate(words) if not crc32(w) % EVERY] + [n]:
+    for cut in [i for i, h in enumerate(map(crc32, words)) if not h % EVERY] + [n]:
         while cut - start > WIDEST:
             out.append((WIDEST, b" ".join(words[start: start + WIDEST + overlap])))
             start += WIDEST
@@ -140,6 +140,16 @@ def distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
 
 
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sum of the values of each."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(values, starts)
+
+
 class Places:
     """The places of all words of a batch of chunks, one after another.
 
@@ -201,8 +211,7 @@ class Places:
         places = np.flatnonzero(self.own)
         found, inverse = distinct(self.numbers[places], len(self.word_of))
         total = self.sums(inverse, places, len(found))
-        for x, w, n in zip(self.lang_of[found].tolist(), self.word_of[found].tolist(), total.tolist()):
-            yield self.langs[x], self.words[w], n
+        yield from zip(map(self.langs.__getitem__, self.lang_of[found].tolist()), map(self.words.__getitem__, self.word_of[found].tolist()), total.tolist())
 
     def phrases_found(self, maps: list[np.ndarray]) -> Iterator[tuple[str, bytes, int]]:
         """(language, phrase, occurrences) of phrases of two words and more, told apart by their words."""
@@ -218,11 +227,10 @@ class Places:
             total = self.sums(inverse, counted, len(numbers))
             parts = []
             for parent, word in reversed(levels):
-                parts.append([self.words[w] for w in word[numbers].tolist()])
+                parts.append(map(self.words.__getitem__, word[numbers].tolist()))
                 numbers = parent[numbers]
-            parts.append([self.words[w] for w in self.word_of[numbers].tolist()])
-            for x, n, *phrase in zip(self.lang_of[numbers].tolist(), total.tolist(), *reversed(parts)):
-                yield self.langs[x], b" ".join(phrase), n
+            parts.append(map(self.words.__getitem__, self.word_of[numbers].tolist()))
+            yield from zip(map(self.langs.__getitem__, self.lang_of[numbers].tolist()), map(b" ".join, zip(*reversed(parts))), total.tolist())
 
 
 def count_spelled(parsed: DataFrame, maps: list[np.ndarray] | None, least: int) -> DataFrame:
@@ -263,8 +271,7 @@ def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataF
             places = Places(batch)
             hashes, may = places.candidates(shared.value)[-1]
             at = np.flatnonzero(may & places.own)
-            found, inverse = np.unique(hashes[at], return_inverse=True)
-            total = places.sums(inverse, at, len(found))
+            found, total = summed(hashes[at], places.times[at])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["hash", "a"])
 
     parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "hash long, a long")

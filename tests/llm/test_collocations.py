@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from plotwise.llm import collocations
@@ -103,3 +104,10 @@ def test_given_table(spark):
     names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     wanted = con.sql(ORACLE["op11_collocations"]).df()[names]
     assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(wanted.itertuples(index=False, name=None)) and len(rows) > 1000
+
+
+def test_hashes_of_a_batch_are_summed():
+    keys = np.array([5, 2**64 - 1, 5, 0, 2**63], np.uint64)
+    found, total = collocations.summed(keys, np.array([1, 2, 3, 4, 2**40]))
+    assert found.tolist() == [0, 5, 2**63, 2**64 - 1] and total.tolist() == [4, 4, 2**40, 2]
+    assert [len(x) for x in collocations.summed(keys[:0], np.array([], np.int64))] == [0, 0]
