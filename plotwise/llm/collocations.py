@@ -40,7 +40,7 @@ EVERY, WIDEST = 12, 200
 #: Bytes of distinct chunks or phrases gathered in a task before they are handed on.
 HELD = 24_000_000
 #: Bytes of chunks that are looked at together.
-TOGETHER = 4_000_000
+TOGETHER = 8_000_000
 #: Bits of the map of phrases that reached the bound, and of one row of it.
 SLOTS, ROW = 2**26, 32_768
 #: Copies of the counts that a join by parts of phrases is spread over.
