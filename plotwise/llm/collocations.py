@@ -1,9 +1,10 @@
 """Phrases whose words occur together, counted on a prefix-free parse of the corpus.
 
-Texts are cut into pieces at punctuation and line ends, pieces into words. Each piece is
-parsed into chunks: a word whose hash leaves 0 when divided by ``EVERY`` triggers a new chunk,
-and every chunk reaches ``longest - 1`` words into the next one. Where chunks begin depends on
-the words alone, so a passage that repeats is parsed alike everywhere and the dictionary of
+Texts are cut into pieces at punctuation and line ends, pieces into words. Each text is parsed
+into chunks: a word whose hash leaves 0 when divided by ``EVERY`` triggers a new chunk, and
+every chunk reaches ``longest - 1`` words into the next one, but not into another piece. Ends
+of pieces stand in the chunks as marks that no phrase spans. Where chunks begin depends on the
+words alone, so a passage that repeats is parsed alike everywhere and the dictionary of
 distinct chunks with their frequencies keeps it once. All counting is done on the dictionary:
 an n-gram of a chunk counts as often as the chunk occurs, and one that starts in the overlap
 belongs to the next chunk only, so each occurrence is counted once.
@@ -13,7 +14,8 @@ first, then pairs of words that passed, then longer phrases whose parts passed,
 64-bit hash; which have passed is kept in a bitmap of ``SLOTS`` bits, a fixed size whatever
 the corpus holds. Phrases that share a hash or a slot pass together, which costs work and
 changes nothing: a last pass spells out the phrases whose parts all passed and counts them
-by their words.
+by their words. Hashes are dealt to buckets by their first bits and shuffled as arrays, one row
+for each bucket of a task, as a row for each hash costs Spark more than the counting itself.
 
 Languages are counted apart; a null one is ``und``. Null and empty texts have no words. Extra
 columns are ignored and repeated rows count as often as they occur.
@@ -39,6 +41,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 EVERY, WIDEST = 12, 200
 #: Bytes of distinct chunks or phrases gathered in a task before they are handed on.
 HELD = 24_000_000
+#: Bytes of a text that are split into words together, and on to the end of the piece.
+SPAN = 1_000_000
 #: Bytes of chunks that are looked at together.
 TOGETHER = 8_000_000
 #: Bits of the map of phrases that reached the bound, and of one row of it.
@@ -48,50 +52,64 @@ SALTS = 16
 #: A phrase goes if a longer one around it occurs at least this often for each 100 of its own.
 COVERED = 80
 
-#: Piece ends become line ends.
-ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+#: Buckets of hashes for each part of the dictionary.
+BUCKETS = 8
+
+#: Stands for the end of a piece; no word holds it.
+END = b"."
+ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", END * 9)
+
+
+def tokens(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text in lower case, with END between pieces; of a long text those of whole pieces at a time."""
+    # bytes.lower() touches A-Z only.
+    text, start = text.lower().translate(ENDS), 0
+    while start < len(text):
+        stop = text.find(END, start + SPAN) + 1 or len(text)
+        yield text[start:stop].replace(END, b" " + END + b" ").split()
+        start = stop
 
 
 def chunks(words: list[bytes], overlap: int) -> list[tuple[int, bytes]]:
-    """(words that start in it, words) of each chunk of a piece."""
-    n, start, out = len(words), 0, []
-    for cut in [i for i, h in enumerate(map(crc32, words)) if not h % EVERY] + [n]:
-        while cut - start > WIDEST:
-            out.append((WIDEST, b" ".join(words[start: start + WIDEST + overlap])))
-            start += WIDEST
-        if cut > start:
-            out.append((cut - start, b" ".join(words[start: cut + overlap])))
+    """(words that start in it, words and ends of pieces) of each chunk of a text."""
+    start, out = 0, []
+    for trigger in [i for i, h in enumerate(map(crc32, words)) if not h % EVERY] + [len(words)]:
+        while start < trigger:
+            cut = min(trigger, start + WIDEST)
+            inside = words[start:cut]
+            own = cut - start - inside.count(END)
+            if inside[-1] != END:
+                following = words[cut: cut + overlap]
+                inside += following[: following.index(END)] if END in following else following
+            if own:
+                out.append((own, b" ".join(inside)))
             start = cut
     return out
 
 
 def dictionary(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, own, chunk, times: distinct chunks, the words that start in them, and how often they occur."""
-    def emit(found: dict) -> pa.RecordBatch:
-        columns = [[k[i] for k in found] for i in range(3)]
-        arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()).cast(pa.string()),
-                  pa.array(list(found.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "own", "chunk", "times"])
+    def emit(langs: list, owns: list, found: list) -> Iterator[pa.RecordBatch]:
+        arrays = [pa.array(langs, pa.string()), pa.array(owns, pa.int32()), pa.array(found, pa.binary()).cast(pa.string())]
+        same = pa.table(arrays, names=["lang", "own", "chunk"]).group_by(["lang", "own", "chunk"]).aggregate([([], "count_all")])
+        yield from same.rename_columns(["lang", "own", "chunk", "times"]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, int] = {}
-        held = 0
+        langs, owns, found, held = [], [], [], 0
         for batch in batches:
-            for a, b, texts in slices(batch.column(1)):
+            for a, b, texts in slices(batch.column(1).cast(pa.binary())):
                 for name, content in zip(batch.column(0).slice(a, b - a).to_pylist(), texts):
-                    # bytes.lower() touches A-Z only.
-                    for piece in (content or "").encode().lower().translate(ENDS).split(b"\n"):
-                        for own, chunk in chunks(piece.split(), longest - 1):
-                            key = name, own, chunk
-                            if key in found:
-                                found[key] += 1
-                            else:
-                                found[key] = 1
-                                held += len(chunk) + 64
-                    if held >= HELD:
-                        yield emit(found)
-                        found, held = {}, 0
-        yield emit(found)
+                    for words in tokens(content or b""):
+                        for own, chunk in chunks(words, longest - 1):
+                            langs.append(name)
+                            owns.append(own)
+                            found.append(chunk)
+                            held += len(chunk) + 64
+                        if held >= HELD:
+                            yield from emit(langs, owns, found)
+                            langs, owns, found, held = [], [], [], 0
+        if found:
+            yield from emit(langs, owns, found)
 
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     parts = read.mapInArrow(run, "lang string, own int, chunk string, times long")
@@ -151,24 +169,30 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Places:
-    """The places of all words of a batch of chunks, one after another.
+    """The places of all words and ends of pieces of a batch of chunks, one after another.
 
-    ``numbers`` tells apart the pairs of language and word; ``own`` holds for places that
-    count, ``last`` for the last words of chunks.
+    ``numbers`` tells apart the pairs of language and word; ``word`` holds for places of words,
+    ``own`` for those that count, ``last`` for the last words of chunks.
     """
 
     def __init__(self, batch: pa.RecordBatch):
         lists = pc.split_pattern(batch.column(2), " ")
         coded = lists.values.dictionary_encode()
+        self.dictionary = coded.dictionary
         self.words = coded.dictionary.cast(pa.binary()).to_pylist()
         self.code = coded.indices.to_numpy().astype(np.int64)
-        sizes = np.diff(lists.offsets.to_numpy())
+        offsets = lists.offsets.to_numpy()
+        sizes = np.diff(offsets)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.own = place < batch.column(1).to_numpy()[row]
-        self.last = place == sizes[row] - 1
+        self.word = self.code != (self.words.index(END) if END in self.words else -1)
+        before = np.append(0, np.cumsum(self.word))
+        # The first words of a chunk, as many as it has of its own, count.
+        self.own = self.word & (before[:-1] < (before[offsets[:-1]] + batch.column(1).to_numpy())[row])
+        self.last = np.zeros(len(row), bool)
+        self.last[offsets[1:] - 1] = True
         self.times = batch.column(3).to_numpy()[row]
         langs = batch.column(0).dictionary_encode()
+        self.lang_names = langs.dictionary
         self.langs = langs.dictionary.to_pylist()
         pairs = langs.indices.to_numpy().astype(np.int64)[row] * len(self.words) + self.code
         pairs, self.numbers = distinct(pairs, len(self.langs) * len(self.words))
@@ -186,7 +210,7 @@ class Places:
         One size more than there are bitmaps: both parts of these have passed.
         """
         single = hashes = self.word_hashes()
-        may = np.ones(len(hashes), bool)
+        may = self.word
         out = []
         for size, passed in enumerate(maps, 1):
             good = may.copy()
@@ -207,14 +231,20 @@ class Places:
         np.add.at(total, inverse, self.times[places])
         return total
 
-    def words_found(self) -> Iterator[tuple[str, bytes, int]]:
+    def spelled(self, langs: np.ndarray, words: list[np.ndarray], total: np.ndarray) -> pa.Table:
+        """lang, phrase, a: phrases with their words given by place."""
+        parts = [self.dictionary.take(pa.array(x)) for x in words]
+        phrase = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
+        return pa.table([self.lang_names.take(pa.array(langs)), phrase, pa.array(total)], names=["lang", "phrase", "a"])
+
+    def words_found(self) -> Iterator[pa.Table]:
         places = np.flatnonzero(self.own)
         found, inverse = distinct(self.numbers[places], len(self.word_of))
         total = self.sums(inverse, places, len(found))
-        yield from zip(map(self.langs.__getitem__, self.lang_of[found].tolist()), map(self.words.__getitem__, self.word_of[found].tolist()), total.tolist())
+        yield self.spelled(self.lang_of[found], [self.word_of[found]], total)
 
-    def phrases_found(self, maps: list[np.ndarray]) -> Iterator[tuple[str, bytes, int]]:
-        """(language, phrase, occurrences) of phrases of two words and more, told apart by their words."""
+    def phrases_found(self, maps: list[np.ndarray]) -> Iterator[pa.Table]:
+        """Phrases of two words and more, told apart by their words."""
         at, levels = self.numbers, []
         for size, (_, good) in enumerate(self.candidates(maps)[1:], 1):
             places = np.flatnonzero(good)
@@ -227,36 +257,31 @@ class Places:
             total = self.sums(inverse, counted, len(numbers))
             parts = []
             for parent, word in reversed(levels):
-                parts.append(map(self.words.__getitem__, word[numbers].tolist()))
+                parts.append(word[numbers])
                 numbers = parent[numbers]
-            parts.append(map(self.words.__getitem__, self.word_of[numbers].tolist()))
-            yield from zip(map(self.langs.__getitem__, self.lang_of[numbers].tolist()), map(b" ".join, zip(*reversed(parts))), total.tolist())
+            yield self.spelled(self.lang_of[numbers], [self.word_of[numbers], *reversed(parts)], total)
 
 
 def count_spelled(parsed: DataFrame, maps: list[np.ndarray] | None, least: int) -> DataFrame:
     """lang, phrase, a: words (without ``maps``) or longer phrases with at least ``least`` occurrences."""
     shared = parsed.sparkSession.sparkContext.broadcast(maps) if maps is not None else None
 
-    def emit(counts: dict) -> pa.RecordBatch:
-        arrays = [pa.array([x for x, _ in counts], pa.string()), pa.array([p for _, p in counts], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "a"])
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
+        return sums.rename_columns(["lang", "phrase", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, int] = {}
-        held = 0
+        kept: list[pa.Table] = []
         for batch in gathered(batches):
             places = Places(batch)
-            for lang, phrase, total in places.phrases_found(shared.value) if shared else places.words_found():
-                key = lang, phrase
-                if key in counts:
-                    counts[key] += total
-                else:
-                    counts[key] = total
-                    held += len(phrase) + 64
-            if held >= HELD:
-                yield emit(counts)
-                counts, held = {}, 0
-        yield emit(counts)
+            kept += places.phrases_found(shared.value) if shared else places.words_found()
+            if sum(t.nbytes for t in kept) >= HELD:
+                kept = [merged(kept)]
+                if 2 * kept[0].nbytes >= HELD:
+                    yield from kept[0].to_batches()
+                    kept = []
+        if kept:
+            yield from merged(kept).to_batches()
 
     parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, phrase string, a long")
     return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
@@ -265,17 +290,38 @@ def count_spelled(parsed: DataFrame, maps: list[np.ndarray] | None, least: int)
 def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataFrame:
     """hash: of phrases one word longer than there are ``maps``, whose parts passed, that occur ``least`` times together."""
     shared = parsed.sparkSession.sparkContext.broadcast(maps)
+    buckets = BUCKETS * parsed.rdd.getNumPartitions()
+
+    def dealt(found: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket, a range of hashes, that some of the sorted hashes fall into."""
+        of = ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        offsets = pa.py_buffer((np.append(starts, len(of)) * 8).astype(np.int32))
+        columns = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(x)]) for x in (found, total)]
+        yield pa.RecordBatch.from_arrays([pa.array(of[starts]), *columns], names=["bucket", "hashes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
         for batch in gathered(batches):
             places = Places(batch)
             hashes, may = places.candidates(shared.value)[-1]
             at = np.flatnonzero(may & places.own)
-            found, total = summed(hashes[at], places.times[at])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], names=["hash", "a"])
-
-    parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "hash long, a long")
-    return parts.groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("hash")
+            if len(at):
+                kept.append((hashes[at], places.times[at]))
+                held += 16 * len(at)
+            if held >= HELD:
+                yield from dealt(*summed(*map(np.concatenate, zip(*kept))))
+                kept, held = [], 0
+        if kept:
+            yield from dealt(*summed(*map(np.concatenate, zip(*kept))))
+
+    def enough(bucket: pa.Table) -> pa.Table:
+        columns = [np.frombuffer(b"".join(bucket.column(name).to_pylist()), kind) for name, kind in (("hashes", np.uint64), ("counts", np.int64))]
+        found, total = summed(*columns)
+        return pa.table([pa.array(found[total >= least].view(np.int64))], names=["hash"])
+
+    parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "bucket int, hashes binary, counts binary")
+    return parts.groupBy("bucket").applyInArrow(enough, "hash long")
 
 
 # ---- scoring ---------------------------------------------------------------

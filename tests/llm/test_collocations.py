@@ -111,3 +111,44 @@ def test_hashes_of_a_batch_are_summed():
     found, total = collocations.summed(keys, np.array([1, 2, 3, 4, 2**40]))
     assert found.tolist() == [0, 5, 2**63, 2**64 - 1] and total.tolist() == [4, 4, 2**40, 2]
     assert [len(x) for x in collocations.summed(keys[:0], np.array([], np.int64))] == [0, 0]
+
+
+def test_a_chunk_holds_many_pieces(spark, monkeypatch):
+    """Pieces are shorter than chunks: a row for each piece made twice as many rows to count."""
+    monkeypatch.setattr(collocations, "EVERY", 2**40)
+    docs = spark.createDataFrame([("A b, c! d\n" * 20, "en"), ("A b, c! d\n" * 20, "en"), ("...", "en"), (None, "en")], "text string, lang string")
+    assert [tuple(r) for r in collocations.dictionary(docs).collect()] == [("en", 80, " ".join(["a b . c . d ."] * 20), 2)]
+
+
+def test_chunks_end_with_their_piece():
+    words = [b"a", b"b", b".", b".", b"c", b"d"]
+    for widest, wanted in ((2, [(2, b"a b"), (2, b"c d")]), (4, [(2, b"a b . ."), (2, b"c d")]), (1, [(1, b"a b"), (1, b"b"), (1, b"c d"), (1, b"d")])):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(collocations, "EVERY", 2**40)
+            patch.setattr(collocations, "WIDEST", widest)
+            assert collocations.chunks(words, 3) == wanted
+
+
+@pytest.mark.parametrize("span, buckets, held", [(1, 1, 200), (40, 3, 10_000), (10**6, 50, 10**6)])
+def test_spans_and_buckets_change_nothing(spark, monkeypatch, span, buckets, held):
+    for name, value in (("SPAN", span), ("BUCKETS", buckets), ("HELD", held)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = some_rows(buckets)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert found(docs, least=3, top=100) == expected(rows, 3, 100)
+
+
+def test_hashes_are_shuffled_as_arrays(spark):
+    """A row for each hash took most of the time of the JVM."""
+    docs = spark.createDataFrame(some_rows(3), "text string, lang string")
+    parsed = collocations.dictionary(docs).localCheckpoint()
+    everything = np.full(collocations.SLOTS // 8, 255, np.uint8)
+    hashed = collocations.count_hashed(parsed, [everything], 3)
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert "hashes" in plan and "Aggregate" not in plan
+    pairs = Counter()
+    for text, lang in some_rows(3):
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            pairs.update((lang or "und", *p) for p in zip(w, w[1:]))
+    assert hashed.distinct().count() == hashed.count() == sum(n >= 3 for n in pairs.values())
