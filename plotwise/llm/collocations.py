@@ -73,7 +73,8 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
 def chunks(words: list[bytes], overlap: int) -> list[tuple[int, bytes]]:
     """(words that start in it, words and ends of pieces) of each chunk of a text."""
     start, out = 0, []
-    for trigger in [i for i, h in enumerate(map(crc32, words)) if not h % EVERY] + [len(words)]:
+    hashes = np.fromiter(map(crc32, words), np.int64, len(words))
+    for trigger in [*np.flatnonzero(hashes % EVERY == 0).tolist(), len(words)]:
         while start < trigger:
             cut = min(trigger, start + WIDEST)
             inside = words[start:cut]
@@ -89,27 +90,26 @@ def chunks(words: list[bytes], overlap: int) -> list[tuple[int, bytes]]:
 
 def dictionary(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, own, chunk, times: distinct chunks, the words that start in them, and how often they occur."""
-    def emit(langs: list, owns: list, found: list) -> Iterator[pa.RecordBatch]:
-        arrays = [pa.array(langs, pa.string()), pa.array(owns, pa.int32()), pa.array(found, pa.binary()).cast(pa.string())]
+    def emit(langs: list, found: list) -> Iterator[pa.RecordBatch]:
+        arrays = [pa.array(langs, pa.string()), pa.array([own for own, _ in found], pa.int32()), pa.array([chunk for _, chunk in found], pa.binary()).cast(pa.string())]
         same = pa.table(arrays, names=["lang", "own", "chunk"]).group_by(["lang", "own", "chunk"]).aggregate([([], "count_all")])
         yield from same.rename_columns(["lang", "own", "chunk", "times"]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, owns, found, held = [], [], [], 0
+        langs, found, held = [], [], 0
         for batch in batches:
             for a, b, texts in slices(batch.column(1).cast(pa.binary())):
                 for name, content in zip(batch.column(0).slice(a, b - a).to_pylist(), texts):
                     for words in tokens(content or b""):
-                        for own, chunk in chunks(words, longest - 1):
-                            langs.append(name)
-                            owns.append(own)
-                            found.append(chunk)
-                            held += len(chunk) + 64
+                        made = chunks(words, longest - 1)
+                        langs += [name] * len(made)
+                        found += made
+                        held += sum(len(chunk) + 64 for _, chunk in made)
                         if held >= HELD:
-                            yield from emit(langs, owns, found)
-                            langs, owns, found, held = [], [], [], 0
+                            yield from emit(langs, found)
+                            langs, found, held = [], [], 0
         if found:
-            yield from emit(langs, owns, found)
+            yield from emit(langs, found)
 
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     parts = read.mapInArrow(run, "lang string, own int, chunk string, times long")
@@ -179,12 +179,11 @@ class Places:
         lists = pc.split_pattern(batch.column(2), " ")
         coded = lists.values.dictionary_encode()
         self.dictionary = coded.dictionary
-        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
         self.code = coded.indices.to_numpy().astype(np.int64)
         offsets = lists.offsets.to_numpy()
         sizes = np.diff(offsets)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        self.word = self.code != (self.words.index(END) if END in self.words else -1)
+        self.word = self.code != pc.index(self.dictionary, END.decode()).as_py()
         before = np.append(0, np.cumsum(self.word))
         # The first words of a chunk, as many as it has of its own, count.
         self.own = self.word & (before[:-1] < (before[offsets[:-1]] + batch.column(1).to_numpy())[row])
@@ -193,16 +192,15 @@ class Places:
         self.times = batch.column(3).to_numpy()[row]
         langs = batch.column(0).dictionary_encode()
         self.lang_names = langs.dictionary
-        self.langs = langs.dictionary.to_pylist()
-        pairs = langs.indices.to_numpy().astype(np.int64)[row] * len(self.words) + self.code
-        pairs, self.numbers = distinct(pairs, len(self.langs) * len(self.words))
-        self.lang_of, self.word_of = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
+        pairs = langs.indices.to_numpy().astype(np.int64)[row] * len(self.dictionary) + self.code
+        pairs, self.numbers = distinct(pairs, len(self.lang_names) * len(self.dictionary))
+        self.lang_of, self.word_of = np.divmod(pairs, max(1, len(self.dictionary)))
 
     def word_hashes(self) -> np.ndarray:
-        """The hash of language and word that Spark's xxhash64 gives, for every place."""
-        seeds = [xxh64_intdigest(x.encode(), 42) for x in self.langs]
-        made = [xxh64_intdigest(self.words[w], seeds[x]) for x, w in zip(self.lang_of.tolist(), self.word_of.tolist())]
-        return np.array(made, np.uint64)[self.numbers]
+        """The hash of language and word for every place."""
+        seeds = np.array([xxh64_intdigest(x) for x in self.lang_names.to_pylist()], object)[self.lang_of]
+        words = self.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)[self.word_of]
+        return np.fromiter(map(xxh64_intdigest, words.tolist(), seeds.tolist()), np.uint64, len(words))[self.numbers]
 
     def candidates(self, maps: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(hash, whether it may reach the bound) of the phrase that starts at each place, for 1, 2, ... words.
@@ -237,23 +235,18 @@ class Places:
         phrase = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
         return pa.table([self.lang_names.take(pa.array(langs)), phrase, pa.array(total)], names=["lang", "phrase", "a"])
 
-    def words_found(self) -> Iterator[pa.Table]:
-        places = np.flatnonzero(self.own)
-        found, inverse = distinct(self.numbers[places], len(self.word_of))
-        total = self.sums(inverse, places, len(found))
-        yield self.spelled(self.lang_of[found], [self.word_of[found]], total)
-
     def phrases_found(self, maps: list[np.ndarray]) -> Iterator[pa.Table]:
-        """Phrases of two words and more, told apart by their words."""
+        """Words and longer phrases whose parts have passed, told apart by their words."""
         at, levels = self.numbers, []
-        for size, (_, good) in enumerate(self.candidates(maps)[1:], 1):
+        for size, (_, good) in enumerate(self.candidates(maps)):
             places = np.flatnonzero(good)
-            pairs, made = np.unique(at[places] * max(1, len(self.words)) + self.code[places + size], return_inverse=True)
-            levels.append((pairs // max(1, len(self.words)), pairs % max(1, len(self.words))))
-            at = np.full(len(self.code), -1)
-            at[places] = made
+            if size:
+                pairs, made = np.unique(at[places] * max(1, len(self.dictionary)) + self.code[places + size], return_inverse=True)
+                levels.append(np.divmod(pairs, max(1, len(self.dictionary))))
+                at = np.full(len(self.code), -1)
+                at[places] = made
             counted = places[self.own[places]]
-            numbers, inverse = distinct(at[counted], len(pairs))
+            numbers, inverse = distinct(at[counted], len(levels[-1][0]) if levels else len(self.word_of))
             total = self.sums(inverse, counted, len(numbers))
             parts = []
             for parent, word in reversed(levels):
@@ -262,9 +255,9 @@ class Places:
             yield self.spelled(self.lang_of[numbers], [self.word_of[numbers], *reversed(parts)], total)
 
 
-def count_spelled(parsed: DataFrame, maps: list[np.ndarray] | None, least: int) -> DataFrame:
-    """lang, phrase, a: words (without ``maps``) or longer phrases with at least ``least`` occurrences."""
-    shared = parsed.sparkSession.sparkContext.broadcast(maps) if maps is not None else None
+def count_spelled(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataFrame:
+    """lang, phrase, a: words and longer phrases with at least ``least`` occurrences."""
+    shared = parsed.sparkSession.sparkContext.broadcast(maps)
 
     def merged(tables: list[pa.Table]) -> pa.Table:
         sums = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
@@ -273,8 +266,7 @@ def count_spelled(parsed: DataFrame, maps: list[np.ndarray] | None, least: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table] = []
         for batch in gathered(batches):
-            places = Places(batch)
-            kept += places.phrases_found(shared.value) if shared else places.words_found()
+            kept += Places(batch).phrases_found(shared.value)
             if sum(t.nbytes for t in kept) >= HELD:
                 kept = [merged(kept)]
                 if 2 * kept[0].nbytes >= HELD:
@@ -349,12 +341,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     least COVERED percent of its occurrences is left out. Order: score and a descending, phrase.
     """
     parsed = materialise(dictionary(docs, longest, text, lang), "chunks")
-    single = materialise(count_spelled(parsed, None, least), "words")
-    maps = [passed_map(single.select(F.xxhash64("lang", "phrase").alias("hash")))]
+    maps: list[np.ndarray] = []
     while len(maps) < longest - 1:
         maps.append(passed_map(count_hashed(parsed, maps, least)))
-    longer = materialise(count_spelled(parsed, maps, least).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
-    counts = single.withColumn("size", F.lit(1)).unionByName(longer)
+    counts = materialise(count_spelled(parsed, maps, least).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
+    longer = counts.where("size > 1")
     words = F.split("phrase", " ")
 
     cuts = longer.select("lang", "phrase", "a", "size", words.alias("words"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
