@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from plotwise.llm.batches import slices
+from plotwise.llm.batches import release, slices
 from plotwise.session import materialise
 
 UNKNOWN = "und"
@@ -110,6 +110,8 @@ def dictionary(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang
                             langs, found, held = [], [], 0
         if found:
             yield from emit(langs, found)
+        batch = texts = words = made = langs = found = None
+        release()
 
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     parts = read.mapInArrow(run, "lang string, own int, chunk string, times long")
@@ -274,6 +276,8 @@ def count_spelled(parsed: DataFrame, maps: list[np.ndarray], least: int) -> Data
                     kept = []
         if kept:
             yield from merged(kept).to_batches()
+        batch = kept = None
+        release()
 
     parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, phrase string, a long")
     return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
@@ -306,6 +310,8 @@ def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataF
                 kept, held = [], 0
         if kept:
             yield from dealt(*summed(*map(np.concatenate, zip(*kept))))
+        batch = places = hashes = may = at = kept = None
+        release()
 
     def enough(bucket: pa.Table) -> pa.Table:
         columns = [np.frombuffer(b"".join(bucket.column(name).to_pylist()), kind) for name, kind in (("hashes", np.uint64), ("counts", np.int64))]
