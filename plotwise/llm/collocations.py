@@ -13,9 +13,11 @@ A phrase can only reach the bound if both phrases one word shorter have. So word
 first, then pairs of words that passed, then longer phrases whose parts passed, each by a
 64-bit hash; which have passed is kept in a bitmap of ``SLOTS`` bits, a fixed size whatever
 the corpus holds. Phrases that share a hash or a slot pass together, which costs work and
-changes nothing: a last pass spells out the phrases whose parts all passed and counts them
-by their words. Hashes are dealt to buckets by their first bits and shuffled as arrays, one row
-for each bucket of a task, as a row for each hash costs Spark more than the counting itself.
+changes nothing: a last count tells the phrases whose parts all passed apart by 128 bits. Only
+those that reach the bound are spelled out, each once, from one chunk that holds it: spelled out
+while they are counted, each would be written by every task that meets it, and these rows grow
+with tasks times phrases. Hashes are dealt to buckets by their first bits and shuffled as arrays, one
+row for each bucket of a task, as a row for each hash costs Spark more than the counting itself.
 
 Languages are counted apart; a null one is ``und``. Null and empty texts have no words. Extra
 columns are ignored and repeated rows count as often as they occur.
@@ -121,6 +123,8 @@ def dictionary(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang
 # ---- counting --------------------------------------------------------------
 
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Seed of the second 64 bits that tell phrases apart.
+OTHER = 0x94D049BB133111EB
 
 
 def passed_map(hashes: DataFrame) -> np.ndarray:
@@ -170,11 +174,48 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(values, starts)
 
 
+def summed_pairs(hashes: np.ndarray, others: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of hashes sorted by the first, the sum of the counts of each and one of its ids."""
+    if not len(hashes):
+        return hashes, others, counts, ids
+    order = np.argsort(hashes)
+    first, other = hashes[order], others[order]
+    if np.any((first[1:] == first[:-1]) & (other[1:] != other[:-1])):
+        # Phrases that share the first hash may lie mixed.
+        order = np.lexsort((others, hashes))
+        first, other = hashes[order], others[order]
+    starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (other[1:] != other[:-1])))
+    return first[starts], other[starts], np.add.reduceat(counts[order], starts), ids[order[starts]]
+
+
+def longer_hashes(hashes: np.ndarray, single: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the phrase of one word more at each place, from those of ``size`` words and of single words."""
+    following = np.zeros(len(single), np.uint64)
+    following[: max(0, len(single) - size)] = single[size:]
+    hashes = hashes * ODD + following
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def dealt(buckets: int, names: list[str], columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """A row for each bucket, a range of hashes, that some of the sorted hashes, the first column, fall into."""
+    of = ((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    ends = np.append(starts, len(of))
+    arrays = [pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in columns]
+    return pa.RecordBatch.from_arrays([pa.array(of[starts]), *arrays], names=["bucket", *names])
+
+
+def undealt(bucket: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
+    """Columns of all rows of a bucket, each joined to one array."""
+    return [np.frombuffer(b"".join(bucket.column(name).to_pylist()), kind) for name, kind in kinds.items()]
+
+
 class Places:
     """The places of all words and ends of pieces of a batch of chunks, one after another.
 
     ``numbers`` tells apart the pairs of language and word; ``word`` holds for places of words,
-    ``own`` for those that count, ``last`` for the last words of chunks.
+    ``own`` for those that count, ``last`` for the last words of chunks, ``row`` is the chunk's.
     """
 
     def __init__(self, batch: pa.RecordBatch):
@@ -184,7 +225,7 @@ class Places:
         self.code = coded.indices.to_numpy().astype(np.int64)
         offsets = lists.offsets.to_numpy()
         sizes = np.diff(offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)
+        self.row = row = np.repeat(np.arange(len(sizes)), sizes)
         self.word = self.code != pc.index(self.dictionary, END.decode()).as_py()
         before = np.append(0, np.cumsum(self.word))
         # The first words of a chunk, as many as it has of its own, count.
@@ -198,9 +239,9 @@ class Places:
         pairs, self.numbers = distinct(pairs, len(self.lang_names) * len(self.dictionary))
         self.lang_of, self.word_of = np.divmod(pairs, max(1, len(self.dictionary)))
 
-    def word_hashes(self) -> np.ndarray:
-        """The hash of language and word for every place."""
-        seeds = np.array([xxh64_intdigest(x) for x in self.lang_names.to_pylist()], object)[self.lang_of]
+    def word_hashes(self, seed: int = 0) -> np.ndarray:
+        """The hash of language and word for every place; another ``seed`` gives independent ones."""
+        seeds = np.array([xxh64_intdigest(x, seed) for x in self.lang_names.to_pylist()], object)[self.lang_of]
         words = self.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)[self.word_of]
         return np.fromiter(map(xxh64_intdigest, words.tolist(), seeds.tolist()), np.uint64, len(words))[self.numbers]
 
@@ -218,11 +259,7 @@ class Places:
             out.append((hashes, good))
             # A phrase goes on inside its chunk; where its second part starts there, it ends there.
             may = good & ~self.last & np.append(good[1:], False)
-            following = np.zeros(len(single), np.uint64)
-            following[: max(0, len(single) - size)] = single[size:]
-            hashes = hashes * ODD + following
-            hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX
-            hashes ^= hashes >> np.uint64(32)
+            hashes = longer_hashes(hashes, single, size)
         return [*out, (hashes, may)]
 
     def sums(self, inverse: np.ndarray, places: np.ndarray, many: int) -> np.ndarray:
@@ -231,70 +268,103 @@ class Places:
         np.add.at(total, inverse, self.times[places])
         return total
 
-    def spelled(self, langs: np.ndarray, words: list[np.ndarray], total: np.ndarray) -> pa.Table:
-        """lang, phrase, a: phrases with their words given by place."""
-        parts = [self.dictionary.take(pa.array(x)) for x in words]
-        phrase = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
-        return pa.table([self.lang_names.take(pa.array(langs)), phrase, pa.array(total)], names=["lang", "phrase", "a"])
-
-    def phrases_found(self, maps: list[np.ndarray]) -> Iterator[pa.Table]:
-        """Words and longer phrases whose parts have passed, told apart by their words."""
-        at, levels = self.numbers, []
-        for size, (_, good) in enumerate(self.candidates(maps)):
-            places = np.flatnonzero(good)
+    def phrases_found(self, maps: list[np.ndarray], ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(hash, hash with OTHER, occurrences, id of its chunk) of words, each once, and longer phrases whose parts have passed."""
+        single = others = self.word_hashes(OTHER)
+        for size, (hashes, good) in enumerate(self.candidates(maps)):
+            places = np.flatnonzero(good & self.own)
+            times = self.times[places]
+            if size:
+                others = longer_hashes(others, single, size)
+            else:
+                numbers, inverse = distinct(self.numbers[places], len(self.word_of))
+                times, counted = self.sums(inverse, places, len(numbers)), places
+                places = np.zeros(len(numbers), np.int64)
+                places[inverse] = counted
+            yield hashes[places], others[places], times, ids[self.row[places]]
+
+    def spelled(self, hashes: np.ndarray, others: np.ndarray, longest: int) -> Iterator[pa.Table]:
+        """lang, phrase, a: for each row the phrase of its chunk that has the row's two hashes; a is its ``times``."""
+        first = one = self.word_hashes()
+        second = two = self.word_hashes(OTHER)
+        for size in range(longest):
             if size:
-                pairs, made = np.unique(at[places] * max(1, len(self.dictionary)) + self.code[places + size], return_inverse=True)
-                levels.append(np.divmod(pairs, max(1, len(self.dictionary))))
-                at = np.full(len(self.code), -1)
-                at[places] = made
-            counted = places[self.own[places]]
-            numbers, inverse = distinct(at[counted], len(levels[-1][0]) if levels else len(self.word_of))
-            total = self.sums(inverse, counted, len(numbers))
-            parts = []
-            for parent, word in reversed(levels):
-                parts.append(word[numbers])
-                numbers = parent[numbers]
-            yield self.spelled(self.lang_of[numbers], [self.word_of[numbers], *reversed(parts)], total)
-
-
-def count_spelled(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataFrame:
-    """lang, phrase, a: words and longer phrases with at least ``least`` occurrences."""
+                first, second = longer_hashes(first, one, size), longer_hashes(second, two, size)
+            places = np.flatnonzero((first == hashes[self.row]) & (second == others[self.row]))
+            places = places[np.unique(self.row[places], return_index=True)[1]]
+            parts = [self.dictionary.take(pa.array(self.code[places + i])) for i in range(size + 1)]
+            phrase = pc.binary_join_element_wise(*parts, " ") if size else parts[0]
+            langs = self.lang_names.take(pa.array(self.lang_of[self.numbers[places]]))
+            yield pa.table([langs, phrase, pa.array(self.times[places])], names=["lang", "phrase", "a"])
+
+
+def chunk_id() -> Column:
+    """Names a chunk in few bytes; chunks may share it."""
+    return F.hash("lang", "own", "chunk").alias("id")
+
+
+def count_found(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataFrame:
+    """hash, other, a, id: words and longer phrases with at least ``least`` occurrences, and a chunk that holds them."""
     shared = parsed.sparkSession.sparkContext.broadcast(maps)
+    buckets = BUCKETS * parsed.rdd.getNumPartitions()
+    kinds = {"hashes": np.uint64, "others": np.uint64, "counts": np.int64, "ids": np.int32}
 
-    def merged(tables: list[pa.Table]) -> pa.Table:
-        sums = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
-        return sums.rename_columns(["lang", "phrase", "a"])
+    def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        return summed_pairs(*map(np.concatenate, zip(*found)))
+
+    def size(found: list[tuple[np.ndarray, ...]]) -> int:
+        return sum(x.nbytes for columns in found for x in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
+        kept: list[tuple[np.ndarray, ...]] = []
         for batch in gathered(batches):
-            kept += Places(batch).phrases_found(shared.value)
-            if sum(t.nbytes for t in kept) >= HELD:
+            kept.append(merged([*Places(batch).phrases_found(shared.value, batch.column(4).to_numpy())]))
+            if size(kept) >= HELD:
                 kept = [merged(kept)]
-                if 2 * kept[0].nbytes >= HELD:
-                    yield from kept[0].to_batches()
+                if 2 * size(kept) >= HELD:
+                    yield dealt(buckets, [*kinds], kept[0])
                     kept = []
-        if kept:
-            yield from merged(kept).to_batches()
+        if size(kept):
+            yield dealt(buckets, [*kinds], merged(kept))
         batch = kept = None
         release()
 
-    parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, phrase string, a long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    def enough(bucket: pa.Table) -> pa.Table:
+        found = summed_pairs(*undealt(bucket, kinds))
+        hashes, others, counts, ids = (x[found[2] >= least] for x in found)
+        return pa.table([pa.array(x) for x in (hashes.view(np.int64), others.view(np.int64), counts, ids)], names=["hash", "other", "a", "id"])
+
+    parts = parsed.select("lang", "own", "chunk", "times", chunk_id()).mapInArrow(run, "bucket int, hashes binary, others binary, counts binary, ids binary")
+    return parts.groupBy("bucket").applyInArrow(enough, "hash long, other long, a long, id int")
+
+
+def spell(parsed: DataFrame, counted: DataFrame, longest: int) -> DataFrame:
+    """lang, phrase, a: the phrases of ``counted``, each read off the chunk that it names."""
+    shared = parsed.sparkSession.sparkContext.broadcast(passed_map(counted.select(F.col("id").cast("long").alias("hash"))))
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_passed(shared.value, batch.column(3).to_numpy().astype(np.int64).view(np.uint64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            hashes, others = (batch.column(i).to_numpy().view(np.uint64) for i in (4, 5))
+            for found in Places(batch).spelled(hashes, others, longest):
+                yield from found.to_batches()
+        batch = hashes = others = found = None
+        release()
+
+    holders = parsed.select("lang", "own", "chunk", chunk_id()).mapInArrow(holding, "lang string, own int, chunk string, id int")
+    rows = holders.join(counted, "id").select("lang", "own", "chunk", "a", "hash", "other")
+    # Two chunks with one id may both hold a phrase.
+    return rows.mapInArrow(run, "lang string, phrase string, a long").dropDuplicates(["lang", "phrase"])
 
 
 def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataFrame:
     """hash: of phrases one word longer than there are ``maps``, whose parts passed, that occur ``least`` times together."""
     shared = parsed.sparkSession.sparkContext.broadcast(maps)
     buckets = BUCKETS * parsed.rdd.getNumPartitions()
-
-    def dealt(found: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket, a range of hashes, that some of the sorted hashes fall into."""
-        of = ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        offsets = pa.py_buffer((np.append(starts, len(of)) * 8).astype(np.int32))
-        columns = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(x)]) for x in (found, total)]
-        yield pa.RecordBatch.from_arrays([pa.array(of[starts]), *columns], names=["bucket", "hashes", "counts"])
+    kinds = {"hashes": np.uint64, "counts": np.int64}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
@@ -306,16 +376,15 @@ def count_hashed(parsed: DataFrame, maps: list[np.ndarray], least: int) -> DataF
                 kept.append((hashes[at], places.times[at]))
                 held += 16 * len(at)
             if held >= HELD:
-                yield from dealt(*summed(*map(np.concatenate, zip(*kept))))
+                yield dealt(buckets, [*kinds], summed(*map(np.concatenate, zip(*kept))))
                 kept, held = [], 0
         if kept:
-            yield from dealt(*summed(*map(np.concatenate, zip(*kept))))
+            yield dealt(buckets, [*kinds], summed(*map(np.concatenate, zip(*kept))))
         batch = places = hashes = may = at = kept = None
         release()
 
     def enough(bucket: pa.Table) -> pa.Table:
-        columns = [np.frombuffer(b"".join(bucket.column(name).to_pylist()), kind) for name, kind in (("hashes", np.uint64), ("counts", np.int64))]
-        found, total = summed(*columns)
+        found, total = summed(*undealt(bucket, kinds))
         return pa.table([pa.array(found[total >= least].view(np.int64))], names=["hash"])
 
     parts = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "bucket int, hashes binary, counts binary")
@@ -350,7 +419,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     maps: list[np.ndarray] = []
     while len(maps) < longest - 1:
         maps.append(passed_map(count_hashed(parsed, maps, least)))
-    counts = materialise(count_spelled(parsed, maps, least).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
+    counted = materialise(count_found(parsed, maps, least), "counted")
+    counts = materialise(spell(parsed, counted, longest).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
     longer = counts.where("size > 1")
     words = F.split("phrase", " ")
 

@@ -152,3 +152,53 @@ def test_hashes_are_shuffled_as_arrays(spark):
             w = re.findall("[^\x20\x09]+", piece)
             pairs.update((lang or "und", *p) for p in zip(w, w[1:]))
     assert hashed.distinct().count() == hashed.count() == sum(n >= 3 for n in pairs.values())
+
+
+def made_by(plan):
+    """(output columns, rows made) of each MapInArrow of an executed plan."""
+    found = [(plan.output().mkString(","), plan.metrics().apply("pythonNumRowsReceived").value())] if "MapInArrow" in plan.nodeName() else []
+    children = plan.children()
+    return found + [x for i in range(children.size()) for x in made_by(children.apply(i))]
+
+
+@pytest.mark.parametrize("tasks", [2, 9])
+def test_each_phrase_is_spelled_once(spark, monkeypatch, tasks):
+    """Every task spelled out all phrases it met: rows grew with tasks times phrases."""
+    made = []
+
+    def noted(df, label):
+        rows = spark.createDataFrame(df.collect(), df.schema)
+        made.extend(n for columns, n in made_by(df._jdf.queryExecution().executedPlan()) if "phrase" in columns)
+        return rows.repartition(tasks) if label == "chunks" else rows
+
+    monkeypatch.setattr(collocations, "materialise", noted)
+    monkeypatch.setattr(collocations, "EVERY", 2)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = some_rows(5)
+        got = found(spark.createDataFrame(rows, "text string, lang string"), least=1, top=10**6)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == expected(rows, 1, 10**6)
+    phrases = set()
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            phrases |= {(lang or "und", *w[i: i + k]) for k in range(1, 5) for i in range(len(w) - k + 1)}
+    assert made == [len(phrases)]
+
+
+def test_pairs_of_hashes_are_summed():
+    """Phrases that share one of their hashes stay apart, also when they lie mixed."""
+    hashes = np.array([7, 7, 7, 2**64 - 1, 7, 0], np.uint64)
+    others = np.array([1, 2, 1, 1, 2, 5], np.uint64)
+    got = collocations.summed_pairs(hashes, others, np.array([1, 10, 2, 2**40, 20, 4]), np.array([3, 4, 3, -5, 4, 6], np.int32))
+    assert [tuple(map(int, x)) for x in zip(*got)] == [(0, 5, 4, 6), (7, 1, 3, 3), (7, 2, 30, 4), (2**64 - 1, 1, 2**40, -5)]
+    assert [len(x) for x in collocations.summed_pairs(*(x[:0] for x in got))] == [0, 0, 0, 0]
+
+
+def test_chunks_may_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "chunk_id", lambda: collocations.F.lit(5).alias("id"))
+    rows = some_rows(6)[:30]
+    assert found(spark.createDataFrame(rows, "text string, lang string"), least=2, top=1000) == expected(rows, 2, 1000)
