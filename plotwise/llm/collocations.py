@@ -400,11 +400,13 @@ def joined(words: Column, start, length) -> Column:
 def with_count(rows: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
     """``rows`` with the count of the phrase in column ``part``.
 
-    Many phrases may share one part: rows are spread over SALTS copies of its count.
+    Many phrases may share one part: rows are spread over SALTS copies of its count. Spark takes the
+    copies, and rows that were exploded, for as small as the table they come from, so it would send
+    millions of rows through the driver; both sides are shuffled.
     """
     copies = counts.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), F.col("a").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_copy"))
     mine = (F.col("lang") == F.col("_lang")) & (F.col(part) == F.col("_phrase")) & (F.pmod(F.xxhash64("phrase"), F.lit(SALTS)) == F.col("_copy"))
-    return rows.join(copies, mine).drop("_lang", "_phrase", "_copy", part)
+    return rows.join(copies.hint("merge"), mine).drop("_lang", "_phrase", "_copy", part)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, text: str = "text", lang: str = "lang") -> DataFrame:

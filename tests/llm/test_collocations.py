@@ -202,3 +202,14 @@ def test_chunks_may_share_an_id(spark, monkeypatch):
     monkeypatch.setattr(collocations, "chunk_id", lambda: collocations.F.lit(5).alias("id"))
     rows = some_rows(6)[:30]
     assert found(spark.createDataFrame(rows, "text string, lang string"), least=2, top=1000) == expected(rows, 2, 1000)
+
+
+def test_copies_of_counts_are_not_broadcast(spark, tmp_path):
+    """Spark sizes copies as the file they are made from, which may be below the bound of a broadcast."""
+    path = str(tmp_path / "counts")
+    spark.createDataFrame([("en", "a", 40), ("en", "a b", 30), ("en", "b", 50)], "lang string, phrase string, a long").write.parquet(path)
+    counts = spark.read.parquet(path)
+    parts = counts.where("phrase = 'a b'").selectExpr("lang", "phrase", "a", "explode(array('a')) AS first", "'b' AS rest")
+    both = collocations.with_count(collocations.with_count(parts, counts, "first", "l"), counts, "rest", "r")
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in both.collect()] == [("en", "a b", 30, 40, 50)]
